@@ -38,7 +38,7 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """
     nodes = messages.select("node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    nodes = stage(nodes.join(known, "parent", "left").withColumn("parent", F.when("known", F.col("parent"))).drop("known"), "nodes")
+    nodes = stage(nodes.join(known, "parent", "left").withColumn("parent", F.when(F.col("known"), F.col("parent"))).drop("known"), "nodes")
     # After each round `up` is twice as far away, and `steps` and `total` cover the way there without it.
     now = stage(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("node")).alias("root"), F.lit(1).alias("steps"), F.col("score").alias("total")), "paths")
     while now.where("up is not null").limit(1).count():
@@ -86,9 +86,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-@F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-def digest(formatted: pd.Series) -> pd.DataFrame:
-    """What the formatted conversations say, read back."""
+def _digest(formatted: pd.Series) -> pd.DataFrame:
     rows = []
     for text in formatted:
         turns = read_back(text)
@@ -98,6 +96,11 @@ def digest(formatted: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
+def digest(formatted: str):
+    """What the formatted conversations in this column say, read back: a struct of counts and digests."""
+    return F.pandas_udf(_digest, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")(formatted)
+
+
 def messages_of_turns(turns: DataFrame) -> DataFrame:
     """node, parent, score, role, text, conv_id: each turn (conv_id, turn, role, text) answers the one before."""
     turns = turns.where("conv_id is not null and turn is not null")

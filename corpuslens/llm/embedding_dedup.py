@@ -52,7 +52,7 @@ def _codes(bits: int, passes: int, size: int, seed: int):
 
 
 def _compare(threshold: float):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         turn, crossed = int(key[1]), int(key[4]) != int(key[5])
         pdf = pdf.sort_values("node", ignore_index=True)
         x = np.array(pdf["v"].tolist(), float)

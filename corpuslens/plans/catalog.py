@@ -1,6 +1,630 @@
-"""Every registered query, and the SQL that gives the same rows."""
+"""Every registered query on the given tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslens.functions import text as X
+from corpuslens.functions.patterns import excluded
+from corpuslens.operators import backup, index, jobs, paths, registry, search, status
+from corpuslens.operators.search import Search
+from corpuslens.options import LIMITS
+from corpuslens.sources import corpora
+from corpuslens.sources.shared import new_path
+from corpuslens.streaming import jobs as streaming
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+FILES = """f AS (
+  SELECT source AS host, lang AS root, '/corpus/' || lang || '/' || doc_id || '.txt' AS path, doc_id || '.txt' AS rel_path,
+    strlen(text) AS size, doc_id * 1000 AS modified_ms, doc_id, text FROM documents
+)"""
+LINES = (
+    FILES
+    + r""", sp AS (
+  SELECT host, root, path, string_split(text, chr(10)) AS ls FROM f
+), al AS (
+  SELECT host, root, path, len(ls) AS total, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS n FROM sp
+), l AS (
+  SELECT host, root, path, CAST(n AS INTEGER) AS line_number, regexp_replace(line, '\r$', '') AS text FROM al WHERE NOT (n = total AND line = '')
+)"""
+)
+HITS = LINES + ", n AS (SELECT host, path, max(line_number) AS total FROM l GROUP BY host, path), h AS (SELECT * FROM l WHERE contains(text, 'ering'))"
+CAPPED = HITS + ", c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY path, line_number) AS k FROM h) WHERE k <= {k})"
+QUERY = Search("ering")
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.documents(spark, sf_dir)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.lines(_docs(spark, sf_dir))
+
+
+def _hits(spark: SparkSession, sf_dir: str, s: Search = QUERY) -> DataFrame:
+    return search.find_hits(_docs(spark, sf_dir), s)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _as_text(rows: DataFrame, *columns: str) -> DataFrame:
+    """Numbers that may be null, as text: comparisons outside of Spark then see nulls, not floats."""
+    return rows.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+HIT_COLUMNS = ["host", "path", "line_number", "text"]
+
+# Lines and searches
+
+
+@query(f"WITH {LINES} SELECT host, path, line_number, text FROM l")
+def line_split(spark, sf_dir):
+    return _lines(spark, sf_dir).select(*HIT_COLUMNS)
+
+
+@query(f"WITH {HITS} SELECT host, path, line_number, text FROM h")
+def literal_search(spark, sf_dir):
+    return _hits(spark, sf_dir).select(*HIT_COLUMNS)
+
+
+@query(f"WITH {LINES} SELECT host, path, line_number, text FROM l WHERE contains(lower(text), lower('DER VER'))")
+def ci_search(spark, sf_dir):
+    return _hits(spark, sf_dir, Search("DER VER", mode="case_insensitive_literal")).select(*HIT_COLUMNS)
+
+
+@query(f"WITH {LINES} SELECT host, path, line_number, text, 1 AS \"column\" FROM l WHERE regexp_matches(text, 'th[a-e]+ting [aeiou]')")
+def regex_search(spark, sf_dir):
+    return _hits(spark, sf_dir, Search("th[a-e]+ting [aeiou]", mode="regex")).select(*HIT_COLUMNS, "column")
+
+
+@query(f"WITH {LINES} SELECT host, path, line_number, text FROM l WHERE contains(text, 'ering') AND (path LIKE '%/1%.txt' OR path LIKE '%/_7.txt')")
+def path_glob_filter(spark, sf_dir):
+    return _hits(spark, sf_dir, Search("ering", path_globs=("1*.txt", "?7.txt"))).select(*HIT_COLUMNS)
+
+
+@query(f"WITH {FILES} SELECT host, path FROM f WHERE NOT (rel_path LIKE '1%' OR rel_path LIKE '%7.txt')")
+def exclude_filter(spark, sf_dir):
+    return _docs(spark, sf_dir).where(~excluded(F.col("rel_path"), ["1**", "*7.txt", "**/.git/**"])).select("host", "path")
+
+
+@query(f"WITH {FILES} SELECT host, path, size FROM f WHERE size <= 2000")
+def size_filter(spark, sf_dir):
+    return _docs(spark, sf_dir).where("size <= 2000").select("host", "path", "size")
+
+
+@query(f"WITH {FILES} SELECT host, path, instr(text, chr(0)) > 0 AS is_binary FROM f")
+def binary_filter(spark, sf_dir):
+    return _docs(spark, sf_dir).select("host", "path", X.binary(F.col("text")).alias("is_binary"))
+
+
+@query(f"WITH {FILES} SELECT host, root, path FROM f WHERE root IN ('de', 'fr') OR starts_with(path, '/corpus/es/')")
+def root_select(spark, sf_dir):
+    return search.select_roots(_docs(spark, sf_dir), ("de", "fr", "/corpus/es"), {"de", "en", "es", "fr"}).select("host", "root", "path")
+
+
+@query(f"WITH {FILES} SELECT host, path FROM f WHERE host IN ('src0', 'src3')")
+def host_select(spark, sf_dir):
+    return search.select_hosts(_docs(spark, sf_dir), ("src3", "src0", "src3"), {f"src{k}" for k in range(20)}).select("host", "path")
+
+
+@query(f"WITH {FILES}, r AS (SELECT DISTINCT host, '/corpus/' || root AS root FROM f WHERE root <> 'en') SELECT f.host, f.path FROM f WHERE EXISTS (SELECT 1 FROM r WHERE r.host = f.host AND starts_with(f.path, r.root || '/'))")
+def contained_paths(spark, sf_dir):
+    files = _docs(spark, sf_dir)
+    return paths.contained(files.select("host", "path"), corpora.corpus_locations(files.where("root <> 'en'")))
+
+
+@query(f"WITH {HITS} SELECT host, path, line_number, CAST(strlen(substr(text, 1, strpos(text, 'ering') - 1)) + 1 AS INTEGER) AS \"column\" FROM h")
+def match_column(spark, sf_dir):
+    return _hits(spark, sf_dir).select("host", "path", "line_number", "column")
+
+
+@query(f"WITH {HITS} SELECT h.host, h.path, h.line_number, string_agg(l.line_number || ':' || l.text, '|' ORDER BY l.line_number) AS context FROM h JOIN l ON l.host = h.host AND l.path = h.path AND l.line_number BETWEEN h.line_number - 2 AND h.line_number + 2 GROUP BY h.host, h.path, h.line_number")
+def context_lines(spark, sf_dir):
+    context = F.array_join(F.transform("context", lambda x: F.concat(x["line_number"].cast("string"), F.lit(":"), x["text"])), "|")
+    return _hits(spark, sf_dir).select("host", "path", "line_number", context.alias("context"))
+
+
+_CHAT = """l AS (SELECT role AS host, '/chat/' || conv_id || '.log' AS path, CAST(turn + 1 AS INTEGER) AS line_number, text FROM conversations),
+h AS (SELECT * FROM l WHERE contains(text, 'tion'))"""
+
+
+@query(f"WITH {_CHAT} SELECT h.host, h.path, h.line_number, l.line_number AS context_line, l.text AS context_text FROM h JOIN l ON l.host = h.host AND l.path = h.path AND l.line_number BETWEEN h.line_number - 1 AND h.line_number + 1")
+def context_join(spark, sf_dir):
+    lines = corpora.conversation_lines(spark, sf_dir)
+    hits = lines.where(X.matches(F.col("text"), "tion", "literal"))
+    return search.join_context(hits, lines, 1).select("host", "path", "line_number", "context_line", "context_text")
+
+
+_RANGES = (
+    HITS
+    + """, s AS (SELECT h.host, h.path, greatest(line_number - 2, 1) AS st, least(line_number + 2, total) AS en FROM h JOIN n ON h.host = n.host AND h.path = n.path),
+o AS (SELECT *, CASE WHEN st <= max(en) OVER (PARTITION BY host, path ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS opens FROM s),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY host, path ORDER BY st, en ROWS UNBOUNDED PRECEDING) AS island FROM o),
+r AS (SELECT host, path, CAST(min(st) AS INTEGER) AS start_line, CAST(max(en) AS INTEGER) AS end_line FROM i GROUP BY host, path, island),
+d AS (SELECT r.host, r.path, start_line, end_line, CASE WHEN start_line = end_line THEN CAST(start_line AS VARCHAR) ELSE start_line || '-' || end_line END AS loc,
+  string_agg(l.text, chr(10) ORDER BY l.line_number) AS data
+  FROM r JOIN l ON l.host = r.host AND l.path = r.path AND l.line_number BETWEEN start_line AND end_line GROUP BY r.host, r.path, start_line, end_line)"""
+)
+
+
+@query(f"WITH {_RANGES} SELECT * FROM d")
+def compact_ranges(spark, sf_dir):
+    return search.compact(_hits(spark, sf_dir))
+
+
+@query(f"WITH {CAPPED.format(k=5)} SELECT host, path, line_number, text FROM c")
+def per_host_cap(spark, sf_dir):
+    return search.cap_per_host(_hits(spark, sf_dir).select(*HIT_COLUMNS), 5)
+
+
+@query(f"WITH {CAPPED.format(k=50)}, b AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY host ORDER BY path, line_number ROWS UNBOUNDED PRECEDING) AS s FROM c), t AS (SELECT *, max(s) OVER (PARTITION BY host) > 4000 AS truncated FROM b) SELECT host, path, line_number, truncated FROM t WHERE s <= 4000")
+def byte_budget(spark, sf_dir):
+    capped = search.cap_per_host(_hits(spark, sf_dir).select(*HIT_COLUMNS), 50)
+    return search.within_budget(capped, F.octet_length("text"), 4000, ["host"], ["path", "line_number"]).select("host", "path", "line_number", "truncated")
+
+
+@query(f"WITH {CAPPED.format(k=3)}, w AS (SELECT c.host, c.path, c.line_number AS from_line, row_number() OVER p AS k, sum(strlen(l.text) + 1) OVER p AS s FROM c JOIN l ON l.host = c.host AND l.path = c.path AND l.line_number >= c.line_number WINDOW p AS (PARTITION BY c.host, c.path, c.line_number ORDER BY l.line_number ROWS UNBOUNDED PRECEDING)) SELECT host, path, from_line, count(*) FILTER (k <= 8 AND s <= 3000) AS n_lines, CAST(coalesce(max(s) FILTER (k <= 8 AND s <= 3000), 0) AS BIGINT) AS n_bytes, bool_or(NOT (k <= 8 AND s <= 3000)) AS truncated FROM w GROUP BY host, path, from_line")
+def preview_bound(spark, sf_dir):
+    hits = search.cap_per_host(_hits(spark, sf_dir).select(*HIT_COLUMNS), 3)
+    return search.preview(_lines(spark, sf_dir), hits, 8, 3000)
+
+
+@query(f"WITH {HITS} SELECT DISTINCT host, path, line_number, text FROM h")
+def dedup_hits(spark, sf_dir):
+    hits = _hits(spark, sf_dir).select(*HIT_COLUMNS)
+    return search.dedup_hits(hits.unionByName(hits))
+
+
+@query(f"WITH {HITS} SELECT host, path, line_number, text FROM h ORDER BY host, path, line_number LIMIT 64")
+def topk_hits(spark, sf_dir):
+    return search.top_hits(_hits(spark, sf_dir).select(*HIT_COLUMNS), 1000)
+
+
+@query(f"WITH {HITS} SELECT host, count(*) AS n_hits, count(*) > 40 AS truncated FROM h GROUP BY host")
+def truncation_flag(spark, sf_dir):
+    return search.truncated_hosts(_hits(spark, sf_dir), 40)
+
+
+@query(f"WITH {HITS} SELECT host, path, count(*) AS n_hits FROM h GROUP BY host, path")
+def hit_counts(spark, sf_dir):
+    return _hits(spark, sf_dir).groupBy("host", "path").agg(F.count("*").alias("n_hits"))
+
+
+@query(
+    f"""WITH {CAPPED.format(k=64).replace("contains(text, 'ering')", "contains(text, 'eringh')")}, t AS (SELECT * FROM c ORDER BY host, path, line_number LIMIT 64),
+s AS (SELECT t.host, t.path, greatest(line_number - 2, 1) AS st, least(line_number + 2, total) AS en FROM t JOIN n ON t.host = n.host AND t.path = n.path),
+o AS (SELECT *, CASE WHEN st <= max(en) OVER (PARTITION BY host, path ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS opens FROM s),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY host, path ORDER BY st, en ROWS UNBOUNDED PRECEDING) AS island FROM o),
+r AS (SELECT host, path, CAST(min(st) AS INTEGER) AS start_line, CAST(max(en) AS INTEGER) AS end_line FROM i GROUP BY host, path, island),
+d AS (SELECT r.host, r.path, start_line, end_line, string_agg(l.text, chr(10) ORDER BY l.line_number) AS data FROM r JOIN l ON l.host = r.host AND l.path = r.path AND l.line_number BETWEEN start_line AND end_line GROUP BY r.host, r.path, start_line, end_line),
+b AS (SELECT *, sum(strlen(data)) OVER (ORDER BY host, path, start_line ROWS UNBOUNDED PRECEDING) AS s FROM d)
+SELECT host, path, start_line, end_line, data FROM b WHERE s <= 131072"""
+)
+def search_text(spark, sf_dir):
+    ranges, _ = search.search_text(_docs(spark, sf_dir), Search("eringh"), {"de", "en", "es", "fr"})
+    return ranges.select("host", "path", "start_line", "end_line", "data")
+
+
+@query("WITH q AS (SELECT item_id AS query_id, string_split(text, chr(10))[1] AS query FROM benchmark), " + LINES + " SELECT query_id, l.host, l.path, l.line_number FROM l JOIN q ON contains(l.text, q.query)")
+def multi_query(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("query"))
+    return search.multi_search(items, _lines(spark, sf_dir)).select("query_id", "host", "path", "line_number")
+
+
+@query(f"WITH {LINES} SELECT path, line_number, text FROM l")
+def grep_output_parse(spark, sf_dir):
+    said = _lines(spark, sf_dir).select(F.concat_ws(":", "path", F.col("line_number").cast("string"), "text").alias("value"))
+    said = said.unionByName(said.limit(3).select(F.lit("no such output").alias("value")))
+    part = lambda k: F.regexp_extract("value", r"(?s)^([^:]*):(\d+):(.*)$", k)
+    return said.select(part(1).alias("path"), F.expr("try_cast(regexp_extract(value, '(?s)^([^:]*):([0-9]+):(.*)$', 2) AS int)").alias("line_number"), part(3).alias("text")).where("line_number is not null")
+
+
+# Paths, listings, reads
+
+
+@query(f"WITH {FILES} SELECT host, path, 'file' AS kind FROM f WHERE contains('./' || rel_path, '/12')")
+def find_paths_substring(spark, sf_dir):
+    return paths.find_paths(_docs(spark, sf_dir), "/12")
+
+
+@query(f"WITH {FILES} SELECT host, path, 'file' AS kind FROM f WHERE regexp_matches('./' || rel_path, '^.*[13].\\.txt$')")
+def find_paths_glob(spark, sf_dir):
+    return paths.find_paths(_docs(spark, sf_dir), "*[13]?.txt")
+
+
+@query(f"WITH {FILES} SELECT host, path, size, modified_ms FROM f")
+def inventory(spark, sf_dir):
+    return _docs(spark, sf_dir).select("host", "path", "size", "modified_ms")
+
+
+_PAGES = r"""g AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)?', 1) AS p, page_id, strlen(html) AS size, page_id * 1000 AS modified_ms FROM pages)"""
+
+
+@query(f"WITH {_PAGES}, u AS (SELECT *, p || '/' || page_id || '.html' AS path FROM g), c AS (SELECT host, split_part(substr(path, 5), '/', 1) AS name, contains(substr(path, 5), '/') AS dir, size, modified_ms FROM u WHERE starts_with(path, '/en/')) SELECT host, name, '/en/' || name AS path, CASE WHEN bool_and(NOT dir) THEN 'file' ELSE 'directory' END AS kind, CASE WHEN bool_and(NOT dir) THEN CAST(max(size) AS VARCHAR) END AS size, CASE WHEN bool_and(NOT dir) THEN CAST(max(modified_ms) AS VARCHAR) END AS modified_ms FROM c GROUP BY host, name")
+def list_directory(spark, sf_dir):
+    return _as_text(paths.list_directory(corpora.pages(spark, sf_dir), "/en"), "size", "modified_ms")
+
+
+@query(f"WITH {FILES} SELECT DISTINCT host, root AS name, '/corpus/' || root AS path FROM f ORDER BY host, path")
+def list_locations(spark, sf_dir):
+    return corpora.corpus_locations(_docs(spark, sf_dir)).orderBy("host", "path")
+
+
+@query(f"WITH {FILES} SELECT host, string_agg(DISTINCT '/corpus/' || root, ',' ORDER BY '/corpus/' || root) AS roots FROM f GROUP BY host")
+def roots_per_host(spark, sf_dir):
+    rows = corpora.corpus_locations(_docs(spark, sf_dir)).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("roots"))
+    return rows.select("host", F.array_join("roots", ",").alias("roots"))
+
+
+@query(f"WITH {FILES}, x AS (SELECT host, '/corpus/' || root AS path, min(CASE root WHEN 'fr' THEN 0 WHEN 'de' THEN 1 WHEN 'es' THEN 2 ELSE 4 END) AS rank FROM f GROUP BY host, root) SELECT host, path, CAST(rank AS INTEGER) AS rank FROM x")
+def root_priority(spark, sf_dir):
+    names = F.expr("case name when 'fr' then 'home' when 'de' then 'opt' when 'es' then 'etc' else name end")
+    return paths.ordered_roots(corpora.corpus_locations(_docs(spark, sf_dir)).withColumn("name", names)).select("host", "path", "rank")
+
+
+_READS = """q AS (SELECT event_id AS request_id, 'src' || (event_id % 20) AS host, '/corpus/' || CASE WHEN event_id % 4 = 0 THEN 'en' ELSE 'de' END || '/' || (event_id % 3000) || '.txt' AS path, CAST(user_id % 7 AS INTEGER) AS st, CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(user_id % 11 AS INTEGER) END AS en FROM events)"""
+
+
+@query(
+    f"""WITH {LINES}, {_READS}, n AS (SELECT host, path, count(*) AS total FROM l GROUP BY host, path),
+x AS (SELECT q.*, f.path IS NOT NULL AS known, coalesce(total, 0) AS total, greatest(coalesce(st, 1), 1) AS s FROM q LEFT JOIN f ON f.host = q.host AND f.path = q.path LEFT JOIN n ON n.host = q.host AND n.path = q.path),
+y AS (SELECT *, least(greatest(coalesce(en, total), s), greatest(total, s)) AS e FROM x)
+SELECT request_id, y.host, y.path, CASE WHEN known THEN CAST(s AS VARCHAR) END AS start_line, CASE WHEN known THEN CAST(e AS VARCHAR) END AS end_line,
+CASE WHEN known THEN coalesce(string_agg(l.text, chr(10) ORDER BY l.line_number), '') END AS data, CASE WHEN NOT known THEN 'not found' END AS error
+FROM y LEFT JOIN l ON l.host = y.host AND l.path = y.path AND l.line_number BETWEEN s AND e GROUP BY request_id, y.host, y.path, known, s, e"""
+)
+def read_lines(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    requests = events.selectExpr("event_id request_id", "'src' || (event_id % 20) host", "'/corpus/' || case when event_id % 4 = 0 then 'en' else 'de' end || '/' || (event_id % 3000) || '.txt' path", "cast(user_id % 7 as int) start", "case when user_id % 3 = 0 then null else cast(user_id % 11 as int) end `end`")
+    return _as_text(paths.read_lines(requests, _docs(spark, sf_dir)), "start_line", "end_line")
+
+
+# Status, catalog, counts
+
+_FLAGS = """s AS (SELECT source AS host, toxic = 0 AS ok, CASE WHEN toxic = 1 AND quality = 0 THEN 'peer timeout' WHEN toxic = 1 THEN 'path not readable' END AS error FROM labels JOIN documents USING (doc_id) WHERE source <> 'src7'),
+r AS (SELECT host, bool_and(ok) AS ok, min(error) AS error FROM s GROUP BY host)"""
+
+
+def _flags(spark, sf_dir):
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").where("source <> 'src7'")
+    return rows.selectExpr("source host", "toxic = 0 ok", "case when toxic = 1 and quality = 0 then 'peer timeout' when toxic = 1 then 'path not readable' end error")
+
+
+@query(f"WITH {_FLAGS} SELECT * FROM r")
+def host_status_rollup(spark, sf_dir):
+    return status.rollup(_flags(spark, sf_dir))
+
+
+@query(f"WITH {_FLAGS} SELECT bool_or(NOT ok) AS partial, bool_and(NOT ok) AS failed, bool_or(error = 'peer timeout') AS truncated FROM r")
+def overall_status(spark, sf_dir):
+    return status.overall(status.rollup(_flags(spark, sf_dir)), F.col("error") == "peer timeout")
+
+
+@query(
+    f"""WITH {FILES}, {_FLAGS}, l AS (SELECT host, string_agg(DISTINCT '/corpus/' || root, ',' ORDER BY '/corpus/' || root) AS roots FROM f WHERE host <> 'src3' GROUP BY host),
+j AS (SELECT coalesce(l.host, r.host) AS host, coalesce(roots, '') AS roots, r.host IS NOT NULL AS known, coalesce(ok, false) AS ok, error FROM l FULL OUTER JOIN r ON l.host = r.host),
+e AS (SELECT *, CASE WHEN NOT known THEN 'Device did not report its catalog status.' WHEN error IS NULL THEN NULL WHEN contains(error, 'timeout') THEN 'Device did not respond before the request deadline.' ELSE 'Some configured paths are not readable.' END AS last_error FROM j)
+SELECT host, roots, CASE WHEN ok THEN 'healthy' WHEN starts_with(coalesce(last_error, ''), 'Some configured paths') THEN 'degraded' ELSE 'offline' END AS health, last_error FROM e"""
+)
+def catalog_health(spark, sf_dir):
+    locations = corpora.corpus_locations(_docs(spark, sf_dir)).where("host <> 'src3'")
+    out = status.catalog(locations, status.rollup(_flags(spark, sf_dir)))
+    return out.select("host", F.array_join("roots", ",").alias("roots"), "health", "last_error")
+
+
+@query(f"WITH {FILES}, p AS (SELECT DISTINCT host, '/corpus/' || root || '/' || (doc_id % 100) AS path FROM f) SELECT host, path, CASE WHEN count(*) OVER (PARTITION BY path) > 1 THEN host END AS shown_host FROM p")
+def ambiguous_paths(spark, sf_dir):
+    doc = F.regexp_extract("rel_path", r"^(\d+)", 1).cast("long")
+    rows = _docs(spark, sf_dir).select("host", F.concat_ws("/", F.lit("/corpus"), "root", (doc % 100).cast("string")).alias("path")).distinct()
+    return search.show_hosts(rows)
+
+
+@query(f"WITH {FILES} SELECT host, count(*) AS indexed_files FROM f GROUP BY host")
+def corpus_stats(spark, sf_dir):
+    return index.corpus_stats(_docs(spark, sf_dir))
+
+
+_DIAGNOSTICS = "d AS (SELECT user_id AS run, CASE event_type WHEN 'error' THEN CASE WHEN user_id % 3 = 0 THEN 'regex parse error' ELSE 'x: Permission Denied (os error 13)' END WHEN 'click' THEN 'y: No such file or directory' ELSE ' ' END AS line FROM events)"
+
+
+@query(f"WITH {_DIAGNOSTICS} SELECT run, CASE WHEN bool_and(contains(lower(line), 'permission denied') OR contains(lower(line), 'no such file or directory')) THEN 'some configured paths were not readable' END AS message FROM d WHERE trim(line) <> '' GROUP BY run")
+def diagnostics_all_match(spark, sf_dir):
+    lines = _table(spark, sf_dir, "events").selectExpr("user_id run", "case event_type when 'error' then case when user_id % 3 = 0 then 'regex parse error' else 'x: Permission Denied (os error 13)' end when 'click' then 'y: No such file or directory' else ' ' end line")
+    return status.diagnostics(lines)
+
+
+@query("SELECT event_type AS host, min(event_id) AS pos FROM events GROUP BY event_type")
+def unique_hosts_in_order(spark, sf_dir):
+    return status.unique_in_order(_table(spark, sf_dir, "events").selectExpr("event_type host", "event_id pos"))
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'Device rejected the peer request.' WHEN quality = 0 THEN 'Device is unavailable or returned an incomplete result.' END AS said FROM labels")
+def safe_errors(spark, sf_dir):
+    error = F.expr("case when toxic = 1 then 'HTTP 401' when quality = 0 then 'broken pipe' end")
+    return _table(spark, sf_dir, "labels").select("doc_id", X.safe_error(error).alias("said"))
+
+
+# Index
+
+
+@query()
+def trigram_postings(spark, sf_dir):
+    return index.build_postings(_docs(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT host, path FROM f WHERE contains(lower(text), 'ing') AND contains(lower(text), 'ngw') AND contains(lower(text), 'gwh')")
+def trigram_candidates(spark, sf_dir):
+    return index.candidates(index.build_postings(_docs(spark, sf_dir)), "ingwh")
+
+
+@query(f"WITH {FILES} SELECT host, path FROM f WHERE contains(text, 'ingwh')")
+def indexed_search(spark, sf_dir):
+    files = _docs(spark, sf_dir)
+    return index.indexed_files(files, index.build_postings(files), "ingwh").select("host", "path")
+
+
+@query(f"WITH {FILES} SELECT host, path FROM f WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def index_delete_diff(spark, sf_dir):
+    files = _docs(spark, sf_dir)
+    current = files.join(_table(spark, sf_dir, "labels").select((F.col("doc_id") * 1000).alias("modified_ms")), "modified_ms", "left_semi")
+    return index.removed_paths(files, current)
+
+
+_LOG = "g AS (SELECT user_id AS root, CASE event_type WHEN 'error' THEN false WHEN 'click' THEN NULL ELSE true END AS ok, CASE WHEN event_type = 'error' THEN props END AS error, event_id AS indexed_files, event_id AS at_ms FROM events)"
+
+
+@query(f"WITH {_LOG}, w AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY at_ms DESC) AS k, count(*) FILTER (ok) OVER (PARTITION BY root) AS generation FROM g) SELECT root, CASE WHEN ok THEN 'ready' WHEN ok IS NULL THEN 'building' ELSE 'degraded' END AS state, generation, indexed_files, error AS last_error FROM w WHERE k = 1")
+def index_state(spark, sf_dir):
+    log = _table(spark, sf_dir, "events").selectExpr("user_id root", "case event_type when 'error' then false when 'click' then null else true end ok", "case when event_type = 'error' then props end error", "event_id indexed_files", "event_id at_ms")
+    return index.latest_state(log)
+
+
+# Jobs over events
+
+_ARRIVALS = "a AS (SELECT event_type AS job_id, 'node' || (user_id % 7) AS host, '/e/' || (user_id % 50) AS path, CAST(event_id % 5 + 1 AS INTEGER) AS line_number, epoch_us(ts) // 1000 AS arrival_ms FROM events)"
+
+
+def _arrivals(spark, sf_dir):
+    ms = "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))"
+    return _table(spark, sf_dir, "events").selectExpr("event_type job_id", "'node' || (user_id % 7) host", "'/e/' || (user_id % 50) path", "cast(event_id % 5 + 1 as int) line_number", f"{ms} arrival_ms", "event_id", "user_id", "length(props) bytes")
+
+
+_SEQ = f"{_ARRIVALS}, u AS (SELECT job_id, host, path, line_number, min(arrival_ms) AS arrival_ms FROM a GROUP BY job_id, host, path, line_number), q AS (SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY arrival_ms, host, path, line_number) AS INTEGER) AS seq FROM u)"
+
+
+@query(f"WITH {_SEQ} SELECT * FROM q WHERE seq <= 100")
+def arrival_first(spark, sf_dir):
+    return jobs.admit(_arrivals(spark, sf_dir), 100)
+
+
+@query(f"WITH {_SEQ}, p AS (SELECT *, max(seq) OVER (PARTITION BY job_id) AS last FROM q WHERE seq <= 100) SELECT job_id, host, path, line_number, seq, CASE WHEN last > 72 THEN '72' END AS next_cursor FROM p WHERE seq > 40 AND seq <= 72")
+def page_by_cursor(spark, sf_dir):
+    rows = jobs.pages_of_jobs(jobs.admit(_arrivals(spark, sf_dir), 100), 40, 32)
+    return _as_text(rows.select("job_id", "host", "path", "line_number", "seq", "next_cursor"), "next_cursor")
+
+
+_TARGETS = f"{_ARRIVALS}, t AS (SELECT job_id, 'node' || n AS host, started_ms FROM (SELECT job_id, min(arrival_ms) AS started_ms FROM a GROUP BY job_id), range(9) r(n))"
+
+
+def _targets(arrivals):
+    started = arrivals.groupBy("job_id").agg(F.min("arrival_ms").alias("started_ms"))
+    return started.select("job_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("n"), "started_ms").selectExpr("job_id", "'node' || n host", "started_ms")
+
+
+@query(f"WITH {_TARGETS}, c AS (SELECT t.job_id, t.host, count(*) FILTER (arrival_ms <= started_ms + 21600000) AS n_hits FROM t LEFT JOIN a ON a.job_id = t.job_id AND a.host = t.host GROUP BY t.job_id, t.host) SELECT job_id, host, n_hits > 0 AS ok, CASE WHEN n_hits = 0 THEN 'overall timeout' END AS error, n_hits FROM c")
+def deadline_status(spark, sf_dir):
+    arrivals = _arrivals(spark, sf_dir)
+    return jobs.at_deadline(_targets(arrivals), arrivals, 21_600_000)
+
+
+@query(f"WITH {_TARGETS} SELECT a.job_id, count(*) FILTER (arrival_ms - started_ms <= 3600000) AS n_foreground, count(*) FILTER (arrival_ms - started_ms <= 86400000) AS n_job FROM a JOIN t ON a.job_id = t.job_id AND a.host = t.host GROUP BY a.job_id")
+def late_arrivals(spark, sf_dir):
+    arrivals = _arrivals(spark, sf_dir)
+    return jobs.late(arrivals, _targets(arrivals), 3_600_000, 86_400_000)
+
+
+@query(f"WITH {_TARGETS} SELECT job_id, host, false AS ok, 'search interrupted by service restart' AS error FROM t WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.job_id = t.job_id AND a.host = t.host)")
+def interrupted_hosts(spark, sf_dir):
+    arrivals = _arrivals(spark, sf_dir)
+    return jobs.interrupted(_targets(arrivals), arrivals)
+
+
+@query(f"WITH {_ARRIVALS}, s AS (SELECT path AS job_id, count(*) FILTER (line_number = 1) AS n_pending, count(*) AS n_hosts, count(*) FILTER (job_id <> 'error') AS n_ok, min(line_number) > 1 AS lost FROM a WHERE line_number > 1 OR host = 'node1' GROUP BY path) SELECT job_id, CASE WHEN n_pending > 0 THEN 'running' WHEN lost AND n_hosts % 2 = 0 THEN 'lost' WHEN n_ok = 0 THEN 'failed' ELSE 'complete' END AS state FROM s")
+def job_states(spark, sf_dir):
+    rows = _arrivals(spark, sf_dir).where("line_number > 1 or host = 'node1'").groupBy("path").agg(F.count_if(F.col("line_number") == 1).alias("n_pending"), F.count("*").alias("n_hosts"), F.count_if(F.col("job_id") != "error").alias("n_ok"), (F.min("line_number") > 1).alias("lost"))
+    state = jobs.job_state(F.col("n_pending"), F.col("lost") & (F.col("n_hosts") % 2 == 0), F.col("n_hosts"), F.col("n_ok"), F.lit(None).cast("string"))
+    return rows.select(F.col("path").alias("job_id"), state.alias("state"))
+
+
+@query("SELECT event_type AS job_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 256")
+def evict_by_count(spark, sf_dir):
+    rows = jobs.newest(_arrivals(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "ts"), "event_id"), LIMITS.max_jobs, ["job_id"], [F.col("ts").desc(), F.col("event_id").desc()])
+    return rows.select("job_id", "event_id")
+
+
+@query("SELECT job_id, event_id FROM (SELECT event_type AS job_id, event_id, sum(length(props)) OVER (PARTITION BY event_type ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS s FROM events) WHERE s <= 2000")
+def evict_by_bytes(spark, sf_dir):
+    rows = jobs.newest_within(_arrivals(spark, sf_dir), "bytes", 2000, ["job_id"], [F.col("event_id").desc()])
+    return rows.select("job_id", "event_id")
+
+
+@query(f"WITH {_ARRIVALS}, m AS (SELECT max(arrival_ms) AS now FROM a) SELECT event_id FROM events, m WHERE now - epoch_us(ts) // 1000 < 86400000")
+def unexpired_jobs(spark, sf_dir):
+    rows = _arrivals(spark, sf_dir).withColumn("created_ms", F.col("arrival_ms"))
+    now = rows.agg(F.max("created_ms")).first()[0] or 0
+    return jobs.unexpired(rows, now, 86_400_000).select("event_id")
+
+
+@query(
+    """WITH RECURSIVE a AS (SELECT 'u' || user_id AS request_id, epoch_us(ts) // 1000 AS at_ms FROM events),
+k(request_id, at_ms) AS (SELECT request_id, min(at_ms) FROM a GROUP BY request_id
+  UNION ALL SELECT k.request_id, (SELECT min(a.at_ms) FROM a WHERE a.request_id = k.request_id AND a.at_ms >= k.at_ms + 3600000) FROM k WHERE k.at_ms IS NOT NULL)
+SELECT request_id, at_ms FROM k WHERE at_ms IS NOT NULL"""
+)
+def replay_suppression(spark, sf_dir):
+    return jobs.accepted(_arrivals(spark, sf_dir).selectExpr("'u' || user_id request_id", "arrival_ms at_ms"), 3_600_000)
+
+
+# Registry and backups
+
+_REGISTRY = """g AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN 'twice' ELSE 'node-' || c_custkey END AS host, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'nowhere/x' ELSE 'http://n' || c_custkey || ':1/' END AS local_url,
+'https://r' || c_custkey || '.example' AS routable_url, CAST(c_nationkey AS BIGINT) AS generation, c_custkey % 4 * 1000 AS fetched_at_ms, c_custkey % 6 * 700 AS expires_at_ms, CASE c_custkey % 9 WHEN 0 THEN ' ' WHEN 1 THEN 'refused' END AS last_refresh_error FROM customer)"""
+
+
+def _registry(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").selectExpr(
+        "case when c_custkey % 50 = 0 then 'twice' else 'node-' || c_custkey end host",
+        "case c_custkey % 5 when 0 then '' when 1 then 'nowhere/x' else 'http://n' || c_custkey || ':1/' end local_url",
+        "'https://r' || c_custkey || '.example' routable_url",
+        "array('search', 'read') capabilities",
+        "case when c_custkey % 8 = 0 then array('') else array(c_mktsegment) end roots",
+        "cast(c_nationkey as bigint) generation",
+        "c_custkey % 4 * 1000 fetched_at_ms",
+        "c_custkey % 6 * 700 expires_at_ms",
+        "case c_custkey % 9 when 0 then ' ' when 1 then 'refused' end last_refresh_error",
+        "c_custkey",
+    )
+
+
+@query(f"WITH {_REGISTRY} SELECT host, routable_url, CASE WHEN 1500 <= expires_at_ms AND last_refresh_error IS NULL THEN 'fresh' WHEN 1500 <= expires_at_ms + 500 THEN 'stale_but_usable' ELSE 'expired' END AS freshness FROM g")
+def registry_freshness(spark, sf_dir):
+    fresh = registry.freshness(F.col("fetched_at_ms"), F.col("expires_at_ms"), F.col("last_refresh_error"), F.lit(1500), 500)
+    return _registry(spark, sf_dir).select("host", "routable_url", fresh.alias("freshness"))
+
+
+@query(
+    f"""WITH {_REGISTRY.replace("FROM customer", ", c_custkey FROM customer")}, n AS (SELECT host, count(*) AS n FROM g GROUP BY host)
+SELECT routable_url, concat_ws(',', CASE WHEN NOT regexp_matches(local_url, '^[a-z]+://[^/]+') THEN 'local_url' END, CASE WHEN c_custkey % 8 = 0 THEN 'roots' END, CASE WHEN generation <= 0 THEN 'generation' END, CASE WHEN fetched_at_ms <= 0 THEN 'fetched_at_ms' END,
+CASE WHEN expires_at_ms <= 0 THEN 'expires_at_ms' END, CASE WHEN expires_at_ms < fetched_at_ms THEN 'expires_before_fetched' END, CASE WHEN trim(last_refresh_error) = '' THEN 'last_refresh_error' END, CASE WHEN n > 1 THEN 'duplicate_host' END) AS reasons FROM g JOIN n USING (host)"""
+)
+def registry_validate(spark, sf_dir):
+    return registry.failed_rules(_registry(spark, sf_dir)).select("routable_url", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {_REGISTRY}, o AS (SELECT 'node-' || c_custkey AS host, CAST(c_custkey % 30 AS BIGINT) AS g, c_mktsegment AS r FROM customer WHERE c_custkey % 2 = 0) SELECT n.host, n.routable_url, greatest(n.generation, coalesce(o.g, 0)) AS generation, coalesce(o.r, '') AS roots FROM g n LEFT JOIN o ON o.host = n.host WHERE n.host <> 'twice'")
+def registry_merge(spark, sf_dir):
+    rows = _registry(spark, sf_dir)
+    provided = rows.where("host <> 'twice'").withColumn("roots", F.array().cast("array<string>")).drop("c_custkey")
+    cached = _table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("'node-' || c_custkey host", "array('search') capabilities", "array(c_mktsegment) roots", "cast(c_custkey % 30 as bigint) generation")
+    return registry.merge(cached, provided).select("host", "routable_url", "generation", F.array_join("roots", ",").alias("roots"))
+
+
+@query(f"WITH {_REGISTRY} SELECT routable_url, coalesce(last_refresh_error, 'provider down') AS last_refresh_error FROM g")
+def registry_failed_refresh(spark, sf_dir):
+    return registry.failed_refresh(_registry(spark, sf_dir), "provider down").select("routable_url", "last_refresh_error")
+
+
+@query(
+    """WITH w AS (SELECT 'node-' || c_custkey AS host_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'http://l' || c_custkey END AS l, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE 'http://p' || c_custkey END AS p, CAST(c_nationkey AS BIGINT) AS g FROM customer), m AS (SELECT greatest(1, max(g)) AS g FROM w)
+SELECT host_id AS host, coalesce(l, p) AS local_url, coalesce(p, l) AS routable_url, greatest(w.g, m.g) AS generation, CAST(5000 AS BIGINT) AS fetched_at_ms, CAST(35000 AS BIGINT) AS expires_at_ms FROM w, m WHERE host_id <> 'node-7'"""
+)
+def registry_wire(spark, sf_dir):
+    wire = _table(spark, sf_dir, "customer").selectExpr(
+        "'node-' || c_custkey host_id", "case when c_custkey % 5 = 0 then null else 'http://l' || c_custkey end local_url", "case c_custkey % 3 when 1 then 'http://p' || c_custkey end peer_url", "case c_custkey % 3 when 2 then 'http://p' || c_custkey end advertise_url", "cast(null as string) routable_url", "cast(null as string) endpoint",
+        "cast(null as array<string>) capabilities", "array(c_mktsegment) roots", "cast(c_nationkey as bigint) generation",
+    )
+    return registry.from_wire(wire, "node-7", 5000).select("host", "local_url", "routable_url", "generation", "fetched_at_ms", "expires_at_ms")
+
+
+@query("SELECT greatest(1, max(c_nationkey))::BIGINT AS generation FROM customer")
+def registry_generation(spark, sf_dir):
+    return registry.generation(_table(spark, sf_dir, "customer").selectExpr("cast(c_nationkey as bigint) generation"))
+
+
+@query(f"WITH {_REGISTRY} SELECT routable_url, generation FROM g WHERE generation % 3 = (SELECT min(generation % 3) FROM g WHERE generation % 3 > 0)")
+def registry_preferred(spark, sf_dir):
+    rows = _registry(spark, sf_dir).withColumn("priority", F.col("generation") % 3).where("priority > 0")
+    return registry.preferred(rows).select("routable_url", "generation")
+
+
+def _manifest(spark, sf_dir):
+    """One manifest of all events' kinds, each as a backup."""
+    kinds = _arrivals(spark, sf_dir).groupBy("job_id").agg(F.max("arrival_ms").alias("completed_at_ms"), F.count("*").alias("object_count"), F.sum("bytes").alias("byte_count"))
+    return kinds.agg(F.lit(1).alias("schema_version"), F.max("completed_at_ms").alias("generated_at_ms"), F.collect_list(F.struct("completed_at_ms", "object_count", "byte_count")).alias("backups"))
+
+
+@query("SELECT count(DISTINCT event_type) AS backup_count, count(*) AS object_count, CAST(sum(length(props)) AS BIGINT) AS byte_count, max(epoch_us(ts) // 1000) AS newest_completed_at_ms, max(epoch_us(ts) // 1000) AS generated_at_ms FROM events")
+def backup_rollup(spark, sf_dir):
+    return backup.rollup(_manifest(spark, sf_dir)).select("backup_count", "object_count", "byte_count", "newest_completed_at_ms", "generated_at_ms")
+
+
+@query("SELECT 'stale' AS state, count(DISTINCT event_type) AS backup_count, count(*) AS object_count, CAST(sum(length(props)) AS BIGINT) AS byte_count, max(epoch_us(ts) // 1000) AS newest_completed_at_ms FROM events")
+def backup_availability(spark, sf_dir):
+    at = new_path(spark, "manifest")
+    _manifest(spark, sf_dir).write.json(at)
+    now = spark.read.json(at).first()["generated_at_ms"] + 60_001
+    return backup.availability(spark, at, now, 60_000)
+
+
+# Files and streams
+
+
+@query()
+def binary_scan(spark, sf_dir):
+    return corpora.scan_files(spark, "local", {"tables": sf_dir}, max_bytes=0, with_content=False).select("host", "root", "rel_path", "kind", "size")
+
+
+def _stream(spark, sf_dir, table):
+    """The table as a stream, a file or two a batch; a glob finds it as one file or as a folder."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{sf_dir}/{table}.parquet*")
+
+
+def _streamed_docs(spark, sf_dir):
+    rel = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = _stream(spark, sf_dir, "documents")
+    return rows.select(F.col("source").alias("host"), F.col("lang").alias("root"), F.concat_ws("/", F.lit("/corpus"), "lang", rel).alias("path"), rel.alias("rel_path"), F.lit("file").alias("kind"), F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") * 1000).alias("modified_ms"), "text")
+
+
+@query(f"WITH {CAPPED.format(k=10**9)} SELECT count(*) AS n, CAST(count(*) AS INTEGER) AS last_seq FROM (SELECT 1 FROM h LIMIT 500)")
+def progressive_search_stream(spark, sf_dir):
+    out = new_path(spark, "hits")
+    streaming.progressive_search(_streamed_docs(spark, sf_dir), QUERY, 500, out, new_path(spark, "checkpoint"), once=True).awaitTermination()
+    return spark.read.schema("seq int, host string, path string, line_number int, text string, batch int").parquet(out).agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
+
+
+@query(f"WITH {FILES} SELECT host, count(*) AS n_files FROM f WHERE contains(lower(text), 'tio') GROUP BY host")
+def index_refresh_stream(spark, sf_dir):
+    postings, log = new_path(spark, "postings"), new_path(spark, "log")
+    streaming.refresh_index(_streamed_docs(spark, sf_dir), postings, log, new_path(spark, "checkpoint"), once=True).awaitTermination()
+    return streaming.current_postings(spark, postings).where("gram = 'tio'").groupBy("host").agg(F.count("*").alias("n_files"))
+
+
+@query()
+def replay_suppression_stream(spark, sf_dir):
+    rows = _stream(spark, sf_dir, "events").selectExpr("'u' || user_id request_id", "cast(ts as timestamp) ts")
+    out = new_path(spark, "accepted")
+    writer = streaming.accepted_requests(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "checkpoint"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("request_id string, ts timestamp").parquet(out)
+
+
+@query("SELECT count(*) AS n_hosts, CAST(max(c_nationkey) AS BIGINT) AS generation FROM customer WHERE c_custkey <> 7")
+def registry_refresh_stream(spark, sf_dir):
+    rows = _stream(spark, sf_dir, "customer").selectExpr(
+        "'node-' || c_custkey host_id", "'http://l' || c_custkey local_url", "cast(null as string) peer_url", "cast(null as string) advertise_url", "cast(null as string) routable_url", "cast(null as string) endpoint", "array('search') capabilities", "array(c_mktsegment) roots", "cast(c_nationkey as bigint) generation"
+    )
+    out = new_path(spark, "registry")
+    empty = spark.createDataFrame([], "host string, generation long")
+    query = streaming.refresh_registry(rows, lambda r: registry.from_wire(r, "node-7", 5000), lambda e: registry.failed_refresh(empty.withColumn("last_refresh_error", F.lit(None).cast("string")), e), out, new_path(spark, "checkpoint"), once=True)
+    query.awaitTermination()
+    return spark.read.parquet(out).agg(F.count_distinct("host").alias("n_hosts"), F.max("generation").alias("generation"))

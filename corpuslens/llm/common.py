@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.sources.shared import new_path
+
 #: Entries that a Python worker keeps in a cache of words; then it starts anew.
 CACHE = 600_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local runs, tests)."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        folder = f"file://{(made := tempfile.mkdtemp(prefix='corpuslens-'))}"
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends there and no executor's loss undoes it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

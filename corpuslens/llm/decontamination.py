@@ -7,7 +7,7 @@ of every text whose key equals the item's is verified exactly: the fewest word e
 any passage there. It is a leak at distance <= (1 - similarity) * item words.
 
 A window is keyed only where it can still match: k edits leave an item of n words n - 1 - 2k of its word pairs at least, so windows
-with fewer pairs known from any item of their size's block are no match (a necessary condition, nothing is lost).
+with fewer pairs of the items of their size are no match (a necessary condition, nothing is lost); nor are windows with fewer of one item's.
 
 Items are the stated query set, taken in blocks of BLOCK, so what a pass broadcasts is bounded; every pass reads all texts.
 Words are lower-cased (A-Z) and stripped of punctuation around them.
@@ -63,22 +63,30 @@ def cgk_keys(windows: np.ndarray, seed: int = 17) -> np.ndarray:
     return key
 
 
+def _ends(item: list[int], text: list[int]) -> list[int]:
+    """Fewest edits between the item and a passage of the text that ends before each place: a column of the table as two bit vectors."""
+    at: dict[int, int] = {}
+    for k, word in enumerate(item):
+        at[word] = at.get(word, 0) | 1 << k
+    full, top, distance = (1 << len(item)) - 1, 1 << (len(item) - 1), len(item)
+    up, down, out = full, 0, [distance]  # where the column rises and falls from one item word to the next
+    for word in text:
+        match = at.get(word, 0)
+        zero = (((match & up) + up) ^ up) | match | down
+        rise, fall = down | (full & ~(zero | up)), up & zero
+        distance += bool(rise & top) - bool(fall & top)
+        rise, fall = rise << 1 & full, fall << 1 & full
+        up, down = fall | (full & ~(zero | rise)), rise & zero
+        out.append(distance)
+    return out
+
+
 def edit_distance(item: list[int], text: list[int]) -> tuple[int, int, int]:
-    """(distance, start, end): fewest word edits between the item and any passage of the text; the first best passage."""
-    best = [(0, j) for j in range(len(text) + 1)]  # distance and where the passage starts
-    for i, word in enumerate(item, 1):
-        row = [(i, 0)]
-        for j, other in enumerate(text, 1):
-            d, s = best[j - 1]
-            option = (d + (word != other), s)
-            if best[j][0] + 1 < option[0]:
-                option = (best[j][0] + 1, best[j][1])
-            if row[j - 1][0] + 1 < option[0]:
-                option = (row[j - 1][0] + 1, row[j - 1][1])
-            row.append(option)
-        best = row
-    end = min(range(len(best)), key=lambda j: best[j][0])
-    return best[end][0], best[end][1], end
+    """(distance, start, end): fewest word edits between the item and any passage of the text; the shortest first one that has them."""
+    ends = _ends(item, text)
+    distance = min(ends)
+    end = ends.index(distance)
+    return distance, end - _ends(item[::-1], text[:end][::-1]).index(distance), end
 
 
 class Items:
@@ -100,25 +108,30 @@ class Items:
         self.edits = {n: int((1 - similarity) * n + 1e-9) for n in by_size}
         pairs = [np.array(w[:-1], np.int64) * self.base + np.array(w[1:], np.int64) for _, w in self.items]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        #: Of each item, its pairs among all; the place behind the last one stands for any other pair.
+        self.has = np.zeros((len(self.items), len(self.pairs) + 1), bool)
+        for k, mine in enumerate(pairs):
+            self.has[k, np.searchsorted(self.pairs, mine)] = True
         for n, ks in by_size.items():
             keys = cgk_keys(self.symbols[np.array([self.items[k][1] for k in ks])])
             table = defaultdict(list)
             for row, k in zip(keys.tolist(), ks, strict=True):
                 for key in row:
                     table[key].append(k)
-            self.sizes[n] = {"table": table, "keys": np.unique(keys)}
+            self.sizes[n] = {"table": table, "keys": np.unique(keys), "has": self.has[ks].any(axis=0), "items": ks}
 
     def search(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, words) in texts laid end to end; ids: numbers of words, 0 for unknown ones; ends: where texts end."""
         if not len(ids) or not self.items:
             return []
-        known = np.zeros(len(ids), bool)
+        other = len(self.pairs)
+        pair = np.full(len(ids), other)
         maybe = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
         code = ids[maybe] * self.base + ids[maybe + 1]
-        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        known[maybe[self.pairs[at] == code]] = True
-        known[ends[ends > 0] - 1] = False  # no pair crosses texts
-        sums = np.concatenate([[0], np.cumsum(known)])
+        at = np.minimum(np.searchsorted(self.pairs, code), other - 1)
+        pair[maybe] = np.where(self.pairs[at] == code, at, other)
+        pair[ends[ends > 0] - 1] = other  # no pair crosses texts
+        sums = np.concatenate([[0], np.cumsum(pair < other)])
         text_of = lambda at: np.searchsorted(ends, at, "right")
         seen = set()
         for n, size in self.sizes.items():
@@ -126,14 +139,23 @@ class Items:
                 continue
             need = n - 1 - 2 * self.edits[n]
             start = np.flatnonzero(sums[n - 1 : len(ids)] - sums[: len(ids) - n + 1] >= need)
-            start = start[text_of(start) == text_of(start + n - 1)]
-            for part in np.array_split(start, len(start) // 2000 + 1):
+            for part in np.array_split(start, len(start) // 20_000 + 1):
+                inside = pair[part[:, None] + np.arange(n - 1)]
+                part = part[size["has"][inside].sum(axis=1) >= need]  # pairs of this size's items
+                inside = pair[part[:, None] + np.arange(n - 1)]
+                part = part[np.any([self.has[k][inside].sum(axis=1) >= need for k in size["items"]], axis=0)]  # and of one of them
+                part = part[text_of(part) == text_of(part + n - 1)]
                 if not len(part):
                     continue
-                keys = cgk_keys(self.symbols[ids[part[:, None] + np.arange(n)]])
-                for row, r in zip(*np.nonzero(np.isin(keys, size["keys"])), strict=True):
-                    for k in size["table"][int(keys[row, r])]:
-                        seen.add((int(part[row]), k))
+                windows = ids[part[:, None] + np.arange(n)]
+                _, first, where = np.unique(windows @ mix(np.arange(n)).view(np.int64), return_index=True, return_inverse=True)
+                keys = cgk_keys(self.symbols[windows[first]])[where]  # equal windows have equal keys
+                rows, repeats = np.nonzero(np.isin(keys, size["keys"]))
+                met = {(int(part[row]), k) for row, key in zip(rows.tolist(), keys[rows, repeats].tolist(), strict=True) for k in size["table"][key]}
+                if met:
+                    starts, ks = (np.array(x) for x in zip(*met, strict=True))
+                    enough = self.has[ks[:, None], pair[starts[:, None] + np.arange(n - 1)]].sum(axis=1) >= need
+                    seen.update(zip(starts[enough].tolist(), ks[enough].tolist(), strict=True))
         spans = defaultdict(list)  # neighbouring windows of one text and item are verified at once
         for start, k in sorted(seen):
             n, doc = len(self.items[k][1]), int(text_of(start))

@@ -30,26 +30,40 @@ _encoders: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """The tokenizer, and a cache from the text between two spaces to its ids as little-endian bytes."""
+    """What encodes any text, and two caches of ids as little-endian bytes: of a text, and of a text behind a space."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        ids = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        _encoders[path] = ids, Words(ids)
+        whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+        def parts(text: str) -> bytes:
+            """The tokenizer splits at a single newline between words, and between letters and the marks after them."""
+            head, newline, tail = text.partition("\n")
+            if newline and head and tail and not head[-1].isspace() and not tail[0].isspace():
+                return known(head) + plain[newline] + plain[tail]
+            word = text.rstrip(",.;:!?%$&#*|")
+            if len(word) < len(text) and word[word[:1] == " " :].isalpha():
+                return known(word) + plain[text[len(word) :]]
+            return whole(text)
+
+        known = lambda text: spaced[text[1:]] if text[0] == " " else plain[text]
+
+        plain, spaced = Words(parts), Words(lambda text: parts(f" {text}"))
+        _encoders[path] = whole, plain, spaced
     return _encoders[path]
 
 
 def token_bytes(text: str, path: str, end: int) -> bytes:
     """ids of the text and the end token. Byte-level BPE splits before a space between words, so what is
     between such spaces is encoded by itself, once for each such text; a text with a space amid other white space is encoded whole."""
-    ids, cache = _encoder(path)
+    whole, plain, spaced = _encoder(path)
     if _ODD_SPACE.search(text):
-        body = ids(text)
+        body = whole(text)
     else:
         head, *rest = text.split(" ")
-        body = b"".join([cache[head], *map(cache.__getitem__, [" " + x for x in rest])])
+        body = b"".join([plain[head], *map(spaced.__getitem__, rest)])
     return body + np.array([end], "<u4").tobytes()
 
 

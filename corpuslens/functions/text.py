@@ -20,7 +20,7 @@ def lines_of(text: Column) -> Column:
 
 
 def strip_cr(line: Column) -> Column:
-    return F.regexp_replace(line, "\r$", "")
+    return F.regexp_replace(line, r"\r\z", "")
 
 
 def strip_dot(path: Column) -> Column:

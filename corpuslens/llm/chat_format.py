@@ -43,7 +43,8 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     now = stage(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("node")).alias("root"), F.lit(1).alias("steps"), F.col("score").alias("total")), "paths")
     while now.where("up is not null").limit(1).count():
         far = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
-        now = stage(now.join(far, "up", "left").select("node", F.col("up2").alias("up"), F.coalesce("root", "root2").alias("root"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), "paths")
+        going = now.where("up is not null").join(far, "up", "left").select("node", F.col("up2").alias("up"), F.coalesce("root", "root2").alias("root"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
+        now = stage(going.unionByName(now.where("up is null")), "paths")  # rows at their root take no part in later joins
     leaves = now.join(nodes.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
     rank = F.row_number().over(Window.partitionBy("root").orderBy((F.col("total") / F.col("steps")).desc(), F.col("steps").desc(), "node"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= keep)

@@ -3,9 +3,9 @@
 A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits (the last one padded to 23). Every segment
 is decoded to the codewords of the binary Golay code within distance 4: one when its nearest codeword is
 at distance 2 at most, else six. Two segments that differ in two bits at most always have a codeword in
-common. Four errors leave two of the three segments with two errors together at most, so two fingerprints
-within four bits have an equal key for at least one pair of segments. Keys bring candidates together, each
-is verified on all 64 bits.
+common. Three errors or more in two of the three segments take six, so two fingerprints within five bits
+have an equal key for at least one pair of segments. Keys bring candidates together, each is verified on all
+64 bits.
 
 Equal fingerprints are one node. Within a key's run a breadth-first search emits a spanning forest of the
 verified links, which is less than one row per member however dense the run is; runs longer than RUN are
@@ -30,6 +30,8 @@ from corpuslens.llm.common import batches, connected_components, raw, stage
 
 SEED = 42
 BITS = 4
+#: The most differing bits for which the keys are complete.
+MOST_BITS = 5
 RUN = 16_384
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code.
@@ -171,9 +173,9 @@ def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def link_fingerprints(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(node, component) of the distinct fingerprints `fp` that have a link at `bits` <= 4 differing bits."""
-    if bits > 4:
-        raise ValueError("the segments' keys are complete up to 4 bits")
+    """(node, component) of the distinct fingerprints `fp` that have a link at `bits` <= MOST_BITS differing bits."""
+    if bits > MOST_BITS:
+        raise ValueError(f"the segments' keys are complete up to {MOST_BITS} bits")
     keyed = stage(fps.select("fp").mapInArrow(_emit, "key int, fp long"), "keys")
     long = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > RUN), "long")
     plain = keyed.join(long, "key", "left_anti").select(F.col("key").cast("long").alias("run"), "fp")

@@ -312,12 +312,13 @@ def plain_fingerprint(text, n):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_fuzzy_keys_meet_within_four_bits():
+@pytest.mark.parametrize("bits", [4, 5])
+def test_fuzzy_keys_meet_within_most_bits(bits):
     r = np.random.default_rng(10)
     base = r.integers(0, 1 << 63, 400, dtype=np.uint64)
     for a in base.tolist():
         b = a
-        for k in r.choice(64, 4, replace=False):
+        for k in r.choice(64, bits, replace=False):
             b ^= 1 << int(k)
         rows, keys = simhash_dedup.fuzzy_keys(np.array([a, b], np.uint64))
         assert set(keys[rows == 0]) & set(keys[rows == 1])

@@ -193,6 +193,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFra
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     labels = nodes.join(link_fingerprints(nodes, bits), F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     labels = stage(labels, "labels")
-    roots = labels.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Staged, so that both sides of the join come straight from a shuffle, where AQE splits a hot root.
+    roots = stage(labels.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
     known = stage(labels.join(roots, "root").select("fp", "component_id"), "known")
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

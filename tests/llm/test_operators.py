@@ -401,3 +401,26 @@ def test_lm_scores(spark):
             assert got[d][name] == pytest.approx(total / len(ws), rel=1e-5)
     assert lm_scoring.score_lm(frame(spark, []), frame(spark, [], "doc_id long")).count() == 0
     assert lm_scoring.score_lm(frame(spark, rows), frame(spark, [], "doc_id long")).count() == len(rows)
+
+
+def test_lm_scores_count_rare_words_and_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK", 3_000)
+    monkeypatch.setattr(lm_scoring, "BUCKET", 10_000)
+    r = random.Random(4)
+    rows = [(k, " ".join(r.choice(["the", "of", "and", f"rare{r.randrange(9000)}"]) for _ in range(r.randrange(300)))) for k in range(400)]  # most words are under 1 / 20,000
+    target = {d for d, _ in rows if d % 3 == 0}
+    words, pairs, heads = ([Counter(), Counter()] for _ in range(3))
+    for d, t in rows:
+        ws = t.split()
+        for k in (0, 1):
+            if k or d in target:
+                words[k].update(ws)
+                pairs[k].update(zip(["<s>", *ws], ws, strict=False))
+                heads[k].update(["<s>", *ws][:-1] if ws else [])
+    got = {x["doc_id"]: x for x in lm_scoring.score_lm(frame(spark, rows), frame(spark, [(d,) for d in target], "doc_id long")).collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        ws = t.split()
+        for k, name in enumerate(("target_entropy", "background_entropy")):
+            p = [0.4 * (words[k][w] + 1) / (words[k].total() + len(words[1]) + 2) + (0.6 * pairs[k][h, w] / heads[k][h] if heads[k][h] else 0) for h, w in zip(["<s>", *ws], ws, strict=False)]
+            assert got[d][name] == pytest.approx(-sum(map(math.log, p)) / max(len(ws), 1), rel=1e-6)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -70,8 +72,27 @@ def progressive_search(stream: DataFrame, search: Search, limit: int, out: str,
 
 
 def accepted_requests(requests: DataFrame, window: str = "60 seconds") -> DataFrame:
-    """Requests (request_id, ts) without repeats within the window, with state kept no longer."""
-    return requests.withWatermark("ts", window).dropDuplicatesWithinWatermark(["request_id"])
+    """Requests (request_id, ts) without repeats less than the window from one accepted; a refused one doesn't count.
+
+    The state of an id is the times accepted, however they are dealt over batches: nothing is dropped as late. Where an id's times
+    come in order, batch by batch, these are the rows of jobs.accepted; an earlier one that comes later must keep clear of those
+    accepted on both sides. Ids are given by clients for single requests, so a state is an id's repeats only. Null times are dropped.
+    """
+    width = pd.Timedelta(window) // pd.Timedelta(microseconds=1)
+
+    def fold(key, batches, state):
+        kept, new = list(state.get[0]) if state.exists else [], []
+        for t in sorted(t for pdf in batches for t in pdf["at"].tolist()):
+            k = bisect_left(kept, t)
+            if (k == 0 or t - kept[k - 1] >= width) and (k == len(kept) or kept[k] - t >= width):
+                kept.insert(k, t)
+                new.append(t)
+        state.update((kept,))
+        yield pd.DataFrame({"request_id": pd.Series([key[0]] * len(new), dtype=object), "at": pd.Series(new, dtype="int64")})
+
+    rows = requests.where("ts is not null").select("request_id", F.unix_micros("ts").alias("at"))
+    out = rows.groupBy("request_id").applyInPandasWithState(fold, "request_id string, at long", "times array<long>", "append", "NoTimeout")
+    return out.select("request_id", F.timestamp_micros("at").alias("ts"))
 
 
 def refresh_registry(stream: DataFrame, merge: Callable[[DataFrame], DataFrame], fallback: Callable[[str], DataFrame], out: str, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -214,3 +214,13 @@ def test_streamed_requests_are_deduplicated(spark, tmp_path):
     query = rows.writeStream.format("memory").queryName("accepted").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r["request_id"] for r in spark.table("accepted").collect()) == ["q", "r"]
+
+
+def test_streamed_requests_are_those_of_the_batch(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("'u' || user_id % 3 request_id", "cast(ts as timestamp) ts")
+    expected = {(r["request_id"], r["at_ms"]) for r in jobs.accepted(events.selectExpr("request_id", "unix_millis(ts) at_ms"), 60_000).collect()}
+    events.orderBy("ts").coalesce(1).write.option("maxRecordsPerFile", 400).parquet(f"file://{tmp_path}/in")  # one after another
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    streaming.accepted_requests(rows).writeStream.format("memory").queryName("accepted_all").trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.sql("select request_id, unix_millis(ts) from accepted_all").collect()]
+    assert set(got) == expected and len(got) == len(expected) > 3

@@ -8,11 +8,13 @@ any passage there. It is a leak at distance <= (1 - similarity) * item words.
 
 A window is keyed only where it can still match: k edits leave an item of n words n - 1 - 2k of its word pairs at least, so windows
 with fewer pairs of the items of their size are no match (a necessary condition, nothing is lost); nor are windows with fewer of one item's.
+A text that is shorter than the item, by the edits at most, is one window, verified without keys. Items under LEAST words, which
+no edit is allowed, are looked up as they are.
 
 Items are the stated query set, taken in blocks of BLOCK, so what a pass broadcasts is bounded; every pass reads all texts.
 Words are lower-cased (A-Z) and stripped of punctuation around them.
 
-Rows: null or empty text: no leak. Null doc_id: found with a null id. Items with null id or text, or under five words: never found.
+Rows: null or empty text: no leak. Null doc_id: found with a null id. Items with null id or text, or without words: never found.
 Repeated documents each come back; repeated items give one row each. Other columns are ignored.
 """
 
@@ -95,10 +97,18 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], similarity: float):
         self.words: dict[bytes, int] = {}
         self.items = []
+        #: Of items under LEAST words: ids by size and words.
+        self.short: dict[int, dict] = defaultdict(lambda: defaultdict(list))
         for item_id, text in rows:
             words = [normal(w) for w in text.encode().split()]
+            if not any(words):
+                continue
+            numbers = [self.words.setdefault(w, len(self.words) + 1) for w in words]
             if len(words) >= LEAST:
-                self.items.append((item_id, [self.words.setdefault(w, len(self.words) + 1) for w in words]))
+                self.items.append((item_id, numbers))
+            else:
+                self.short[len(words)][tuple(numbers)].append(item_id)
+        self.short = {n: dict(found) for n, found in self.short.items()}
         self.symbols = np.array([0, *(_symbol(w) for w in self.words)], np.uint64)
         self.base = len(self.words) + 1
         self.sizes: dict[int, dict] = {}
@@ -122,8 +132,26 @@ class Items:
 
     def search(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, words) in texts laid end to end; ids: numbers of words, 0 for unknown ones; ends: where texts end."""
-        if not len(ids) or not self.items:
+        if not len(ids):
             return []
+        return self._short(ids, ends) + (self._long(ids, ends) if self.items else [])
+
+    def _short(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Exact passages of the items under LEAST words, the first one in each text."""
+        out: dict[tuple[int, int, tuple], int] = {}
+        for n, items in self.short.items():
+            wanted, by = np.array(list(items), np.int64), mix(np.arange(1, n + 1)).view(np.int64)
+            start = np.flatnonzero(np.isin(ids[: max(len(ids) - n + 1, 0)], wanted[:, 0]))
+            doc = np.searchsorted(ends, start, "right")
+            start, doc = start[start + n <= ends[doc]], doc[start + n <= ends[doc]]
+            windows = ids[start[:, None] + np.arange(n)]
+            here = np.isin(windows @ by, wanted @ by)
+            for at, d, words in zip(start[here].tolist(), doc[here].tolist(), windows[here].tolist(), strict=True):
+                if tuple(words) in items:
+                    out.setdefault((d, n, tuple(words)), at)
+        return [(d, item_id, 0, at - (int(ends[d - 1]) if d else 0), n) for (d, n, words), at in out.items() for item_id in self.short[n][words]]
+
+    def _long(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         other = len(self.pairs)
         pair = np.full(len(ids), other)
         maybe = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
@@ -134,10 +162,15 @@ class Items:
         sums = np.concatenate([[0], np.cumsum(pair < other)])
         text_of = lambda at: np.searchsorted(ends, at, "right")
         seen = set()
+        lengths = np.diff(ends, prepend=0)
         for n, size in self.sizes.items():
+            need = n - 1 - 2 * self.edits[n]
+            for doc in np.flatnonzero((lengths < n) & (lengths >= n - self.edits[n])).tolist():
+                first, last = int(ends[doc] - lengths[doc]), int(ends[doc]) - 1
+                if sums[last] - sums[first] >= need:
+                    seen.update((first, k) for k in size["items"] if self.has[k][pair[first:last]].sum() >= need)
             if len(ids) < n:
                 continue
-            need = n - 1 - 2 * self.edits[n]
             start = np.flatnonzero(sums[n - 1 : len(ids)] - sums[: len(ids) - n + 1] >= need)
             for part in np.array_split(start, len(start) // 20_000 + 1):
                 inside = pair[part[:, None] + np.arange(n - 1)]

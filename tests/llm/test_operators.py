@@ -168,6 +168,27 @@ def test_leaks_without_items(spark):
     assert decontamination.find_leaks(frame(spark, []), frame(spark, [(1, "a b c d e f")], "item_id long, text string")).count() == 0
 
 
+def test_leaks_that_are_a_shortened_or_short_item_alone(spark):
+    r = random.Random(8)
+    items = [(k, " ".join(f"w{r.randrange(500)}" for _ in range(n))) for k, n in enumerate([5, 9, 10, 25, 40, 40, 60])] + [(90, "Two words"), (91, "one"), (92, "one"), (93, "- ..."), (94, "")]
+    docs, expected = [], set()
+    for k, text in items[:7]:
+        words = text.split()
+        for fewer in range(len(words) // 5 + 2):
+            gone = set(r.sample(range(len(words)), fewer))
+            docs.append((len(docs), " ".join(w for j, w in enumerate(words) if j not in gone)))
+            distance = decontamination.edit_distance([hash(w) for w in words], [hash(w) for w in docs[-1][1].split()])[0]
+            if distance <= len(words) // 5:
+                expected.add((docs[-1][0], k, distance))
+    docs += [(1000, "here are two WORDS, - yes"), (1001, "two"), (1002, "words two"), (1003, "no one."), (1004, "... two"), (1005, "words")]
+    expected |= {(1000, 90, 0), (1003, 91, 0), (1003, 92, 0)}
+    out = decontamination.find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"], x["distance"]) for x in out} == expected and len(out) == len(expected)
+    assert {(x["doc_id"], x["start_word"], x["n_words"]) for x in out if x["doc_id"] >= 1000} == {(1000, 2, 2), (1003, 1, 1)}
+    few = decontamination.find_leaks(frame(spark, docs), frame(spark, items[7:], "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in few} == {(1000, 90), (1003, 91), (1003, 92)}
+
+
 # 3 embedding near-dedup
 
 

@@ -10,8 +10,8 @@ A pair is counted in the first pass in which its two codes share the prefix, whi
 passes unite without exchanging pairs. Verified links leave a task as counts and as one row per vector to
 the smallest vector of its component there, never as pairs. Equal vectors are one node with a count.
 
-Rows: null label, null, zero or odd-sized vectors, and such with null or non-finite components, link with
-nothing (n_links 0, their own component). Null vec_id: likewise, component null. Repeated rows: each row
+Rows: a vector is compared with those of its label and its own size. Null label, null, empty or zero vectors,
+and such with null or non-finite components, link with nothing (n_links 0, their own component). Null vec_id: likewise, component null. Repeated rows: each row
 comes back and counts as another vector. Other columns are ignored.
 """
 
@@ -38,15 +38,17 @@ def plan_passes(rows: int, threshold: float, recall: float = RECALL, window: int
     return bits, 1 if agree >= recall else math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
-def _codes(bits: int, passes: int, size: int, seed: int):
-    planes = np.random.default_rng(seed).standard_normal((size, passes * bits))
-
+def _codes(bits: int, passes: int, seed: int):
     def run(it):
-        for pdf in it:
-            x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
-            signs = (x @ planes > 0).reshape(len(x), passes, bits)
-            pdf["codes"] = list((signs @ (1 << np.arange(bits, dtype=np.int64)[::-1])).astype(np.int64))
-            yield pdf[["node", "label", "copies", "v", "codes"]]
+        planes: dict[int, np.ndarray] = {}
+        for whole in it:
+            for size, pdf in whole.groupby(whole["v"].map(len)):
+                if size not in planes:
+                    planes[size] = np.random.default_rng(seed).standard_normal((size, passes * bits))
+                x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+                signs = (x @ planes[size] > 0).reshape(len(x), passes, bits)
+                pdf = pdf.assign(codes=list((signs @ (1 << np.arange(bits, dtype=np.int64)[::-1])).astype(np.int64)))
+                yield pdf[["node", "label", "copies", "v", "codes"]]
 
     return run
 
@@ -81,16 +83,16 @@ def _compare(threshold: float):
 def embedding_groups(vectors: DataFrame, threshold: float = 0.98, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string"))
+    rows = rows.withColumn("label", F.concat(F.size("e"), F.lit(" "), "label"))  # vectors of different sizes are never compared
     norm = F.expr("sqrt(aggregate(e, 0D, (s, x) -> s + x * x))")
-    sizes = rows.where("size(e) > 0").agg(F.max(F.size("e"))).first()[0] or 1
-    good = F.expr(f"vec_id is not null and label is not null and size(e) = {sizes} and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x <> 0)")
+    good = F.expr("vec_id is not null and label is not null and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x <> 0)")
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     valid = rows.where("good").groupBy("label", "e").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     unit = valid.withColumn("big", F.expr("array_max(transform(e, x -> abs(x)))")).withColumn("e", F.expr("transform(e, x -> x / big)"))
     unit = stage(unit.withColumn("norm", norm).select("node", "label", "copies", F.expr("transform(e, x -> x / norm)").alias("v")), "unit")
     per_label = unit.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, passes = plan_passes(per_label * 8, threshold)  # runs of about WINDOW / 8 rows
-    coded = unit.mapInPandas(_codes(bits, passes, sizes, seed), "node long, label string, copies long, v array<double>, codes array<long>")
+    coded = unit.mapInPandas(_codes(bits, passes, seed), "node long, label string, copies long, v array<double>, codes array<long>")
     turns = stage(coded.select("*", F.posexplode("codes").alias("turn", "prefix")), "turns")
     runs = turns.groupBy("label", "turn", "prefix").agg(F.ceil(F.count("*") / WINDOW).cast("int").alias("blocks")).where("blocks > 1")
     dealt = turns.join(stage(runs, "runs"), ["label", "turn", "prefix"], "left").na.fill(1, ["blocks"])

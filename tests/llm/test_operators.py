@@ -220,6 +220,12 @@ def test_vectors(spark, monkeypatch, window):
     same_rows([tuple(x) for x in out.collect()], brute_vectors(rows))
 
 
+def test_a_longer_vector_leaves_the_others_links(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.01], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0, 0.0], 1), (5, [1.0, 0.01, 0.0], 1), (6, [float("nan")] * 9, 1), (7, [1.0, 0.0], 2)]
+    out = embedding_dedup.embedding_groups(frame(spark, rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(map(tuple, out)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 0, 7, True)]
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.embedding_groups(frame(spark, [], "vec_id long, embedding array<float>, label int")).count() == 0
 

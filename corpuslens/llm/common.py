@@ -90,11 +90,16 @@ def word_hashes(text: bytes) -> np.ndarray:
     return Rolling(_BYTE[data]).span(starts, ends)
 
 
-def batches(it: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in slices of `rows` at most, so that long texts don't pile up as Python objects."""
+def batches(it: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of `rows` rows and about `size` bytes at most (a row is never cut), so that long texts don't pile up as Python objects."""
     for batch in it:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).get_total_buffer_size() > size and batch.slice(at, n).nbytes > size:
+                n = (n + 1) // 2
+            yield batch.slice(at, n)
+            at += n
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:

@@ -8,81 +8,148 @@ which uses up a length each time, so there are few patterns. Every piece then fi
 its number within its length: numbering runs in Spark within hashed shares of each length.
 
 Rows: null or empty text: the end token alone. Null doc_id: packed like others. Repeated rows: each is packed;
-their rows differ in sequence_id or offset only. Other columns are ignored. Empty table: no sequences.
+their rows differ in sequence_id or offset only. Ties (pieces of one length): by doc_id, piece. Very long texts: whole, a slice of
+their own. Other columns are ignored. Empty table: no sequences.
 """
 
 from __future__ import annotations
 
-import re
+import functools
 import zlib
 from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import Words, batches, stage
+from corpuslens.llm.common import batches, stage
 
-_ODD_SPACE = re.compile(r"\s \s|^ \s")
-_encoders: dict[str, tuple] = {}
+_SPACE = r"[\s\pZ\x0B\x1C-\x1F\x{85}]"
+_SOLID = r"[^\s\pZ\x0B\x1C-\x1F\x{85}]"
+#: A space amid other white space, where splitting at spaces would change the tokens; NUL marks places to split at.
+_ODD = rf"{_SPACE} {_SPACE}|^ {_SPACE}|\x00"
+_LATIN = r"[a-zA-Z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
+_MARK = r"[!-&(-/:-@\[-`{-~]"
+#: Bytes of text that are encoded at once, and of those the ones that one call gets.
+SLICE, ROW, CALL = 16_000_000, 16_000, 64
 
 
-def _encoder(path: str):
-    """What encodes any text, and two caches of ids as little-endian bytes: of a text, and of a text behind a space."""
-    if path not in _encoders:
-        from tokenizers import Tokenizer
+def _parts(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """A list array's values, and where its rows begin and end among them."""
+    ends = np.asarray(lists.offsets).astype(np.int64)
+    return lists.flatten(), ends - ends[0]
+
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+def _join(ids: pa.Array, codes: pa.Array, ends: np.ndarray) -> pa.Array:
+    """ids[codes], the bytes of each row's put in a row."""
+    taken = ids.take(codes)
+    offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + taken.offset + 1)[taken.offset :][ends] if len(taken) else np.zeros(len(ends), np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), taken.buffers()[2] or pa.py_buffer(b"")])
 
-        def parts(text: str) -> bytes:
-            """The tokenizer splits at a single newline between words, and between letters and the marks after them."""
-            head, newline, tail = text.partition("\n")
-            if newline and head and tail and not head[-1].isspace() and not tail[0].isspace():
-                return known(head) + plain[newline] + plain[tail]
-            word = text.rstrip(",.;:!?%$&#*|")
-            if len(word) < len(text) and word[word[:1] == " " :].isalpha():
-                return known(word) + plain[text[len(word) :]]
-            return whole(text)
 
-        known = lambda text: spaced[text[1:]] if text[0] == " " else plain[text]
+class Encoder:
+    """ids of texts, as little-endian bytes.
 
-        plain, spaced = Words(parts), Words(lambda text: parts(f" {text}"))
-        _encoders[path] = whole, plain, spaced
-    return _encoders[path]
+    Byte-level BPE splits before a space between words, between letters and the marks after them, and at a single newline
+    between words. So a text's ids are those of such pieces in a row, and each distinct piece of a slice of texts is encoded once.
+    Texts with a space amid other white space, or with an added token in them, are encoded whole.
+    """
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def token_bytes(text: str, path: str, end: int) -> bytes:
-    """ids of the text and the end token. Byte-level BPE splits before a space between words, so what is
-    between such spaces is encoded by itself, once for each such text; a text with a space amid other white space is encoded whole."""
-    whole, plain, spaced = _encoder(path)
-    if _ODD_SPACE.search(text):
-        body = whole(text)
-    else:
-        head, *rest = text.split(" ")
-        body = b"".join([plain[head], *map(spaced.__getitem__, rest)])
-    return body + np.array([end], "<u4").tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.width[k] = len(token)  # a letter stands for a byte
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _row(self, pieces: pa.Array) -> pa.Array:
+        """ids of pieces that begin with one space or newline at most and hold no other white space at their ends: encoded in a row, cut by their bytes."""
+        bare = np.asarray(pc.invert(pc.match_substring_regex(pieces, "^[ \n]")).cast(pa.uint8())).astype(bool)
+        pieces = pc.binary_join_element_wise(pc.if_else(pa.array(bare), "\n", ""), pieces, "").cast(pa.large_string())
+        ends = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1)
+        data = memoryview(pieces.buffers()[2] or b"")
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], ROW)), len(pieces)))
+        rows = [str(data[ends[i] : ends[j]], "utf-8") for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        found = [np.array(e.ids, "<u4") for k in range(0, len(rows), CALL) for e in self.tokenizer.encode_batch_fast(rows[k : k + CALL], add_special_tokens=False)]
+        ids = np.concatenate([np.empty(0, "<u4"), *found])
+        reached = np.cumsum(self.width[ids])
+        at = np.searchsorted(reached, ends[1:])
+        if len(pieces) and (at[-1] != len(ids) - 1 or (reached[at] != ends[1:]).any()):
+            raise ValueError("the tokenizer does not split between words")
+        first = np.concatenate([[0], at + 1])
+        kept = np.ones(len(ids), bool)
+        kept[first[:-1][bare]] = False  # the newline put in front
+        offsets = 4 * (first - np.concatenate([[0], np.cumsum(bare)]))
+        return pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids[kept]))])
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        plain = pc.match_substring_regex(pieces, rf"(?s)^[ \n]?{_SOLID}(.*{_SOLID})?$")
+        other = pieces.filter(pc.invert(plain)).to_pylist()
+        ids = pa.concat_arrays([self._row(pieces.filter(plain)), pa.array([self.whole(x) for x in other], pa.large_binary())])
+        mask = np.asarray(plain.cast(pa.uint8())).astype(bool)
+        place = np.where(mask, np.cumsum(mask) - 1, mask.sum() + np.cumsum(~mask) - 1)
+        return ids.take(pa.array(place))
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        words = pc.replace_substring_regex(words, f"({_LATIN})({_MARK})", "\\1\x00\\2")
+        words = pc.replace_substring_regex(words, f"({_SOLID})\n({_SOLID})", "\\1\x00\n\\2")
+        pieces, ends = _parts(pc.split_pattern(words, "\0"))
+        coded = pieces.dictionary_encode()
+        return _join(self._pieces(coded.dictionary), coded.indices, ends)
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """ids of each text (string; a null is empty)."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, _ODD)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        words, ends = _parts(pc.split_pattern(texts.filter(pc.invert(odd)), " "))
+        coded = words.dictionary_encode()
+        codes, first = np.asarray(coded.indices).astype(np.int64), ends[:-1]  # a text's first word has no space before it
+        heads = coded.dictionary.take(pa.array(codes[first])).dictionary_encode()
+        codes[first] = len(coded.dictionary) + np.asarray(heads.indices)
+        spaced = pc.binary_join_element_wise("", coded.dictionary, " ")
+        ids = _join(self._words(pa.concat_arrays([spaced, heads.dictionary])), pa.array(codes), ends)
+        plain = iter(ids.to_pylist())
+        return [self.whole(t.as_py()) if o else next(plain) for t, o in zip(texts, odd.to_pylist(), strict=True)]
+
+
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _pieces(path: str, size: int, end: int, with_ids: bool):
+    last = np.array([end], "<u4").tobytes()
+
     def run(it):
-        for batch in batches(it, 500):
-            rows, out = [], {k: [] for k in ("piece", "start", "length", "ids_crc32", "ids")}
-            for k, text in enumerate(batch["text"].to_pylist()):
-                data = token_bytes(text or "", path, end)
+        for batch in batches(it, 20_000, SLICE):
+            doc, piece, starts, lengths, crcs, ids = [], [], [], [], [], []
+            for k, data in enumerate(_encoder(path).texts(batch["text"])):
+                data += last
                 n = len(data) // 4
                 first = (n - 1) % size + 1
-                for piece, start in enumerate([0, *range(first, n, size)]):
-                    stop = first if not piece else start + size
+                for number, start in enumerate([0, *range(first, n, size)]):
+                    stop = start + size if number else first
                     part = data[4 * start : 4 * stop]
-                    rows.append(k)
-                    for name, value in (("piece", piece), ("start", start), ("length", stop - start), ("ids_crc32", zlib.crc32(part)), ("ids", part if with_ids else None)):
-                        out[name].append(value)
-            columns = [batch["doc_id"].take(pa.array(rows, pa.int32())), pa.array(out["piece"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32"))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(out["ids"], pa.binary())] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                    doc.append(k)
+                    piece.append(number)
+                    starts.append(start)
+                    lengths.append(stop - start)
+                    crcs.append(zlib.crc32(part))
+                    if with_ids:
+                        ids.append(part)
+            columns = [batch["doc_id"].take(pa.array(doc, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     return run
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -252,7 +253,6 @@ def check_packed(rows, got, size=1024):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     expected = Counter()
     for d, t in rows:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -280,6 +280,25 @@ def test_packing(spark, sf_dir):
     assert packing.pack(frame(spark, []), TOKENIZER).count() == 0
 
 
+def test_ids_are_those_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder, r = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER), random.Random(12)
+    letters = [*"abzAB'st 1.,!?-\n\n\t  é\x85\xa0　ñ漢🙂<|>\\\0\x1c", "<|endoftext|>", "  ", "'s", " the", "\r\n", ",", ". "]
+    made = ["".join(r.choices(letters, k=r.randrange(25))) for _ in range(20_000)] + [None, "", " ", "\n", "word " * 400_000, "x" * 300_000]
+    for k, (text, ids) in enumerate(zip(made, encoder.texts(pa.array(made)), strict=True)):
+        assert ids == np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes(), (k, text)
+    assert encoder.texts(pa.array([], pa.string())) == []
+    assert encoder.texts(pa.array(["a", "b c", "d"]).slice(1, 1)) == encoder.texts(pa.array(["b c"]))
+
+
+def test_batches_are_bounded_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "text": ["x" * 1000] * 49 + ["y" * 100_000]})
+    got = list(common.batches([batch, batch.slice(0, 0)], 30, 10_000))
+    assert pa.Table.from_batches(got).to_pydict() == batch.to_pydict()
+    assert all(b.num_rows == 1 or (b.nbytes <= 11_000 and b.num_rows <= 30) for b in got)
+
+
 def test_plan_uses_every_piece_once():
     r = random.Random(8)
     for _ in range(20):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.sources.shared import new_path
+from corpuslens.sources.shared import delete_path, new_path
 
 #: Entries that a Python worker keeps in a cache of words; then it starts anew.
 CACHE = 600_000
@@ -20,7 +20,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for df in tables:
+        delete_path(df.sparkSession, df.staged_at)
 
 
 def raw(column: pa.Array) -> list[bytes]:
@@ -102,28 +110,29 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 16_000_0
             at += n
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of `edges` (a, b: long); component is the smallest node reachable.
 
     Alternating large-star and small-star rounds, each a few joins and a staged table; a round at most
-    keeps the number of edges. Loops and repeated edges do no harm; nodes without edges don't come back.
+    keeps the number of edges, and rounds go on until nothing changes (about the logarithm of the longest way). Each node's least
+    neighbour is staged before it joins the edges, so that both sides come straight from a shuffle, where AQE splits a hub's.
+    Loops and repeated edges do no harm; nodes without edges don't come back.
     """
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
     now = stage(edges.select(hi, lo).where("hi <> lo").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
         before = mark
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = large.where("hi <> lo").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = stage(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct(), "large")
+        lowest = stage(large.groupBy("hi").agg(F.min("lo").alias("m")), "lowest")
+        small = large.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        new = stage(small.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        unstage(now, least, large, lowest)
+        now = new
     roots = now.select(F.col("lo").alias("node")).distinct()
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

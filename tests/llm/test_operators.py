@@ -195,9 +195,17 @@ def test_leaks_that_are_a_shortened_or_short_item_alone(spark):
 
 def brute_vectors(rows):
     def good(e):
-        return e is not None and len(e) == 16 and all(x is not None and math.isfinite(x) for x in e) and any(e)
+        return e is not None and all(x is not None and math.isfinite(x) for x in e) and any(e)
 
-    ok = [k for k, (i, e, label) in enumerate(rows) if i is not None and label is not None and good(e)]
+    out = {}
+    for size in {len(e) for _, e, _ in rows if e}:
+        out |= brute_vectors_of(rows, [k for k, (i, e, label) in enumerate(rows) if i is not None and label is not None and good(e) and len(e) == size])
+    return [out.get(k, (i, 0, i, True)) for k, (i, _, _) in enumerate(rows)]
+
+
+def brute_vectors_of(rows, ok):
+    if not ok:
+        return {}
     x = np.array([rows[k][1] for k in ok], np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1)[:, None]
     labels = np.array([rows[k][2] for k in ok])
@@ -205,8 +213,7 @@ def brute_vectors(rows):
     np.fill_diagonal(close, False)
     ids = [rows[k][0] for k in ok]
     part = components(set(ids), [(ids[a], ids[b]) for a, b in zip(*np.nonzero(close), strict=True)])
-    out = {k: (rows[k][0], int(n), part[rows[k][0]], rows[k][0] == part[rows[k][0]]) for k, n in zip(ok, close.sum(axis=1), strict=True)}
-    return [out.get(k, (i, 0, i, True)) for k, (i, _, _) in enumerate(rows)]
+    return {k: (rows[k][0], int(n), part[rows[k][0]], rows[k][0] == part[rows[k][0]]) for k, n in zip(ok, close.sum(axis=1), strict=True)}
 
 
 @pytest.mark.parametrize("window", [1024, 16])
@@ -215,12 +222,32 @@ def test_vectors(spark, monkeypatch, window):
     r = np.random.default_rng(6)
     centres = r.standard_normal((30, 16))
     rows = [(k, (centres[r.integers(30)] + r.normal(0, s, 16)).astype(np.float32).tolist(), int(r.integers(2))) for k, s in enumerate(r.choice([0.05, 0.1, 0.3], 400))]
-    rows += [(1000 + k, rows[0][1], rows[0][2]) for k in range(40)]
+    rows += [(1000 + k, rows[0][1], rows[0][2]) for k in range(40)]  # equal ones
+    rows += [(3000 + k, (centres[0] + r.normal(0, 0.03, 16)).astype(np.float32).tolist(), 1) for k in range(100)]  # a run longer than a window of 16
+    rows += [(4000 + k, (centres[k % 3][:9] + r.normal(0, 0.05, 9)).astype(np.float32).tolist(), 1) for k in range(60)]  # of another size
     rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, [None, *[1.0] * 15], 1), (2004, [1.0] * 3, 1), (2005, rows[0][1], None), (None, rows[0][1], 0), (2006, [], 0), (2007, [float("inf"), *[1.0] * 15], 0), (2008, [2 * x for x in rows[0][1]], rows[0][2])]
-    out = embedding_dedup.embedding_groups(frame(spark, rows, "vec_id long, embedding array<float>, label int"))
+    out = embedding_dedup.embedding_groups(frame(spark, [(*x, "clash", -1) for x in rows], "vec_id long, embedding array<float>, label int, node string, rank int"))
     same_rows([tuple(x) for x in out.collect()], brute_vectors(rows))
 
 
+def test_passes_reach_the_recall_at_the_threshold():
+    """Pairs exactly at the threshold among many others, by sorting and windows alone: the share that some pass brings together."""
+    r, size, n, window = np.random.default_rng(7), 32, 4000, 64
+    x = r.standard_normal((n, size))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = r.standard_normal((n, size))
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    bits, passes = embedding_dedup.plan_passes(2 * n, 0.98, 0.99, window)
+    both, found = np.concatenate([x, y]), np.zeros(n, bool)
+    for _ in range(passes):
+        signs = both @ r.standard_normal((size, embedding_dedup.HASHES)) > 0
+        codes = signs @ (1 << np.arange(embedding_dedup.HASHES)[::-1])
+        rank, prefix = np.argsort(np.argsort(codes, kind="stable")), codes >> (embedding_dedup.HASHES - bits)
+        found |= (np.abs(rank[:n] - rank[n:]) <= window) | (prefix[:n] == prefix[n:])
+    assert 4 < passes < 60 and found.mean() >= 0.985
+
+
 def test_a_longer_vector_leaves_the_others_links(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.01], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0, 0.0], 1), (5, [1.0, 0.01, 0.0], 1), (6, [float("nan")] * 9, 1), (7, [1.0, 0.0], 2)]
     out = embedding_dedup.embedding_groups(frame(spark, rows, "vec_id long, embedding array<float>, label int")).collect()

@@ -15,6 +15,7 @@ their own. Other columns are ignored. Empty table: no sequences.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from bisect import bisect_right
 
@@ -34,7 +35,7 @@ _ODD = rf"{_SPACE} {_SPACE}|^ {_SPACE}|\x00"
 _LATIN = r"[a-zA-Z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
 _MARK = r"[!-&(-/:-@\[-`{-~]"
 #: Bytes of text that are encoded at once, and of those the ones that one call gets.
-SLICE, ROW, CALL = 16_000_000, 16_000, 64
+SLICE, ROW, CALL = 8_000_000, 16_000, 16
 
 
 def _parts(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -61,6 +62,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
@@ -114,7 +116,7 @@ class Encoder:
             odd = pc.or_(odd, pc.match_substring(texts, token))
         words, ends = _parts(pc.split_pattern(texts.filter(pc.invert(odd)), " "))
         coded = words.dictionary_encode()
-        codes, first = np.asarray(coded.indices).astype(np.int64), ends[:-1]  # a text's first word has no space before it
+        codes, first = np.array(coded.indices), ends[:-1]  # a text's first word has no space before it
         heads = coded.dictionary.take(pa.array(codes[first])).dictionary_encode()
         codes[first] = len(coded.dictionary) + np.asarray(heads.indices)
         spaced = pc.binary_join_element_wise("", coded.dictionary, " ")
@@ -150,6 +152,7 @@ def _pieces(path: str, size: int, end: int, with_ids: bool):
                         ids.append(part)
             columns = [batch["doc_id"].take(pa.array(doc, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            pa.default_memory_pool().release_unused()
 
     return run
 

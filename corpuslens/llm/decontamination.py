@@ -2,37 +2,43 @@
 
 The CGK walk copies a word sequence to one three times as long, at each step going on to the next word or
 staying, as a random function of step and word says; sequences at a small edit distance then have a small Hamming
-distance. LSH keys are the symbols at SAMPLED random places of REPEATS independent walks. Every window of an item's size
-of every text whose key equals the item's is verified exactly: the fewest word edits (insert, delete, replace) between the item and
+distance. LSH keys are the symbols at SAMPLED random places of independent walks. How many walks there are follows from the recall
+wanted: for each size of an item, from how often keys of sequences at the largest edit distance allowed are equal. A window of an item's size
+with a key of the item's is verified exactly: the fewest word edits (insert, delete, replace) between the item and
 any passage there. It is a leak at distance <= (1 - similarity) * item words.
 
 A window is keyed only where it can still match: k edits leave an item of n words n - 1 - 2k of its word pairs at least, so windows
-with fewer pairs of the items of their size are no match (a necessary condition, nothing is lost); nor are windows with fewer of one item's.
+with fewer of them are no match (a necessary condition, nothing is lost). Lists from each pair to its items give the places
+in a text where an item's pairs are; their order alone tells where enough of them are within the item's size.
 A text that is shorter than the item, by the edits at most, is one window, verified without keys. Items under LEAST words, which
 no edit is allowed, are looked up as they are.
 
-Items are the stated query set, taken in blocks of BLOCK, so what a pass broadcasts is bounded; every pass reads all texts.
+Items are the stated query set, taken in blocks of BLOCK; a block is broadcast (a few numbers for each of its words), and every pass reads all
+texts. Of several blocks, each but the last one's result is staged before the next one is made, so the driver holds two at most.
 Words are lower-cased (A-Z) and stripped of punctuation around them.
 
-Rows: null or empty text: no leak. Null doc_id: found with a null id. Items with null id or text, or without words: never found.
-Repeated documents each come back; repeated items give one row each. Other columns are ignored.
+Rows: null or empty text: no leak. Null doc_id: found with a null id. Items with null id or text, or without words: never found. Very long
+texts: whole. Ties: the first shortest passage. Repeated documents each come back; repeated items give one row each. Empty tables: no
+leaks. Other columns are ignored by find_leaks, and kept by drop_leaks.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import Words, batches, mix, raw
+from corpuslens.llm.common import Words, batches, mix, split_words, stage
 
 SIMILARITY = 0.8
+RECALL = 0.995
 LEAST = 5
-REPEATS = 24
 SAMPLED = 2
 BLOCK = 5000
 EDGES = b".,;:!?%$&#*|()[]{}<>\"'`-_/\\"
@@ -46,16 +52,16 @@ def _symbol(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 3) >> 1 or 1
 
 
-def cgk_keys(windows: np.ndarray, seed: int = 17) -> np.ndarray:
+def cgk_keys(windows: np.ndarray, repeats: int, seed: int = 17) -> np.ndarray:
     """[window, repeat]: LSH keys of windows (word symbols, one row each)."""
     count, n = windows.shape
     steps = 3 * n
     random = np.random.default_rng(seed + n)
-    sampled = np.stack([np.isin(np.arange(steps), random.choice(steps, SAMPLED, replace=False)) for _ in range(REPEATS)])
-    salts = random.integers(1, 1 << 62, (steps, REPEATS), dtype=np.int64).astype(np.uint64)
+    sampled = np.stack([np.isin(np.arange(steps), random.choice(steps, SAMPLED, replace=False)) for _ in range(repeats)])
+    salts = random.integers(1, 1 << 62, (steps, repeats), dtype=np.int64).astype(np.uint64)
     padded = np.concatenate([windows.astype(np.uint64), np.zeros((count, 1), np.uint64)], axis=1)
-    at, key = np.zeros((count, REPEATS), np.int64), np.zeros((count, REPEATS), np.uint64)
-    key += mix(np.arange(1, REPEATS + 1))
+    at, key = np.zeros((count, repeats), np.int64), np.zeros((count, repeats), np.uint64)
+    key += mix(np.arange(1, repeats + 1))
     rows = np.arange(count)[:, None]
     for step in range(steps):
         symbol = padded[rows, at]
@@ -65,6 +71,28 @@ def cgk_keys(windows: np.ndarray, seed: int = 17) -> np.ndarray:
     return key
 
 
+@functools.cache
+def repeats_for(n: int, edits: int, recall: float) -> int:
+    """Walks by which a sequence of n words and one that is `edits` random edits away share a key with probability `recall`, by 24 such pairs with 48 walks each."""
+    if not edits:
+        return 1
+    r, pairs, trials = np.random.default_rng(n), 24, 48
+    made = []
+    for _ in range(pairs):
+        item = r.integers(1, 1 << 62, n).tolist()
+        other = list(item)
+        for kind in r.integers(0, 3, edits).tolist():
+            at = int(r.integers(0, len(other)))
+            other[at : at + (kind > 0)] = [int(r.integers(1, 1 << 62))] * (kind < 2)  # insert, replace, delete
+        made += [item, (other + r.integers(1, 1 << 62, n).tolist())[:n]]
+    keys = cgk_keys(np.array(made, np.int64), trials)
+    shared = ((keys[::2] == keys[1::2]).sum(axis=1) + 0.5) / (trials + 1)
+    repeats = 1
+    while (1 - (1 - shared) ** repeats).mean() < recall and repeats < 400:
+        repeats += 1
+    return repeats
+
+
 def _ends(item: list[int], text: list[int]) -> list[int]:
     """Fewest edits between the item and a passage of the text that ends before each place: a column of the table as two bit vectors."""
     at: dict[int, int] = {}
@@ -94,7 +122,9 @@ def edit_distance(item: list[int], text: list[int]) -> tuple[int, int, int]:
 class Items:
     """A block of items, ready to be looked for."""
 
-    def __init__(self, rows: list[tuple[int, str]], similarity: float):
+    def __init__(self, rows: list[tuple[int, str]], similarity: float, recall: float = RECALL):
+        if similarity <= 0.6:
+            raise ValueError("at a similarity of 0.6 or less an item need not keep any of its word pairs")
         self.words: dict[bytes, int] = {}
         self.items = []
         #: Of items under LEAST words: ids by size and words.
@@ -111,24 +141,21 @@ class Items:
         self.short = {n: dict(found) for n, found in self.short.items()}
         self.symbols = np.array([0, *(_symbol(w) for w in self.words)], np.uint64)
         self.base = len(self.words) + 1
-        self.sizes: dict[int, dict] = {}
-        by_size = defaultdict(list)
-        for k, (_, words) in enumerate(self.items):
-            by_size[len(words)].append(k)
-        self.edits = {n: int((1 - similarity) * n + 1e-9) for n in by_size}
-        pairs = [np.array(w[:-1], np.int64) * self.base + np.array(w[1:], np.int64) for _, w in self.items]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
-        #: Of each item, its pairs among all; the place behind the last one stands for any other pair.
-        self.has = np.zeros((len(self.items), len(self.pairs) + 1), bool)
-        for k, mine in enumerate(pairs):
-            self.has[k, np.searchsorted(self.pairs, mine)] = True
-        for n, ks in by_size.items():
-            keys = cgk_keys(self.symbols[np.array([self.items[k][1] for k in ks])])
-            table = defaultdict(list)
-            for row, k in zip(keys.tolist(), ks, strict=True):
-                for key in row:
-                    table[key].append(k)
-            self.sizes[n] = {"table": table, "keys": np.unique(keys), "has": self.has[ks].any(axis=0), "items": ks}
+        self.sizes = np.array([len(w) for _, w in self.items], np.int64)
+        self.edits = np.array([int((1 - similarity) * n + 1e-9) for n in self.sizes.tolist()], np.int64)
+        self.need = self.sizes - 1 - 2 * self.edits
+        # From each word pair to its items: those of pairs[k] are holders[first[k] : first[k + 1]].
+        pairs = [np.unique(np.array(w[:-1], np.int64) * self.base + np.array(w[1:], np.int64)) for _, w in self.items]
+        every, holders = (np.concatenate(pairs), np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
+        order = np.argsort(every, kind="stable")
+        self.pairs, first = np.unique(every[order], return_index=True)
+        self.holders, self.first = holders[order], np.append(first, len(order))
+        #: Of each item, its keys; by size as many as its recall takes.
+        self.keys: dict[int, np.ndarray] = {}
+        for n in np.unique(self.sizes).tolist():
+            ks = np.flatnonzero(self.sizes == n)
+            keys = cgk_keys(self.symbols[np.array([self.items[k][1] for k in ks])], repeats_for(n, int(self.edits[ks[0]]), recall))
+            self.keys |= zip(ks.tolist(), keys, strict=True)
 
     def search(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, words) in texts laid end to end; ids: numbers of words, 0 for unknown ones; ends: where texts end."""
@@ -151,48 +178,61 @@ class Items:
                     out.setdefault((d, n, tuple(words)), at)
         return [(d, item_id, 0, at - (int(ends[d - 1]) if d else 0), n) for (d, n, words), at in out.items() for item_id in self.short[n][words]]
 
-    def _long(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        other = len(self.pairs)
-        pair = np.full(len(ids), other)
+    def _places(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of all word pairs of items, where enough of any are near each other; in order."""
+        last = np.zeros(len(ids) + 1, bool)
+        last[ends - 1] = True  # no pair crosses texts (an end of 0 falls on the place behind the last word)
         maybe = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
         code = ids[maybe] * self.base + ids[maybe + 1]
-        at = np.minimum(np.searchsorted(self.pairs, code), other - 1)
-        pair[maybe] = np.where(self.pairs[at] == code, at, other)
-        pair[ends[ends > 0] - 1] = other  # no pair crosses texts
-        sums = np.concatenate([[0], np.cumsum(pair < other)])
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        known = (self.pairs[at] == code) & ~last[maybe]
+        place, pair = maybe[known], at[known]
+        near = np.zeros(len(place), bool)
+        for n, need in sorted({*zip(self.sizes.tolist(), self.need.tolist(), strict=True)}):
+            if len(place) >= need:
+                dense = np.flatnonzero(place[need - 1 :] - place[: len(place) - need + 1] <= n - 2)
+                step = np.zeros(len(place) + 1, np.int64)
+                np.add.at(step, dense, 1)
+                np.add.at(step, dense + need, -1)
+                near |= np.cumsum(step[:-1]) > 0
+        place, pair = place[near], pair[near]
+        count = self.first[pair + 1] - self.first[pair]
+        place = np.repeat(place, count)
+        item = self.holders[np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[pair], count)]
+        order = np.argsort(item, kind="stable")  # places stay in order
+        return item[order], place[order]
+
+    def _long(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         text_of = lambda at: np.searchsorted(ends, at, "right")
+        item, place = self._places(ids, ends)
         seen = set()
         lengths = np.diff(ends, prepend=0)
-        for n, size in self.sizes.items():
-            need = n - 1 - 2 * self.edits[n]
-            for doc in np.flatnonzero((lengths < n) & (lengths >= n - self.edits[n])).tolist():
-                first, last = int(ends[doc] - lengths[doc]), int(ends[doc]) - 1
-                if sums[last] - sums[first] >= need:
-                    seen.update((first, k) for k in size["items"] if self.has[k][pair[first:last]].sum() >= need)
-            if len(ids) < n:
-                continue
-            start = np.flatnonzero(sums[n - 1 : len(ids)] - sums[: len(ids) - n + 1] >= need)
-            for part in np.array_split(start, len(start) // 20_000 + 1):
-                inside = pair[part[:, None] + np.arange(n - 1)]
-                part = part[size["has"][inside].sum(axis=1) >= need]  # pairs of this size's items
-                inside = pair[part[:, None] + np.arange(n - 1)]
-                part = part[np.any([self.has[k][inside].sum(axis=1) >= need for k in size["items"]], axis=0)]  # and of one of them
-                part = part[text_of(part) == text_of(part + n - 1)]
-                if not len(part):
-                    continue
-                windows = ids[part[:, None] + np.arange(n)]
+        # Texts shorter than the item: the pairs in them are counted.
+        doc = text_of(place)
+        shorter = (lengths[doc] < self.sizes[item]) & (lengths[doc] >= (self.sizes - self.edits)[item])
+        both, counted = np.unique(np.stack([item[shorter], doc[shorter]], axis=1), axis=0, return_counts=True)
+        seen.update((int(ends[d] - lengths[d]), k) for k, d in both[counted >= self.need[both[:, 0]]].tolist())
+        # Others: the windows that hold `need` places of the item, from the last one's end to the first one's start.
+        last = np.arange(len(item)) + self.need[item] - 1
+        fits = np.flatnonzero(last < len(item))
+        fits = fits[(item[last[fits]] == item[fits]) & (place[last[fits]] - place[fits] <= self.sizes[item[fits]] - 2) & (doc[last[fits]] == doc[fits])]
+        low = np.maximum(place[last[fits]] - self.sizes[item[fits]] + 2, (ends - lengths)[doc[fits]])
+        high = np.minimum(place[fits], ends[doc[fits]] - self.sizes[item[fits]])
+        count = np.maximum(high - low + 1, 0)
+        starts = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        met = np.unique(np.stack([np.repeat(item[fits], count), starts], axis=1), axis=0)
+        for n in np.unique(self.sizes[met[:, 0]]).tolist():
+            mine = met[self.sizes[met[:, 0]] == n]
+            for part in np.array_split(mine, len(mine) // 20_000 + 1):
+                windows = ids[part[:, 1][:, None] + np.arange(n)]
                 _, first, where = np.unique(windows @ mix(np.arange(n)).view(np.int64), return_index=True, return_inverse=True)
-                keys = cgk_keys(self.symbols[windows[first]])[where]  # equal windows have equal keys
-                rows, repeats = np.nonzero(np.isin(keys, size["keys"]))
-                met = {(int(part[row]), k) for row, key in zip(rows.tolist(), keys[rows, repeats].tolist(), strict=True) for k in size["table"][key]}
-                if met:
-                    starts, ks = (np.array(x) for x in zip(*met, strict=True))
-                    enough = self.has[ks[:, None], pair[starts[:, None] + np.arange(n - 1)]].sum(axis=1) >= need
-                    seen.update(zip(starts[enough].tolist(), ks[enough].tolist(), strict=True))
+                keys = cgk_keys(self.symbols[windows[first]], len(self.keys[int(part[0, 0])]))[where]  # equal windows have equal keys
+                equal = (keys == np.stack([self.keys[k] for k in part[:, 0].tolist()])).any(axis=1)
+                seen.update((at, k) for k, at in part[equal].tolist())
         spans = defaultdict(list)  # neighbouring windows of one text and item are verified at once
         for start, k in sorted(seen):
             n, doc = len(self.items[k][1]), int(text_of(start))
-            low, high = max(start - self.edits[n], int(ends[doc - 1]) if doc else 0), min(start + n + self.edits[n], int(ends[doc]))
+            low, high = max(start - int(self.edits[k]), int(ends[doc - 1]) if doc else 0), min(start + n + int(self.edits[k]), int(ends[doc]))
             mine = spans[doc, k]
             if mine and low <= mine[-1][1] and high - mine[-1][0] <= 4 * n:
                 mine[-1][1] = high
@@ -202,64 +242,74 @@ class Items:
         for (doc, k), regions in spans.items():
             item_id, words = self.items[k]
             found = min((d, low + s, e - s) for low, high in regions for d, s, e in [edit_distance(words, ids[low:high].tolist())])
-            if found[0] <= self.edits[len(words)]:
+            if found[0] <= self.edits[k]:
                 out.append((doc, item_id, found[0], found[1] - (int(ends[doc - 1]) if doc else 0), found[2]))
         return out
 
 
-def _found(items: Items, texts: list[bytes], cache: Words) -> list[tuple[int, int, int, int, int]]:
-    words = [x.split() for x in texts]
-    sizes = np.array([len(w) for w in words])
-    ids = np.fromiter((cache[w] for ws in words for w in ws), np.int64, int(sizes.sum()))
-    return items.search(ids, np.cumsum(sizes))
+def _found(items: Items, texts: pa.Array, cache: Words) -> list[tuple[int, int, int, int, int]]:
+    distinct, codes, ends = split_words(texts)
+    ids = np.fromiter(map(cache.__getitem__, distinct), np.int64, len(distinct))
+    return items.search(ids[codes], ends)
 
 
-def _report(items: Items):
+def _report(shared: Broadcast):
     def run(it):
+        items = shared.value
         cache = Words(lambda w: items.words.get(normal(w), 0))
         for batch in batches(it):
-            rows = _found(items, raw(batch["text"]), cache)
+            rows = _found(items, batch["text"], cache)
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(columns[0], pa.int32())), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "item_id", "distance", "start_word", "n_words"])
 
     return run
 
 
-def _clean(items: Items):
+def _clean(shared: Broadcast):
     def run(it):
+        items = shared.value
         cache = Words(lambda w: items.words.get(normal(w), 0))
         for batch in batches(it):
-            bad = {row[0] for row in _found(items, raw(batch["text"]), cache)}
+            bad = {row[0] for row in _found(items, batch["text"], cache)}
             yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
     return run
 
 
-def item_blocks(benchmark: DataFrame, similarity: float, block: int = BLOCK):
-    """Blocks of items, one at a time; the driver never holds more than one."""
+def item_blocks(benchmark: DataFrame, similarity: float, recall: float = RECALL, block: int = BLOCK):
+    """Blocks of items, one at a time, broadcast."""
     rows = []
+
+    def made():
+        return benchmark.sparkSession.sparkContext.broadcast(Items(rows, similarity, recall))
+
     for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         rows.append((r["item_id"], r["text"]))
         if len(rows) == block:
-            yield Items(rows, similarity)
+            yield made()
             rows = []
     if rows:
-        yield Items(rows, similarity)
+        yield made()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, distance, start_word, n_words: the best passage of each item in each document that has one within the distance."""
     rows, schema = docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, item_id long, distance long, start_word long, n_words long"
-    parts = [rows.mapInArrow(_report(items), schema) for items in item_blocks(benchmark, similarity)]
-    out = docs.sparkSession.createDataFrame([], schema) if not parts else parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    out, last = docs.sparkSession.createDataFrame([], schema), None
+    for items in item_blocks(benchmark, similarity, recall, block):
+        if last:
+            out = out.unionByName(stage(rows.mapInArrow(_report(last), schema), "leaks"))
+            last.destroy()
+        last = items
+    return out.unionByName(rows.mapInArrow(_report(last), schema)) if last else out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """docs without the rows whose text holds an item; all columns stay."""
-    schema = docs.schema
-    for items in item_blocks(benchmark, similarity):
-        docs = docs.mapInArrow(_clean(items), schema)
-    return docs
+    schema, last = docs.schema, None
+    for items in item_blocks(benchmark, similarity, recall, block):
+        if last:
+            docs = stage(docs.mapInArrow(_clean(last), schema), "clean")
+            last.destroy()
+        last = items
+    return docs.mapInArrow(_clean(last), schema) if last else docs

@@ -8,9 +8,11 @@ Template: each turn is <|im_start|>ROLE, newline, text, <|im_end|>, newline. In
 and the '<' before any '|' (which begins every control string), get a backslash in front; unescaping drops it. So no
 text can hold a control string, whatever it says. A newline in a role gets one too. The loss mask covers the assistants' texts.
 
-Rows: null text: empty. Null role: empty, not under the mask. Null conv_id or turn: a message without them is in no tree and left out.
-Repeated (conv_id, turn): one conversation holds both, ordered by role and text. Missing parents make a message a root.
-Other columns are ignored.
+Rows: null text: empty. Null role: empty, not under the mask. Null conv_id: rows without one are one conversation. Null turn: before the others.
+Repeated (conv_id, turn): one conversation holds both, ordered by role and text. Very long texts: whole. Empty table: no conversations.
+Trees: a missing parent makes a message a root. Of repeated nodes the one with the smallest (parent, score) counts, a null being the
+smallest. Null nodes, and messages on a cycle of parents or below one, have no root and are left out. Ties of branches: best_paths.
+Other columns are ignored. A conversation is one row, so its turns have to fit a task; nothing else is gathered.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import stage
+from corpuslens.llm.common import stage, unstage
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -36,30 +38,36 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
 
     messages: node, parent (null at a root), score. A branch's score is its nodes' mean; ties go to the deeper, then the smaller leaf.
     """
-    nodes = messages.select("node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    nodes = stage(nodes.join(known, "parent", "left").withColumn("parent", F.when(F.col("known"), F.col("parent"))).drop("known"), "nodes")
+    once = messages.where("node is not null").groupBy("node").agg(F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("m")).select("node", "m.parent", "m.score")
+    known = once.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
+    nodes = stage(once.join(known, "parent", "left").withColumn("parent", F.when(F.col("known"), F.col("parent"))).drop("known"), "nodes")
     # After each round `up` is twice as far away, and `steps` and `total` cover the way there without it.
     now = stage(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("node")).alias("root"), F.lit(1).alias("steps"), F.col("score").alias("total")), "paths")
-    while now.where("up is not null").limit(1).count():
+    open_, before = now.where("up is not null").count(), None
+    while open_ and open_ != before:  # each round ends some ways; where none ends, all that are left go round a cycle
         far = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
         going = now.where("up is not null").join(far, "up", "left").select("node", F.col("up2").alias("up"), F.coalesce("root", "root2").alias("root"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
-        now = stage(going.unionByName(now.where("up is null")), "paths")  # rows at their root take no part in later joins
-    leaves = now.join(nodes.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
+        new = stage(going.unionByName(now.where("up is null")), "paths")  # rows at their root take no part in later joins
+        unstage(now)
+        now, before = new, open_
+        open_ = now.where("up is not null").count()
+    leaves = now.where("up is null").join(nodes.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
     rank = F.row_number().over(Window.partitionBy("root").orderBy((F.col("total") / F.col("steps")).desc(), F.col("steps").desc(), "node"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= keep)
-    # All ancestors of the chosen leaves: the ways known double in length each round.
+    # All ancestors of the chosen leaves: the ways known double in length each round, and start from all nodes found so far.
     ways = stage(nodes.where("parent is not null").select("node", F.col("parent").alias("top"), F.lit(1).alias("span")), "ways")
     path = stage(chosen.select("root", F.col("node").alias("leaf"), "node", (F.col("steps") - 1).alias("depth")), "path")
-    grown = path
+    unstage(now)
     while True:
-        # `grown` ends have all ways of this span; nodes below depth `span` are reached from those found so far.
         new = stage(path.join(ways, "node").select("root", "leaf", F.col("top").alias("node"), (F.col("depth") - F.col("span")).alias("depth")), "path")
         if new.isEmpty():
             break
-        path = stage(path.unionByName(new), "path")
+        path = path.unionByName(new)
         far = ways.select(F.col("node").alias("top"), F.col("top").alias("top2"), F.col("span").alias("span2"))
-        ways = stage(ways.join(far, "top").select("node", F.col("top2").alias("top"), (F.col("span") + F.col("span2")).alias("span")), "ways")
+        longer = stage(ways.join(far, "top").select("node", F.col("top2").alias("top"), (F.col("span") + F.col("span2")).alias("span")), "ways")
+        unstage(ways)
+        ways = longer
+    unstage(nodes, ways)
     return path
 
 
@@ -104,7 +112,6 @@ def digest(formatted: str):
 
 def messages_of_turns(turns: DataFrame) -> DataFrame:
     """node, parent, score, role, text, conv_id: each turn (conv_id, turn, role, text) answers the one before."""
-    turns = turns.where("conv_id is not null and turn is not null")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = turns.select("conv_id", F.row_number().over(order).alias("k"), "role", "text")
     node = lambda k: F.struct("conv_id", k.cast("int").alias("k"))

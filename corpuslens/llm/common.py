@@ -32,6 +32,14 @@ def unstage(*tables: DataFrame) -> None:
         delete_path(df.sparkSession, df.staged_at)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores as set it apart from these columns."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; a null is an empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -12,8 +12,9 @@ def held_out(fold: int, remainder: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, remainder: int, bound: int) -> DataFrame:
-    """(doc_id, text, y): at most `bound` rows with a label outside the held-out fold; null labels don't count, repeated ones by the largest."""
+    """(doc_id, text, y): at most `bound` documents with a label outside the held-out fold; null labels don't count, repeated ones by the largest; of
+    repeated ids the smallest text counts, so the sample is the same each time."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(~held_out(fold, remainder))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     known = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id").limit(bound)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

@@ -7,7 +7,8 @@ are broadcast, BOUND * DIMENSIONS numbers at most; every text gets its exact cos
 texts at a time, and its NEIGHBOURS nearest vote by similarity.
 
 Rows: null or empty text: no neighbour is nearer than another, the score is the sample's share of label 1. Null
-doc_id: scored, not held out. Repeated rows: each scored. Empty labels: every score is 0.5. Other columns are ignored.
+doc_id: scored, not held out. Repeated rows: each scored. Repeated doc_id in the sample: the smallest text counts, once. Very long texts:
+whole. Ties of neighbours: any of them. Empty labels: every score is 0.5. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ class Neighbours:
         df = np.zeros(size)
         for at, _ in rows:
             df[np.unique(at)] += 1
-        self.idf = np.where(df > 1, np.log((1 + n) / (1 + df)) + 0.1, 0)
+        self.idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 0.1, 0)  # terms that no labelled text has say nothing of neighbours
         x = [(at, self._unit(at, c)) for at, c in rows]
         # Randomized range finder: two passes over the sample's sparse rows.
         random = np.random.default_rng(4)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import chat_format, decontamination, embedding_dedup, line_dedup, lm_scoring, packing, quality, simhash_dedup, substring_dedup, toxicity
+from corpuslens.llm.common import stage
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
-    messages = chat_format.stage(chat_format.messages_of_turns(turns), "messages")
+    messages = stage(chat_format.messages_of_turns(turns), "messages")
     formatted = chat_format.format_paths(chat_format.best_paths(messages), messages)
     return formatted.select(F.col("root.conv_id").alias("conv_id"), chat_format.digest("formatted").alias("d")).select("conv_id", "d.*")
 
@@ -94,7 +95,7 @@ WITH w AS (
 SELECT doc_id, n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-#: The same rows from the same definition: a line over 0.05 of its source's pages, and on 5 at least, goes.
+#: The same rows from the same definition: a line that several pages have, over 0.05 of their source's, goes.
 OP4 = """
 WITH d AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents
@@ -104,7 +105,7 @@ WITH d AS (
   SELECT source, unnest(list_distinct(ls)) AS line FROM d
 ), b AS (
   SELECT l.source, list(line) AS bad FROM (
-    SELECT source, line, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY source, line HAVING count(*) >= 5
+    SELECT source, line, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY source, line HAVING count(*) > 1
   ) l JOIN t ON l.source = t.source WHERE n > 0.05 * pages GROUP BY l.source
 ), k AS (
   SELECT doc_id, d.source, ls, CASE WHEN bad IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(bad, x)) END AS kept

@@ -12,7 +12,8 @@ verified links, which is less than one row per member however dense the run is;
 dealt into pairs of blocks first, so no task holds a key of any size.
 
 Rows: null or empty text: fingerprint zero, linked like any other. Null doc_id: the row comes back, joins
-its group, and never names it. Repeated rows each come back. Other columns are ignored.
+its group, and never names it. Repeated rows each come back. Very long texts: whole. Ties of a bit: 0. Empty table: no rows. Other columns
+are ignored. A run longer than RUN costs run / RUN copies of its rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import batches, connected_components, raw, stage
+from corpuslens.llm.common import batches, connected_components, raw, stage, unstage
 
 SEED = 42
 BITS = 4
@@ -60,7 +61,7 @@ def _scan(words: int):
     def run(it):
         for batch in batches(it):
             fps = np.array([fingerprint(x, words) for x in raw(batch["text"])], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(fps.view(np.int64))], ["doc_id", "text_key", "fp"])
 
     return run
 
@@ -114,7 +115,7 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit(it):
-    for batch in batches(it, 20_000):
+    for batch in batches(it, 4_000):
         fps = batch["fp"].to_numpy(zero_copy_only=False)
         rows, keys = fuzzy_keys(fps.view(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(fps[rows])], ["key", "fp"])
@@ -184,16 +185,21 @@ def link_fingerprints(fps: DataFrame, bits: int = BITS) -> DataFrame:
     blocks = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
     blocks = blocks.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).bitwiseOR(F.lit(-(1 << 63))).alias("run"), "fp")
     runs = plain.unionByName(blocks).repartition("run").sortWithinPartitions("run")
-    return connected_components(runs.mapInArrow(_runs(bits), "a long, b long"))
+    out = connected_components(runs.mapInArrow(_runs(bits), "a long, b long"))
+    unstage(keyed, long)
+    return out
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id, text)."""
-    prints = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(words), "doc_id long, fp long"), "prints")
+def simhash_groups(docs: DataFrame, words: int = 4, bits: int = BITS, with_key: bool = False) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (and text_key, xxhash64 of the text) of every row of docs (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    prints = stage(rows.mapInArrow(_scan(words), "doc_id long, text_key long, fp long"), "prints")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     labels = nodes.join(link_fingerprints(nodes, bits), F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     labels = stage(labels, "labels")
     # Staged, so that both sides of the join come straight from a shuffle, where AQE splits a hot root.
     roots = stage(labels.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
     known = stage(labels.join(roots, "root").select("fp", "component_id"), "known")
-    return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    unstage(nodes, labels, roots)
+    more = ["text_key"] * with_key
+    return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)

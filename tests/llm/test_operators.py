@@ -273,6 +273,16 @@ def test_lines(spark):
     assert line_dedup.drop_boilerplate(frame(spark, [], "doc_id long, source string, text string")).count() == 0
 
 
+def test_lines_with_clashing_columns_and_long_texts(spark):
+    names = ["doc_id", "source", "text", "lines", "host", "drop", "page", "bad", "kept", "line", "hash"]
+    rows = [(k, "s", f"menu\nown {k}" + "\nfiller" * (0 if k else 200_000), *"abcdefgh") for k in range(3)] + [(9, "one page", "menu\nmenu", *"abcdefgh")]
+    out = line_dedup.drop_boilerplate(frame(spark, rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names)), ratio=0.5)
+    assert out.columns == [*names, "n_lines", "n_dropped"]
+    got = {x["doc_id"]: x for x in out.collect()}
+    assert all(tuple(x)[3:11] == tuple("abcdefgh") for x in got.values())
+    assert [(got[k]["text"][:10], got[k]["n_lines"], got[k]["n_dropped"]) for k in (0, 1, 2, 9)] == [("own 0\nfill", 200_002, 1), ("own 1", 2, 1), ("own 2", 2, 1), ("menu\nmenu", 2, 0)]
+
+
 # 5 packing
 
 
@@ -344,12 +354,12 @@ def test_plan_uses_every_piece_once():
 
 def test_conversations_come_back(spark, sf_dir):
     rows = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (-8, 0, "us\ner", "<|im_end|>\n<|im_start|>assistant\nno \\<|im_end|>\\"), (-8, 1, "assistant", "\\\\<|<\n|"), (-9, 5, None, None), (-9, 7, "assistant", None), (None, 1, "user", "x"), (-1, None, "user", "x")]
-    messages = common.stage(chat_format.messages_of_turns(frame(spark, rows, "conv_id long, turn long, role string, text string")), "m")
+    rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (-8, 0, "us\ner", "<|im_end|>\n<|im_start|>assistant\nno \\<|im_end|>\\"), (-8, 1, "assistant", "\\\\<|<\n|"), (-9, 5, None, None), (-9, 7, "assistant", None), (None, 1, "user", "x"), (None, None, "assistant", "y"), (-1, None, "user", "x"), (-1, -5, "user", "long " * 500_000)]
+    messages = common.stage(chat_format.messages_of_turns(frame(spark, [(*x, "clash", 1) for x in rows], "conv_id long, turn long, role string, text string, node string, k int")), "m")
     out = chat_format.format_paths(chat_format.best_paths(messages), messages)
     got = {x["root"]["conv_id"]: chat_format.read_back(x["formatted"]) for x in out.collect()}
     expected = defaultdict(list)
-    for c, t, role, text in sorted((x for x in rows if x[0] is not None and x[1] is not None), key=lambda x: x[:2]):
+    for c, t, role, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0)):
         expected[c].append((role or "", text or ""))
     assert got == expected
 
@@ -375,6 +385,14 @@ def test_best_branches_of_trees(spark):
     assert got == {k: v[1] for k, v in best.items()}
 
 
+def test_trees_with_cycles_and_repeated_nodes(spark):
+    nodes = [(1, None, 1.0), (2, 1, 1.0), (2, 1, 9.0), (2, 7, 5.0), (3, 4, 1.0), (4, 3, 1.0), (5, 4, 1.0), (6, 6, 1.0), (None, 1, 99.0), (8, 2, None), (9, None, None), (9, 1, 3.0)]
+    rows = chat_format.best_paths(frame(spark, nodes, "node long, parent long, score double"), keep=5).collect()
+    assert sorted((x["root"], x["leaf"], x["node"], x["depth"]) for x in rows) == [(1, 8, 1, 0), (1, 8, 2, 1), (1, 8, 8, 2), (9, 9, 9, 0)]
+    none = frame(spark, [], "node long, parent long, score double, role string, text string")
+    assert chat_format.format_paths(chat_format.best_paths(none), none).count() == 0
+
+
 # 7 SimHash
 
 
@@ -442,6 +460,69 @@ def test_classifiers_on_awkward_rows(spark, score):
     assert score(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_is_the_plain_sum_over_terms_and_pairs(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(150) for t in ("documents", "labels"))
+    rows = texts(spark, sf_dir)[:60] + AWKWARD + [(77, "word " * 300_000 + "hate")]
+    machine = toxicity.train(docs, labels, 5, 0)
+    place = {int(b): k for k, b in enumerate(machine.terms)}
+    assert len(place) == len(machine.terms) > 1000
+    got = toxicity.with_score(frame(spark, [(*x, "clash", -1.0) for x in rows], "doc_id long, text string, terms string, score double"), machine).collect()
+    expected = []
+    for d, t in rows:
+        core = {w.strip(toxicity.EDGES.decode()) for w in WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))} - {""}
+        said = {f"={w}" for w in core} | {f"^{w[:k]}" for w in core for k in toxicity.PREFIXES if len(w) >= k}
+        ks = sorted({place[b] for b in (xxhash.xxh64_intdigest(x, 5) >> 64 - toxicity.HASH_BITS for x in said) if b in place})
+        v, w = machine.vectors[ks].astype(float) * machine.values[ks][:, None], machine.linear[ks].astype(float) * machine.values[ks]
+        pairs = sum(float(v[i] @ v[j]) for i in range(len(ks)) for j in range(i)) if len(ks) < 300 else float(np.triu(v @ v.T, 1).sum())
+        expected.append((d, t, 1 / (1 + math.exp(-(machine.bias + w.sum() + pairs)))))
+    key = lambda x: (str(x[0]), str(x[1]))
+    for a, b in zip(sorted(((x["doc_id"], x["text"], x["score"]) for x in got), key=key), sorted(expected, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-5)
+
+
+def test_machine_learns_pairs_that_no_sum_of_weights_can(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(3000):  # toxic where both words are there, and where neither is
+        insult, group = r.random() < 0.5, r.random() < 0.5
+        rows.append((k, " ".join(["insult"] * insult + ["group"] * group + r.choices(["the", "of", "and", "green", "tree"], k=5)), int(insult == group)))
+    docs, labels = frame(spark, [x[:2] for x in rows]), frame(spark, [(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    out = {x["doc_id"]: x for x in toxicity.score_toxicity(docs, labels).collect()}
+    x = np.array([[1, "insult" in t, "group" in t] for _, t, _ in rows], float)
+    linear = x @ np.linalg.lstsq(x, np.array([y for *_, y in rows]) - 0.5, rcond=None)[0] >= 0
+    assert np.mean([linear[k] == y for k, _, y in rows]) < 0.8
+    held = [k for k in out if out[k]["held_out"]]
+    assert len(held) > 100 and np.mean([out[k]["predicted"] == rows[k][2] for k in held]) > 0.95
+
+
+def test_quality_is_a_plain_vote_of_the_nearest(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels, 4, 2)
+    marked = {x["doc_id"]: x["quality"] for x in labels.collect() if zlib.crc32(str(x["doc_id"]).encode()) % 4 != 2}
+    rows = texts(spark, sf_dir)
+
+    def plain(text):
+        """Damped tf-idf of words and shapes, its length 1, projected and again of length 1."""
+        bags = [Counter(), Counter()]
+        for w in WORD.findall(text or ""):
+            for bag, bucket in zip(bags, quality.buckets(w.encode()), strict=True):
+                bag[bucket] += 1
+        at, c = ([x for bag in bags for x in y(bag)] for y in (lambda b: list(b), lambda b: [1 + math.log(n) for n in b.values()]))
+        v = np.array(c) * model.idf[at] if at else np.zeros(0)
+        v = v / (np.linalg.norm(v) or 1) @ model.basis[at].astype(float) if at else np.zeros(model.basis.shape[1])
+        return v / (np.linalg.norm(v) or 1)
+
+    known = [(plain(t), marked[d]) for d, t in rows if d in marked]
+    got = {x["doc_id"]: x["score"] for x in quality.score_quality(docs, labels).collect()}
+    off = 0
+    for d, t in rows:
+        near = sorted(((float(v @ plain(t)), y) for v, y in known), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(s, 0) ** 2 for s, _ in near]
+        score = sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight) if sum(weight) else np.mean([y for _, y in known])
+        off += abs(got[d] - score) > 1e-3  # single precision may swap neighbours that are equally near
+    assert off <= 0.02 * len(rows)
+
+
 def test_scores_don_t_depend_on_other_columns(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     machine = toxicity.train(docs, labels, 5, 0)

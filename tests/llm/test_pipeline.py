@@ -21,7 +21,7 @@ def plain_lines(rows):
     pages, have = Counter(s for *_, s in rows), Counter()
     for _, t, _, s in rows:
         have.update((s, line) for line in set((t or "").split("\n")))
-    bad = {k for k, n in have.items() if k[0] is not None and k[1].strip(" ") and n >= 5 and n > 0.05 * pages[k[0]]}
+    bad = {k for k, n in have.items() if k[0] is not None and k[1].strip(" ") and n >= 2 and n > 0.05 * pages[k[0]]}
     return [(d, t if t is None else "\n".join(x for x in t.split("\n") if (s, x) not in bad), lang, s) for d, t, lang, s in rows]
 
 

@@ -45,15 +45,15 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words [^\\x20\\x09-\\x0D]+ of texts, each word's place among them, and where each text's words end."""
     lists = pc.ascii_split_whitespace(texts.fill_null(""))
     ends, words = np.cumsum(np.asarray(lists.value_lengths()), dtype=np.int64), lists.flatten().dictionary_encode()
-    codes, distinct = np.asarray(words.indices), words.dictionary.cast(pa.binary()).to_pylist()
-    if b"" in distinct:  # around white space at a text's ends
-        real = codes != distinct.index(b"")
+    codes, empty = np.asarray(words.indices), pc.index(words.dictionary, "").as_py()
+    if empty >= 0:  # around white space at a text's ends
+        real = codes != empty
         ends, codes = np.concatenate([[0], np.cumsum(real)])[ends], codes[real]
-    return distinct, codes, ends
+    return words.dictionary, codes, ends
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -29,12 +29,13 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import Words, batches, mix, split_words, stage
+from corpuslens.llm.common import batches, mix, split_words, stage
 
 SIMILARITY = 0.8
 RECALL = 0.995
@@ -247,18 +248,18 @@ class Items:
         return out
 
 
-def _found(items: Items, texts: pa.Array, cache: Words) -> list[tuple[int, int, int, int, int]]:
+def _found(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     distinct, codes, ends = split_words(texts)
-    ids = np.fromiter(map(cache.__getitem__, distinct), np.int64, len(distinct))
+    known = pc.index_in(pc.utf8_trim(pc.ascii_lower(distinct), EDGES.decode()), pa.array([w.decode() for w in items.words], pa.string()))
+    ids = np.asarray(known.fill_null(-1)).astype(np.int64) + 1  # as `normal` gives them; 0 where no item has the word
     return items.search(ids[codes], ends)
 
 
 def _report(shared: Broadcast):
     def run(it):
         items = shared.value
-        cache = Words(lambda w: items.words.get(normal(w), 0))
         for batch in batches(it):
-            rows = _found(items, batch["text"], cache)
+            rows = _found(items, batch["text"])
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(columns[0], pa.int32())), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "item_id", "distance", "start_word", "n_words"])
 
@@ -268,9 +269,8 @@ def _report(shared: Broadcast):
 def _clean(shared: Broadcast):
     def run(it):
         items = shared.value
-        cache = Words(lambda w: items.words.get(normal(w), 0))
         for batch in batches(it):
-            bad = {row[0] for row in _found(items, batch["text"], cache)}
+            bad = {row[0] for row in _found(items, batch["text"])}
             yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
     return run

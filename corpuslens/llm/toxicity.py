@@ -137,7 +137,7 @@ def _score(shared: Broadcast, name: str):
         cache = Words(lambda w: machine.places(np.array(buckets(w), np.int64)))
         for batch in batches(it, 2000, 4_000_000):
             distinct, codes, ends = split_words(batch["text"])
-            terms = [cache[w] for w in distinct]
+            terms = [cache[w] for w in distinct.cast(pa.binary()).to_pylist()]
             sizes = np.array([len(t) for t in terms], np.int64)
             flat, first = np.concatenate([np.empty(0, np.int64), *terms]), np.cumsum(sizes) - sizes
             text = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))

@@ -35,8 +35,8 @@ def plain_near_copies(rows):
     groups = defaultdict(list)
     for p, root in part.items():
         groups[root] += ids[p]
-    stay = {min(ds) for ds in groups.values()} | {None}
-    return [x for x in rows if x[0] in stay]
+    # Each row is judged by its own text's group, also where other rows have its id.
+    return [x for x in rows if x[0] is None or x[0] == min(groups[part[plain_fingerprint(x[1], 5)]])]
 
 
 def plain_leaks(rows, items):

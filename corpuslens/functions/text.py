@@ -12,6 +12,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def fold(text: Column) -> Column:
+    """Lower case letter by letter, whatever stands around: a final sigma is a sigma, a dotted capital I an i. So a piece of a text folds to a piece of its fold."""
+    return F.lower(F.translate(text, "\u03a3\u03c2\u0130", "\u03c3\u03c3i"))
+
+
 def lines_of(text: Column) -> Column:
     """Lines of a text: no last one after a final newline, none in an empty text, no carriage return at an end."""
     parts = F.split(text, "\n", -1)
@@ -32,7 +37,7 @@ def matches(text: Column, query: str, mode: str) -> Column:
     if mode == "literal":
         return text.contains(query)
     if mode == "case_insensitive_literal":
-        return F.lower(text).contains(F.lower(F.lit(query)))
+        return fold(text).contains(fold(F.lit(query)))
     if mode == "regex":
         return text.rlike(query)
     raise ValueError(f"no search mode {mode!r}")
@@ -48,14 +53,37 @@ def match_column(text: Column, query: str, mode: str) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """Distinct three-letter pieces of the text, in lower case: one pass of a look-ahead, linear in its length."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
+    """Distinct three-letter pieces of the text, folded as matches are: one pass of a look-ahead, linear in its length."""
+    return F.array_distinct(F.regexp_extract_all(fold(text), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def loc(start: Column, end: Column) -> Column:
     return F.when(start == end, start.cast("string")).otherwise(F.concat(start.cast("string"), F.lit("-"), end.cast("string")))
 
 
+def grep_line(said: Column) -> Column:
+    """(path, line_number, text) of a line `path:line:text` of a search tool's output, without a leading ./; null where it isn't one."""
+    part = lambda k: F.regexp_extract(said, r"(?s)^([^:]*):([0-9]+):(.*)$", k)
+    number = part(2).try_cast("int")
+    return F.when(number.isNotNull(), F.struct(strip_dot(part(1)).alias("path"), number.alias("line_number"), part(3).alias("text")))
+
+
+def kind_of(mode: Column) -> Column:
+    """directory, file or other, by the first letter of a listing's mode (drwxr-xr-x); links and devices are other."""
+    first = F.substring(mode, 1, 1)
+    return F.when(first == "d", "directory").when(first == "-", "file").otherwise("other")
+
+
+def encoded(row: Column) -> Column:
+    """A row (struct) as JSON; null fields are left out."""
+    return F.to_json(row)
+
+
+def decoded(text: Column, schema: str) -> Column:
+    """The row again; null where the text is no such row."""
+    return F.from_json(text, schema)
+
+
 def binary(text: Column) -> Column:
     return F.locate("\0", text) > 0
 
@@ -109,5 +137,6 @@ def within(path: Column, root: Column) -> Column:
     return ((path == root) | path.startswith(F.concat(F.rtrim(root, F.lit("/")), F.lit("/")))) & ~path.rlike(r"(^|/)\.\.(/|$)") & path.startswith("/")
 
 
-def job_name(name: Column) -> Column:
-    return name.rlike(r"^job-[A-Za-z0-9-]*\.json$")
+def artifact_job(name: Column) -> Column:
+    """The job whose results a file of this name holds (job-....json); null for any other name."""
+    return F.when(name.rlike(r"^job-[A-Za-z0-9-]*\.json$"), F.regexp_replace(name, r"\.json$", ""))

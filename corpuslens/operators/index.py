@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import grams, matches
 
 
+POSTINGS = "gram string, host string, path string"
+
+
 def build_postings(files: DataFrame) -> DataFrame:
     """gram, host, path."""
     return files.select(F.explode(grams(F.col("text"))).alias("gram"), "host", "path")
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
-    """Sorted by gram, so that a lookup reads few row groups."""
-    postings.repartitionByRange("gram").sortWithinPartitions("gram", "host", "path").write.mode("overwrite").parquet(path)
+    """Sorted by gram, so that a lookup reads few row groups; the table is replaced as a whole."""
+    postings.repartitionByRange("gram", "host", "path").sortWithinPartitions("gram", "host", "path").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(path)
+
+
+def load_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(POSTINGS).parquet(path)
+
+
+def clear_postings(spark: SparkSession, path: str) -> None:
+    """An index of nothing."""
+    spark.createDataFrame([], POSTINGS).write.mode("overwrite").parquet(path)
 
 
 def replace_documents(postings: DataFrame, changed: DataFrame) -> DataFrame:
@@ -27,9 +39,9 @@ def removed_paths(old: DataFrame, current: DataFrame) -> DataFrame:
     return old.select("host", "path").distinct().join(current.select("host", "path"), ["host", "path"], "left_anti")
 
 
-def query_grams(query: str) -> list[str]:
-    low = query.lower()
-    return sorted({low[k : k + 3] for k in range(len(low) - 2)})
+def query_grams(spark: SparkSession, query: str) -> list[str]:
+    """The query's pieces, folded by the same expression as the texts'."""
+    return sorted(spark.sql("select 1").select(grams(F.lit(query)).alias("g")).first()["g"])
 
 
 def candidates(postings: DataFrame, query: str) -> DataFrame | None:
@@ -37,13 +49,22 @@ def candidates(postings: DataFrame, query: str) -> DataFrame | None:
 
     The grams, at most as many as the query has letters, go into the filter, which the sorted table's statistics meet.
     """
-    wanted = query_grams(query)
+    wanted = query_grams(postings.sparkSession, query)
     if not wanted:
         return None
     found = postings.where(F.col("gram").isin(wanted)).groupBy("host", "path").agg(F.count_distinct("gram").alias("n"))
     return found.where(F.col("n") == len(wanted)).select("host", "path")
 
 
+def worth_it(postings: DataFrame, query: str, n_files: int, share: float = 0.25) -> bool:
+    """Whether the query's rarest gram is in few enough of the files for the index to pay; its counts are read from the sorted table."""
+    wanted = query_grams(postings.sparkSession, query)
+    if not wanted:
+        return False
+    counts = postings.where(F.col("gram").isin(wanted)).groupBy("gram").agg(F.count("*").alias("n")).collect()  # a row a gram
+    return len(counts) < len(wanted) or min(r["n"] for r in counts) <= share * n_files
+
+
 def indexed_files(files: DataFrame, postings: DataFrame, query: str, mode: str = "literal") -> DataFrame:
     """Files with the literal: candidates by the index, then verified; all files where the index can't tell."""
     hosts = candidates(postings, query) if mode != "regex" else None
@@ -60,7 +81,3 @@ def latest_state(index_log: DataFrame) -> DataFrame:
 
 def corpus_stats(files: DataFrame) -> DataFrame:
     return files.groupBy("host").agg(F.count("*").alias("indexed_files"))
-
-
-def load_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

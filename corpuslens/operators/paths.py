@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.patterns import excluded, path_matches
 from corpuslens.functions.text import clamp, lines_of, within
-from corpuslens.options import EXCLUDES, LIMITS
+from corpuslens.operators.search import cap_per_host, effective_limit, select_hosts, select_roots, within_budget
+from corpuslens.options import LIMITS, all_excludes
 
 
-def find_paths(files: DataFrame, pattern: str, excludes=EXCLUDES) -> DataFrame:
+def find_paths(files: DataFrame, pattern: str, excludes: tuple[str, ...] = ()) -> DataFrame:
     """host, path, kind; only paths are read, never texts."""
-    return files.where(~excluded(F.col("rel_path"), excludes) & path_matches(F.col("rel_path"), pattern)).select("host", "path", F.lit("file").alias("kind"))
+    return files.where(~excluded(F.col("rel_path"), all_excludes(excludes)) & path_matches(F.col("rel_path"), pattern)).select("host", "path", F.lit("file").alias("kind"))
+
+
+def search_paths(files: DataFrame, pattern: str, hosts=("*",), roots=(), known_hosts: set[str] | None = None, known_roots: set[str] | None = None, limit: int | None = None, budget: int = LIMITS.response_bytes, excludes: tuple[str, ...] = ()) -> DataFrame:
+    """host, path, kind, truncated: the first paths by host and path, at most `limit` (of a host too), within the byte budget."""
+    files = select_hosts(files, hosts, known_hosts)
+    if known_roots is not None:
+        files = select_roots(files, roots, known_roots)
+    limit = effective_limit(limit)
+    found = cap_per_host(find_paths(files, pattern, excludes).distinct().withColumn("line_number", F.lit(0)), limit + 1)  # one more tells of truncation
+    top = found.orderBy("host", "path").limit(limit + 1).withColumn("_all", F.lit(1))
+    rank = F.row_number().over(Window.partitionBy("_all").orderBy("host", "path"))
+    top = top.withColumn("_k", rank).withColumn("_more", F.max("_k").over(Window.partitionBy("_all")) > limit).where(F.col("_k") <= limit)
+    cut = within_budget(top, F.octet_length("path"), budget, ["_all"], ["host", "path"])
+    return cut.select("host", "path", "kind", (F.col("truncated") | F.col("_more")).alias("truncated"))
 
 
 def contained(paths: DataFrame, locations: DataFrame) -> DataFrame:
@@ -21,29 +36,60 @@ def contained(paths: DataFrame, locations: DataFrame) -> DataFrame:
     return paths.join(roots, (F.col("host") == F.col("_host")) & within(F.col("path"), F.col("_root")), "left_semi")
 
 
-def list_directory(files: DataFrame, directory: str, excludes=EXCLUDES) -> DataFrame:
+def list_directory(files: DataFrame, directory: str, excludes: tuple[str, ...] = ()) -> DataFrame:
     """host, name, path, kind, size, modified_ms of a directory's children; size and time for files only."""
     base = directory.rstrip("/") + "/"
     under = files.where(F.col("path").startswith(base)).withColumn("rest", F.expr(f"substring(path, {len(base) + 1})"))
     under = under.withColumn("name", F.substring_index("rest", "/", 1)).withColumn("is_file", ~F.col("rest").contains("/"))
-    under = under.where(~excluded(F.concat(F.lit(base.lstrip("/")), F.col("name")), excludes))
+    under = under.where(~excluded(F.concat(F.lit(base.lstrip("/")), F.col("name")), all_excludes(excludes)))
     one = under.groupBy("host", "name").agg(F.bool_and("is_file").alias("f"), F.max("size").alias("s"), F.max("modified_ms").alias("m"))
     when_file = lambda c: F.when(F.col("f"), F.col(c))
     return one.select("host", "name", F.concat(F.lit(base), "name").alias("path"), F.when(F.col("f"), "file").otherwise("directory").alias("kind"), when_file("s").alias("size"), when_file("m").alias("modified_ms"))
 
 
-def read_lines(requests: DataFrame, files: DataFrame, max_bytes: int = LIMITS.max_file_bytes, excludes=EXCLUDES) -> DataFrame:
-    """request_id, host, path, start_line, end_line, data, error for requests (request_id, host, path, start, end); end may be null."""
-    readable = files.where(~excluded(F.col("rel_path"), excludes)).select("host", "path", "size", "text")
+def browse(files: DataFrame, locations: DataFrame, host: str, directory: str, excludes: tuple[str, ...] = ()) -> DataFrame:
+    """A host's directory in order of names: name, path, kind, size, modified_ms, error. A directory outside of the host's roots, excluded, or
+    that isn't one gives a single row with its error."""
+    mine = files.where(F.col("host") == host)
+    asked = F.lit(directory.rstrip("/") or "/")
+    inside = locations.where((F.col("host") == host) & within(asked, F.col("path"))).agg((F.count("*") > 0).alias("inside"))
+    root = locations.where((F.col("host") == host) & within(asked, F.col("path"))).agg((F.max(F.col("path") == asked)).alias("is_root"))
+    there = mine.agg(F.coalesce(F.bool_or(F.col("path").startswith(directory.rstrip("/") + "/")), F.lit(False)).alias("there"))
+    bad = excluded(F.lit(directory.strip("/")), all_excludes(excludes))
+    error = F.when(~F.col("inside"), "outside the roots").when(bad, "excluded").when(~F.col("there") & ~F.coalesce("is_root", F.lit(False)), "not a directory")
+    said = inside.join(root, F.lit(True)).join(there, F.lit(True)).select(error.alias("error"))  # one row each
+    rows = said.join(list_directory(mine, directory, excludes).drop("host"), F.col("error").isNull(), "left")
+    return rows.where("error is not null or name is not null").select("name", "path", "kind", "size", "modified_ms", "error").orderBy("name")
+
+
+def read_lines(requests: DataFrame, files: DataFrame, max_bytes: int = LIMITS.max_file_bytes, excludes: tuple[str, ...] = (), locations: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+    """request_id, host, path, start_line, end_line, data, truncated, error for requests (request_id, host, path, start, end); end may be null.
+
+    With locations, a path has to be under one of its host's roots. With a budget, data is cut after the last line that fits. Only files that
+    are asked for go through the join; where the requests are small enough to broadcast, no text is shuffled.
+    """
+    readable = files.where(~excluded(F.col("rel_path"), all_excludes(excludes))).select("host", "path", "size", "text")
+    readable = readable.join(requests.select("host", "path").distinct(), ["host", "path"], "left_semi")
     rows = requests.join(readable, ["host", "path"], "left")
-    error = F.when(F.col("path").rlike(r"(^|/)\.\.(/|$)"), "outside the roots").when(F.col("text").isNull(), "not found").when(F.col("size") > max_bytes, "too large")
+    outside = F.col("path").rlike(r"(^|/)\.\.(/|$)")
+    if locations is not None:
+        roots = locations.groupBy("host").agg(F.collect_set("path").alias("_roots"))  # a host's few roots
+        rows = rows.join(roots, "host", "left")
+        outside = outside | ~F.coalesce(F.exists("_roots", lambda r: within(F.col("path"), r)), F.lit(False))
+    error = F.when(outside, "outside the roots").when(F.col("text").isNull(), "not found").when(F.col("size") > max_bytes, "too large")
     rows = rows.withColumn("error", error).withColumn("lines", F.when(F.col("error").isNull(), lines_of(F.col("text"))))
     n = F.size("lines")
     start = F.greatest(F.coalesce("start", F.lit(1)), F.lit(1))
     end = clamp(F.coalesce("end", n), start, F.greatest(n, start))
     rows = rows.withColumn("s", F.when(F.col("error").isNull(), start)).withColumn("e", F.when(F.col("error").isNull(), end))
-    data = F.when(F.col("error").isNull(), F.array_join(F.slice("lines", F.col("s"), F.col("e") - F.col("s") + 1), "\n"))
-    return rows.select("request_id", "host", "path", F.col("s").cast("int").alias("start_line"), F.col("e").cast("int").alias("end_line"), data.alias("data"), "error")
+    rows = rows.withColumn("lines", F.when(F.col("error").isNull(), F.slice("lines", F.col("s"), F.col("e") - F.col("s") + 1)))
+    rows = rows.withColumn("truncated", F.lit(False))
+    if budget is not None:
+        add = lambda s, x: F.struct((s["bytes"] + F.octet_length(x) + 1).alias("bytes"), (s["n"] + F.when(s["bytes"] + F.octet_length(x) + 1 <= budget, 1).otherwise(0)).alias("n"))
+        fits = F.aggregate("lines", F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n")), add)["n"]
+        rows = rows.withColumn("fits", fits).withColumn("truncated", F.coalesce(F.col("fits") < F.size("lines"), F.lit(False))).withColumn("lines", F.slice("lines", F.lit(1), F.col("fits")))
+        rows = rows.withColumn("e", F.when(F.col("truncated"), F.col("s") + F.col("fits") - 1).otherwise(F.col("e")))
+    return rows.select("request_id", "host", "path", F.col("s").cast("int").alias("start_line"), F.col("e").cast("int").alias("end_line"), F.array_join("lines", "\n").alias("data"), "truncated", "error")
 
 
 def ordered_roots(locations: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.functions.patterns import check_regex, excluded, included
+from corpuslens.functions.patterns import PatternError, check_regex, exclude_regex, excluded, ignore_glob, included
 from corpuslens.functions.text import binary, lines_of, loc, match_column, matches
-from corpuslens.options import EXCLUDES, LIMITS
+from corpuslens.options import LIMITS, all_excludes
 
 ORDER = ["host", "path", "line_number"]
 
@@ -21,7 +23,7 @@ class Search:
     hosts: tuple[str, ...] = ("*",)
     roots: tuple[str, ...] = ()
     path_globs: tuple[str, ...] = ()
-    excludes: tuple[str, ...] = EXCLUDES
+    excludes: tuple[str, ...] = ()  # added to the fixed ones
     context_lines: int = LIMITS.context_lines
     limit: int | None = None
     max_file_bytes: int = LIMITS.max_file_bytes
@@ -58,7 +60,7 @@ def candidate_files(files: DataFrame, search: Search) -> DataFrame:
     if search.mode == "regex":
         check_regex(files.sparkSession, search.query)
     files = select_hosts(files, search.hosts)
-    files = files.where(~excluded(F.col("rel_path"), search.excludes) & included(F.col("rel_path"), search.path_globs))
+    files = files.where(~excluded(F.col("rel_path"), all_excludes(search.excludes)) & included(F.col("rel_path"), search.path_globs))
     if search.max_file_bytes:
         files = files.where(F.col("size") <= search.max_file_bytes)
     files = files.where(~binary(F.col("text")))
@@ -69,13 +71,32 @@ def candidate_files(files: DataFrame, search: Search) -> DataFrame:
 
 def find_hits(files: DataFrame, search: Search) -> DataFrame:
     """host, root, path, line_number, text, column, context of every matching line."""
-    c = search.context_lines
     rows = candidate_files(files, search).select("host", "root", "path", lines_of(F.col("text")).alias("lines"))
     rows = rows.select("*", F.posexplode("lines").alias("k", "text")).where(matches(F.col("text"), search.query, search.mode))
-    first = F.greatest(F.col("k") - c, F.lit(0))
-    texts = F.slice("lines", first + 1, F.col("k") - first + 1 + c)
-    context = F.transform(texts, lambda x, i: F.struct((first + i + 1).cast("int").alias("line_number"), x.alias("text")))
-    return rows.select("host", "root", "path", (F.col("k") + 1).cast("int").alias("line_number"), "text", match_column(F.col("text"), search.query, search.mode).alias("column"), context.alias("context"))
+    column = match_column(F.col("text"), search.query, search.mode).alias("column")
+    return rows.select("host", "root", "path", (F.col("k") + 1).cast("int").alias("line_number"), "text", column, _context(F.col("k"), search.context_lines).alias("context"))
+
+
+def _context(k: Column, c: int) -> Column:
+    """Numbered lines around the line at k, of the array `lines`."""
+    first = F.greatest(k - c, F.lit(0))
+    texts = F.slice("lines", first + 1, k - first + 1 + c)
+    return F.transform(texts, lambda x, i: F.struct((first + i + 1).cast("int").alias("line_number"), x.alias("text")))
+
+
+def hit_keys(files: DataFrame, search: Search) -> DataFrame:
+    """host, path, line_number of every matching line: nothing else of a hit is carried along."""
+    rows = candidate_files(files, search).select("host", "path", F.posexplode(lines_of(F.col("text"))).alias("k", "line"))
+    return rows.where(matches(F.col("line"), search.query, search.mode)).select("host", "path", (F.col("k") + 1).cast("int").alias("line_number"))
+
+
+def with_context(keys: DataFrame, files: DataFrame, search: Search) -> DataFrame:
+    """Hits (as find_hits gives them) at these few keys, LIMITS.max_results at most: only their files are read again."""
+    few = F.broadcast(keys.groupBy("host", "path").agg(F.collect_list("line_number").alias("numbers")))
+    rows = files.select("host", "root", "path", "text").join(few, ["host", "path"]).select("host", "root", "path", lines_of(F.col("text")).alias("lines"), F.explode("numbers").alias("line_number"))
+    rows = rows.withColumn("text", F.element_at("lines", F.col("line_number")))
+    column = match_column(F.col("text"), search.query, search.mode).alias("column")
+    return rows.select("host", "root", "path", "line_number", "text", column, _context(F.col("line_number") - 1, search.context_lines).alias("context"))
 
 
 def join_context(hits: DataFrame, lines: DataFrame, c: int) -> DataFrame:
@@ -138,33 +159,97 @@ def show_hosts(ranges: DataFrame) -> DataFrame:
 def preview(lines: DataFrame, hits: DataFrame, max_lines: int = LIMITS.preview_lines, max_bytes: int = LIMITS.preview_bytes) -> DataFrame:
     """host, path, from_line, n_lines, n_bytes, truncated: what a preview from each hit's line shows."""
     start = hits.select("host", "path", F.col("line_number").alias("from_line"))
-    rows = lines.join(start, ["host", "path"]).where("line_number >= from_line")
+    # A line more than are shown tells whether there is more.
+    rows = lines.join(start, ["host", "path"]).where((F.col("line_number") >= F.col("from_line")) & (F.col("line_number") <= F.col("from_line") + max_lines))
     w = Window.partitionBy("host", "path", "from_line").orderBy("line_number")
     rows = rows.withColumn("k", F.row_number().over(w)).withColumn("bytes", F.sum(F.octet_length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     fits = (F.col("k") <= max_lines) & (F.col("bytes") <= max_bytes)
     return rows.groupBy("host", "path", "from_line").agg(F.count_if(fits).alias("n_lines"), F.coalesce(F.max(F.when(fits, F.col("bytes"))), F.lit(0)).alias("n_bytes"), F.bool_or(~fits).alias("truncated"))
 
 
-def multi_search(queries: DataFrame, lines: DataFrame, block: int = 500) -> DataFrame:
-    """query_id and hit of every literal query (query_id, query): queries are broadcast in blocks of this size, so a join's work is bounded by lines times block."""
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    numbered = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    out = None
+def _automaton(queries: list[tuple[str, int]]):
+    """Finds all of many literals in one pass over a text."""
+    words = ahocorasick.Automaton()
+    for text, number in queries:
+        words.add_word(text, (text, words.get(text, (text, ()))[1] + (number,)))
+    words.make_automaton()
+    return words
+
+
+def _scan_lines(queries: list[tuple[str, int]]):
+    def run(it):
+        words = _automaton(queries)
+        for batch in it:
+            rows, numbers = [], []
+            for k, text in enumerate(batch["text"].to_pylist()):
+                found = sorted({n for _, (_, ns) in words.iter(text or "") for n in ns})
+                rows += [k] * len(found)
+                numbers += found
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(rows, pa.int64())) for c in batch.columns] + [pa.array(numbers, pa.int64())], [*batch.schema.names, "_number"])
+
+    return run
+
+
+def multi_search(queries: DataFrame, lines: DataFrame, letters: int = 8_000_000) -> DataFrame:
+    """query_id, host, path, line_number, text of every line that holds a literal query (query_id, query); blank queries, and such with a newline, match nothing.
+
+    All queries are looked for in one pass over the lines, whatever their number: an automaton of them goes to each task. What it holds is
+    bounded: the queries are taken in blocks of this many letters, a pass each.
+    """
+    wanted = queries.where("trim(query) <> '' and not contains(query, '\n')").select("query_id", "query").distinct()
+    wanted = wanted.withColumn("_size", F.length("query"))
+    total = wanted.agg(F.sum("_size")).first()[0] or 0
+    parts = -(-total // letters)
+    lines = lines.select("host", "path", "line_number", "text")
+    schema = "host string, path string, line_number int, text string, _number long"
+    out = lines.join(wanted.select("query_id").limit(0), F.lit(True)).select("query_id", *lines.columns)
     for k in range(parts):
-        mine = F.broadcast(numbered.where(F.col("_part") == k).drop("_part"))
-        hits = lines.join(mine, F.contains(F.col("text"), F.col("query")))
-        out = hits if out is None else out.unionByName(hits)
+        block = wanted.where(F.pmod(F.xxhash64("query_id", "query"), F.lit(parts)) == k).orderBy("query_id", "query").collect()  # about `letters` letters
+        ids = lines.sparkSession.createDataFrame([(n, r["query_id"]) for n, r in enumerate(block)], f"_number long, query_id {dict(queries.dtypes)['query_id']}")
+        hits = lines.mapInArrow(_scan_lines([(r["query"], n) for n, r in enumerate(block)]), schema)
+        out = out.unionByName(hits.join(F.broadcast(ids), "_number").select("query_id", *lines.columns))
     return out
 
 
-def search_text(files: DataFrame, search: Search, known_roots: set[str] | None = None, budget: int = LIMITS.response_bytes) -> tuple[DataFrame, DataFrame]:
-    """(ranges, status): the first hits by host, path and line, merged to ranges within the byte budget; hosts with their counts and flags."""
+def request_error(search: Search, spark) -> str | None:
+    """What is wrong with a request's patterns; None where nothing is."""
+    try:
+        if search.mode == "regex":
+            check_regex(spark, search.query)
+        for glob in search.path_globs:
+            ignore_glob(glob)
+        exclude_regex(search.excludes)
+    except PatternError as e:
+        return str(e)
+    return None
+
+
+def search_text(
+    files: DataFrame, search: Search, known_roots: set[str] | None = None, known_hosts: set[str] | None = None, budget: int = LIMITS.response_bytes, verbose: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(results, status): the first hits by host, path and line, merged to ranges within the byte budget, or as they are (`verbose`);
+    and of each host, in order: host, ok, error, n_hits, truncated.
+
+    A blank query, and a host that isn't known, are errors. A bad regex or glob is a failed status of every host, without results. Hits are
+    found, capped and ordered as keys; lines around them are read for those that are left.
+    """
+    if not search.query.strip():
+        raise ValueError("the query is blank")
     limit = effective_limit(search.limit)
+    files = select_hosts(files, search.hosts, known_hosts)
     if known_roots is not None:
         files = select_roots(files, search.roots, known_roots)
-    hits = find_hits(files, search)
-    status = truncated_hosts(hits, limit)
-    ranges = show_hosts(compact(top_hits(cap_per_host(dedup_hits(hits), limit), limit)))
+    everywhere = files.select("host").distinct()
+    if error := request_error(search, files.sparkSession):
+        status = everywhere.select("host", F.lit(False).alias("ok"), F.lit(error).alias("error"), F.lit(0).cast("long").alias("n_hits"), F.lit(False).alias("truncated"))
+        rows = find_hits(files, Search("x", context_lines=search.context_lines)).limit(0)
+        return (rows if verbose else show_hosts(compact(rows)).withColumn("truncated", F.lit(False))), status.orderBy("host")
+    keys = hit_keys(files, search)
+    counts = everywhere.join(truncated_hosts(keys, limit), "host", "left")
+    status = counts.select("host", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("truncated", F.lit(False)).alias("truncated")).orderBy("host")
+    hits = with_context(top_hits(cap_per_host(keys.distinct(), limit), limit), files, search)
+    if verbose:
+        return within_budget(hits.withColumn("_all", F.lit(1)), F.octet_length("text"), budget, ["_all"], ORDER).drop("_all"), status
+    ranges = show_hosts(compact(hits))
     ranges = within_budget(ranges.withColumn("_all", F.lit(1)), F.octet_length("data"), budget, ["_all"], ["host", "path", "start_line"]).drop("_all")
     return ranges, status

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import UNREADABLE_MESSAGE, safe_error, unreadable
+from corpuslens.operators.registry import freshness
 
 
 def rollup(flags: DataFrame) -> DataFrame:
@@ -40,12 +41,27 @@ def diagnostics(lines: DataFrame, key: str = "run") -> DataFrame:
 
 
 def pending(targets: DataFrame, finished: DataFrame, keys: list[str]) -> DataFrame:
+    """Targets that haven't finished."""
     return targets.join(finished.select(*keys).distinct(), keys, "left_anti")
 
 
 def first_per_host(status: DataFrame, order: str) -> DataFrame:
+    """One row a host, the first one, in order of hosts."""
     w = Window.partitionBy("host").orderBy(order)
-    return status.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return status.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").orderBy("host")
+
+
+def node_status(status: DataFrame, files: DataFrame, states: DataFrame, registry: DataFrame, now_ms: int, order: str = "seq") -> DataFrame:
+    """host, ok, error, indexed_files, index_state, generation, freshness of every host that reported, in order of hosts.
+
+    status: (host, ok, error, and what orders a host's reports, of which the first counts); states: index.latest_state of roots named by host; a
+    host without a state has no index yet, one without a registry row no freshness.
+    """
+    indexed = files.groupBy("host").agg(F.count("*").alias("indexed_files"))
+    state = states.select(F.col("root").alias("host"), F.col("state").alias("index_state"), "generation")
+    fresh = registry.select("host", freshness(F.col("fetched_at_ms"), F.col("expires_at_ms"), F.col("last_refresh_error"), F.lit(now_ms)).alias("freshness"))
+    rows = first_per_host(status, order).join(indexed, "host", "left").join(state, "host", "left").join(fresh, "host", "left")
+    return rows.select("host", "ok", "error", F.coalesce("indexed_files", F.lit(0)).alias("indexed_files"), F.coalesce("index_state", F.lit("missing")).alias("index_state"), F.coalesce("generation", F.lit(0)).alias("generation"), F.coalesce("freshness", F.lit("empty")).alias("freshness")).orderBy("host")
 
 
 def unique_in_order(hosts: DataFrame, host: str = "host", position: str = "pos") -> DataFrame:

@@ -34,7 +34,6 @@ EXCLUDES = (
     "**/go/pkg/mod/**",
     "**/.local/share/Trash/**",
     "**/diag-live/**",
-    "**/.grepmesh-jobs/**",
     "**/.ssh/**",
     "**/.gnupg/**",
     "**/.aws/credentials",
@@ -56,6 +55,12 @@ EXCLUDES = (
 )
 
 
+def all_excludes(user=(), job_folder: str | None = None) -> tuple[str, ...]:
+    """The fixed excludes, the folder where job results are kept, and the user's own, each once."""
+    jobs = (f"**/{job_folder}/**",) if job_folder else ()
+    return tuple(dict.fromkeys((*EXCLUDES, *jobs, *user)))
+
+
 # Budgets and intervals, in bytes, rows and milliseconds.
 @dataclass(frozen=True)
 class Limits:

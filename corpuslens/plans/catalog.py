@@ -11,7 +11,7 @@ from corpuslens.functions import text as X
 from corpuslens.functions.patterns import excluded
 from corpuslens.operators import backup, index, jobs, paths, registry, search, status
 from corpuslens.operators.search import Search
-from corpuslens.options import LIMITS
+from corpuslens.options import LIMITS, all_excludes
 from corpuslens.sources import corpora
 from corpuslens.sources.shared import new_path
 from corpuslens.streaming import jobs as streaming
@@ -36,6 +36,7 @@ LINES = (
 HITS = LINES + ", n AS (SELECT host, path, max(line_number) AS total FROM l GROUP BY host, path), h AS (SELECT * FROM l WHERE contains(text, 'ering'))"
 CAPPED = HITS + ", c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY path, line_number) AS k FROM h) WHERE k <= {k})"
 QUERY = Search("ering")
+HOSTS = {f"src{k}" for k in range(20)}
 
 
 def query(sql: str | None = None):
@@ -86,9 +87,10 @@ def literal_search(spark, sf_dir):
     return _hits(spark, sf_dir).select(*HIT_COLUMNS)
 
 
-@query(f"WITH {LINES} SELECT host, path, line_number, text FROM l WHERE contains(lower(text), lower('DER VER'))")
+@query(f"""WITH {LINES}, x AS (SELECT *, strpos(translate(text, '{X.UPPER}', '{X.LOWER}'), 'der ver') AS k FROM l WHERE contains(lower(text), lower('DER VER')))
+SELECT host, path, line_number, text, CAST(CASE WHEN k > 0 THEN strlen(substr(text, 1, k - 1)) + 1 ELSE 1 END AS INTEGER) AS \"column\" FROM x""")
 def ci_search(spark, sf_dir):
-    return _hits(spark, sf_dir, Search("DER VER", mode="case_insensitive_literal")).select(*HIT_COLUMNS)
+    return _hits(spark, sf_dir, Search("DER VER", mode="case_insensitive_literal")).select(*HIT_COLUMNS, "column")
 
 
 @query(f"WITH {LINES} SELECT host, path, line_number, text, 1 AS \"column\" FROM l WHERE regexp_matches(text, 'th[a-e]+ting [aeiou]')")
@@ -106,6 +108,14 @@ def exclude_filter(spark, sf_dir):
     return _docs(spark, sf_dir).where(~excluded(F.col("rel_path"), ["1**", "*7.txt", "**/.git/**"])).select("host", "path")
 
 
+@query(f"WITH {FILES}, p AS (SELECT host, CASE doc_id % 6 WHEN 0 THEN '.ssh/' WHEN 1 THEN 'a\\\\.git\\\\' WHEN 2 THEN 'private/' ELSE 'open/' END || rel_path AS rel_path FROM f) SELECT host, rel_path FROM p WHERE starts_with(rel_path, 'open/') AND NOT rel_path LIKE '%7.txt'")
+def exclude_union(spark, sf_dir):
+    """The fixed excludes hold beside the user's; backslashes count as slashes."""
+    at = F.expr(r"case cast(regexp_extract(rel_path, '^([0-9]+)', 1) as bigint) % 6 when 0 then '.ssh/' when 1 then 'a\\\\.git\\\\' when 2 then 'private/' else 'open/' end || rel_path")
+    rows = _docs(spark, sf_dir).withColumn("rel_path", at)
+    return rows.where(~excluded(F.col("rel_path"), all_excludes(("*7.txt", "private/**"), ".jobs"))).select("host", "rel_path")
+
+
 @query(f"WITH {FILES} SELECT host, path, size FROM f WHERE size <= 2000")
 def size_filter(spark, sf_dir):
     return _docs(spark, sf_dir).where("size <= 2000").select("host", "path", "size")
@@ -123,13 +133,14 @@ def root_select(spark, sf_dir):
 
 @query(f"WITH {FILES} SELECT host, path FROM f WHERE host IN ('src0', 'src3')")
 def host_select(spark, sf_dir):
-    return search.select_hosts(_docs(spark, sf_dir), ("src3", "src0", "src3"), {f"src{k}" for k in range(20)}).select("host", "path")
+    return search.select_hosts(_docs(spark, sf_dir), ("src3", "src0", "src3"), HOSTS).select("host", "path")
 
 
-@query(f"WITH {FILES}, r AS (SELECT DISTINCT host, '/corpus/' || root AS root FROM f WHERE root <> 'en') SELECT f.host, f.path FROM f WHERE EXISTS (SELECT 1 FROM r WHERE r.host = f.host AND starts_with(f.path, r.root || '/'))")
+@query(f"WITH {FILES}, r AS (SELECT DISTINCT host, CASE root WHEN 'en' THEN '/elsewhere' ELSE '/corpus/' || root END AS root FROM f) SELECT f.host, f.path FROM f WHERE EXISTS (SELECT 1 FROM r WHERE r.host = f.host AND starts_with(f.path, r.root || '/'))")
 def contained_paths(spark, sf_dir):
     files = _docs(spark, sf_dir)
-    return paths.contained(files.select("host", "path"), corpora.corpus_locations(files.where("root <> 'en'")))
+    moved = corpora.corpus_locations(files).withColumn("path", F.when(F.col("name") == "en", "/elsewhere").otherwise(F.col("path")))
+    return paths.contained(files.select("host", "path"), moved)
 
 
 @query(f"WITH {HITS} SELECT host, path, line_number, CAST(strlen(substr(text, 1, strpos(text, 'ering') - 1)) + 1 AS INTEGER) AS \"column\" FROM h")
@@ -220,22 +231,52 @@ b AS (SELECT *, sum(strlen(data)) OVER (ORDER BY host, path, start_line ROWS UNB
 SELECT host, path, start_line, end_line, data FROM b WHERE s <= 131072"""
 )
 def search_text(spark, sf_dir):
-    ranges, _ = search.search_text(_docs(spark, sf_dir), Search("eringh"), {"de", "en", "es", "fr"})
+    ranges, _ = search.search_text(_docs(spark, sf_dir), Search("eringh"), {"de", "en", "es", "fr"}, HOSTS)
     return ranges.select("host", "path", "start_line", "end_line", "data")
 
 
-@query("WITH q AS (SELECT item_id AS query_id, string_split(text, chr(10))[1] AS query FROM benchmark), " + LINES + " SELECT query_id, l.host, l.path, l.line_number FROM l JOIN q ON contains(l.text, q.query)")
+@query(f"""WITH {CAPPED.format(k=64).replace("contains(text, 'ering')", "contains(text, 'eringh')")}, t AS (SELECT * FROM c ORDER BY host, path, line_number LIMIT 64), g AS (SELECT host, path, line_number, CAST(strlen(substr(text, 1, strpos(text, 'eringh') - 1)) + 1 AS INTEGER) AS "column", text, sum(strlen(text)) OVER (ORDER BY host, path, line_number) AS s FROM t)
+SELECT g.host, g.path, g.line_number, "column", g.text, string_agg(l.text, '|' ORDER BY l.line_number) AS context FROM g JOIN l ON l.host = g.host AND l.path = g.path AND l.line_number BETWEEN g.line_number - 2 AND g.line_number + 2 WHERE s <= 131072 GROUP BY g.host, g.path, g.line_number, "column", g.text""")
+def search_text_verbose(spark, sf_dir):
+    hits, _ = search.search_text(_docs(spark, sf_dir), Search("eringh"), {"de", "en", "es", "fr"}, HOSTS, verbose=True)
+    return hits.select(*HIT_COLUMNS, "column", F.array_join(F.transform("context", lambda x: x["text"]), "|").alias("context"))
+
+
+@query(f"WITH {HITS}, q AS (SELECT DISTINCT host FROM f WHERE host IN ('src1', 'src2', 'src5')), n2 AS (SELECT host, count(*) AS n_hits FROM h GROUP BY host) SELECT q.host, true AS ok, coalesce(n_hits, 0) AS n_hits, coalesce(n_hits, 0) > 9 AS truncated FROM q LEFT JOIN n2 USING (host)")
+def search_status(spark, sf_dir):
+    _, said = search.search_text(_docs(spark, sf_dir), Search("ering", hosts=("src5", "src1", "src2"), limit=9), known_hosts=HOSTS)
+    return said.select("host", "ok", "n_hits", "truncated")
+
+
+@query("SELECT source AS host, false AS ok, 'bad pattern ' || chr(39) || '(' || chr(39) AS error, CAST(0 AS BIGINT) AS n_hits FROM documents GROUP BY source")
+def search_failed_status(spark, sf_dir):
+    """A bad regex is a failed status of every host asked, and no hits."""
+    ranges, said = search.search_text(_docs(spark, sf_dir), Search("(", mode="regex"), known_hosts=HOSTS)
+    return said.join(ranges.select("host", "data"), "host", "left").where("data is null").select("host", "ok", "error", "n_hits")
+
+
+@query("WITH q AS (SELECT item_id AS query_id, unnest(string_split(text, chr(10))) AS query FROM benchmark), " + LINES + " SELECT DISTINCT query_id, l.host, l.path, l.line_number FROM l JOIN q ON contains(l.text, q.query) WHERE trim(query) <> ''")
 def multi_query(spark, sf_dir):
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("query"))
-    return search.multi_search(items, _lines(spark, sf_dir)).select("query_id", "host", "path", "line_number")
+    """Every line of every benchmark text is a query."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split("text", "\n")).alias("query"))
+    return search.multi_search(items, _lines(spark, sf_dir)).select("query_id", "host", "path", "line_number").distinct()
 
 
 @query(f"WITH {LINES} SELECT path, line_number, text FROM l")
 def grep_output_parse(spark, sf_dir):
-    said = _lines(spark, sf_dir).select(F.concat_ws(":", "path", F.col("line_number").cast("string"), "text").alias("value"))
-    said = said.unionByName(said.limit(3).select(F.lit("no such output").alias("value")))
-    part = lambda k: F.regexp_extract("value", r"(?s)^([^:]*):(\d+):(.*)$", k)
-    return said.select(part(1).alias("path"), F.expr("try_cast(regexp_extract(value, '(?s)^([^:]*):([0-9]+):(.*)$', 2) AS int)").alias("line_number"), part(3).alias("text")).where("line_number is not null")
+    rows = _lines(spark, sf_dir)
+    said = F.concat_ws(":", F.concat(F.lit("./"), "path"), F.col("line_number").cast("string"), "text")
+    said = rows.select(F.explode(F.array(said, F.concat(F.lit("no such output "), "text").substr(1, 14))).alias("value"))
+    return said.select(X.grep_line(F.col("value")).alias("g")).where("g is not null").select("g.*")
+
+
+@query(f"WITH {HITS} SELECT host, path, line_number, text FROM h")
+def json_round_trip(spark, sf_dir):
+    """Hits as JSON and back; texts that are no such rows are left out."""
+    said = _hits(spark, sf_dir).select(X.encoded(F.struct(*HIT_COLUMNS)).alias("json"))
+    said = said.select(F.explode(F.array("json", F.substring("json", 1, 9))).alias("json"))
+    rows = said.select(X.decoded(F.col("json"), "host string, path string, line_number int, text string").alias("r"))
+    return rows.where("r.path is not null").select("r.*")
 
 
 # Paths, listings, reads
@@ -251,6 +292,26 @@ def find_paths_glob(spark, sf_dir):
     return paths.find_paths(_docs(spark, sf_dir), "*[13]?.txt")
 
 
+@query(f"WITH {FILES}, p AS (SELECT host, path FROM f WHERE contains('./' || rel_path, '7') AND host <> 'src4'), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY path) AS k FROM p), t AS (SELECT * FROM r WHERE k <= 41 ORDER BY host, path LIMIT 40), b AS (SELECT *, sum(strlen(path)) OVER (ORDER BY host, path) AS s FROM t) SELECT host, path, 'file' AS kind, (SELECT count(*) FROM p) > 40 OR (SELECT max(s) FROM b) > 600 AS truncated FROM b WHERE s <= 600")
+def find_paths_limited(spark, sf_dir):
+    hosts = tuple(sorted(HOSTS - {"src4"}))
+    return paths.search_paths(_docs(spark, sf_dir), "7", hosts=hosts, known_hosts=HOSTS, limit=40, budget=600)
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'directory' WHEN 'view' THEN 'file' ELSE 'other' END AS kind FROM events")
+def path_kinds(spark, sf_dir):
+    mode = F.expr("case event_type when 'click' then 'drwxr-xr-x' when 'view' then '-rw-r--r--' else 'lrwxrwxrwx' end")
+    return _table(spark, sf_dir, "events").select("event_id", X.kind_of(mode).alias("kind"))
+
+
+@query(f"WITH {FILES} SELECT 'job-' || doc_id AS job_id, path || '.json' AS path FROM f WHERE doc_id % 3 <> 1")
+def artifact_names(spark, sf_dir):
+    """Stored results among other files, by their names."""
+    name = F.expr("case cast(regexp_extract(rel_path, '^([0-9]+)', 1) as bigint) % 3 when 1 then 'notes-' else 'job-' end || replace(rel_path, '.txt', '.json')")
+    rows = _docs(spark, sf_dir).withColumn("rel_path", F.concat(F.lit("kept/"), name)).withColumn("path", F.concat("path", F.lit(".json")))
+    return jobs.artifacts(rows).select("job_id", "path")
+
+
 @query(f"WITH {FILES} SELECT host, path, size, modified_ms FROM f")
 def inventory(spark, sf_dir):
     return _docs(spark, sf_dir).select("host", "path", "size", "modified_ms")
@@ -264,6 +325,17 @@ def list_directory(spark, sf_dir):
     return _as_text(paths.list_directory(corpora.pages(spark, sf_dir), "/en"), "size", "modified_ms")
 
 
+@query(f"WITH {FILES} SELECT DISTINCT rel_path AS name, path, 'file' AS kind, CAST(size AS VARCHAR) AS size, CAST(modified_ms AS VARCHAR) AS modified_ms, NULL AS error FROM f WHERE host = 'src1' AND root = 'en' UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, e FROM (VALUES ('outside the roots'), ('excluded'), ('not a directory')) t(e)")
+def browse_directory(spark, sf_dir):
+    """A directory, and three that are refused."""
+    files = _docs(spark, sf_dir)
+    places, out = corpora.corpus_locations(files), None
+    for directory in ("/corpus/en/", "/etc", "/corpus/en/.git", "/corpus/en/none"):
+        rows = paths.browse(files, places, "src1", directory)
+        out = rows if out is None else out.unionByName(rows)
+    return _as_text(out, "size", "modified_ms", "error")
+
+
 @query(f"WITH {FILES} SELECT DISTINCT host, root AS name, '/corpus/' || root AS path FROM f ORDER BY host, path")
 def list_locations(spark, sf_dir):
     return corpora.corpus_locations(_docs(spark, sf_dir)).orderBy("host", "path")
@@ -281,7 +353,7 @@ def root_priority(spark, sf_dir):
     return paths.ordered_roots(corpora.corpus_locations(_docs(spark, sf_dir)).withColumn("name", names)).select("host", "path", "rank")
 
 
-_READS = """q AS (SELECT event_id AS request_id, 'src' || (event_id % 20) AS host, '/corpus/' || CASE WHEN event_id % 4 = 0 THEN 'en' ELSE 'de' END || '/' || (event_id % 3000) || '.txt' AS path, CAST(user_id % 7 AS INTEGER) AS st, CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(user_id % 11 AS INTEGER) END AS en FROM events)"""
+_READS = """q AS (SELECT event_id AS request_id, source AS host, '/corpus/' || CASE WHEN event_id % 5 = 0 THEN 'xx' ELSE lang END || '/' || doc_id || '.txt' AS path, CAST(user_id % 7 AS INTEGER) AS st, CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(user_id % 11 AS INTEGER) END AS en FROM events JOIN documents ON event_id % (SELECT count(*) FROM documents) = doc_id)"""
 
 
 @query(
@@ -293,19 +365,35 @@ CASE WHEN known THEN coalesce(string_agg(l.text, chr(10) ORDER BY l.line_number)
 FROM y LEFT JOIN l ON l.host = y.host AND l.path = y.path AND l.line_number BETWEEN s AND e GROUP BY request_id, y.host, y.path, known, s, e"""
 )
 def read_lines(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
-    requests = events.selectExpr("event_id request_id", "'src' || (event_id % 20) host", "'/corpus/' || case when event_id % 4 = 0 then 'en' else 'de' end || '/' || (event_id % 3000) || '.txt' path", "cast(user_id % 7 as int) start", "case when user_id % 3 = 0 then null else cast(user_id % 11 as int) end `end`")
-    return _as_text(paths.read_lines(requests, _docs(spark, sf_dir)), "start_line", "end_line")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    # The events ask for all documents in turn.
+    n = docs.count()
+    asked = _table(spark, sf_dir, "events").withColumn("doc_id", F.col("event_id") % n).join(docs, "doc_id")
+    requests = asked.selectExpr("event_id request_id", "source host", "'/corpus/' || case when event_id % 5 = 0 then 'xx' else lang end || '/' || doc_id || '.txt' path", "cast(user_id % 7 as int) start", "case when user_id % 3 = 0 then null else cast(user_id % 11 as int) end `end`")
+    return _as_text(paths.read_lines(requests, _docs(spark, sf_dir)).drop("truncated"), "start_line", "end_line")
+
+
+@query(
+    f"""WITH {LINES}, r AS (SELECT DISTINCT host, path FROM f), b AS (SELECT l.host, l.path, l.line_number, l.text, f.root, sum(strlen(l.text) + 1) OVER (PARTITION BY l.host, l.path ORDER BY l.line_number) AS s, count(*) OVER (PARTITION BY l.host, l.path) AS n FROM l JOIN f ON f.host = l.host AND f.path = l.path WHERE l.line_number >= 2),
+g AS (SELECT host, path, count(*) FILTER (s <= 700) AS fits, max(n) AS n, string_agg(text, chr(10) ORDER BY line_number) FILTER (s <= 700) AS data FROM b WHERE root <> 'fr' GROUP BY host, path)
+SELECT f.host, f.path, CASE WHEN f.root = 'fr' THEN NULL ELSE coalesce(data, '') END AS data, CASE WHEN f.root = 'fr' THEN false ELSE coalesce(fits < n, false) END AS truncated, CASE WHEN f.root = 'fr' THEN 'outside the roots' END AS error FROM f LEFT JOIN g ON g.host = f.host AND g.path = f.path"""
+)
+def read_budget(spark, sf_dir):
+    """Every document from its second line on, within a budget; one root isn't open."""
+    files = _docs(spark, sf_dir)
+    places = corpora.corpus_locations(files).where("name <> 'fr'")
+    requests = files.select(F.col("rel_path").alias("request_id"), "host", "path", F.lit(2).alias("start"), F.lit(None).cast("int").alias("end"))
+    return paths.read_lines(requests, files, locations=places, budget=700).select("host", "path", "data", "truncated", "error")
 
 
 # Status, catalog, counts
 
-_FLAGS = """s AS (SELECT source AS host, toxic = 0 AS ok, CASE WHEN toxic = 1 AND quality = 0 THEN 'peer timeout' WHEN toxic = 1 THEN 'path not readable' END AS error FROM labels JOIN documents USING (doc_id) WHERE source <> 'src7'),
+_FLAGS = """s AS (SELECT source AS host, toxic = 0 AS ok, CASE WHEN toxic = 1 AND quality = 0 THEN 'peer timeout' WHEN toxic = 1 THEN 'path not readable' END AS error FROM labels JOIN documents USING (doc_id)),
 r AS (SELECT host, bool_and(ok) AS ok, min(error) AS error FROM s GROUP BY host)"""
 
 
 def _flags(spark, sf_dir):
-    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").where("source <> 'src7'")
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     return rows.selectExpr("source host", "toxic = 0 ok", "case when toxic = 1 and quality = 0 then 'peer timeout' when toxic = 1 then 'path not readable' end error")
 
 
@@ -320,17 +408,33 @@ def overall_status(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FILES}, {_FLAGS}, l AS (SELECT host, string_agg(DISTINCT '/corpus/' || root, ',' ORDER BY '/corpus/' || root) AS roots FROM f WHERE host <> 'src3' GROUP BY host),
+    f"""WITH {FILES}, {_FLAGS}, l AS (SELECT host, string_agg(DISTINCT '/corpus/' || root, ',' ORDER BY '/corpus/' || root) AS roots FROM (SELECT root, CASE host WHEN 'src3' THEN 'silent' ELSE host END AS host FROM f) GROUP BY host),
 j AS (SELECT coalesce(l.host, r.host) AS host, coalesce(roots, '') AS roots, r.host IS NOT NULL AS known, coalesce(ok, false) AS ok, error FROM l FULL OUTER JOIN r ON l.host = r.host),
 e AS (SELECT *, CASE WHEN NOT known THEN 'Device did not report its catalog status.' WHEN error IS NULL THEN NULL WHEN contains(error, 'timeout') THEN 'Device did not respond before the request deadline.' ELSE 'Some configured paths are not readable.' END AS last_error FROM j)
 SELECT host, roots, CASE WHEN ok THEN 'healthy' WHEN starts_with(coalesce(last_error, ''), 'Some configured paths') THEN 'degraded' ELSE 'offline' END AS health, last_error FROM e"""
 )
 def catalog_health(spark, sf_dir):
-    locations = corpora.corpus_locations(_docs(spark, sf_dir)).where("host <> 'src3'")
+    # One host reports under another name: it has roots without a status, and a status without roots.
+    locations = corpora.corpus_locations(_docs(spark, sf_dir)).withColumn("host", F.when(F.col("host") == "src3", "silent").otherwise(F.col("host")))
     out = status.catalog(locations, status.rollup(_flags(spark, sf_dir)))
     return out.select("host", F.array_join("roots", ",").alias("roots"), "health", "last_error")
 
 
+_NODES = """s AS (SELECT source AS host, toxic = 0 AS ok, CASE WHEN toxic = 1 THEN 'peer timeout' END AS error, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT 'src' || (user_id % 15) AS host, event_type <> 'error' AS ok, event_id FROM events),
+i AS (SELECT host, arg_max(ok, event_id) AS ok, count(*) FILTER (ok) AS generation FROM g GROUP BY host),
+r AS (SELECT 'src' || n_nationkey AS host, n_nationkey % 3 * 1000 AS expires FROM nation), c AS (SELECT source AS host, count(*) AS n FROM documents GROUP BY source)"""
+
+
+@query(f"WITH {_NODES} SELECT s.host, s.ok, s.error, coalesce(c.n, 0) AS indexed_files, CASE WHEN i.ok IS NULL THEN 'missing' WHEN i.ok THEN 'ready' ELSE 'degraded' END AS index_state, coalesce(i.generation, 0) AS generation, CASE WHEN expires IS NULL THEN 'empty' WHEN 1500 <= expires THEN 'fresh' ELSE 'stale_but_usable' END AS freshness FROM s LEFT JOIN c USING (host) LEFT JOIN i USING (host) LEFT JOIN r USING (host) WHERE k = 1")
+def node_status(spark, sf_dir):
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    said = rows.selectExpr("source host", "toxic = 0 ok", "case when toxic = 1 then 'peer timeout' end error", "doc_id seq")
+    log = _table(spark, sf_dir, "events").selectExpr("'src' || (user_id % 15) root", "event_type <> 'error' ok", "cast(null as string) error", "event_id indexed_files", "event_id at_ms")
+    known = _table(spark, sf_dir, "nation").selectExpr("'src' || n_nationkey host", "cast(1 as bigint) fetched_at_ms", "n_nationkey % 3 * 1000 expires_at_ms", "cast(null as string) last_refresh_error")
+    return status.node_status(said, _docs(spark, sf_dir), index.latest_state(log), known, 1500)
+
+
 @query(f"WITH {FILES}, p AS (SELECT DISTINCT host, '/corpus/' || root || '/' || (doc_id % 100) AS path FROM f) SELECT host, path, CASE WHEN count(*) OVER (PARTITION BY path) > 1 THEN host END AS shown_host FROM p")
 def ambiguous_paths(spark, sf_dir):
     doc = F.regexp_extract("rel_path", r"^(\d+)", 1).cast("long")
@@ -371,15 +475,42 @@ def trigram_postings(spark, sf_dir):
     return index.build_postings(_docs(spark, sf_dir))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _stored_index(spark, sf_dir) -> DataFrame:
+    """The postings of all documents, written once by an application, sorted by gram."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        at = new_path(spark, "postings")
+        index.write_postings(index.build_postings(_docs(spark, sf_dir)), at)
+        _indexes[key] = at
+    return index.load_postings(spark, _indexes[key])
+
+
 @query(f"WITH {FILES} SELECT host, path FROM f WHERE contains(lower(text), 'ing') AND contains(lower(text), 'ngw') AND contains(lower(text), 'gwh')")
 def trigram_candidates(spark, sf_dir):
-    return index.candidates(index.build_postings(_docs(spark, sf_dir)), "ingwh")
+    return index.candidates(_stored_index(spark, sf_dir), "ingwh")
 
 
 @query(f"WITH {FILES} SELECT host, path FROM f WHERE contains(text, 'ingwh')")
 def indexed_search(spark, sf_dir):
-    files = _docs(spark, sf_dir)
-    return index.indexed_files(files, index.build_postings(files), "ingwh").select("host", "path")
+    """By the stored index where its counts say that it pays, else by a scan."""
+    files, postings = _docs(spark, sf_dir), _stored_index(spark, sf_dir)
+    if not index.worth_it(postings, "ingwh", files.count()):
+        return files.where(X.matches(F.col("text"), "ingwh", "literal")).select("host", "path")
+    return index.indexed_files(files, postings, "ingwh").select("host", "path")
+
+
+@query(f"WITH {FILES} SELECT count(*) AS n_files, 0 AS n_left FROM f WHERE contains(lower(text), 'ing')")
+def index_replaced(spark, sf_dir):
+    """An index written, cleared and written again."""
+    at, count = new_path(spark, "postings"), lambda: index.load_postings(spark, at).where("gram = 'ing'").count()
+    index.write_postings(index.build_postings(_docs(spark, sf_dir)), at)
+    index.clear_postings(spark, at)
+    left = count()
+    index.write_postings(index.build_postings(_docs(spark, sf_dir)), at)
+    return index.load_postings(spark, at).where("gram = 'ing'").agg(F.count("*").alias("n_files"), F.lit(left).alias("n_left"))
 
 
 @query(f"WITH {FILES} SELECT host, path FROM f WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -430,10 +561,17 @@ def _targets(arrivals):
     return started.select("job_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("n"), "started_ms").selectExpr("job_id", "'node' || n host", "started_ms")
 
 
-@query(f"WITH {_TARGETS}, c AS (SELECT t.job_id, t.host, count(*) FILTER (arrival_ms <= started_ms + 21600000) AS n_hits FROM t LEFT JOIN a ON a.job_id = t.job_id AND a.host = t.host GROUP BY t.job_id, t.host) SELECT job_id, host, n_hits > 0 AS ok, CASE WHEN n_hits = 0 THEN 'overall timeout' END AS error, n_hits FROM c")
+_FINISHED = "d AS (SELECT job_id, host, CASE host WHEN 'node7' THEN started_ms + 5 WHEN 'node8' THEN started_ms + 21600001 WHEN 'node2' THEN started_ms + 21600000 ELSE started_ms + 86400000 END AS finished_ms, CASE host WHEN 'node2' THEN 'path not readable' END AS error FROM t WHERE host <> 'node3')"
+
+
+@query(f"""WITH {_TARGETS}, {_FINISHED}, c AS (SELECT t.job_id, t.host, count(arrival_ms) AS n_hits FROM t LEFT JOIN a ON a.job_id = t.job_id AND a.host = t.host AND arrival_ms <= started_ms + 21600000 GROUP BY t.job_id, t.host)
+SELECT t.job_id, t.host, coalesce(finished_ms <= started_ms + 21600000, false) AND d.error IS NULL AS ok, CASE WHEN coalesce(finished_ms <= started_ms + 21600000, false) THEN d.error ELSE 'overall timeout' END AS error, n_hits FROM t JOIN c ON c.job_id = t.job_id AND c.host = t.host LEFT JOIN d ON d.job_id = t.job_id AND d.host = t.host""")
 def deadline_status(spark, sf_dir):
+    """node7 finishes at once without a hit, node2 in time with an error, node8 just too late, node3 never."""
     arrivals = _arrivals(spark, sf_dir)
-    return jobs.at_deadline(_targets(arrivals), arrivals, 21_600_000)
+    targets = _targets(arrivals)
+    done = targets.where("host <> 'node3'").selectExpr("job_id", "host", "case host when 'node7' then started_ms + 5 when 'node8' then started_ms + 21600001 when 'node2' then started_ms + 21600000 else started_ms + 86400000 end finished_ms", "case host when 'node2' then 'path not readable' end error")
+    return jobs.at_deadline(targets, arrivals, done, 21_600_000)
 
 
 @query(f"WITH {_TARGETS} SELECT a.job_id, count(*) FILTER (arrival_ms - started_ms <= 3600000) AS n_foreground, count(*) FILTER (arrival_ms - started_ms <= 86400000) AS n_job FROM a JOIN t ON a.job_id = t.job_id AND a.host = t.host GROUP BY a.job_id")
@@ -448,13 +586,40 @@ def interrupted_hosts(spark, sf_dir):
     return jobs.interrupted(_targets(arrivals), arrivals)
 
 
-@query(f"WITH {_ARRIVALS}, s AS (SELECT path AS job_id, count(*) FILTER (line_number = 1) AS n_pending, count(*) AS n_hosts, count(*) FILTER (job_id <> 'error') AS n_ok, min(line_number) > 1 AS lost FROM a WHERE line_number > 1 OR host = 'node1' GROUP BY path) SELECT job_id, CASE WHEN n_pending > 0 THEN 'running' WHEN lost AND n_hosts % 2 = 0 THEN 'lost' WHEN n_ok = 0 THEN 'failed' ELSE 'complete' END AS state FROM s")
+@query(f"WITH {_ARRIVALS}, s AS (SELECT path AS job_id, count(*) FILTER (line_number = 1 AND host = 'node1') AS n_pending, count(*) AS n_hosts, count(*) FILTER (job_id <> 'error') AS n_ok, sum(line_number) AS s FROM a GROUP BY path) SELECT job_id, CASE WHEN n_pending > 3 THEN 'running' WHEN s % 3 = 0 THEN 'lost' WHEN n_ok = 0 OR s % 3 = 1 THEN 'failed' ELSE 'complete' END AS state FROM s")
 def job_states(spark, sf_dir):
-    rows = _arrivals(spark, sf_dir).where("line_number > 1 or host = 'node1'").groupBy("path").agg(F.count_if(F.col("line_number") == 1).alias("n_pending"), F.count("*").alias("n_hosts"), F.count_if(F.col("job_id") != "error").alias("n_ok"), (F.min("line_number") > 1).alias("lost"))
-    state = jobs.job_state(F.col("n_pending"), F.col("lost") & (F.col("n_hosts") % 2 == 0), F.col("n_hosts"), F.col("n_ok"), F.lit(None).cast("string"))
+    rows = _arrivals(spark, sf_dir).groupBy("path").agg(F.count_if((F.col("line_number") == 1) & (F.col("host") == "node1")).alias("n_pending"), F.count("*").alias("n_hosts"), F.count_if(F.col("job_id") != "error").alias("n_ok"), F.sum("line_number").alias("s"))
+    pending = F.when(F.col("n_pending") > 3, F.col("n_pending")).otherwise(0)
+    broken = F.when((F.col("s") % 3 == 1) & (pending == 0), "disk full")
+    state = jobs.job_state(pending, F.col("s") % 3 == 0, F.col("n_hosts"), F.col("n_ok"), broken)
     return rows.select(F.col("path").alias("job_id"), state.alias("state"))
 
 
+_POLLS = f"""{_SEQ}, r AS (SELECT job_id, seq FROM q WHERE seq <= 100), hs AS (SELECT DISTINCT job_id, host, CASE WHEN job_id = 'click' AND host = 'node1' THEN NULL ELSE job_id <> 'view' END AS ok FROM a),
+jb AS (SELECT job_id, CASE job_id WHEN 'error' THEN 0 ELSE 900 END AS created_ms FROM a GROUP BY job_id), p AS (SELECT job_id FROM jb UNION ALL SELECT 'never started')"""
+
+
+@query(f"""WITH {_POLLS}, x AS (SELECT p.job_id, coalesce(1000 - created_ms < 1000, false) AS known, (SELECT count(*) FROM hs WHERE hs.job_id = p.job_id) AS n_hosts, (SELECT count(*) FROM hs WHERE hs.job_id = p.job_id AND ok IS NULL) AS n_pending, (SELECT count(*) FROM hs WHERE hs.job_id = p.job_id AND ok) AS n_ok, (SELECT count(*) FROM r WHERE r.job_id = p.job_id) AS last FROM p LEFT JOIN jb USING (job_id)),
+y AS (SELECT *, CASE WHEN NOT known THEN 'expired' WHEN n_pending > 0 THEN 'running' WHEN n_ok = 0 THEN 'failed' ELSE 'complete' END AS state, CASE WHEN known THEN greatest(least(last - 70, 40), 0) ELSE 0 END AS n_rows FROM x)
+SELECT job_id, state, state <> 'expired' AND (state = 'running' OR n_ok + n_pending < n_hosts) AS partial, n_hosts, n_pending, CAST(n_rows AS BIGINT) AS n_rows, CASE WHEN state = 'running' OR (known AND 70 + n_rows < last) THEN CAST(70 + n_rows AS VARCHAR) END AS next_cursor, CASE WHEN NOT known THEN 'search job expired or was lost; start the search again' END AS error FROM y""")
+def job_status(spark, sf_dir):
+    said, _ = _polled(spark, sf_dir)
+    return _as_text(said, "next_cursor")
+
+
+@query(f"WITH {_POLLS} SELECT q.job_id, q.seq, host, path, line_number FROM q JOIN jb USING (job_id) WHERE seq > 70 AND seq <= 100 AND created_ms > 0")
+def job_page(spark, sf_dir):
+    return _polled(spark, sf_dir)[1].select("job_id", "seq", "host", "path", "line_number")
+
+
+def _polled(spark, sf_dir):
+    arrivals = _arrivals(spark, sf_dir)
+    known = arrivals.groupBy("job_id").agg(F.lit(False).alias("lost"), F.lit(None).cast("string").alias("durability_error")).withColumn("created_ms", F.expr("case job_id when 'error' then 0 else 900 end"))
+    hosts = arrivals.select("job_id", "host").distinct().withColumn("ok", F.expr("case when job_id = 'click' and host = 'node1' then null else job_id <> 'view' end"))
+    polls = known.select("job_id").unionByName(known.agg(F.lit("never started").alias("job_id"))).withColumn("cursor", F.lit(70)).withColumn("page_size", F.lit(40))
+    return jobs.job_status(polls, known, hosts, jobs.admit(arrivals, 100), 1000, 1000)
+
+
 @query("SELECT event_type AS job_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 256")
 def evict_by_count(spark, sf_dir):
     rows = jobs.newest(_arrivals(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "ts"), "event_id"), LIMITS.max_jobs, ["job_id"], [F.col("ts").desc(), F.col("event_id").desc()])
@@ -520,11 +685,11 @@ def registry_validate(spark, sf_dir):
     return registry.failed_rules(_registry(spark, sf_dir)).select("routable_url", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(f"WITH {_REGISTRY}, o AS (SELECT 'node-' || c_custkey AS host, CAST(c_custkey % 30 AS BIGINT) AS g, c_mktsegment AS r FROM customer WHERE c_custkey % 2 = 0) SELECT n.host, n.routable_url, greatest(n.generation, coalesce(o.g, 0)) AS generation, coalesce(o.r, '') AS roots FROM g n LEFT JOIN o ON o.host = n.host WHERE n.host <> 'twice'")
+@query(f"WITH {_REGISTRY}, o AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'node-' ELSE 'old-' END || c_custkey AS host, CAST(c_custkey % 30 AS BIGINT) AS g, c_mktsegment AS r FROM customer) SELECT n.host, n.routable_url, greatest(n.generation, coalesce(o.g, 0)) AS generation, coalesce(o.r, '') AS roots FROM g n LEFT JOIN o ON o.host = n.host")
 def registry_merge(spark, sf_dir):
     rows = _registry(spark, sf_dir)
-    provided = rows.where("host <> 'twice'").withColumn("roots", F.array().cast("array<string>")).drop("c_custkey")
-    cached = _table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("'node-' || c_custkey host", "array('search') capabilities", "array(c_mktsegment) roots", "cast(c_custkey % 30 as bigint) generation")
+    provided = rows.withColumn("roots", F.array().cast("array<string>")).drop("c_custkey")
+    cached = _table(spark, sf_dir, "customer").selectExpr("case when c_custkey % 2 = 0 then 'node-' else 'old-' end || c_custkey host", "array('search') capabilities", "array(c_mktsegment) roots", "cast(c_custkey % 30 as bigint) generation")
     return registry.merge(cached, provided).select("host", "routable_url", "generation", F.array_join("roots", ",").alias("roots"))
 
 
@@ -545,14 +710,23 @@ def registry_wire(spark, sf_dir):
     return registry.from_wire(wire, "node-7", 5000).select("host", "local_url", "routable_url", "generation", "fetched_at_ms", "expires_at_ms")
 
 
+@query("SELECT 'node-' || c_custkey AS host, 'http://p' || c_custkey AS local_url, c_mktsegment AS roots, CAST((SELECT greatest(1, max(c_nationkey)) FROM customer) AS BIGINT) AS generation FROM customer WHERE c_custkey <> 7")
+def registry_json(spark, sf_dir):
+    """A provider's nodes, written as JSON and read as a registry."""
+    at = new_path(spark, "provider")
+    _table(spark, sf_dir, "customer").selectExpr("'node-' || c_custkey host_id", "'http://p' || c_custkey advertise_url", "array('search') capabilities", "array(c_mktsegment) roots", "cast(c_nationkey as bigint) generation", "c_acctbal unknown_field").write.json(at)
+    rows = registry.from_wire(corpora.read_registry(spark, at, lines=True), "node-7", 5000)
+    return rows.select("host", "local_url", F.array_join("roots", ",").alias("roots"), "generation")
+
+
 @query("SELECT greatest(1, max(c_nationkey))::BIGINT AS generation FROM customer")
 def registry_generation(spark, sf_dir):
     return registry.generation(_table(spark, sf_dir, "customer").selectExpr("cast(c_nationkey as bigint) generation"))
 
 
-@query(f"WITH {_REGISTRY} SELECT routable_url, generation FROM g WHERE generation % 3 = (SELECT min(generation % 3) FROM g WHERE generation % 3 > 0)")
+@query(f"WITH {_REGISTRY} SELECT routable_url, generation FROM g WHERE generation % 3 = (SELECT min(generation % 3) FROM g)")
 def registry_preferred(spark, sf_dir):
-    rows = _registry(spark, sf_dir).withColumn("priority", F.col("generation") % 3).where("priority > 0")
+    rows = _registry(spark, sf_dir).withColumn("priority", F.col("generation") % 3)
     return registry.preferred(rows).select("routable_url", "generation")
 
 
@@ -578,9 +752,15 @@ def backup_availability(spark, sf_dir):
 # Files and streams
 
 
-@query()
+@query("SELECT 'local' AS host, lang AS root, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_newlines FROM documents GROUP BY lang")
 def binary_scan(spark, sf_dir):
-    return corpora.scan_files(spark, "local", {"tables": sf_dir}, max_bytes=0, with_content=False).select("host", "root", "rel_path", "kind", "size")
+    """All documents written as text files, a root for each language, and scanned with their content."""
+    at = new_path(spark, "files")
+    _table(spark, sf_dir, "documents").select("lang", "text").write.partitionBy("lang").option("maxRecordsPerFile", 2000).text(at)
+    names = [r["lang"] for r in _table(spark, sf_dir, "documents").select("lang").distinct().collect()]
+    files = corpora.scan_files(spark, "local", {n: f"{at}/lang={n}" for n in names}, max_bytes=0)
+    newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return files.groupBy("host", "root").agg(F.sum("size").alias("n_bytes"), F.sum(newlines).cast("long").alias("n_newlines"))
 
 
 def _stream(spark, sf_dir, table):
@@ -595,36 +775,52 @@ def _streamed_docs(spark, sf_dir):
     return rows.select(F.col("source").alias("host"), F.col("lang").alias("root"), F.concat_ws("/", F.lit("/corpus"), "lang", rel).alias("path"), rel.alias("rel_path"), F.lit("file").alias("kind"), F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") * 1000).alias("modified_ms"), "text")
 
 
-@query(f"WITH {CAPPED.format(k=10**9)} SELECT count(*) AS n, CAST(count(*) AS INTEGER) AS last_seq FROM (SELECT 1 FROM h LIMIT 500)")
+@query(f"WITH {HITS} SELECT host, path, line_number, text, CAST(row_number() OVER (ORDER BY host, path, line_number) AS INTEGER) AS seq FROM h QUALIFY seq <= 500")
 def progressive_search_stream(spark, sf_dir):
+    """The table is one file, hence one batch: its first hits in order."""
     out = new_path(spark, "hits")
     streaming.progressive_search(_streamed_docs(spark, sf_dir), QUERY, 500, out, new_path(spark, "checkpoint"), once=True).awaitTermination()
-    return spark.read.schema("seq int, host string, path string, line_number int, text string, batch int").parquet(out).agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
+    return spark.read.schema("seq int, host string, path string, line_number int, text string, batch int").parquet(out).drop("batch")
 
 
-@query(f"WITH {FILES} SELECT host, count(*) AS n_files FROM f WHERE contains(lower(text), 'tio') GROUP BY host")
+@query(f"WITH {FILES} SELECT host, path FROM f WHERE contains(lower(text), 'tio') AND doc_id % 9 <> 4 AND doc_id % 7 <> 3")
 def index_refresh_stream(spark, sf_dir):
-    postings, log = new_path(spark, "postings"), new_path(spark, "log")
-    streaming.refresh_index(_streamed_docs(spark, sf_dir), postings, log, new_path(spark, "checkpoint"), once=True).awaitTermination()
-    return streaming.current_postings(spark, postings).where("gram = 'tio'").groupBy("host").agg(F.count("*").alias("n_files"))
+    """Some files can't be read, some are taken away; the index is compacted and read."""
+    at, flat = new_path(spark, "index"), new_path(spark, "postings")
+    rows = _streamed_docs(spark, sf_dir).withColumn("error", F.when(F.col("modified_ms") / 1000 % 7 == 3, "permission denied")).withColumn("removed", F.col("modified_ms") / 1000 % 9 == 4)
+    streaming.refresh_index(rows, at, new_path(spark, "checkpoint"), once=True).awaitTermination()
+    streaming.compact_index(spark, at, flat)
+    return index.load_postings(spark, flat).where("gram = 'tio'").select("host", "path")
 
 
-@query()
+@query(f"WITH {FILES} SELECT root, CASE WHEN bool_or(doc_id % 7 = 3) THEN 'degraded' ELSE 'ready' END AS state, count(*) FILTER (doc_id % 7 <> 3 AND doc_id % 9 <> 4) AS indexed_files FROM f GROUP BY root")
+def index_refresh_log(spark, sf_dir):
+    at = new_path(spark, "index")
+    rows = _streamed_docs(spark, sf_dir).withColumn("error", F.when(F.col("modified_ms") / 1000 % 7 == 3, "permission denied")).withColumn("removed", F.col("modified_ms") / 1000 % 9 == 4)
+    streaming.refresh_index(rows, at, new_path(spark, "checkpoint"), once=True).awaitTermination()
+    log = spark.read.schema("root string, ok boolean, error string, indexed_files long, at_ms long").parquet(f"{at}/log")
+    return index.latest_state(log).select("root", "state", "indexed_files")
+
+
+@query(
+    """WITH RECURSIVE a AS (SELECT 'u' || user_id AS request_id, epoch_us(ts) // 1000 AS at_ms FROM events),
+k(request_id, at_ms) AS (SELECT request_id, min(at_ms) FROM a GROUP BY request_id
+  UNION ALL SELECT k.request_id, (SELECT min(a.at_ms) FROM a WHERE a.request_id = k.request_id AND a.at_ms >= k.at_ms + 3600000) FROM k WHERE k.at_ms IS NOT NULL)
+SELECT request_id, at_ms FROM k WHERE at_ms IS NOT NULL"""
+)
 def replay_suppression_stream(spark, sf_dir):
     rows = _stream(spark, sf_dir, "events").selectExpr("'u' || user_id request_id", "cast(ts as timestamp) ts")
     out = new_path(spark, "accepted")
-    writer = streaming.accepted_requests(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "checkpoint"))
+    writer = streaming.accepted_requests(rows, "1 hour").writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "checkpoint"))
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("request_id string, ts timestamp").parquet(out)
+    return spark.read.schema("request_id string, ts timestamp").parquet(out).select("request_id", F.unix_millis("ts").alias("at_ms"))
 
 
-@query("SELECT count(*) AS n_hosts, CAST(max(c_nationkey) AS BIGINT) AS generation FROM customer WHERE c_custkey <> 7")
+@query("SELECT 'node-' || c_custkey AS host, 'http://l' || c_custkey AS local_url, c_mktsegment AS roots, CAST((SELECT max(c_nationkey) FROM customer) AS BIGINT) AS generation FROM customer WHERE c_custkey <> 7")
 def registry_refresh_stream(spark, sf_dir):
     rows = _stream(spark, sf_dir, "customer").selectExpr(
         "'node-' || c_custkey host_id", "'http://l' || c_custkey local_url", "cast(null as string) peer_url", "cast(null as string) advertise_url", "cast(null as string) routable_url", "cast(null as string) endpoint", "array('search') capabilities", "array(c_mktsegment) roots", "cast(c_nationkey as bigint) generation"
     )
     out = new_path(spark, "registry")
-    empty = spark.createDataFrame([], "host string, generation long")
-    query = streaming.refresh_registry(rows, lambda r: registry.from_wire(r, "node-7", 5000), lambda e: registry.failed_refresh(empty.withColumn("last_refresh_error", F.lit(None).cast("string")), e), out, new_path(spark, "checkpoint"), once=True)
-    query.awaitTermination()
-    return spark.read.parquet(out).agg(F.count_distinct("host").alias("n_hosts"), F.max("generation").alias("generation"))
+    streaming.refresh_registry(rows, lambda r: registry.from_wire(r, "node-7", 5000), out, new_path(spark, "checkpoint"), once=True).awaitTermination()
+    return spark.read.parquet(out).select("host", "local_url", F.array_join("roots", ",").alias("roots"), "generation")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.patterns import excluded
 from corpuslens.functions.text import lines_of
-from corpuslens.options import EXCLUDES, LIMITS
+from corpuslens.options import LIMITS, all_excludes
 
 FILES = ["host", "root", "path", "rel_path", "kind", "size", "modified_ms", "text"]
 
 
-def scan_files(spark: SparkSession, host: str, roots: dict[str, str], excludes=EXCLUDES, max_bytes: int = LIMITS.max_file_bytes, with_content: bool = True) -> DataFrame:
+def scan_files(spark: SparkSession, host: str, roots: dict[str, str], excludes: tuple[str, ...] = (), max_bytes: int = LIMITS.max_file_bytes, with_content: bool = True) -> DataFrame:
     """Regular files under named roots. Excluded and larger files go before their content is read; binary and non-UTF-8 ones after.
 
     with_content=False lists files only: the content column isn't read at all.
@@ -23,7 +23,7 @@ def scan_files(spark: SparkSession, host: str, roots: dict[str, str], excludes=E
         at = F.regexp_replace("path", "^[a-zA-Z]+:/{1,3}", "/")
         base = "/" + root.split("://", 1)[-1].strip("/") + "/"
         files = files.withColumn("path", at).withColumn("rel_path", F.expr(f"substring(path, {len(base) + 1})"))
-        files = files.where(~excluded(F.col("rel_path"), excludes))
+        files = files.where(~excluded(F.col("rel_path"), all_excludes(excludes)))
         if max_bytes:
             files = files.where(F.col("length") <= max_bytes)
         text = F.lit(None).cast("string")
@@ -99,5 +99,6 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("_corrupt_record is null and schema_version is not null and generated_at_ms is not null and backups is not null").drop("_corrupt_record")
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REGISTRY).option("multiLine", True).json(path)
+def read_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A provider's nodes: one JSON array, or a node a line; fields that aren't known are left out."""
+    return spark.read.schema(REGISTRY).option("multiLine", not lines).json(path)

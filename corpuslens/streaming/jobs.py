@@ -6,13 +6,17 @@ from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from corpuslens.operators.index import build_postings
+from corpuslens.operators.index import build_postings, write_postings
 from corpuslens.operators.jobs import HIT
+from corpuslens.operators.registry import failed_refresh, failed_rules
 from corpuslens.operators.search import Search, find_hits
+from corpuslens.sources.shared import path_exists
 
 DEBOUNCE = "2 seconds"
 
@@ -22,30 +26,46 @@ def _start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+INDEXED = "host string, path string, removed boolean, generation int"
 
 
-def refresh_index(stream: DataFrame, postings: str, log: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Postings of arriving files (host, root, path, rel_path, size, text), a folder a batch, and a row of the index log for each.
+def refresh_index(stream: DataFrame, index: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """An index of arriving files (host, root, path, modified_ms, text, and optionally error and removed), a generation a batch.
 
-    A batch overwrites its own folder, so a repeated one changes nothing; a reader takes each file's newest batch (current_postings).
+    Under `index`: postings, the files each batch indexed or took away, and the log of its roots. A file with an error is not indexed (it keeps what
+    there was) and leaves its root degraded; a removed one, and one whose new text has no grams, has no postings any more. A batch overwrites its own
+    folders, so a repeated one changes nothing; a reader takes each file's newest generation (current_postings).
     """
+    for name, kind in (("error", "string"), ("removed", "boolean")):
+        if name not in stream.columns:
+            stream = stream.withColumn(name, F.lit(None).cast(kind))
 
-    def batch(files: DataFrame, batch_id: int) -> None:
-        build_postings(files).withColumn("generation", F.lit(batch_id + 1)).write.mode("overwrite").parquet(f"{postings}/generation={batch_id + 1}")
-        rows = files.groupBy("root").agg(F.count("*").alias("indexed_files"), F.max("modified_ms").alias("at_ms"))
-        rows.select("root", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), "indexed_files", "at_ms").write.mode("overwrite").parquet(f"{log}/generation={batch_id + 1}")
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        generation = batch_id + 1
+        rows = rows.withColumn("removed", F.coalesce("removed", F.lit(False))).persist(StorageLevel.DISK_ONLY)  # lost blocks are read again
+        # Of a file that comes twice in a batch the newest row counts.
+        newest = rows.where("error is null").groupBy("host", "path").agg(F.max_by(F.struct("removed", "text"), "modified_ms").alias("f")).select("host", "path", "f.*")
+        save = lambda df, name: df.write.mode("overwrite").parquet(f"{index}/{name}/generation={generation}")
+        save(build_postings(newest.where("not removed")), "postings")
+        save(newest.select("host", "path", "removed"), "files")
+        log = rows.groupBy("root").agg(F.max("error").alias("error"), F.count_if(F.col("error").isNull() & ~F.col("removed")).alias("indexed_files"), F.max("modified_ms").alias("at_ms"))
+        save(log.select("root", F.col("error").isNull().alias("ok"), "error", "indexed_files", "at_ms"), "log")
+        rows.unpersist()
 
     return _start(stream, batch, checkpoint, once)
 
 
-def current_postings(spark: SparkSession, path: str) -> DataFrame:
+def current_postings(spark: SparkSession, index: str) -> DataFrame:
     """gram, host, path of each file's newest generation."""
-    rows = spark.read.parquet(path)
-    newest = rows.groupBy("host", "path").agg(F.max("generation").alias("generation"))
-    return rows.join(newest, ["host", "path", "generation"]).select("gram", "host", "path")
+    files = spark.read.schema(INDEXED).parquet(f"{index}/files")
+    newest = files.groupBy("host", "path").agg(F.max_by(F.struct("generation", "removed"), "generation").alias("f")).where("not f.removed")
+    rows = spark.read.schema("gram string, host string, path string, generation int").parquet(f"{index}/postings")
+    return rows.join(newest.select("host", "path", F.col("f.generation").alias("generation")), ["host", "path", "generation"]).select("gram", "host", "path")
+
+
+def compact_index(spark: SparkSession, index: str, target: str) -> None:
+    """The current postings as one table sorted by gram, to be read by index.load_postings."""
+    write_postings(current_postings(spark, index), target)
 
 
 def progressive_search(stream: DataFrame, search: Search, limit: int, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -58,7 +78,7 @@ def progressive_search(stream: DataFrame, search: Search, limit: int, out: str,
         spark = files.sparkSession
         hits = find_hits(files, search).select(*HIT, "text").dropDuplicates(HIT)
         taken = 0
-        if _exists(spark, out):
+        if path_exists(spark, out):
             before = spark.read.schema("seq int, host string, path string, line_number int, text string, batch int").parquet(out).where(F.col("batch") != batch_id)
             taken = before.count()
             hits = hits.join(before.select(*HIT), HIT, "left_anti")
@@ -95,14 +115,27 @@ def accepted_requests(requests: DataFrame, window: str = "60 seconds") -> DataFr
     return out.select("request_id", F.timestamp_micros("at").alias("ts"))
 
 
-def refresh_registry(stream: DataFrame, merge: Callable[[DataFrame], DataFrame], fallback: Callable[[str], DataFrame], out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Each batch of provider rows becomes a registry of its own; where merging fails, the last good one with its error."""
+def refresh_registry(stream: DataFrame, merge: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Each batch of provider rows becomes a registry of its own, the folder refresh=N.
+
+    A registry that breaks a rule (registry.failed_rules) is refused: the last good one stays, each row with the first broken rule as its error. Other
+    failures are the batch's, which runs again.
+    """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        target = f"{out}/refresh={batch_id}"
-        try:
-            merge(rows).write.mode("overwrite").parquet(target)
-        except Exception as e:  # kept in the registry's rows
-            fallback(str(e).splitlines()[0][:200]).write.mode("overwrite").parquet(target)
+        spark, target = rows.sparkSession, f"{out}/refresh={batch_id}"
+        fresh = merge(rows).persist(StorageLevel.DISK_ONLY)
+        broken = failed_rules(fresh).where("size(reasons) > 0").select("host", F.element_at("reasons", 1).alias("rule")).orderBy("host", "rule").first()
+        if broken is None:
+            fresh.write.mode("overwrite").parquet(target)
+        else:
+            error = f"registry refused: {broken['rule']} of {broken['host']}"
+            last = fresh.limit(0)
+            if path_exists(spark, out):
+                before = spark.read.schema(StructType([*fresh.schema.fields, StructField("refresh", IntegerType())])).parquet(out).where(F.col("refresh") < batch_id)
+                newest = before.agg(F.max("refresh")).first()[0]
+                last = before.where(F.col("refresh") == (-1 if newest is None else newest)).select(*fresh.columns)
+            failed_refresh(last, error).write.mode("overwrite").parquet(target)
+        fresh.unpersist()
 
     return _start(stream, batch, checkpoint, once)

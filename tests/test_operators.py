@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpuslens import options
 from corpuslens.functions import patterns, text
 from corpuslens.operators import backup, index, jobs, paths, registry, search, status
 from corpuslens.operators.search import Search
@@ -124,15 +125,188 @@ def test_index(spark):
 
 
 @settings(max_examples=12, deadline=None)
-@given(st.lists(st.text("abAB \n", max_size=30), min_size=1, max_size=8), st.text("abAB ", min_size=1, max_size=5))
+@given(st.lists(st.text("abAB ΑΣσςİiIéÉß\n", max_size=30), min_size=1, max_size=8), st.text("abAB ΑΣσςİiIéÉß", min_size=1, max_size=5))
 def test_indexed_search_equals_full_scan(spark, texts, query):
     corpus = files(spark, [(str(k), t) for k, t in enumerate(texts)])
     for mode in ("literal", "case_insensitive_literal"):
         got = {r["path"] for r in index.indexed_files(corpus, index.build_postings(corpus), query, mode).collect()}
-        fold = str.lower if mode != "literal" else str
+        fold = (lambda t: "".join({"Σ": "σ", "ς": "σ", "İ": "i"}.get(c, c.lower()) for c in t)) if mode != "literal" else str
         assert got == {f"/home/{k}" for k, t in enumerate(texts) if fold(query) in fold(t)}
 
 
+def test_a_final_sigma_is_found_by_the_index(spark):
+    corpus = files(spark, [("a", "ΑΑΣΑ"), ("b", "ΑΑΣ"), ("c", "DİYARBAKIR")])
+    postings = index.build_postings(corpus)
+    found = lambda q, mode: sorted(r["path"] for r in index.indexed_files(corpus, postings, q, mode).collect())
+    assert found("ΑΑΣ", "literal") == found("αας", "case_insensitive_literal") == ["/home/a", "/home/b"]
+    assert found("diyar", "case_insensitive_literal") == found("DİY", "literal") == ["/home/c"]
+    assert index.worth_it(postings, "ΑΑΣ", 3, 0.7) and not index.worth_it(postings, "ΑΑΣ", 3, 0.5) and not index.worth_it(postings, "ΑΑ", 3, 1) and index.worth_it(postings, "nowhere", 3)
+
+
+def test_excludes_of_the_user_are_added(spark):
+    corpus = files(spark, [(".ssh/id", "needle"), ("own/x", "needle"), ("x", "needle"), (".jobs/j", "needle")])
+    assert {r["path"] for r in search.find_hits(corpus, Search("needle", excludes=("own/**",))).collect()} == {"/home/x", "/home/.jobs/j"}
+    assert options.all_excludes(("**/.git/**", "a"), "kept")[-2:] == ("**/kept/**", "a") and len(options.all_excludes(("**/.git/**",))) == len(options.EXCLUDES)
+
+
+def test_search_status(spark):
+    corpus = files(spark, [("x", "needle\n" * 5)]).unionByName(files(spark, [("y", "hay")], host="b"))
+    _, said = search.search_text(corpus, Search("needle", limit=3), known_hosts={"a", "b"})
+    assert [tuple(r) for r in said.collect()] == [("a", True, None, 5, True), ("b", True, None, 0, False)]
+    for bad in (Search("(", mode="regex"), Search("x", path_globs=("[",))):
+        ranges, said = search.search_text(corpus, bad)
+        assert ranges.count() == 0 and [(r["host"], r["ok"], r["n_hits"]) for r in said.collect()] == [("a", False, 0), ("b", False, 0)] and all(r["error"] for r in said.collect())
+    for hosts in (("c",), ("*", "a")):
+        with pytest.raises(ValueError):
+            search.search_text(corpus, Search("needle", hosts=hosts), known_hosts={"a", "b"})
+    with pytest.raises(ValueError):
+        search.search_text(corpus, Search(" "))
+    hits, _ = search.search_text(corpus, Search("needle", context_lines=1, limit=2), verbose=True)
+    assert [(r["line_number"], r["column"], len(r["context"])) for r in hits.orderBy("line_number").collect()] == [(1, 1, 2), (2, 1, 3)]
+
+
+def test_many_queries_in_one_pass(spark):
+    lines = corpora.lines(files(spark, [("x", "she sells shells\nno\n\n"), ("y", "shell")]))
+    asked = spark.createDataFrame([(1, "shell"), (2, "he"), (3, ""), (4, "a\nb"), (5, "shell"), (6, " "), (7, None)], "query_id long, query string")
+    for letters in (100, 6):
+        got = sorted((r["query_id"], r["path"], r["line_number"]) for r in search.multi_search(asked, lines, letters).collect())
+        assert got == [(1, "/home/x", 1), (1, "/home/y", 1), (2, "/home/x", 1), (2, "/home/y", 1), (5, "/home/x", 1), (5, "/home/y", 1)]
+    assert search.multi_search(asked.limit(0), lines).count() == 0
+
+
+def test_deadlines(spark):
+    targets = spark.createDataFrame([("j", h, 100) for h in "ABCDE"], "job_id string, host string, started_ms long")
+    arrivals = spark.createDataFrame([("j", "B", 110), ("j", "B", 151), ("j", "D", 120)], "job_id string, host string, arrival_ms long")
+    done = spark.createDataFrame([("j", "A", 120, None), ("j", "B", 151, None), ("j", "C", 150, "peer-local-timeout"), ("j", "D", 150, None)], "job_id string, host string, finished_ms long, error string")
+    got = {r["host"]: (r["ok"], r["error"], r["n_hits"]) for r in jobs.at_deadline(targets, arrivals, done, 50).collect()}
+    assert got == {"A": (True, None, 0), "B": (False, "overall timeout", 1), "C": (False, "peer-local-timeout", 0), "D": (True, None, 1), "E": (False, "overall timeout", 0)}
+
+
+def test_accepted_requests_of_hot_ids(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [("hot", r.randrange(5_000_000)) for _ in range(20_000)] + [(f"u{k % 300}", r.randrange(2_000_000)) for k in range(3000)] + [(None, 1), ("n", None), ("two", 5), ("two", 5)]
+    times, expected = {}, set()
+    for name, t in rows:
+        if name is not None and t is not None:
+            times.setdefault(name, []).append(t)
+    for name, ts in times.items():
+        last = None
+        for t in sorted(ts):
+            if last is None or t - last >= 60_000:
+                expected.add((name, last := t))
+    got = [tuple(x) for x in jobs.accepted(spark.createDataFrame(rows, "request_id string, at_ms long")).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+
+
+def test_job_polls(spark):
+    polls = spark.createDataFrame([("a", None, None), ("b", 1, 500), ("c", 0, 1), ("gone", None, None), ("old", 0, 5)], "job_id string, cursor int, page_size int")
+    known = spark.createDataFrame([("a", 10, False, None), ("b", 10, True, None), ("c", 10, False, None), ("old", 0, False, None)], "job_id string, created_ms long, lost boolean, durability_error string")
+    hosts = spark.createDataFrame([("a", "A", None), ("a", "B", True), ("b", "A", False), ("c", "A", True)], "job_id string, host string, ok boolean")
+    results = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 1), ("c", 2), ("old", 1)], "job_id string, seq int")
+    said, pages = jobs.job_status(polls, known, hosts, results, 1000, 1000)
+    got = {r["job_id"]: (r["state"], r["partial"], r["n_rows"], r["next_cursor"], r["error"] is None) for r in said.collect()}
+    assert got == {"a": ("running", True, 1, 1, True), "b": ("lost", True, 1, None, True), "c": ("complete", False, 1, 1, True), "gone": ("expired", False, 0, None, False), "old": ("expired", False, 0, None, False)}
+    assert sorted((r["job_id"], r["seq"]) for r in pages.collect()) == [("a", 1), ("b", 2), ("c", 1)]
+
+
+def test_browsing(spark):
+    corpus = files(spark, [("note.txt", "fourteen bytes"), ("nested/x.txt", "y"), ("node_modules/hidden.js", "z"), ("zz", "")])
+    places = corpora.locations(spark, {"a": {"home": ["/home"]}, "b": {"home": ["/opt"]}})
+    see = lambda at, host="a": [(r["name"], r["kind"], r["size"], r["error"]) for r in paths.browse(corpus, places, host, at).collect()]
+    assert see("/home") == see("/home/") == [("nested", "directory", None, None), ("note.txt", "file", 14, None), ("zz", "file", 0, None)]
+    assert see("/home", "b") == see("/etc") == see("/home/../etc") == [(None, None, None, "outside the roots")]
+    assert see("/home/node_modules") == [(None, None, None, "excluded")] and see("/home/note.txt") == [(None, None, None, "not a directory")] and see("/opt", "b") == []
+
+
+def test_reads_within_roots_and_budget(spark):
+    corpus = files(spark, [("a", "one\ntwo\nthree")])
+    asked = spark.createDataFrame([(1, "a", "/home/a", 1, None), (2, "b", "/home/a", 1, None)], "request_id int, host string, path string, start int, end int")
+    rows = {r["request_id"]: (r["end_line"], r["data"], r["truncated"], r["error"]) for r in paths.read_lines(asked, corpus, locations=corpora.locations(spark, {"a": {"home": ["/home"]}}), budget=9).collect()}
+    assert rows == {1: (2, "one\ntwo", True, None), 2: (None, None, False, "outside the roots")}
+
+
+def test_limited_paths(spark):
+    corpus = files(spark, [(f"candidate-{k:03}.txt", "") for k in range(128)])
+    some = paths.search_paths(corpus, "candidate", limit=10, known_hosts={"a"}).collect()
+    assert [r["path"] for r in some] == [f"/home/candidate-{k:03}.txt" for k in range(10)] and some[0]["truncated"]
+    few = paths.search_paths(corpus, "candidate", budget=64).collect()
+    assert len(few) == 2 and few[0]["truncated"]
+    assert not any(r["truncated"] for r in paths.search_paths(corpus, "candidate-00", limit=10).collect())
+
+
+def test_names_kinds_and_json(spark):
+    said = spark.createDataFrame([("./a:3:x:y",), ("a:x:y",), ("a:99999999999:y",), ("no",)], "v string")
+    assert [r["g"] and tuple(r["g"]) for r in said.select(text.grep_line(F.col("v")).alias("g")).collect()] == [("a", 3, "x:y"), None, None, None]
+    modes = spark.createDataFrame([("drwx",), ("-rw",), ("lrwx",), ("brw",)], "m string")
+    assert [r[0] for r in modes.select(text.kind_of(F.col("m"))).collect()] == ["directory", "file", "other", "other"]
+    names = spark.createDataFrame([("x/job-a1-b.json", "/p", 1, 2), ("job-.json", "/q", 1, 2), ("job-a.json.tmp", "/r", 1, 2), ("xjob-a.json", "/s", 1, 2)], "rel_path string, path string, size long, modified_ms long")
+    assert [(r["job_id"], r["path"]) for r in jobs.artifacts(names).collect()] == [("job-a1-b", "/p"), ("job-", "/q")]
+    row = spark.createDataFrame([("a", 1, None)], "a string, n int, z string").select(text.encoded(F.struct("a", "n", "z")).alias("j"))
+    assert row.first()["j"] == '{"a":"a","n":1}' and row.select(text.decoded(F.col("j"), "a string, n int, z string").alias("r")).first()["r"]["n"] == 1
+
+
+def test_provider_json(spark, tmp_path):
+    (tmp_path / "nodes.json").write_text(json.dumps([{"host_id": "A", "peer_url": "http://a", "more": 1}, {"host_id": "B", "endpoint": "http://b", "generation": 3}]))
+    rows = registry.from_wire(corpora.read_registry(spark, f"file://{tmp_path}/nodes.json"), "A", 1000).collect()
+    assert [(r["host"], r["local_url"], r["generation"]) for r in rows] == [("B", "http://b", 3)]
+
+
+def test_index_follows_files(spark, tmp_path):
+    at = lambda name: f"file://{tmp_path}/{name}"
+    schema = FILES + ", error string, removed boolean"
+
+    def add(*rows):
+        made = [("a", "home", f"/home/{n}", n, "file", 1, t, text_, error, gone) for n, t, text_, error, gone in rows]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(at("in"))
+        streaming.refresh_index(spark.readStream.schema(schema).parquet(at("in")), at("index"), at("check"), once=True).awaitTermination()
+        streaming.compact_index(spark, at("index"), at("flat"))
+        log = spark.read.schema("root string, ok boolean, error string, indexed_files long, at_ms long").parquet(at("index") + "/log")
+        return {(r["gram"], r["path"][6:]) for r in index.load_postings(spark, at("flat")).collect()}, index.latest_state(log).first()["state"]
+
+    assert add(("x", 1, "abcd", None, None), ("y", 1, "abc", None, None)) == ({("abc", "x"), ("bcd", "x"), ("abc", "y")}, "ready")
+    assert add(("x", 2, "zz", None, None), ("y", 2, None, "permission denied", None)) == ({("abc", "y")}, "degraded")
+    assert add(("y", 3, None, None, True), ("w", 3, "new", None, None), ("w", 4, "newer", None, None)) == ({("new", "w"), ("ewe", "w"), ("wer", "w")}, "ready")
+
+
+def test_refused_registry_keeps_the_last_good_one(spark, tmp_path):
+    at = lambda name: f"file://{tmp_path}/{name}"
+
+    def add(*rows):
+        spark.createDataFrame([(h, url, None, None, None, None, [], [], 2) for h, url in rows], corpora.REGISTRY).coalesce(1).write.mode("append").parquet(at("in"))
+        stream = spark.readStream.schema(corpora.REGISTRY).parquet(at("in"))
+        streaming.refresh_registry(stream, lambda r: registry.from_wire(r, "me", 5000), at("out"), at("check"), once=True).awaitTermination()
+        kept = spark.read.parquet(at("out"))
+        newest = kept.agg(F.max("refresh")).first()[0]
+        return sorted((r["host"], r["last_refresh_error"]) for r in kept.where(F.col("refresh") == newest).collect())
+
+    assert add(("bad", "nowhere")) == []
+    assert add(("B", "http://b"), ("C", "http://c")) == [("B", None), ("C", None)]
+    assert add(("D", "")) == [(h, "registry refused: local_url of D") for h in "BC"]
+    assert add(("E", "http://e"), ("E", "http://e")) == [(h, "registry refused: local_url of D") for h in "BC"]
+    assert add(("F", "http://f")) == [("F", None)]
+
+
+def test_node_status(spark):
+    said = spark.createDataFrame([("b", True, None, 1), ("a", False, "x", 2), ("a", True, None, 1)], "host string, ok boolean, error string, seq int")
+    states = spark.createDataFrame([("a", "ready", 3, 5, None)], "root string, state string, generation long, indexed_files long, last_error string")
+    known = spark.createDataFrame([("b", 1000, 2000, None)], "host string, fetched_at_ms long, expires_at_ms long, last_refresh_error string")
+    rows = [tuple(r) for r in status.node_status(said, files(spark, [("x", ""), ("y", "")]), states, known, 2100).collect()]
+    assert rows == [("a", True, None, 2, "ready", 3, "empty"), ("b", True, None, 0, "missing", 0, "stale_but_usable")]
+
+
+def test_folders_on_a_cluster_must_be_shared(spark):
+    from corpuslens.sources import shared
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: "spark://host:7077" if key == "spark.master" else default)
+
+    with pytest.raises(ValueError):
+        shared.shared_folder(Session)
+
+
 def test_diagnostics_and_health(spark):
     lines = [("a", x) for x in ("rg: /x: Permission denied (os error 13)", "operation not permitted", "", "stale file handle")] + [("b", "regex parse error"), ("b", "permission denied"), ("c", " ")]
     got = {r["run"]: r["message"] for r in status.diagnostics(spark.createDataFrame(lines, "run string, line string")).collect()}

@@ -600,14 +600,14 @@ jb AS (SELECT job_id, CASE job_id WHEN 'error' THEN 0 ELSE 900 END AS created_ms
 
 
 @query(f"""WITH {_POLLS}, x AS (SELECT p.job_id, coalesce(1000 - created_ms < 1000, false) AS known, (SELECT count(*) FROM hs WHERE hs.job_id = p.job_id) AS n_hosts, (SELECT count(*) FROM hs WHERE hs.job_id = p.job_id AND ok IS NULL) AS n_pending, (SELECT count(*) FROM hs WHERE hs.job_id = p.job_id AND ok) AS n_ok, (SELECT count(*) FROM r WHERE r.job_id = p.job_id) AS last FROM p LEFT JOIN jb USING (job_id)),
-y AS (SELECT *, CASE WHEN NOT known THEN 'expired' WHEN n_pending > 0 THEN 'running' WHEN n_ok = 0 THEN 'failed' ELSE 'complete' END AS state, CASE WHEN known THEN greatest(least(last - 70, 40), 0) ELSE 0 END AS n_rows FROM x)
-SELECT job_id, state, state <> 'expired' AND (state = 'running' OR n_ok + n_pending < n_hosts) AS partial, n_hosts, n_pending, CAST(n_rows AS BIGINT) AS n_rows, CASE WHEN state = 'running' OR (known AND 70 + n_rows < last) THEN CAST(70 + n_rows AS VARCHAR) END AS next_cursor, CASE WHEN NOT known THEN 'search job expired or was lost; start the search again' END AS error FROM y""")
+y AS (SELECT *, CASE WHEN NOT known THEN 'expired' WHEN n_pending > 0 THEN 'running' WHEN n_ok = 0 THEN 'failed' ELSE 'complete' END AS state, CASE WHEN known THEN greatest(least(last - 20, 40), 0) ELSE 0 END AS n_rows FROM x)
+SELECT job_id, state, state <> 'expired' AND (state = 'running' OR n_ok + n_pending < n_hosts) AS partial, n_hosts, n_pending, CAST(n_rows AS BIGINT) AS n_rows, CASE WHEN state = 'running' OR (known AND 20 + n_rows < last) THEN CAST(20 + n_rows AS VARCHAR) END AS next_cursor, CASE WHEN NOT known THEN 'search job expired or was lost; start the search again' END AS error FROM y""")
 def job_status(spark, sf_dir):
     said, _ = _polled(spark, sf_dir)
     return _as_text(said, "next_cursor")
 
 
-@query(f"WITH {_POLLS} SELECT q.job_id, q.seq, host, path, line_number FROM q JOIN jb USING (job_id) WHERE seq > 70 AND seq <= 100 AND created_ms > 0")
+@query(f"WITH {_POLLS} SELECT q.job_id, q.seq, host, path, line_number FROM q JOIN jb USING (job_id) WHERE seq > 20 AND seq <= 60 AND created_ms > 0")
 def job_page(spark, sf_dir):
     return _polled(spark, sf_dir)[1].select("job_id", "seq", "host", "path", "line_number")
 
@@ -616,7 +616,7 @@ def _polled(spark, sf_dir):
     arrivals = _arrivals(spark, sf_dir)
     known = arrivals.groupBy("job_id").agg(F.lit(False).alias("lost"), F.lit(None).cast("string").alias("durability_error")).withColumn("created_ms", F.expr("case job_id when 'error' then 0 else 900 end"))
     hosts = arrivals.select("job_id", "host").distinct().withColumn("ok", F.expr("case when job_id = 'click' and host = 'node1' then null else job_id <> 'view' end"))
-    polls = known.select("job_id").unionByName(known.agg(F.lit("never started").alias("job_id"))).withColumn("cursor", F.lit(70)).withColumn("page_size", F.lit(40))
+    polls = known.select("job_id").unionByName(known.agg(F.lit("never started").alias("job_id"))).withColumn("cursor", F.lit(20)).withColumn("page_size", F.lit(40))
     return jobs.job_status(polls, known, hosts, jobs.admit(arrivals, 100), 1000, 1000)
 
 

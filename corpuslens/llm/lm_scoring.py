@@ -12,7 +12,8 @@ p(w | h) = (1 - L) p(w) + L c(h, w) / c(h), p(w) with one added to each count. A
 (sum of -log p_target + log p_background) / words: lower is nearer to the target.
 
 Rows: null or empty text: 0 words, entropies and score 0. Null doc_id: scored, never in the target. Repeated rows: each counted and
-scored. No target rows: a model of added ones. Other columns are ignored.
+scored; repeated target ids name their texts once. Very long texts: whole, a chunk is never smaller than its longest text. Ties: equal texts have equal scores.
+No target rows: a model of added ones. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -578,3 +578,61 @@ def test_lm_scores_count_rare_words_and_pairs(spark, monkeypatch):
         for k, name in enumerate(("target_entropy", "background_entropy")):
             p = [0.4 * (words[k][w] + 1) / (words[k].total() + len(words[1]) + 2) + (0.6 * pairs[k][h, w] / heads[k][h] if heads[k][h] else 0) for h, w in zip(["<s>", *ws], ws, strict=False)]
             assert got[d][name] == pytest.approx(-sum(map(math.log, p)) / max(len(ws), 1), rel=1e-6)
+
+
+# All that read texts
+
+
+def test_very_long_texts_empty_tables_and_clashing_columns(spark):
+    """Texts of many MB, whole; other columns whose names the operators use themselves; tables without rows."""
+    r = random.Random(13)
+    own = [" ".join(r.choice("abcdefgh") * r.randrange(60, 200) for _ in range(60_000)) for _ in range(2)]  # about 8 MB each
+    assert all(len(t) > 7_000_000 for t in own)
+    rows = [(1, own[0]), (2, own[1]), (3, own[0]), (4, "x y " + own[1]), (5, None), (6, "short one")]
+    extra = ["tkey", "sha", "anchors", "spans", "fp", "key", "run", "text_key", "chunk", "ids", "hits", "label", "score", "y", "h"]
+    docs = frame(spark, [(*x, *extra) for x in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    words = {d: WORD.findall(t or "") for d, t in rows}
+    out = {x["doc_id"]: x for x in substring_dedup.dedup_substrings(docs).collect()}
+    assert [(out[d]["n_words"], out[d]["n_removed"]) for d in sorted(out)] == [(60_000, 0), (60_000, 0), (60_000, 60_000), (60_002, 60_000), (0, 0), (2, 0)]
+    assert out[4]["kept_sha256"] == hashlib.sha256(b"x y").hexdigest()
+    prints = {x["doc_id"]: x for x in simhash_dedup.simhash_groups(docs).collect()}
+    assert prints[1]["fingerprint"] == f"{plain_fingerprint(own[0], 4):016x}" and prints[3]["component_id"] == 1 and prints[4]["component_id"] == 2
+    items = frame(spark, [(7, " ".join(words[2][-20:])), (8, " ".join(words[1][:12]))], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"], x["start_word"], x["distance"]) for x in decontamination.find_leaks(docs, items).collect()} >= {(1, 8, 0, 0), (3, 8, 0, 0), (2, 7, 59_980, 0), (4, 7, 59_982, 0)}
+    assert decontamination.drop_leaks(docs, items).columns == docs.columns
+    scored = {x["doc_id"]: x for x in lm_scoring.score_lm(docs, frame(spark, [(1,)], "doc_id long")).collect()}
+    assert scored[4]["n_words"] == 60_002 and scored[1]["score"] < scored[2]["score"] and scored[1]["score"] == scored[3]["score"]
+    labels = frame(spark, [(d, d % 2, d % 2) for d in range(1, 7)], "doc_id long, quality int, toxic int")
+    for score in (toxicity.score_toxicity, quality.score_quality):
+        assert score(docs, labels).where("score between 0 and 1").count() == 6
+    none = docs.limit(0)
+    assert simhash_dedup.simhash_groups(none).count() == lm_scoring.score_lm(none, frame(spark, [], "doc_id long")).count() == 0
+    assert packing.pack(none, TOKENIZER).count() == substring_dedup.dedup_substrings(none).count() == decontamination.find_leaks(none, items).count() == 0
+
+
+def test_hot_anchors_lines_and_lengths(spark):
+    """A passage, a line, a length and a source that a third of all rows share."""
+    r = random.Random(14)
+    passage = [f"p{k}" for k in range(70)]
+    rows = []
+    for k in range(300):
+        mine = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(30, 90))]
+        if k % 3 == 0:  # now and then a word of it is another one
+            said = [w if r.random() > 0.01 else f"q{r.randrange(5)}" for w in passage]
+            at = r.randrange(len(mine))
+            mine = mine[:at] + said + mine[at:]
+        rows.append((k, " ".join(mine)))
+    got = substring_dedup.dedup_substrings(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    same_rows([tuple(x) for x in got], brute_substrings(rows, 50))
+    pages = frame(spark, [(k, "hot" if k % 3 else f"s{k}", f"menu\nown {k}") for k in range(900)], "doc_id long, source string, text string")
+    out = line_dedup.drop_boilerplate(pages)
+    assert out.where("source = 'hot' and text = concat('own ', doc_id)").count() == 600 and out.where("source <> 'hot' and n_dropped = 0").count() == 300
+    same = [(k, "word") for k in range(900)] + [(k, "word " * k) for k in range(900, 960)]
+    check_packed(same, packing.pack(frame(spark, same), TOKENIZER).collect())
+
+
+def test_blocks_of_items_find_what_one_block_finds(spark, sf_dir):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = [sorted(map(tuple, decontamination.find_leaks(docs, items, block=n).collect())) for n in (5000, 13)]
+    assert found[0] == found[1] != []
+    assert sorted(x["doc_id"] for x in decontamination.drop_leaks(docs, items, block=13).collect()) == sorted(x["doc_id"] for x in decontamination.drop_leaks(docs, items).collect())

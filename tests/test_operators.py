@@ -200,6 +200,21 @@ def test_accepted_requests_of_hot_ids(spark):
     assert set(got) == expected and len(got) == len(expected)
 
 
+@pytest.mark.parametrize("budget", [0, 40, 5_000, 10**9])
+def test_newest_that_fit_over_many_ranges(spark, budget):
+    import random
+
+    r = random.Random(2)
+    rows = [("hot" if k % 3 else f"k{k % 20}", k, r.randrange(9)) for k in range(3000)]
+    expected, held = set(), {}
+    for key, k, size in sorted(rows, key=lambda x: -x[1]):
+        held[key] = held.get(key, 0) + size
+        if held[key] <= budget:
+            expected.add(k)
+    made = spark.createDataFrame(rows, "key string, k int, size int").repartition(8)
+    assert {x["k"] for x in jobs.newest_within(made, "size", budget, ["key"], [F.col("k").desc()]).collect()} == expected
+
+
 def test_job_polls(spark):
     polls = spark.createDataFrame([("a", None, None), ("b", 1, 500), ("c", 0, 1), ("gone", None, None), ("old", 0, 5)], "job_id string, cursor int, page_size int")
     known = spark.createDataFrame([("a", 10, False, None), ("b", 10, True, None), ("c", 10, False, None), ("old", 0, False, None)], "job_id string, created_ms long, lost boolean, durability_error string")

@@ -438,6 +438,43 @@ def test_simhash_groups(spark, sf_dir, monkeypatch, run):
     same_rows([(d, c) for d, _, c in got], [(d, None if low[part[p]] == math.inf else low[part[p]]) for (d, _), p in zip(rows, prints, strict=True)])
 
 
+@pytest.mark.parametrize("run", [16_384, 8])
+def test_groups_by_similarity(spark, monkeypatch, run):
+    monkeypatch.setattr(simhash_dedup, "RUN", run)
+    r = random.Random(15)
+    rows = []
+    for k in range(60):  # copies with some words changed, of similarities about 0.6 to 1
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 300))]
+        for n in range(r.randrange(1, 12)):
+            rate = r.choice([0, 0.01, 0.02, 0.03, 0.06])
+            rows.append((k * 100 + n, " ".join(w if n == 0 or r.random() >= rate else f"new{r.random()}" for w in words)))
+    rows += [(d if d is None else d + 10**6, t) for d, t in AWKWARD]
+
+    def shingles(text):
+        words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+        return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    like = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y)
+    links = {(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] is not None and rows[j][0] is not None and like(sets[i], sets[j])}
+    true = components(list(range(len(rows))), links)
+    got = {}
+    for x in simhash_dedup.similar_groups(frame(spark, [(*x, "clash", 1) for x in rows], "doc_id long, text string, node string, key int")).collect():
+        got.setdefault(x["doc_id"], x["component_id"])
+    low = {}
+    for k, root in true.items():
+        if rows[k][0] is not None:
+            low[root] = min(low.get(root, math.inf), rows[k][0])
+    expected = {rows[k][0]: low[root] for k, root in true.items() if rows[k][0] is not None}
+    assert set(got) == set(expected) | {None}
+    by_id = {d: k for k, (d, _) in enumerate(rows)}
+    for d, c in got.items():
+        if d is not None:
+            assert c <= d and true[by_id[c]] == true[by_id[d]]  # no group has what is below the threshold
+    gone = [d for d, c in expected.items() if c != d]
+    assert len(gone) > 150 and sum(got[d] != d for d in gone) >= 0.97 * len(gone) and sum(got[d] == expected[d] for d in gone) >= 0.95 * len(gone)
+
+
 # 8 and 10 classifiers, 9 language models
 
 

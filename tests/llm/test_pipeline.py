@@ -2,13 +2,12 @@
 
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
 from corpuslens.llm import decontamination, toxicity
 from corpuslens.llm.common import stage
-from tests.llm.test_operators import AWKWARD, check_packed, components, plain_fingerprint, same_rows
+from tests.llm.test_operators import AWKWARD, WORD, check_packed, components, same_rows
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -25,18 +24,30 @@ def plain_lines(rows):
     return [(d, t if t is None else "\n".join(x for x in t.split("\n") if (s, x) not in bad), lang, s) for d, t, lang, s in rows]
 
 
+def shingles(text):
+    words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def plain_near_copies(rows):
+    """By all pairs of shingle sets; each row is judged by its own text's group, also where other rows have its id."""
     ids = defaultdict(list)
     for d, t, *_ in rows:
         if d is not None:
-            ids[plain_fingerprint(t, 5)].append(d)
-    f = np.array(list(ids), np.uint64)
-    part = components(list(ids), [(int(a), int(f[j])) for k, a in enumerate(f) for j in np.flatnonzero(np.bitwise_count(f[:k] ^ a) <= 5)])
+            ids[shingles(t)].append(d)
+    sets = list(ids)
+    links = []
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                links.append((i, j))
+    part = components(list(range(len(sets))), links)
     groups = defaultdict(list)
-    for p, root in part.items():
-        groups[root] += ids[p]
-    # Each row is judged by its own text's group, also where other rows have its id.
-    return [x for x in rows if x[0] is None or x[0] == min(groups[part[plain_fingerprint(x[1], 5)]])]
+    for k, root in part.items():
+        groups[root] += ids[sets[k]]
+    place = {x: k for k, x in enumerate(sets)}
+    return [x for x in rows if x[0] is None or x[0] == min(groups[part[place[shingles(x[1])]]])]
 
 
 def plain_leaks(rows, items):

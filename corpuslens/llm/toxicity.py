@@ -95,9 +95,9 @@ class Machine:
         for rows in np.array_split(random.permutation(len(y)), max(1, len(y) // size)):
             count = (ends - begins)[rows]
             mine = at[np.repeat(begins[rows] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
-            order = np.argsort(mine, kind="stable")
+            order = np.argsort(mine, kind="stable").astype(np.int32)
             used, first = np.unique(mine[order], return_index=True)
-            steps.append((rows, mine, np.repeat(np.arange(len(rows)), count), order, used, np.append(first[1:], len(order))))
+            steps.append((rows, mine, np.repeat(np.arange(len(rows), dtype=np.int32), count), order, used, np.append(first[1:], len(order))))
         for _ in range(epochs):
             for k in random.permutation(len(steps)):
                 rows, mine, row, order, used, used_ends = steps[k]
@@ -122,8 +122,8 @@ class Machine:
 
     def places(self, found: np.ndarray) -> np.ndarray:
         """Where these buckets are among the terms; those that aren't there are left out."""
-        at = np.minimum(np.searchsorted(self.terms, found), max(len(self.terms) - 1, 0))
-        return at[self.terms[at] == found] if len(self.terms) else at[:0]
+        at = np.minimum(np.searchsorted(self.terms, found.astype(np.int64)), max(len(self.terms) - 1, 0))
+        return at[self.terms[at] == found].astype(np.int32) if len(self.terms) else at[:0].astype(np.int32)
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int, remainder: int, bound: int = BOUND) -> Machine:
@@ -147,7 +147,7 @@ def _score(shared: Broadcast, name: str):
         place[machine.terms] = np.arange(len(machine.terms))
         place = memoryview(place)
         cache = Words(lambda w: [k for b in buckets(w) if (k := place[b]) >= 0])
-        for batch in batches(it, 4000, 8_000_000):
+        for batch in batches(it, 4000, 5_000_000):
             distinct, codes, ends = split_words(batch["text"])
             cores = pc.utf8_trim(pc.ascii_lower(distinct), EDGES.decode()).dictionary_encode()  # as `buckets` takes them
             distinct, codes = cores.dictionary, np.asarray(cores.indices)[codes].astype(np.int64)
@@ -164,6 +164,7 @@ def _score(shared: Broadcast, name: str):
             scores = machine.raw_score(at, np.searchsorted(text, np.arange(batch.num_rows), "right"))
             score = 1 / (1 + np.exp(-scores.clip(-30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, name])
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -339,7 +339,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     nodes = prints.groupBy("shingles").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("one"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers stay as they are stored
     columns = [f"fp{j}" for j in range(PRINTS)]
-    keyed = stage(nodes.select("node", "fps").mapInArrow(_wide_emit, "key int, node long, " + ", ".join(f"{c} long" for c in columns)), "keys")
+    # Keys are made twice from the stored nodes: that takes less than to store them.
+    keyed = nodes.select("node", "fps").mapInArrow(_wide_emit, "key int, node long, " + ", ".join(f"{c} long" for c in columns))
     long = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > RUN), "long")
     plain = keyed.join(long, "key", "left_anti").select(F.col("key").cast("long").alias("run"), "node", *columns)
     blocks = keyed.join(long, "key").withColumn("b", F.ceil(F.col("n") / (RUN // 2)).cast("int")).withColumn("i", F.expr("cast(pmod(xxhash64(node), b) as int)"))
@@ -347,7 +348,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     blocks = blocks.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).bitwiseOR(F.lit(-(1 << 63))).alias("run"), "node", *columns)
     runs = plain.unionByName(blocks).repartition("run").sortWithinPartitions("run")
     pairs = stage(runs.mapInArrow(_wide_runs(reach(similarity)), "a long, b long").distinct(), "pairs")
-    unstage(keyed, long)
+    unstage(long)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = nodes.join(ends, "node").select("node", F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"))
     texts = texts.join(rows, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"])

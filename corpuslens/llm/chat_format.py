@@ -39,8 +39,10 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     messages: node, parent (null at a root), score. A branch's score is its nodes' mean; ties go to the deeper, then the smaller leaf.
     """
     once = messages.where("node is not null").groupBy("node").agg(F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("m")).select("node", "m.parent", "m.score")
-    known = once.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    nodes = stage(once.join(known, "parent", "left").withColumn("parent", F.when(F.col("known"), F.col("parent"))).drop("known"), "nodes")
+    known = once.select(F.col("node").alias("at"), F.lit(True).alias("known"))
+    # A root looks itself up: were its key null, all roots would meet in one task.
+    looked = once.withColumn("at", F.coalesce("parent", "node")).join(known, "at", "left")
+    nodes = stage(looked.select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score"), "nodes")
     # After each round `up` is twice as far away, and `steps` and `total` cover the way there without it.
     now = stage(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("node")).alias("root"), F.lit(1).alias("steps"), F.col("score").alias("total")), "paths")
     open_, before = now.where("up is not null").count(), None

@@ -44,7 +44,7 @@ def _parts(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), ends - ends[0]
 
 
-def _join(ids: pa.Array, codes: pa.Array, ends: np.ndarray) -> pa.Array:
+def join_rows(ids: pa.Array, codes: pa.Array, ends: np.ndarray) -> pa.Array:
     """ids[codes], the bytes of each row's put in a row."""
     taken = ids.take(codes)
     offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + taken.offset + 1)[taken.offset :][ends] if len(taken) else np.zeros(len(ends), np.int64)
@@ -106,7 +106,7 @@ class Encoder:
         words = pc.replace_substring_regex(words, f"({_SOLID})\n({_SOLID})", "\\1\x00\n\\2")
         pieces, ends = _parts(pc.split_pattern(words, "\0"))
         coded = pieces.dictionary_encode()
-        return _join(self._pieces(coded.dictionary), coded.indices, ends)
+        return join_rows(self._pieces(coded.dictionary), coded.indices, ends)
 
     def texts(self, texts: pa.Array) -> list[bytes]:
         """ids of each text (string; a null is empty)."""
@@ -120,7 +120,7 @@ class Encoder:
         heads = coded.dictionary.take(pa.array(codes[first])).dictionary_encode()
         codes[first] = len(coded.dictionary) + np.asarray(heads.indices)
         spaced = pc.binary_join_element_wise("", coded.dictionary, " ")
-        ids = _join(self._words(pa.concat_arrays([spaced, heads.dictionary])), pa.array(codes), ends)
+        ids = join_rows(self._words(pa.concat_arrays([spaced, heads.dictionary])), pa.array(codes), ends)
         plain = iter(ids.to_pylist())
         return [self.whole(t.as_py()) if o else next(plain) for t, o in zip(texts, odd.to_pylist(), strict=True)]
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, chat_format, decontamination, embedding_dedup, line_dedup, lm_scoring, packing, quality, simhash_dedup, substring_dedup, toxicity
+from corpuslens.llm import alignment, bpe, chat_format, decontamination, embedding_dedup, line_dedup, lm_scoring, packing, quality, simhash_dedup, substring_dedup, toxicity
 from corpuslens.llm.common import stage
 
 
@@ -62,6 +62,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), fold=4, remainder=2, threshold=0.7)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), path), path)
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_decontamination, op3_embedding_dedup, op4_line_dedup, op5_best_fit_packing, op6_chat_format, op7_simhash_dedup, op8_toxicity, op9_lm_scoring, op10_quality, op12_bpe, pipeline)
+    for f in (op1_substring_dedup, op2_decontamination, op3_embedding_dedup, op4_line_dedup, op5_best_fit_packing, op6_chat_format, op7_simhash_dedup, op8_toxicity, op9_lm_scoring, op10_quality, op11_alignment, op12_bpe, pipeline)
 }
 
 #: 50-word windows, the smallest doc_id in which each starts, and the words that no repeated window covers.

@@ -2,9 +2,9 @@
 
 A text is split into words by the byte-level pattern. A short word is merged over two contiguous arrays: the boundaries of its
 parts and the ranks of neighbouring parts. The least rank is looked for again and again; the boundary between its parts is deleted and
-the ranks beside it are looked up anew. Longer words, where scanning would cost the square of their length, take their ranks from a heap over
-linked parts, which gives the same merges in the same order. Each distinct word is merged once a worker. Decoding joins the
-tokens' bytes; what isn't UTF-8 becomes U+FFFD.
+the ranks beside it are looked up anew. A slice's new words go through these steps together, each a row of both arrays. Longer words, where
+scanning would cost the square of their length, take their ranks from a heap over linked parts, which gives the same merges in the same order. Each distinct word is merged once while
+a worker's cache holds it. Decoding joins the tokens' bytes; what isn't UTF-8 becomes U+FFFD.
 
 Rows: null and empty texts have no ids and decode to ''. Repeated rows and null ids come back as often as they are there. Equal ranks: the
 leftmost pair. Very long texts and words: whole. Other columns are ignored. Empty table: no rows.
@@ -24,13 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import Words, batches
+from corpuslens.llm.common import CACHE, Words, batches
 from corpuslens.llm.packing import SLICE, Encoder, join_rows
 
 #: Splits as the file's byte-level pre-tokenizer does (a fixed value of such tokenizers).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Bytes of a word up to which its ranks are scanned.
-SHORT = 64
+#: Bytes of a word up to which its ranks are scanned; widths of the arrays in which words go together; fewer words than these go one by one.
+SHORT, WIDTHS, FEW = 64, (8, 16, 32, 64), 200
 #: No merge: over every rank.
 NEVER = 1 << 60
 
@@ -71,6 +71,11 @@ class RankArrays(Encoder):
         for (a, b), k in self.rank.items():
             if len(a) == len(b) == 1:
                 self.first[a[0] << 8 | b[0]] = k
+        self.byte = np.array([self.id[bytes([b])] for b in range(256)], np.int64)
+        known_pairs = sorted((self.id[a] << 32 | self.id[b], k, self.id[a + b]) for (a, b), k in self.rank.items())
+        self.pair, self.pair_rank, made = np.array([*known_pairs, (1 << 62, NEVER, 0)], np.int64).T.copy()
+        self.made = np.zeros(len(known_pairs), np.int64)
+        self.made[self.pair_rank[:-1]] = made[:-1]
         special = {} if plain else {t["content"]: t["id"] for t in known["added_tokens"]}
         self.added, self.special = list(special), {t: np.array([k], "<u4").tobytes() for t, k in special.items()}
         self.cuts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
@@ -80,6 +85,51 @@ class RankArrays(Encoder):
         bounds = self._scan(word) if len(word) <= SHORT else self._heap(word)
         return [self.id[word[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
 
+    def _look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids."""
+        wanted = left << 32 | right
+        at = np.searchsorted(self.pair, wanted)
+        return np.where(self.pair[at] == wanted, self.pair_rank[at], NEVER)
+
+    def _scan_rows(self, words: list[bytes], width: int) -> list[bytes]:
+        """ids of words of at most `width` bytes, as little-endian bytes; each word is a row."""
+        n, size = len(words), np.array([len(w) for w in words])
+        token = self.byte[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)]  # id of the part that starts at a byte
+        bounds = np.minimum(np.arange(width + 1), size[:, None])
+        columns = np.arange(width + 1)
+        ranks = np.where(columns[1:-1] < size[:, None], self._look(token[:, :-1], token[:, 1:]), NEVER)
+        live, count = np.arange(n), size.copy()
+        while len(live):
+            k = ranks[live].argmin(axis=1)
+            least = ranks[live, k]
+            live, k, least = (x[least < NEVER] for x in (live, k, least))
+            token[live, bounds[live, k]] = self.made[least]
+            bounds[live] = np.take_along_axis(bounds[live], np.minimum(columns + (columns > k[:, None]), width), axis=1)
+            ranks[live] = np.take_along_axis(np.concatenate([ranks[live], np.full((len(live), 1), NEVER)], axis=1), columns[:-2] + (columns[:-2] >= k[:, None]), axis=1)
+            count[live] -= 1
+            for at, rows in ((k - 1, k > 0), (k, k < count[live] - 1)):
+                r, c = live[rows], at[rows]
+                ranks[r, c] = self._look(token[r, bounds[r, c]], token[r, bounds[r, c + 1]])
+        ids = np.take_along_axis(token, np.minimum(bounds[:, :-1], width - 1), axis=1)[columns[:-1] < count[:, None]].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(count)
+        return [ids[a:b] for a, b in zip((ends - 4 * count).tolist(), ends.tolist(), strict=True)]
+
+    def learn(self, words: set[str]) -> None:
+        """Merges words that the cache doesn't hold."""
+        new = [w for w in words if w not in self.words]
+        if len(new) < FEW:
+            return
+        if len(self.words) + len(new) > CACHE:
+            self.words.clear()
+            new = list(words)
+        coded, low = [(w, w.encode()) for w in new], 0
+        for width in WIDTHS:
+            group = [(w, data) for w, data in coded if low < len(data) <= width]
+            for at in range(0, len(group), 1 << 15):
+                part = group[at : at + (1 << 15)]
+                self.words.update(zip((w for w, _ in part), self._scan_rows([data for _, data in part], width), strict=True))
+            low = width
+
     def _scan(self, word: bytes) -> list[int]:
         """Boundaries of the word's parts, after all merges."""
         rank, first = self.rank.get, self.first
@@ -134,14 +184,19 @@ class RankArrays(Encoder):
         return PATTERN.findall(text)
 
     def _text(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self._split(text)))
+        words = self._split(text)
+        if len(words) >= FEW:
+            self.learn(set(words))
+        return b"".join(map(self.words.__getitem__, words))
 
     def whole(self, text: str) -> bytes:
         parts = self.cuts.split(text) if self.cuts else [text]
         return b"".join(self.special[x] if k % 2 else self._text(x) for k, x in enumerate(parts))
 
     def _pieces(self, pieces: pa.Array) -> pa.Array:
-        return pa.array(map(self._text, pieces.to_pylist()), pa.large_binary())
+        split = [self._split(t) for t in pieces.to_pylist()]
+        self.learn({w for words in split for w in words})
+        return pa.array((b"".join(map(self.words.__getitem__, words)) for words in split), pa.large_binary())
 
 
 @functools.cache

@@ -43,6 +43,16 @@ def test_long_words_merge_as_short_ones(monkeypatch):
     assert e.merge(long.encode()) == library([long])[0][0]
 
 
+def test_words_in_rows_merge_as_one_by_one():
+    r = random.Random(11)
+    words = [bytes(r.choice(b"aabetin \xc3\xa9th") for _ in range(r.randrange(1, width + 1))) for width in bpe.WIDTHS for _ in range(300)] + [b"a", b"aa", b"\0", b"\0\0a"]
+    e = bpe.RankArrays(PATH)
+    for width in bpe.WIDTHS:
+        fit = [w for w in words if len(w) <= width]
+        got = [memoryview(x).cast("I").tolist() for x in e._scan_rows(fit, width)]
+        assert got == [e.merge(w) for w in fit]
+
+
 def test_decoding_any_ids(spark):
     r = random.Random(5)
     rows = [(k, [r.randrange(50257) for _ in range(r.randrange(8))]) for k in range(300)] + [(300, None), (301, []), (302, [50256, -1, 60000, 220])]

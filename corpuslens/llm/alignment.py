@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from corpuslens.llm.common import Words, batches, stage, unstage
 from corpuslens.llm.packing import join_rows
 
 #: Steps of the merge path in a piece; bytes of text whose paths are cut together.
-STEPS, SLICE = 1 << 21, 8_000_000
+STEPS, SLICE = 1 << 20, 4_000_000
 _EMPTY = np.empty(0, "<u4")
 
 
@@ -53,7 +54,7 @@ class PieceEncoder:
         self.words = Words(self.whole)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text), "<u4").tobytes()
+        return array("I", self.model.encode(text)).tobytes()
 
     def texts(self, texts: pa.Array) -> list[bytes]:
         texts = texts.fill_null("")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import alignment, bpe, chat_format, decontamination, embedding_dedup, line_dedup, lm_scoring, packing, quality, simhash_dedup, substring_dedup, toxicity
+from corpuslens.llm import alignment, bpe, chat_format, conversation_repair, decontamination, embedding_dedup, line_dedup, lm_scoring, packing, quality, simhash_dedup, substring_dedup, toxicity
 from corpuslens.llm.common import stage
 
 
@@ -72,6 +72,11 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    return conversation_repair.repair_all(turns, conversation_repair.damage(turns))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_decontamination, op3_embedding_dedup, op4_line_dedup, op5_best_fit_packing, op6_chat_format, op7_simhash_dedup, op8_toxicity, op9_lm_scoring, op10_quality, op11_alignment, op12_bpe, pipeline)
+    for f in (op1_substring_dedup, op2_decontamination, op3_embedding_dedup, op4_line_dedup, op5_best_fit_packing, op6_chat_format, op7_simhash_dedup, op8_toxicity, op9_lm_scoring, op10_quality, op11_alignment, op12_bpe, op13_conversation_repair, pipeline)
 }
 
 #: 50-word windows, the smallest doc_id in which each starts, and the words that no repeated window covers.

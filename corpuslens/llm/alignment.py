@@ -34,7 +34,8 @@ from corpuslens.llm.packing import join_rows
 
 #: Steps of the merge path in a piece; bytes of text whose paths are cut together.
 STEPS, SLICE = 1 << 20, 4_000_000
-_EMPTY = np.empty(0, "<u4")
+#: Words that a task keeps ids of, for each side.
+CACHED = 150_000
 
 
 class PieceEncoder:
@@ -51,7 +52,7 @@ class PieceEncoder:
         pieces = [self.model.id_to_piece(k) for k in range(self.model.vocab_size())]
         self.token = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.words = Words(self.whole)
+        self.words = Words(self.whole, CACHED)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.model.encode(text)).tobytes()
@@ -78,9 +79,17 @@ class Sides:
         self.tokens = [pa.array(t, pa.large_binary()) for t in (bpe.token_bytes(a), _piece_encoder(b).token)]
         self.widths = [np.asarray(pc.binary_length(t)).astype(np.int64) for t in self.tokens]
         self.sizes = [len(t) for t in self.tokens]
+        self.kind = "<u2" if max(self.sizes) <= 1 << 16 else "<u4"  # of stored ids
         self.digits = pa.array([f"{k}{end}".encode() for n, ends in zip(self.sizes, (",|", ",;"), strict=True) for end in ends for k in range(n)], pa.large_binary())
 
 
+@functools.cache
+def _byte_encoder(path: str) -> bpe.RankArrays:
+    out = bpe.RankArrays(path, True)
+    out.words.limit = CACHED
+    return out
+
+
 @functools.cache
 def _sides(a: str, b: str) -> Sides:
     return Sides(a, b)
@@ -105,7 +114,7 @@ def _encoded(batch: pa.RecordBatch, a_path: str, b_path: str) -> tuple[list[np.n
     """ids of all the slice's tokens of each side, and each text's number of them."""
     texts, sides = batch["text"].fill_null(""), _sides(a_path, b_path)
     spaced = pc.binary_join_element_wise("", texts, " ")
-    coded = [bpe.encoder(a_path, True).texts(spaced), _piece_encoder(b_path).texts(texts)]
+    coded = [_byte_encoder(a_path).texts(spaced), _piece_encoder(b_path).texts(texts)]
     good = np.asarray(pc.binary_length(texts)) > 0
     wanted = spaced.cast(pa.large_binary()).to_pylist()
     for table, ids in zip(sides.tokens, coded, strict=True):
@@ -119,7 +128,7 @@ def _encoded(batch: pa.RecordBatch, a_path: str, b_path: str) -> tuple[list[np.n
 def _cut(a_path: str, b_path: str, steps: int):
     def run(it):
         here, made, row = TaskContext.get().partitionId() << 40, 0, 0
-        widths = _sides(a_path, b_path).widths
+        widths, kind = _sides(a_path, b_path).widths, _sides(a_path, b_path).kind
         for batch in batches(it, 20_000, SLICE):
             (a, b), (na, nb) = _encoded(batch, a_path, b_path)
             ends = [np.cumsum(w[x]) for w, x in zip(widths, (a, b), strict=True)]
@@ -140,7 +149,7 @@ def _cut(a_path: str, b_path: str, steps: int):
                         {
                             "piece": here + made, "rows": list(range(here + row + first, here + row + last)), "ids": batch["doc_id"].slice(first, last - first).to_pylist(),
                             "a_counts": cut(done_a, i), "b_counts": cut(done_b, j), "begins": bool(done[first] >= at[k]), "ends": bool(done[last] <= at[k + 1]),
-                            "skew": int(start[1] - start[0]), "a": a[i[k] : i[k + 1] + 1].tobytes(), "b": b[j[k] : j[k + 1] + 1].tobytes(),
+                            "skew": int(start[1] - start[0]), "a": a[i[k] : i[k + 1] + 1].astype(kind).tobytes(), "b": b[j[k] : j[k + 1] + 1].astype(kind).tobytes(),
                         }
                     ],
                     _PIECE,
@@ -148,6 +157,8 @@ def _cut(a_path: str, b_path: str, steps: int):
                 made += 1
             row += batch.num_rows
             pa.default_memory_pool().release_unused()
+        _byte_encoder(a_path).words.clear()
+        _piece_encoder(b_path).words.clear()
 
     return run
 
@@ -157,7 +168,7 @@ class Piece:
 
     def __init__(self, row: dict, sides: Sides):
         self.rows, self.ids, self.na, self.nb = (np.array(row[c], object if c == "ids" else np.int64) for c in ("rows", "ids", "a_counts", "b_counts"))
-        a, b = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in "ab")
+        a, b = (np.frombuffer(row[c], sides.kind).astype(np.int64) for c in "ab")
         n, m = int(self.na.sum()), int(self.nb.sum())
         self.sides, self.a, self.b = sides, a[:n], b[:m]
         self.a_ends, self.b_ends = np.cumsum(sides.widths[0][self.a]), np.cumsum(sides.widths[1][self.b]) + row["skew"]
@@ -297,7 +308,7 @@ def _stitch(it):
 
 def cut_pieces(docs: DataFrame, a_path: str, b_path: str, steps: int = STEPS) -> DataFrame:
     """The staged pieces of the merge paths of docs (doc_id, text)."""
-    return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(a_path, b_path, steps), PIECE), "pieces")
+    return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(a_path, b_path, steps), PIECE), "pieces", block=8 << 20)
 
 
 def pair_counts(held: DataFrame, b_size: int) -> DataFrame:

@@ -16,11 +16,11 @@ from corpuslens.sources.shared import delete_path, new_path
 CACHE = 600_000
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: lineage ends there and no executor's loss undoes it."""
+def stage(df: DataFrame, name: str, block: int = 128 << 20) -> DataFrame:
+    """df, written to the shared folder and read back: lineage ends there and no executor's loss undoes it. Rows of many bytes take a small block, as a reader holds one."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", block).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -67,14 +67,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Cache from a word's bytes to a value that `make` gives; emptied when it has CACHE entries."""
+    """Cache from a word's bytes to a value that `make` gives; emptied when it has `limit` entries."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int = CACHE):
         super().__init__()
-        self.make = make
+        self.make, self.limit = make, limit
 
     def __missing__(self, word):
-        if len(self) >= CACHE:
+        if len(self) >= self.limit:
             self.clear()
         self[word] = value = self.make(word)
         return value

@@ -24,13 +24,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import CACHE, Words, batches
-from corpuslens.llm.packing import SLICE, Encoder, join_rows
+from corpuslens.llm.common import Words, batches
+from corpuslens.llm.packing import Encoder, join_rows
 
 #: Splits as the file's byte-level pre-tokenizer does (a fixed value of such tokenizers).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Bytes of a word up to which its ranks are scanned; widths of the arrays in which words go together; fewer words than these go one by one.
 SHORT, WIDTHS, FEW = 64, (8, 16, 32, 64), 200
+#: Bytes of text that are encoded at once, and words that a worker keeps the ids of.
+SLICE, CACHED = 4_000_000, 300_000
 #: No merge: over every rank.
 NEVER = 1 << 60
 
@@ -79,7 +81,7 @@ class RankArrays(Encoder):
         special = {} if plain else {t["content"]: t["id"] for t in known["added_tokens"]}
         self.added, self.special = list(special), {t: np.array([k], "<u4").tobytes() for t, k in special.items()}
         self.cuts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.words = Words(lambda word: array("I", self.merge(word.encode())).tobytes())
+        self.words = Words(lambda word: array("I", self.merge(word.encode())).tobytes(), CACHED)
 
     def merge(self, word: bytes) -> list[int]:
         bounds = self._scan(word) if len(word) <= SHORT else self._heap(word)
@@ -119,7 +121,7 @@ class RankArrays(Encoder):
         new = [w for w in words if w not in self.words]
         if len(new) < FEW:
             return
-        if len(self.words) + len(new) > CACHE:
+        if len(self.words) + len(new) > self.words.limit:
             self.words.clear()
             new = list(words)
         coded, low = [(w, w.encode()) for w in new], 0

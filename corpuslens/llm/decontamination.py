@@ -89,7 +89,7 @@ def repeats_for(n: int, edits: int, recall: float) -> int:
     keys = cgk_keys(np.array(made, np.int64), trials)
     shared = ((keys[::2] == keys[1::2]).sum(axis=1) + 0.5) / (trials + 1)
     repeats = 1
-    while (1 - (1 - shared) ** repeats).mean() < recall and repeats < 400:
+    while (1 - (1 - shared) ** repeats).mean() < recall:
         repeats += 1
     return repeats
 
@@ -120,6 +120,11 @@ def edit_distance(item: list[int], text: list[int]) -> tuple[int, int, int]:
     return distance, end - _ends(item[::-1], text[:end][::-1]).index(distance), end
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, `count` of them, in a row."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+
 class Items:
     """A block of items, ready to be looked for."""
 
@@ -151,6 +156,15 @@ class Items:
         order = np.argsort(every, kind="stable")
         self.pairs, first = np.unique(every[order], return_index=True)
         self.holders, self.first = holders[order], np.append(first, len(order))
+        # An item's rarest pairs among these items: an edit undoes two at most, so one of 2 edits + 1 of them is in every passage within the distance.
+        held, rare = np.diff(self.first), []
+        self.own = [np.searchsorted(self.pairs, p) for p in pairs]
+        for (_, w), edits in zip(self.items, self.edits.tolist(), strict=True):
+            places = np.searchsorted(self.pairs, np.array(w[:-1], np.int64) * self.base + np.array(w[1:], np.int64))
+            rare.append(np.unique(places[np.lexsort((places, held[places]))[: 2 * edits + 1]]))
+        every, holders = (np.concatenate(rare), np.repeat(np.arange(len(rare)), [len(p) for p in rare])) if rare else (np.empty(0, np.int64), np.empty(0, np.int64))
+        order = np.argsort(every, kind="stable")
+        self.rare, self.rare_first = holders[order], np.searchsorted(every[order], np.arange(len(self.pairs) + 1))
         #: Of each item, its keys; by size as many as its recall takes.
         self.keys: dict[int, np.ndarray] = {}
         for n in np.unique(self.sizes).tolist():
@@ -197,10 +211,20 @@ class Items:
                 np.add.at(step, dense + need, -1)
                 near |= np.cumsum(step[:-1]) > 0
         place, pair = place[near], pair[near]
-        count = self.first[pair + 1] - self.first[pair]
-        place = np.repeat(place, count)
-        item = self.holders[np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[pair], count)]
-        order = np.argsort(item, kind="stable")  # places stay in order
+        # (text, item) where one of the item's rare pairs is; of those alone all places are looked up.
+        count = self.rare_first[pair + 1] - self.rare_first[pair]
+        item = self.rare[_ranges(self.rare_first[pair], count)]
+        doc = np.searchsorted(ends, place, "right")
+        met = np.unique(np.repeat(doc, count) * len(self.items) + item)
+        doc_of, item = met // len(self.items), met % len(self.items)
+        # Places by text and pair; an item's pairs are found among its text's.
+        code = doc * (len(self.pairs) + 1) + pair
+        order = np.argsort(code, kind="stable")
+        sizes = np.array([len(x) for x in self.own], np.int64)[item]
+        wanted = np.repeat(doc_of, sizes) * (len(self.pairs) + 1) + (np.concatenate([self.own[k] for k in item.tolist()]) if len(item) else np.empty(0, np.int64))
+        low, high = (np.searchsorted(code[order], wanted, side) for side in ("left", "right"))
+        item, place = np.repeat(np.repeat(item, sizes), high - low), place[order[_ranges(low, high - low)]]
+        order = np.lexsort((place, item))
         return item[order], place[order]
 
     def _long(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:

@@ -673,3 +673,36 @@ def test_blocks_of_items_find_what_one_block_finds(spark, sf_dir):
     found = [sorted(map(tuple, decontamination.find_leaks(docs, items, block=n).collect())) for n in (5000, 13)]
     assert found[0] == found[1] != []
     assert sorted(x["doc_id"] for x in decontamination.drop_leaks(docs, items, block=13).collect()) == sorted(x["doc_id"] for x in decontamination.drop_leaks(docs, items).collect())
+
+
+def test_items_with_one_stem_against_texts_that_repeat_it(spark):
+    """Places of a common stem aren't multiplied by the items that share it."""
+    import time
+
+    r = random.Random(31)
+    stem = [f"stem{k}" for k in range(11)]
+    items = [(k, " ".join(stem + [f"w{r.randrange(40_000)}" for _ in range(39)])) for k in range(2000)]
+    text = " ".join(" ".join(stem) + " and more" for _ in range(3400))
+    began = time.time()
+    found = decontamination.Items(items, 0.8)
+    rows = decontamination._found(found, pa.array([text, text + " " + items[7][1], items[9][1], None]))
+    assert sorted((d, k, e) for d, k, e, *_ in rows) == [(1, 7, 0), (2, 9, 0)]
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("size", [10, 25, 50, 100, 300])
+def test_recall_at_the_distance_limit(size):
+    """Each text holds an item with as many edits as are allowed, of one kind or mixed."""
+    r = random.Random(size)
+    items = [(k, " ".join(f"w{r.randrange(10**6)}" for _ in range(size))) for k in range(60)]
+    texts = []
+    for _, item in items:
+        words = item.split()
+        kinds = r.choice(["i", "d", "r", "idr"])
+        for _ in range(size // 5):
+            at = r.randrange(len(words))
+            kind = r.choice(kinds)
+            words[at : at + (kind != "i")] = [f"new{r.random()}"] * (kind != "d")
+        texts.append(" ".join([f"x{r.random()}" for _ in range(200)] + words + [f"y{r.random()}" for _ in range(200)]))
+    rows = decontamination._found(decontamination.Items(items, 0.8), pa.array(texts))
+    assert len({(d, k) for d, k, *_ in rows if d == k}) >= 58 and all(d == k for d, k, *_ in rows)

@@ -269,8 +269,8 @@ def _minwise_scan(words: int):
     return run
 
 
-def spanning(sketches: np.ndarray, limit: int, classes: np.ndarray, failed: list[list[int]], nodes: np.ndarray) -> list[tuple[int, int, int]]:
-    """(i, j, differing hashes) of a minimum spanning forest of a run's pairs within the limit; a class is one already, and pairs that failed don't count."""
+def spanning(sketches: np.ndarray, limit: int, classes: np.ndarray, failed: list[list[int]], nodes: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of a minimum spanning forest of a run's pairs within the limit; a class is one already, and pairs that failed don't count."""
     n = len(sketches)
     if (classes == classes[0]).all():
         return []
@@ -293,24 +293,23 @@ def spanning(sketches: np.ndarray, limit: int, classes: np.ndarray, failed: list
         at = int(near[left].argmin())
         k = int(left[at])
         if 0 <= near[k] <= limit:
-            links.append((int(by[k]), k, int(near[k])))
+            links.append((int(by[k]), k))
         left = np.delete(left, at)
     return links
 
 
-def _nearest(limit: int):
-    """Pairs of runs' spanning forests; rows come run by run."""
+def _forests(limit: int):
+    """(node, the one before it) of runs' spanning forests; rows come run by run, by node, so that runs of the same texts have the same forest."""
 
     def short(rows: dict) -> pa.RecordBatch:
         first = np.concatenate([[0], np.flatnonzero(np.diff(rows["run"])) + 1, [len(rows["run"])]])
-        a, b, d = [], [], []
+        node, near = [], []
         for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             part = {c: x[low:high] for c, x in rows.items()}
-            for i, j, far in spanning(part["sketch"], limit, part["class"], part["failed"], part["node"]):
-                a.append(min(part["node"][i], part["node"][j]))
-                b.append(max(part["node"][i], part["node"][j]))
-                d.append(far)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, d)], ["a", "b", "d"])
+            for i, j in spanning(part["sketch"], limit, part["class"], part["failed"], part["node"]):
+                near.append(part["node"][i])
+                node.append(part["node"][j])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node, near)], ["node", "o"])
 
     def run(it):
         held = None
@@ -361,7 +360,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """doc_id, text_key (xxhash64 of the text), component_id of every row of docs (doc_id, text): groups linked by a Jaccard similarity of shingles.
 
     Texts that share a band of minwise hashes are a run; pairs of 0.8 do in 9,999 of 10,000 cases. Rounds follow: in each run a minimum spanning forest of the
-    classes so far, by differing hashes, gives candidates; of each text the nearest one is verified exactly on the shingles of both, so no link below the threshold counts. Pairs that
+    classes so far, by differing hashes, gives candidates, each verified exactly on the shingles of both texts, so no link below the threshold counts. Pairs that
     fail are left out of later rounds, which go on as long as they find links. Equal sets of shingles are one node; texts without words are one,
     too. A text that only null ids have is linked with none but its equals. Other rows as with simhash_groups.
     """
@@ -380,22 +379,23 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         else:
             known = state.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
             several = known.groupBy("run").agg((F.min("class") < F.max("class")).alias("several")).where("several").select("run")
-            tried = functools.reduce(DataFrame.unionByName, failed).groupBy("node").agg(F.collect_list("o").alias("failed"))  # one a round
+            tried = functools.reduce(DataFrame.unionByName, failed).groupBy("node").agg(F.collect_list("o").alias("failed"))  # one for each run and round at most
             state = known.join(several, "run", "left_semi").join(tried, "node", "left")
         state = state.select("run", "node", "class", "sketch", F.coalesce("failed", F.array().cast("array<long>")).alias("failed"))
-        pairs = state.repartition("run").sortWithinPartitions("run").mapInArrow(_nearest(limit), "a long, b long, d long")
-        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "d", F.col("b").alias("o")), F.struct(F.col("b").alias("node"), "d", F.col("a").alias("o")))).alias("e")).select("e.*")
-        nearest = ends.groupBy("node").agg(F.min(F.struct("d", "o"))["o"].alias("o"))
-        nearest = stage(nearest.select("node", "o", F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")), "nearest")
-        pairs = nearest.select("a", "b").distinct()
+        edges = state.repartition("run").sortWithinPartitions("run", "node").mapInArrow(_forests(limit), "node long, o long").distinct()
+        edges = stage(edges.select("node", "o", F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")), "edges")
+        if edges.isEmpty():
+            unstage(edges)
+            break
+        pairs = edges.select("a", "b").distinct()
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         good = stage(both.select("a", "b", "ta", "tb").mapInArrow(_verified(words, similarity), "a long, b long"), "good")
         if good.isEmpty():
-            unstage(nearest, good)
+            unstage(edges, good)
             break
         links.append(good)
-        failed.append(stage(nearest.join(good, ["a", "b"], "left_anti").select("node", "o"), "failed"))
-        unstage(nearest)
+        failed.append(stage(edges.join(good, ["a", "b"], "left_anti").select("node", "o"), "failed"))
+        unstage(edges)
         if classes is not None:
             unstage(classes)
         classes = stage(connected_components(functools.reduce(DataFrame.unionByName, links)), "classes")

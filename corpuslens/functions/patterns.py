@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -118,3 +119,70 @@ def check_regex(spark: SparkSession, pattern: str) -> None:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
     except Exception as e:
         raise PatternError(f"bad pattern {pattern!r}") from e
+
+
+# Patterns as data: thousands of globs meet paths by equal keys.
+
+_PLAIN = r"[^*?\[{/\\\\]+"
+KEYS = "glob string, kind string, key string, regex string"
+
+
+def glob_keys(glob: str) -> list[tuple[str, str, str | None]]:
+    """(kind, key, regex) of an exclude glob: what each path that it matches has among path_keys; the regex, where there is one, decides."""
+    out = []
+    for g in (glob, *([glob[:-3]] if glob.endswith("/**") else [])):
+        for one in _alternatives(g):
+            simple = [("name", rf"\*\*/({_PLAIN})"), ("ending", rf"\*\*/\*(\.{_PLAIN})"), ("folder", rf"\*\*/({_PLAIN})/\*\*"), ("top", rf"({_PLAIN})/\*\*")]
+            found = [(kind, m[1], None) for kind, pattern in simple if (m := re.fullmatch(pattern, one))]
+            if not found:
+                plain = [x for x in one.split("/") if re.fullmatch(_PLAIN, x)]
+                found = [("part", max(plain, key=len), path_glob(one))] if plain else [("any", "", path_glob(one))]
+            out += found
+    return out
+
+
+def keyed_globs(globs: DataFrame) -> DataFrame:
+    """glob, kind, key, regex of a table of globs (glob); a glob that can't be used is an error."""
+
+    def run(it):
+        for batch in it:
+            rows = [{"glob": g, "kind": kind, "key": key, "regex": regex} for g in batch["glob"].to_pylist() if g for kind, key, regex in glob_keys(g)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.string()) for c in ("glob", "kind", "key", "regex")]))
+
+    return globs.select("glob").distinct().mapInArrow(run, KEYS)
+
+
+def path_keys(path: Column) -> Column:
+    """(kind, key) of all that a keyed glob may meet a path by."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    dots = F.split(name, r"\.")
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    endings = F.transform(F.sequence(F.lit(2), F.size(dots)), lambda k: pair("ending", F.concat(F.lit("."), F.array_join(F.slice(dots, k, F.size(dots)), "."))))
+    none = F.slice(F.array(pair("name", name)), 2, 1)
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    return F.array_distinct(
+        F.concat(
+            F.array(pair("name", name)),
+            F.when(F.size(dots) > 1, endings).otherwise(none),
+            F.transform(folders, lambda x: pair("folder", x)),
+            F.when(F.size(parts) > 1, F.array(pair("top", F.element_at(parts, 1)))).otherwise(none),
+            F.transform(parts, lambda x: pair("part", x)),
+        )
+    )
+
+
+def without_excluded(files: DataFrame, globs: DataFrame) -> DataFrame:
+    """Files (rel_path, ...) that no glob of a table (glob) excludes, as `excluded` would have it.
+
+    Paths and globs meet by equal names, endings, folders or parts; only globs with stars elsewhere are checked by their regex, on the paths that they meet.
+    Globs without any plain part, such as `*foo*`, are one regex for all paths: there should be few.
+    """
+    keyed = keyed_globs(globs)
+    path = F.replace("rel_path", F.lit("\\"), F.lit("/"))
+    loose = [r["regex"] for r in keyed.where("kind = 'any'").select("regex").distinct().orderBy("regex").collect()]
+    paths = files.select("rel_path").distinct()
+    met = paths.select("rel_path", path.alias("_path"), F.explode(path_keys(path)).alias("k")).select("rel_path", "_path", "k.kind", "k.key").join(keyed.where("kind <> 'any'"), ["kind", "key"])
+    bad = met.where("regex IS NULL OR rlike(_path, regex)").select("rel_path").distinct()
+    left = files.join(bad, "rel_path", "left_anti").select(*files.columns)
+    return left.where(~path.rlike("|".join(f"(?:{x})" for x in loose))) if loose else left

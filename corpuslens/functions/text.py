@@ -132,6 +132,18 @@ def clamp(x: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(x, low), high)
 
 
+def sound(path: Column) -> Column:
+    """Absolute, and without a way up."""
+    return path.startswith("/") & ~path.rlike(r"(^|/)\.\.(/|$)")
+
+
+def ancestors(path: Column) -> Column:
+    """An absolute path itself and every directory above it, the top as '/'."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    return F.array_distinct(F.concat(F.array(F.lit("/")), above))
+
+
 def within(path: Column, root: Column) -> Column:
     """The path is the root or under it, and has no way up."""
     return ((path == root) | path.startswith(F.concat(F.rtrim(root, F.lit("/")), F.lit("/")))) & ~path.rlike(r"(^|/)\.\.(/|$)") & path.startswith("/")

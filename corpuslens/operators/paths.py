@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.patterns import excluded, path_matches
-from corpuslens.functions.text import clamp, lines_of, within
+from corpuslens.functions.text import ancestors, clamp, lines_of, sound, within
 from corpuslens.operators.search import cap_per_host, effective_limit, select_hosts, select_roots, within_budget
 from corpuslens.options import LIMITS, all_excludes
 
@@ -31,35 +31,56 @@ def search_paths(files: DataFrame, pattern: str, hosts=("*",), roots=(), known_h
 
 
 def contained(paths: DataFrame, locations: DataFrame) -> DataFrame:
-    """Paths (host, path) that are under one of their host's roots."""
-    roots = locations.select(F.col("host").alias("_host"), F.col("path").alias("_root"))
-    return paths.join(roots, (F.col("host") == F.col("_host")) & within(F.col("path"), F.col("_root")), "left_semi")
+    """Paths (host, path) that are under one of their host's roots, by equal ancestors."""
+    found = paths.select("host", "path").distinct().where(sound(F.col("path"))).select("host", "path", F.explode(ancestors(F.col("path"))).alias("_root")).join(_roots(locations), ["host", "_root"], "left_semi")
+    return paths.join(found.select("host", "path").distinct(), ["host", "path"], "left_semi")
 
 
-def list_directory(files: DataFrame, directory: str, excludes: tuple[str, ...] = ()) -> DataFrame:
-    """host, name, path, kind, size, modified_ms of a directory's children; size and time for files only."""
+def _roots(locations: DataFrame) -> DataFrame:
+    root = F.rtrim("path", F.lit("/"))
+    return locations.select("host", F.when(root == "", "/").otherwise(root).alias("_root")).distinct()
+
+
+def owners(paths: DataFrame, locations: DataFrame) -> DataFrame:
+    """host, path, root of every path (host, path) that is under a root of its host (host, name, path): the longest one; of equal places the name by ordered_roots."""
+    root = F.rtrim("path", F.lit("/"))
+    places = ordered_roots(locations).select("host", F.when(root == "", "/").otherwise(root).alias("_root"), "rank", "name").groupBy("host", "_root").agg(F.min(F.struct("rank", "name"))["name"].alias("root"))
+    rows = paths.select("host", "path").distinct().where(sound(F.col("path"))).select("host", "path", F.explode(ancestors(F.col("path"))).alias("_root")).join(places, ["host", "_root"])
+    return rows.groupBy("host", "path").agg(F.max_by("root", F.length("_root")).alias("root"))
+
+
+def owned(files: DataFrame, locations: DataFrame) -> DataFrame:
+    """Files (host, root, path, ...) once each where roots overlap: the row of the root that owns the path. Only paths take part in the choice."""
+    return files.join(owners(files, locations), ["host", "path", "root"], "left_semi")
+
+
+def _children(files: DataFrame, directory: str, excludes: tuple[str, ...]) -> DataFrame:
+    """host, name, path, kind, size, modified_ms, hidden of a directory's children; excluded ones are hidden."""
     base = directory.rstrip("/") + "/"
     under = files.where(F.col("path").startswith(base)).withColumn("rest", F.expr(f"substring(path, {len(base) + 1})"))
     under = under.withColumn("name", F.substring_index("rest", "/", 1)).withColumn("is_file", ~F.col("rest").contains("/"))
-    under = under.where(~excluded(F.concat(F.lit(base.lstrip("/")), F.col("name")), all_excludes(excludes)))
     one = under.groupBy("host", "name").agg(F.bool_and("is_file").alias("f"), F.max("size").alias("s"), F.max("modified_ms").alias("m"))
     when_file = lambda c: F.when(F.col("f"), F.col(c))
-    return one.select("host", "name", F.concat(F.lit(base), "name").alias("path"), F.when(F.col("f"), "file").otherwise("directory").alias("kind"), when_file("s").alias("size"), when_file("m").alias("modified_ms"))
+    hidden = excluded(F.concat(F.lit(base.lstrip("/")), F.col("name")), all_excludes(excludes))
+    return one.select("host", "name", F.concat(F.lit(base), "name").alias("path"), F.when(F.col("f"), "file").otherwise("directory").alias("kind"), when_file("s").alias("size"), when_file("m").alias("modified_ms"), hidden.alias("hidden"))
+
+
+def list_directory(files: DataFrame, directory: str, excludes: tuple[str, ...] = ()) -> DataFrame:
+    """host, name, path, kind, size, modified_ms of a directory's children; size and time for files only."""
+    return _children(files, directory, excludes).where("not hidden").drop("hidden")
 
 
 def browse(files: DataFrame, locations: DataFrame, host: str, directory: str, excludes: tuple[str, ...] = ()) -> DataFrame:
     """A host's directory in order of names: name, path, kind, size, modified_ms, error. A directory outside of the host's roots, excluded, or
-    that isn't one gives a single row with its error."""
-    mine = files.where(F.col("host") == host)
+    that isn't one gives a single row with its error. Files and locations are read once each."""
     asked = F.lit(directory.rstrip("/") or "/")
-    inside = locations.where((F.col("host") == host) & within(asked, F.col("path"))).agg((F.count("*") > 0).alias("inside"))
-    root = locations.where((F.col("host") == host) & within(asked, F.col("path"))).agg((F.max(F.col("path") == asked)).alias("is_root"))
-    there = mine.agg(F.coalesce(F.bool_or(F.col("path").startswith(directory.rstrip("/") + "/")), F.lit(False)).alias("there"))
-    bad = excluded(F.lit(directory.strip("/")), all_excludes(excludes))
-    error = F.when(~F.col("inside"), "outside the roots").when(bad, "excluded").when(~F.col("there") & ~F.coalesce("is_root", F.lit(False)), "not a directory")
-    said = inside.join(root, F.lit(True)).join(there, F.lit(True)).select(error.alias("error"))  # one row each
-    rows = said.join(list_directory(mine, directory, excludes).drop("host"), F.col("error").isNull(), "left")
-    return rows.where("error is not null or name is not null").select("name", "path", "kind", "size", "modified_ms", "error").orderBy("name")
+    places = locations.where((F.col("host") == host) & within(asked, F.col("path")))
+    said = places.agg((F.count("*") > 0).alias("inside"), F.coalesce(F.max(F.col("path") == asked), F.lit(False)).alias("is_root"))  # one row
+    refused = F.when(~F.col("inside"), "outside the roots").when(excluded(F.lit(directory.strip("/")), all_excludes(excludes)), "excluded")
+    said = said.select(refused.alias("refused"), "is_root")
+    rows = said.join(_children(files.where(F.col("host") == host), directory, excludes).drop("host"), F.col("refused").isNull(), "left")
+    error = F.coalesce("refused", F.when(F.col("name").isNull() & ~F.col("is_root"), "not a directory"))
+    return rows.withColumn("error", error).where("error is not null or not hidden").select("name", "path", "kind", "size", "modified_ms", "error").orderBy("name")
 
 
 def read_lines(requests: DataFrame, files: DataFrame, max_bytes: int = LIMITS.max_file_bytes, excludes: tuple[str, ...] = (), locations: DataFrame | None = None, budget: int | None = None) -> DataFrame:
@@ -69,7 +90,7 @@ def read_lines(requests: DataFrame, files: DataFrame, max_bytes: int = LIMITS.ma
     are asked for go through the join; where the requests are small enough to broadcast, no text is shuffled.
     """
     readable = files.where(~excluded(F.col("rel_path"), all_excludes(excludes))).select("host", "path", "size", "text")
-    readable = readable.join(requests.select("host", "path").distinct(), ["host", "path"], "left_semi")
+    readable = readable.join(requests.select("host", "path").distinct(), ["host", "path"], "left_semi").dropDuplicates(["host", "path"])  # a file under several roots is one
     rows = requests.join(readable, ["host", "path"], "left")
     outside = F.col("path").rlike(r"(^|/)\.\.(/|$)")
     if locations is not None:

@@ -67,12 +67,14 @@ def from_wire(wire: DataFrame, local_host: str, now_ms: int, ttl_ms: int = LIMIT
 
 
 def merge(cached: DataFrame, provided: DataFrame) -> DataFrame:
-    """The provider's rows replace all; a configured capability or root list that it leaves out stays; the generation never falls."""
-    old = cached.select("host", F.col("capabilities").alias("_c"), F.col("roots").alias("_r"), F.col("generation").alias("_g"))
+    """The provider's rows replace all; a configured capability or root list that it leaves out stays. The registry's generation is the greatest
+    that the cache or the provider has for any host, also one that goes: it never falls."""
+    old = cached.select("host", F.col("capabilities").alias("_c"), F.col("roots").alias("_r"))
+    newest = F.broadcast(generation(cached.select("generation").unionByName(provided.select("generation"))).withColumnRenamed("generation", "_newest"))  # one row
     rows = provided.join(old, "host", "left")
     kept = lambda new, was: F.when(F.coalesce(F.size(new), F.lit(0)) > 0, F.col(new)).otherwise(F.coalesce(was, new))
     rows = rows.withColumn("capabilities", kept("capabilities", "_c")).withColumn("roots", kept("roots", "_r"))
-    return rows.withColumn("generation", F.greatest("generation", F.coalesce("_g", F.lit(0)))).select(*provided.columns)
+    return rows.crossJoin(newest).withColumn("generation", F.col("_newest")).select(*provided.columns)
 
 
 def failed_refresh(cached: DataFrame, error: str) -> DataFrame:

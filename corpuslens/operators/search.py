@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.patterns import PatternError, check_regex, exclude_regex, excluded, ignore_glob, included
 from corpuslens.functions.text import binary, lines_of, loc, match_column, matches
 from corpuslens.options import LIMITS, all_excludes
+from corpuslens.sources.shared import new_path
 
 ORDER = ["host", "path", "line_number"]
 
@@ -91,18 +90,31 @@ def hit_keys(files: DataFrame, search: Search) -> DataFrame:
 
 
 def with_context(keys: DataFrame, files: DataFrame, search: Search) -> DataFrame:
-    """Hits (as find_hits gives them) at these few keys, LIMITS.max_results at most: only their files are read again."""
-    few = F.broadcast(keys.groupBy("host", "path").agg(F.collect_list("line_number").alias("numbers")))
-    rows = files.select("host", "root", "path", "text").join(few, ["host", "path"]).select("host", "root", "path", lines_of(F.col("text")).alias("lines"), F.explode("numbers").alias("line_number"))
+    """Hits (as find_hits gives them) at these few keys, LIMITS.max_results at most: only their files are read again.
+
+    The keys are known on the driver, so that their paths are a filter of the scan. A file under several roots is read under the first of them.
+    """
+    found = keys.select(*ORDER).limit(LIMITS.max_results).collect()
+    few = F.broadcast(files.sparkSession.createDataFrame([tuple(r) for r in found], keys.select(*ORDER).schema).groupBy("host", "path").agg(F.collect_list("line_number").alias("numbers")))
+    rows = files.where(F.col("path").isin(sorted({r["path"] for r in found})) & F.col("host").isin(sorted({r["host"] for r in found}))).select("host", "root", "path", "text").join(few, ["host", "path"])
+    rows = rows.groupBy("host", "path").agg(F.min(F.struct("root", "text")).alias("f"), F.first("numbers").alias("numbers")).select("host", "f.root", "path", lines_of(F.col("f.text")).alias("lines"), F.explode("numbers").alias("line_number"))
     rows = rows.withColumn("text", F.element_at("lines", F.col("line_number")))
     column = match_column(F.col("text"), search.query, search.mode).alias("column")
     return rows.select("host", "root", "path", "line_number", "text", column, _context(F.col("line_number") - 1, search.context_lines).alias("context"))
 
 
 def join_context(hits: DataFrame, lines: DataFrame, c: int) -> DataFrame:
-    """Hits with the lines around them, where lines are stored: a range join on top of the equal file."""
-    near = lines.select("host", "path", F.col("line_number").alias("context_line"), F.col("text").alias("context_text"))
-    return hits.join(near, ["host", "path"]).where(F.col("context_line").between(F.col("line_number") - c, F.col("line_number") + c))
+    """Hits with the lines around them, where lines are stored.
+
+    Line numbers are dealt into bands as wide as a context, so a hit's context lies in two bands at most: files and bands meet by equality, and a
+    file of any length costs what its hits do.
+    """
+    width = 2 * c + 1
+    band = lambda n: F.floor(n / F.lit(width))
+    near = lines.select("host", "path", band(F.col("line_number")).alias("_band"), F.col("line_number").alias("context_line"), F.col("text").alias("context_text"))
+    bands = F.explode(F.sequence(band(F.col("line_number") - c), band(F.col("line_number") + c)))
+    met = hits.withColumn("_band", bands).join(near, ["host", "path", "_band"]).drop("_band")
+    return met.where(F.col("context_line").between(F.col("line_number") - c, F.col("line_number") + c))
 
 
 def dedup_hits(hits: DataFrame) -> DataFrame:
@@ -150,6 +162,28 @@ def compact(hits: DataFrame) -> DataFrame:
     return ranges.select("host", "path", "start_line", "end_line", loc(F.col("start_line"), F.col("end_line")).alias("loc"), F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("data"))
 
 
+def compact_spread(hits: DataFrame) -> DataFrame:
+    """compact() where a file may have more hits than a task should hold.
+
+    Spans are dealt into ranges by file and start. What a range must know of the ones before it, the furthest end and the number of islands opened, is a
+    row a range; so islands that go on over ranges are stitched, and only the lines of one island come together, as its text.
+    """
+    spans = hits.select("host", "path", F.element_at("context", 1)["line_number"].alias("start"), F.element_at("context", -1)["line_number"].alias("end"), "context")
+    at = new_path(hits.sparkSession, "spans")
+    spans.repartitionByRange("host", "path", "start", "end").withColumn("_range", F.spark_partition_id()).write.parquet(at)  # stored, so that ranges stay as they are
+    dealt, file = hits.sparkSession.read.parquet(at), ["host", "path"]
+    earlier = Window.partitionBy(*file).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy(*file, "_range").agg(F.max("end").alias("_far")).withColumn("_far", F.max("_far").over(earlier))
+    here = Window.partitionBy(*file, "_range").orderBy("start", "end")
+    before = F.greatest(F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
+    opened = dealt.join(ends, [*file, "_range"]).withColumn("opens", F.when(F.col("start") <= before + 1, 0).otherwise(1))
+    sums = opened.groupBy(*file, "_range").agg(F.sum("opens").alias("_n")).withColumn("_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    islands = opened.join(sums, [*file, "_range"]).withColumn("island", F.col("_n") + F.sum("opens").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = islands.select(*file, "island", F.explode("context").alias("line")).distinct()
+    ranges = lines.groupBy(*file, "island").agg(F.min("line.line_number").cast("int").alias("start_line"), F.max("line.line_number").cast("int").alias("end_line"), F.array_sort(F.collect_list("line")).alias("lines"))
+    return ranges.select(*file, "start_line", "end_line", loc(F.col("start_line"), F.col("end_line")).alias("loc"), F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("data"))
+
+
 def show_hosts(ranges: DataFrame) -> DataFrame:
     """`host` only where its path is found on several hosts."""
     many = ranges.groupBy("path").agg(F.count_distinct("host").alias("n_hosts"))
@@ -167,48 +201,51 @@ def preview(lines: DataFrame, hits: DataFrame, max_lines: int = LIMITS.preview_l
     return rows.groupBy("host", "path", "from_line").agg(F.count_if(fits).alias("n_lines"), F.coalesce(F.max(F.when(fits, F.col("bytes"))), F.lit(0)).alias("n_bytes"), F.bool_or(~fits).alias("truncated"))
 
 
-def _automaton(queries: list[tuple[str, int]]):
-    """Finds all of many literals in one pass over a text."""
-    words = ahocorasick.Automaton()
-    for text, number in queries:
-        words.add_word(text, (text, words.get(text, (text, ()))[1] + (number,)))
-    words.make_automaton()
-    return words
+def _pieces(text: Column, n: int) -> Column:
+    """Distinct pieces of n letters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1)))
+
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda x: x != "")
 
-def _scan_lines(queries: list[tuple[str, int]]):
-    def run(it):
-        words = _automaton(queries)
-        for batch in it:
-            rows, numbers = [], []
-            for k, text in enumerate(batch["text"].to_pylist()):
-                found = sorted({n for _, (_, ns) in words.iter(text or "") for n in ns})
-                rows += [k] * len(found)
-                numbers += found
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(rows, pa.int64())) for c in batch.columns] + [pa.array(numbers, pa.int64())], [*batch.schema.names, "_number"])
 
-    return run
+#: Of a query: what every line that holds it has among its own keys of that kind. Words inside a query are whole words of such a line; shorter ones go by pieces.
+_QUERY_KEYS = {
+    "word": lambda q: F.array_distinct(F.filter(F.slice(F.split(q, " "), F.lit(2), F.greatest(F.size(F.split(q, " ")) - 2, F.lit(0))), lambda x: x != "")),
+    "three": lambda q: _pieces(q, 3),
+    "two": lambda q: F.array(q),
+    "one": lambda q: F.array(q),
+}
+_LINE_KEYS = {"word": lambda t: F.array_distinct(_words(t)), "three": lambda t: _pieces(t, 3), "two": lambda t: _pieces(t, 2), "one": lambda t: _pieces(t, 1)}
 
 
 def multi_search(queries: DataFrame, lines: DataFrame, letters: int = 8_000_000) -> DataFrame:
     """query_id, host, path, line_number, text of every line that holds a literal query (query_id, query); blank queries, and such with a newline, match nothing.
 
-    All queries are looked for in one pass over the lines, whatever their number: an automaton of them goes to each task. What it holds is
-    bounded: the queries are taken in blocks of this many letters, a pass each.
+    A query stands for itself by its rarest key: a word inside it, or three letters of it where it has no such word, or the query where it is shorter. How rare keys are is
+    counted on the lines, which then meet the queries by an equal key and are verified. Queries are only broadcast while they have at most `letters` letters.
     """
     wanted = queries.where("trim(query) <> '' and not contains(query, '\n')").select("query_id", "query").distinct()
-    wanted = wanted.withColumn("_size", F.length("query"))
-    total = wanted.agg(F.sum("_size")).first()[0] or 0
-    parts = -(-total // letters)
+    texts = wanted.select("query").distinct()
+    words = F.size(_QUERY_KEYS["word"](F.col("query")))
+    kind = F.when(words > 0, "word").when(F.length("query") > 2, "three").when(F.length("query") == 2, "two").otherwise("one")
+    sizes = {r["kind"]: r["letters"] for r in texts.groupBy(kind.alias("kind")).agg(F.sum(F.length("query")).alias("letters")).collect()}  # four rows at most
     lines = lines.select("host", "path", "line_number", "text")
-    schema = "host string, path string, line_number int, text string, _number long"
-    out = lines.join(wanted.select("query_id").limit(0), F.lit(True)).select("query_id", *lines.columns)
-    for k in range(parts):
-        block = wanted.where(F.pmod(F.xxhash64("query_id", "query"), F.lit(parts)) == k).orderBy("query_id", "query").collect()  # about `letters` letters
-        ids = lines.sparkSession.createDataFrame([(n, r["query_id"]) for n, r in enumerate(block)], f"_number long, query_id {dict(queries.dtypes)['query_id']}")
-        hits = lines.mapInArrow(_scan_lines([(r["query"], n) for n, r in enumerate(block)]), schema)
-        out = out.unionByName(hits.join(F.broadcast(ids), "_number").select("query_id", *lines.columns))
-    return out
+    few = (lambda df: F.broadcast(df)) if sum(sizes.values()) <= letters else (lambda df: df)
+    out = None
+    for name in sizes:
+        keyed = texts.where(kind == name).select("query", F.explode(_QUERY_KEYS[name](F.col("query"))).alias("key"))
+        if name in ("word", "three"):
+            here = lines.select(F.explode(_LINE_KEYS[name](F.col("text"))).alias("key"))
+            counts = here.join(few(keyed.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+            # A query with a key that no line has matches nothing.
+            keyed = keyed.join(counts, "key", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rarest")).where("rarest.n > 0").select("query", "rarest.key")
+        met = lines.withColumn("key", F.explode(_LINE_KEYS[name](F.col("text")))).join(few(keyed), "key").where(F.contains("text", "query")).drop("key")
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        out = lines.withColumn("query", F.lit("")).limit(0)
+    return out.join(few(wanted), "query").select("query_id", *lines.columns)
 
 
 def request_error(search: Search, spark) -> str | None:
@@ -244,10 +281,10 @@ def search_text(
         status = everywhere.select("host", F.lit(False).alias("ok"), F.lit(error).alias("error"), F.lit(0).cast("long").alias("n_hits"), F.lit(False).alias("truncated"))
         rows = find_hits(files, Search("x", context_lines=search.context_lines)).limit(0)
         return (rows if verbose else show_hosts(compact(rows)).withColumn("truncated", F.lit(False))), status.orderBy("host")
-    keys = hit_keys(files, search)
+    keys = hit_keys(files, search).distinct()  # a file under several roots counts once
     counts = everywhere.join(truncated_hosts(keys, limit), "host", "left")
     status = counts.select("host", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("truncated", F.lit(False)).alias("truncated")).orderBy("host")
-    hits = with_context(top_hits(cap_per_host(keys.distinct(), limit), limit), files, search)
+    hits = with_context(top_hits(cap_per_host(keys, limit), limit), files, search)
     if verbose:
         return within_budget(hits.withColumn("_all", F.lit(1)), F.octet_length("text"), budget, ["_all"], ORDER).drop("_all"), status
     ranges = show_hosts(compact(hits))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as X
-from corpuslens.functions.patterns import excluded
-from corpuslens.operators import backup, index, jobs, paths, registry, search, status
+from corpuslens.functions.patterns import excluded, without_excluded
+from corpuslens.operators import backup, index, index_store, jobs, paths, registry, search, status
 from corpuslens.operators.search import Search
 from corpuslens.options import LIMITS, all_excludes
 from corpuslens.sources import corpora
@@ -165,6 +165,27 @@ def context_join(spark, sf_dir):
     return search.join_context(hits, lines, 1).select("host", "path", "line_number", "context_line", "context_text")
 
 
+#: All turns as one file, a conversation's lines in a row.
+_ONE_FILE = "l AS (SELECT 'chat' AS host, '/all.log' AS path, CAST(conv_id * 1000 + turn AS INTEGER) AS line_number, text FROM conversations)"
+
+
+def _one_file(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").selectExpr("'chat' host", "'/all.log' path", "cast(conv_id * 1000 + turn as int) line_number", "text")
+
+
+@query(f"WITH {_ONE_FILE} SELECT h.line_number, l.line_number AS context_line, l.text AS context_text FROM l h JOIN l ON l.line_number BETWEEN h.line_number - 2 AND h.line_number + 2 WHERE contains(h.text, 'tion')")
+def context_join_one_file(spark, sf_dir):
+    lines = _one_file(spark, sf_dir)
+    return search.join_context(lines.where(X.matches(F.col("text"), "tion", "literal")), lines, 2).select("line_number", "context_line", "context_text")
+
+
+@query(f"WITH {_ONE_FILE}, o AS (SELECT *, line_number - row_number() OVER (ORDER BY line_number) AS island FROM l) SELECT CAST(min(line_number) AS INTEGER) AS start_line, CAST(max(line_number) AS INTEGER) AS end_line, string_agg(text, chr(10) ORDER BY line_number) AS data FROM o GROUP BY island")
+def compact_one_file(spark, sf_dir):
+    """Every line of one file is a hit: islands are stitched over ranges of it."""
+    hits = _one_file(spark, sf_dir).withColumn("context", F.array(F.struct("line_number", "text")))
+    return search.compact_spread(hits).select("start_line", "end_line", "data")
+
+
 _RANGES = (
     HITS
     + """, s AS (SELECT h.host, h.path, greatest(line_number - 2, 1) AS st, least(line_number + 2, total) AS en FROM h JOIN n ON h.host = n.host AND h.path = n.path),
@@ -255,6 +276,23 @@ def search_failed_status(spark, sf_dir):
     return said.join(ranges.select("host", "data"), "host", "left").where("data is null").select("host", "ok", "error", "n_hits")
 
 
+def _twice(files: DataFrame) -> DataFrame:
+    """Files under roots that overlap: each is listed under its language's root and under the one above."""
+    return files.unionByName(files.withColumn("root", F.lit("corpus")))
+
+
+@query(f"""WITH {CAPPED.format(k=40).replace("contains(text, 'ering')", "contains(text, 'eringh')")}, t AS (SELECT * FROM c ORDER BY host, path, line_number LIMIT 40), g AS (SELECT *, sum(strlen(text)) OVER (ORDER BY host, path, line_number) AS s FROM t) SELECT host, path, line_number, text FROM g WHERE s <= 131072""")
+def search_overlapping_roots(spark, sf_dir):
+    hits, _ = search.search_text(_twice(_docs(spark, sf_dir)), Search("eringh", limit=40), {"corpus", "de", "en", "es", "fr"}, HOSTS, verbose=True)
+    return hits.select(*HIT_COLUMNS)
+
+
+@query(f"WITH {HITS}, n2 AS (SELECT host, count(*) AS n_hits FROM h GROUP BY host) SELECT host, coalesce(n_hits, 0) AS n_hits, coalesce(n_hits, 0) > 50 AS truncated FROM (SELECT DISTINCT host FROM f) LEFT JOIN n2 USING (host)")
+def search_overlapping_status(spark, sf_dir):
+    _, said = search.search_text(_twice(_docs(spark, sf_dir)), Search("ering", limit=50), known_hosts=HOSTS)
+    return said.select("host", "n_hits", "truncated")
+
+
 @query("WITH q AS (SELECT item_id AS query_id, unnest(string_split(text, chr(10))) AS query FROM benchmark), " + LINES + " SELECT DISTINCT query_id, l.host, l.path, l.line_number FROM l JOIN q ON contains(l.text, q.query) WHERE trim(query) <> ''")
 def multi_query(spark, sf_dir):
     """Every line of every benchmark text is a query."""
@@ -386,6 +424,37 @@ def read_budget(spark, sf_dir):
     return paths.read_lines(requests, files, locations=places, budget=700).select("host", "path", "data", "truncated", "error")
 
 
+@query(f"WITH {LINES} SELECT f.host, f.path, coalesce(string_agg(l.text, chr(10) ORDER BY l.line_number), '') AS data FROM f LEFT JOIN l ON l.host = f.host AND l.path = f.path AND l.line_number <= 3 GROUP BY f.host, f.path")
+def read_overlapping_roots(spark, sf_dir):
+    """The first three lines of every file, each of which is under two roots."""
+    files = _docs(spark, sf_dir)
+    requests = files.select(F.col("rel_path").alias("request_id"), "host", "path", F.lit(1).alias("start"), F.lit(3).alias("end"))
+    return paths.read_lines(requests, _twice(files)).select("host", "path", F.coalesce("data", F.lit("")).alias("data"))
+
+
+@query(f"WITH {FILES} SELECT host, path, CASE WHEN root IN ('de', 'fr') THEN root ELSE 'corpus' END AS root FROM f")
+def owned_files(spark, sf_dir):
+    """Of roots that overlap the longest has a file."""
+    files = _docs(spark, sf_dir)
+    places = corpora.corpus_locations(files).where("name in ('de', 'fr')").unionByName(files.select("host", F.lit("corpus").alias("name"), F.lit("/corpus/").alias("path")).distinct())
+    return paths.owned(_twice(files), places).select("host", "path", "root")
+
+
+_GLOBS = """k AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'top' || doc_id % 50 || '/x.txt' WHEN 1 THEN 'a/dir' || doc_id % 50 || '/b/c.md' WHEN 2 THEN 'a/name' || doc_id % 50 WHEN 3 THEN 'a/x.e' || doc_id % 50 WHEN 4 THEN 'lib' || doc_id % 50 || '/gen/f' || doc_id || '.c' WHEN 5 THEN 'a/dir' || doc_id % 50 WHEN 6 THEN 'a/x.tar.e' || doc_id % 50 ELSE 'a\\name' || doc_id % 50 END AS rel_path FROM documents)"""
+
+
+@query(f"WITH {_GLOBS} SELECT doc_id, rel_path FROM k WHERE doc_id % 50 >= 25 AND NOT (doc_id % 8 = 4 AND doc_id % 7 = 0)")
+def exclude_patterns(spark, sf_dir):
+    """Excludes are a table of globs made from the documents: names, endings, folders and tops of half of the paths, and generated files by a pattern each."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id")
+    n = "doc_id % 50"
+    rel = F.expr(f"case doc_id % 8 when 0 then 'top' || {n} || '/x.txt' when 1 then 'a/dir' || {n} || '/b/c.md' when 2 then 'a/name' || {n} when 3 then 'a/x.e' || {n} when 4 then 'lib' || {n} || '/gen/f' || doc_id || '.c' when 5 then 'a/dir' || {n} when 6 then 'a/x.tar.e' || {n} else 'a\\\\name' || {n} end")
+    files = rows.withColumn("rel_path", rel)
+    globs = rows.where(f"{n} < 25").selectExpr(f"explode(array('top' || {n} || '/**', '**/dir' || {n} || '/**', '**/name' || {n}, '**/*.e' || {n}, 'l?b' || {n} || '/gen/*.c')) glob")
+    globs = globs.unionByName(rows.where("doc_id % 8 = 4 and doc_id % 7 = 0").selectExpr("'lib*/gen/f' || doc_id || '.[ch]' glob"))
+    return without_excluded(files, globs)
+
+
 # Status, catalog, counts
 
 _FLAGS = """s AS (SELECT source AS host, toxic = 0 AS ok, CASE WHEN toxic = 1 AND quality = 0 THEN 'peer timeout' WHEN toxic = 1 THEN 'path not readable' END AS error FROM labels JOIN documents USING (doc_id)),
@@ -475,31 +544,64 @@ def trigram_postings(spark, sf_dir):
     return index.build_postings(_docs(spark, sf_dir))
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_places: dict[tuple[str, str], str] = {}
 
 
-def _stored_index(spark, sf_dir) -> DataFrame:
-    """The postings of all documents, written once by an application, sorted by gram."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
-        at = new_path(spark, "postings")
-        index.write_postings(index.build_postings(_docs(spark, sf_dir)), at)
-        _indexes[key] = at
-    return index.load_postings(spark, _indexes[key])
+def _stored_index(spark, sf_dir) -> index_store.Snapshot:
+    """The index of all documents. Only its place is remembered: what changed since is indexed first."""
+    at = _places.setdefault((spark.sparkContext.applicationId, sf_dir), new_path(spark, "index"))
+    return index_store.refresh(spark, at, _docs(spark, sf_dir))
 
 
 @query(f"WITH {FILES} SELECT host, path FROM f WHERE contains(lower(text), 'ing') AND contains(lower(text), 'ngw') AND contains(lower(text), 'gwh')")
 def trigram_candidates(spark, sf_dir):
-    return index.candidates(_stored_index(spark, sf_dir), "ingwh")
+    return index.candidates(_stored_index(spark, sf_dir).postings(), "ingwh")
 
 
 @query(f"WITH {FILES} SELECT host, path FROM f WHERE contains(text, 'ingwh')")
 def indexed_search(spark, sf_dir):
     """By the stored index where its counts say that it pays, else by a scan."""
-    files, postings = _docs(spark, sf_dir), _stored_index(spark, sf_dir)
-    if not index.worth_it(postings, "ingwh", files.count()):
+    files, stored = _docs(spark, sf_dir), _stored_index(spark, sf_dir)
+    if not index.worth_it(stored.postings(), "ingwh", files.count()):
         return files.where(X.matches(F.col("text"), "ingwh", "literal")).select("host", "path")
-    return index.indexed_files(files, postings, "ingwh").select("host", "path")
+    return index_store.search_files(files, stored, "ingwh").select("host", "path")
+
+
+def _earlier(files: DataFrame) -> DataFrame:
+    """The files some time ago: some weren't there, some had another text, some are gone since."""
+    k = F.col("modified_ms") / 1000 % 10
+    old = files.where(k != 3).withColumn("text", F.when(k == 4, F.upper("text")).otherwise(F.col("text"))).withColumn("modified_ms", F.col("modified_ms") - F.when(k == 4, 1).otherwise(0))
+    gone = files.where(k == 5).withColumn("path", F.concat("path", F.lit(".old")))
+    return old.where(k != 7).unionByName(gone)
+
+
+@query(f"WITH {FILES} SELECT host, path FROM f WHERE contains(text, 'ering') AND doc_id % 10 <> 6")
+def indexed_search_stale(spark, sf_dir):
+    """Files were added, changed and removed since the index was written, and one root isn't ready: a search finds what a scan does."""
+    files, at = _docs(spark, sf_dir), new_path(spark, "index")
+    index_store.refresh(spark, at, _earlier(files), unready=("fr",))
+    now = files.where(F.col("modified_ms") / 1000 % 10 != 6)
+    return index_store.search_files(now, index_store.snapshot(spark, at), "ering").select("host", "path")
+
+
+_GRAMS = FILES + ", g AS (SELECT DISTINCT host, path, substr(t, i, 3) AS gram FROM (SELECT host, path, doc_id, lower(text) AS t, unnest(range(1, length(text) - 1)) AS i FROM f))"
+
+
+@query(f"WITH {_GRAMS} SELECT gram, count(*) AS n_files FROM g GROUP BY gram")
+def posting_counts(spark, sf_dir):
+    return index.build_postings(_docs(spark, sf_dir)).groupBy("gram").agg(F.count("*").alias("n_files"))
+
+
+@query(f"WITH {_GRAMS} SELECT gram, count(*) AS n_files, 1 AS n_runs FROM g GROUP BY gram")
+def index_merge(spark, sf_dir):
+    """An index of earlier files, refreshed by what changed in two runs; they are merged and the old ones deleted. It is the index of the files there are."""
+    files, at = _docs(spark, sf_dir), new_path(spark, "index")
+    index_store.refresh(spark, at, _earlier(files))
+    index_store.refresh(spark, at, _earlier(files).where("root <> 'es'").unionByName(files.where("root = 'es'")))
+    index_store.refresh(spark, at, files)
+    merged = index_store.merge_runs(spark, at)
+    index_store.drop_old(spark, at)
+    return merged.postings().groupBy("gram").agg(F.count("*").alias("n_files"), F.lit(len(merged.runs)).alias("n_runs"))
 
 
 @query(f"WITH {FILES} SELECT count(*) AS n_files, 0 AS n_left FROM f WHERE contains(lower(text), 'ing')")
@@ -632,6 +734,19 @@ def evict_by_bytes(spark, sf_dir):
     return rows.select("job_id", "event_id")
 
 
+@query(f"WITH {_SEQ} SELECT job_id, seq, host, path, line_number FROM q WHERE seq <= 100 AND job_id <> 'view'")
+def stored_results(spark, sf_dir):
+    """Jobs' results stored and loaded again, job by job; one job is past its time."""
+    at, rows = new_path(spark, "results"), jobs.admit(_arrivals(spark, sf_dir), 100)
+    jobs.store_results(rows, at)
+    known = rows.select("job_id").distinct().withColumn("created_ms", F.expr("case job_id when 'view' then 0 else 900 end"))
+    out = None
+    for row in known.select("job_id").orderBy("job_id").collect():  # kinds of events, few
+        one = jobs.load_results(spark, at, row["job_id"], known, 1000, 1000)
+        out = one if out is None else out.unionByName(one)
+    return out.select("job_id", "seq", "host", "path", "line_number")
+
+
 @query(f"WITH {_ARRIVALS}, m AS (SELECT max(arrival_ms) AS now FROM a) SELECT event_id FROM events, m WHERE now - epoch_us(ts) // 1000 < 86400000")
 def unexpired_jobs(spark, sf_dir):
     rows = _arrivals(spark, sf_dir).withColumn("created_ms", F.col("arrival_ms"))
@@ -685,7 +800,7 @@ def registry_validate(spark, sf_dir):
     return registry.failed_rules(_registry(spark, sf_dir)).select("routable_url", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(f"WITH {_REGISTRY}, o AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'node-' ELSE 'old-' END || c_custkey AS host, CAST(c_custkey % 30 AS BIGINT) AS g, c_mktsegment AS r FROM customer) SELECT n.host, n.routable_url, greatest(n.generation, coalesce(o.g, 0)) AS generation, coalesce(o.r, '') AS roots FROM g n LEFT JOIN o ON o.host = n.host")
+@query(f"WITH {_REGISTRY}, o AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'node-' ELSE 'old-' END || c_custkey AS host, CAST(c_custkey % 30 AS BIGINT) AS g, c_mktsegment AS r FROM customer) SELECT n.host, n.routable_url, (SELECT greatest(1, max(x)) FROM (SELECT max(g) AS x FROM o UNION ALL SELECT max(generation) FROM g)) AS generation, coalesce(o.r, '') AS roots FROM g n LEFT JOIN o ON o.host = n.host")
 def registry_merge(spark, sf_dir):
     rows = _registry(spark, sf_dir)
     provided = rows.withColumn("roots", F.array().cast("array<string>")).drop("c_custkey")
@@ -763,6 +878,35 @@ def binary_scan(spark, sf_dir):
     return files.groupBy("host", "root").agg(F.sum("size").alias("n_bytes"), F.sum(newlines).cast("long").alias("n_newlines"))
 
 
+@query("SELECT lang AS root, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents WHERE lang NOT IN ('es', 'fr') GROUP BY lang")
+def utf8_filter(spark, sf_dir):
+    """Files of one root hold a byte that isn't UTF-8, those of another a NUL: neither is scanned."""
+    at = new_path(spark, "bytes")
+    wrong = F.when(F.col("lang") == "es", F.unhex(F.lit("FF"))).when(F.col("lang") == "fr", F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("")))
+    rows = _table(spark, sf_dir, "documents").select("lang", F.concat(F.col("text").cast("binary"), wrong).cast("string").alias("text"))
+    rows.write.partitionBy("lang").option("maxRecordsPerFile", 2000).text(at)
+    names = [r["lang"] for r in _table(spark, sf_dir, "documents").select("lang").distinct().collect()]
+    files = corpora.scan_files(spark, "local", {n: f"{at}/lang={n}" for n in names}, max_bytes=0)
+    return files.groupBy("root").agg(F.sum("size").alias("n_bytes"))
+
+
+@query("SELECT lang AS root, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines, CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS n_letters, true AS numbered FROM documents WHERE lang <> 'es' GROUP BY lang")
+def split_scan(spark, sf_dir):
+    """All documents written as text files and read line by line in small splits; in each file the numbers go from 1 to its number of lines. Files of one root hold a NUL."""
+    at, split = new_path(spark, "texts"), "spark.sql.files.maxPartitionBytes"
+    _table(spark, sf_dir, "documents").select("lang", F.when(F.col("lang") == "es", F.concat("text", F.lit("\0"))).otherwise(F.col("text")).alias("text")).write.partitionBy("lang").text(at)
+    names = [r["lang"] for r in _table(spark, sf_dir, "documents").select("lang").distinct().collect()]
+    before = spark.conf.get(split)
+    spark.conf.set(split, "256k")
+    try:
+        lines = corpora.scan_lines(spark, "local", {n: f"{at}/lang={n}" for n in names})
+    finally:
+        spark.conf.set(split, before)
+    one = lines.groupBy("root", "path").agg(F.count("*").alias("n"), F.count_distinct("line_number").alias("d"), F.min("line_number").alias("low"), F.max("line_number").alias("high"), F.sum(F.length("text")).alias("letters"))
+    right = (F.col("n") == F.col("d")) & (F.col("low") == 1) & (F.col("high") == F.col("n"))
+    return one.groupBy("root").agg(F.sum("n").alias("n_lines"), F.sum("letters").alias("n_letters"), F.bool_and(right).alias("numbered"))
+
+
 def _stream(spark, sf_dir, table):
     """The table as a stream, a file or two a batch; a glob finds it as one file or as a folder."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema

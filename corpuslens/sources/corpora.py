@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.patterns import excluded
-from corpuslens.functions.text import lines_of
+from corpuslens.functions.text import lines_of, strip_cr
 from corpuslens.options import LIMITS, all_excludes
+from corpuslens.sources.shared import new_path
 
 FILES = ["host", "root", "path", "rel_path", "kind", "size", "modified_ms", "text"]
 
@@ -19,7 +20,7 @@ def scan_files(spark: SparkSession, host: str, roots: dict[str, str], excludes:
     """
     out = None
     for name, root in sorted(roots.items()):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)  # one may go while others are read
         at = F.regexp_replace("path", "^[a-zA-Z]+:/{1,3}", "/")
         base = "/" + root.split("://", 1)[-1].strip("/") + "/"
         files = files.withColumn("path", at).withColumn("rel_path", F.expr(f"substring(path, {len(base) + 1})"))
@@ -35,6 +36,34 @@ def scan_files(spark: SparkSession, host: str, roots: dict[str, str], excludes:
     return out
 
 
+def scan_lines(spark: SparkSession, host: str, roots: dict[str, str], excludes: tuple[str, ...] = ()) -> DataFrame:
+    """host, root, path, line_number, text of every line of text files under named roots, of any size: files are read in splits, never as a row.
+
+    A line's number is its place in its split and the lines of the file's earlier splits. Lines are stored with their split first, so that splits stay as they
+    were read. Files with a NUL, or that aren't UTF-8, have no lines. Line ends are those of lines_of.
+    """
+    out = None
+    for name, root in sorted(roots.items()):
+        rows = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(root)
+        base = "/" + root.split("://", 1)[-1].strip("/") + "/"
+        # The file name is a URI: blanks and the like are escaped in it.
+        at = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^[a-zA-Z]+:/{1,3}", "/"), F.lit("+"), F.lit("%2B")))
+        rows = rows.select(at.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("k"), "value")
+        rows = rows.where(~excluded(F.expr(f"substring(path, {len(base) + 1})"), all_excludes(excludes)))
+        part = rows.select(F.lit(name).alias("root"), "path", "start", "k", "value", (~F.is_valid_utf8("value") | (F.locate("\0", "value") > 0)).alias("bad"))
+        out = part if out is None else out.unionByName(part)
+    place = new_path(spark, "lines")
+    out.write.parquet(place)
+    stored = spark.read.schema(out.schema).parquet(place)
+    file = ["root", "path"]
+    splits = stored.groupBy(*file, "start").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.bool_or("bad").alias("bad"))
+    earlier = Window.partitionBy(*file).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("root", "path", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.bool_or("bad").over(Window.partitionBy(*file)).alias("_bad"))
+    # Within a split ids go on by one: a task reads it from end to end.
+    rows = stored.drop("bad").join(splits.where("NOT _bad"), [*file, "start"])
+    return rows.select(F.lit(host).alias("host"), "root", "path", (F.col("before") + F.col("k") - F.col("first") + 1).cast("int").alias("line_number"), strip_cr(F.col("value")).alias("text"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rel = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from corpuslens.operators import index_store
 from corpuslens.operators.index import build_postings, write_postings
 from corpuslens.operators.jobs import HIT
 from corpuslens.operators.registry import failed_refresh, failed_rules
@@ -91,27 +92,47 @@ def progressive_search(stream: DataFrame, search: Search, limit: int, out: str,
     return _start(stream, batch, checkpoint, once)
 
 
+def watch_files(spark: SparkSession, files: Callable[[], DataFrame], at: str, checkpoint: str, interval: str = "30 seconds", most_runs: int = 8) -> StreamingQuery:
+    """Keeps the index at `at` (operators.index_store) up to date: at every interval the files there are, as `files` lists them, are compared with those that the index knows,
+    and what was added, changed or removed becomes a run. Runs are merged when there are more than `most_runs`; readers of the generation before aren't disturbed."""
+
+    def batch(_: DataFrame, batch_id: int) -> None:
+        index_store.refresh(spark, at, files())
+        if len(index_store.snapshot(spark, at).runs) > most_runs:
+            index_store.merge_runs(spark, at, max(1, most_runs // 2))
+            index_store.drop_old(spark, at, keep=2)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
 def accepted_requests(requests: DataFrame, window: str = "60 seconds") -> DataFrame:
     """Requests (request_id, ts) without repeats less than the window from one accepted; a refused one doesn't count.
 
-    The state of an id is the times accepted, however they are dealt over batches: nothing is dropped as late. Where an id's times
+    The state of an id is the times accepted that can still refuse another; it ends a window after the last one, when the watermark (a window behind the newest time
+    seen) has passed. So there are only states of ids seen lately. Requests older than the watermark are dropped. Where an id's times
     come in order, batch by batch, these are the rows of jobs.accepted; an earlier one that comes later must keep clear of those
-    accepted on both sides. Ids are given by clients for single requests, so a state is an id's repeats only. Null times are dropped.
+    accepted on both sides. Null times are dropped.
     """
     width = pd.Timedelta(window) // pd.Timedelta(microseconds=1)
 
     def fold(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept, new = list(state.get[0]) if state.exists else [], []
         for t in sorted(t for pdf in batches for t in pdf["at"].tolist()):
             k = bisect_left(kept, t)
             if (k == 0 or t - kept[k - 1] >= width) and (k == len(kept) or kept[k] - t >= width):
                 kept.insert(k, t)
                 new.append(t)
-        state.update((kept,))
+        past = 1000 * state.getCurrentWatermarkMs() - width
+        state.update(([t for t in kept[:-1] if t > past] + kept[-1:],))
+        state.setTimeoutTimestamp(max((kept[-1] + width) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"request_id": pd.Series([key[0]] * len(new), dtype=object), "at": pd.Series(new, dtype="int64")})
 
-    rows = requests.where("ts is not null").select("request_id", F.unix_micros("ts").alias("at"))
-    out = rows.groupBy("request_id").applyInPandasWithState(fold, "request_id string, at long", "times array<long>", "append", "NoTimeout")
+    rows = requests.where("ts is not null").withWatermark("ts", window).select("request_id", "ts", F.unix_micros("ts").alias("at"))
+    out = rows.groupBy("request_id").applyInPandasWithState(fold, "request_id string, at long", "times array<long>", "append", "EventTimeTimeout")
     return out.select("request_id", F.timestamp_micros("at").alias("ts"))
 
 

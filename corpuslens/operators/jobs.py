@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import artifact_job
+from corpuslens.operators.ranges import running_sums
 from corpuslens.operators.status import pending
 from corpuslens.options import LIMITS
-from corpuslens.sources.shared import new_path
 
 HIT = ["host", "path", "line_number"]
 
@@ -76,19 +76,8 @@ def newest(rows: DataFrame, keep: int, keys: list[str], order: list) -> DataFram
 
 
 def newest_within(rows: DataFrame, size: str, budget: int, keys: list[str], order: list) -> DataFrame:
-    """The newest rows of each key whose sizes fit together.
-
-    Rows are dealt into ranges by key and order. Sums of the ranges, one row each, tell what is ahead of a range; ranges that begin past the budget
-    go, and only the others' rows are summed up, range by range: a key of any size never meets in one task.
-    """
-    at = new_path(rows.sparkSession, "ranges")
-    rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()).write.parquet(at)  # stored, so that ranges stay as they are
-    dealt = rows.sparkSession.read.parquet(at)
-    sums = dealt.groupBy(*keys, "_range").agg(F.sum(size).alias("_here"))
-    ahead = sums.withColumn("_ahead", F.coalesce(F.sum("_here").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_here")
-    w = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    near = dealt.join(ahead.where(F.col("_ahead") <= budget), [*keys, "_range"])
-    return near.withColumn("_sum", F.col("_ahead") + F.sum(size).over(w)).where(F.col("_sum") <= budget).select(*rows.columns)
+    """The newest rows of each key whose sizes fit together: sums are dealt over ranges, so a key of any size never meets in one task."""
+    return running_sums(rows, F.col(size), keys, order, budget).select(*rows.columns)
 
 
 def unexpired(rows: DataFrame, now_ms: int, ttl_ms: int = LIMITS.job_ttl_ms) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.patterns import PatternError, check_regex, exclude_regex, excluded, ignore_glob, included
 from corpuslens.functions.text import binary, lines_of, loc, match_column, matches
+from corpuslens.operators import index_store
+from corpuslens.operators.ranges import running_sums
 from corpuslens.options import LIMITS, all_excludes
 from corpuslens.sources.shared import new_path
 
@@ -148,6 +150,11 @@ def within_budget(rows: DataFrame, size: Column, budget: int, keys: list[str], o
     return summed.withColumn("truncated", F.max("_sum").over(Window.partitionBy(*keys)) > budget).where(F.col("_sum") <= budget).drop("_sum")
 
 
+def within_budget_spread(rows: DataFrame, size: Column, budget: int, keys: list[str], order: list) -> DataFrame:
+    """within_budget() of rows that weren't capped before: sums are dealt over ranges of a key."""
+    return running_sums(rows, size, keys, order, budget).withColumn("truncated", F.col("_total") > budget).drop("_sum", "_total")
+
+
 def compact(hits: DataFrame) -> DataFrame:
     """host, path, start_line, end_line, loc, data: hits with context merged where they touch; each line once.
 
@@ -192,9 +199,11 @@ def show_hosts(ranges: DataFrame) -> DataFrame:
 
 def preview(lines: DataFrame, hits: DataFrame, max_lines: int = LIMITS.preview_lines, max_bytes: int = LIMITS.preview_bytes) -> DataFrame:
     """host, path, from_line, n_lines, n_bytes, truncated: what a preview from each hit's line shows."""
-    start = hits.select("host", "path", F.col("line_number").alias("from_line"))
-    # A line more than are shown tells whether there is more.
-    rows = lines.join(start, ["host", "path"]).where((F.col("line_number") >= F.col("from_line")) & (F.col("line_number") <= F.col("from_line") + max_lines))
+    # A line more than are shown tells whether there is more. Lines and hits meet by bands of so many lines.
+    band = lambda n: F.floor(n / F.lit(max_lines + 1))
+    first = F.col("line_number")
+    start = hits.select("host", "path", first.alias("from_line"), F.explode(F.sequence(band(first), band(first + max_lines))).alias("_band"))
+    rows = lines.withColumn("_band", band(first)).join(start, ["host", "path", "_band"]).drop("_band").where((F.col("line_number") >= F.col("from_line")) & (F.col("line_number") <= F.col("from_line") + max_lines))
     w = Window.partitionBy("host", "path", "from_line").orderBy("line_number")
     rows = rows.withColumn("k", F.row_number().over(w)).withColumn("bytes", F.sum(F.octet_length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     fits = (F.col("k") <= max_lines) & (F.col("bytes") <= max_bytes)
@@ -262,13 +271,15 @@ def request_error(search: Search, spark) -> str | None:
 
 
 def search_text(
-    files: DataFrame, search: Search, known_roots: set[str] | None = None, known_hosts: set[str] | None = None, budget: int = LIMITS.response_bytes, verbose: bool = False
+    files: DataFrame, search: Search, known_roots: set[str] | None = None, known_hosts: set[str] | None = None, budget: int = LIMITS.response_bytes, verbose: bool = False,
+    index: index_store.Snapshot | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(results, status): the first hits by host, path and line, merged to ranges within the byte budget, or as they are (`verbose`);
     and of each host, in order: host, ok, error, n_hits, truncated.
 
     A blank query, and a host that isn't known, are errors. A bad regex or glob is a failed status of every host, without results. Hits are
-    found, capped and ordered as keys; lines around them are read for those that are left.
+    found, capped and ordered as keys; lines around them are read for those that are left. With an index, files that it knows as they are, under a root that is ready, are only
+    read where they are among its candidates; all others are scanned.
     """
     if not search.query.strip():
         raise ValueError("the query is blank")
@@ -281,6 +292,8 @@ def search_text(
         status = everywhere.select("host", F.lit(False).alias("ok"), F.lit(error).alias("error"), F.lit(0).cast("long").alias("n_hits"), F.lit(False).alias("truncated"))
         rows = find_hits(files, Search("x", context_lines=search.context_lines)).limit(0)
         return (rows if verbose else show_hosts(compact(rows)).withColumn("truncated", F.lit(False))), status.orderBy("host")
+    if index is not None:
+        files = files.join(index_store.files_to_read(files, index, search.query, search.mode), index_store.KEY, "left_semi").select(*files.columns)
     keys = hit_keys(files, search).distinct()  # a file under several roots counts once
     counts = everywhere.join(truncated_hosts(keys, limit), "host", "left")
     status = counts.select("host", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("truncated", F.lit(False)).alias("truncated")).orderBy("host")

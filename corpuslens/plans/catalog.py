@@ -214,6 +214,13 @@ def byte_budget(spark, sf_dir):
     return search.within_budget(capped, F.octet_length("text"), 4000, ["host"], ["path", "line_number"]).select("host", "path", "line_number", "truncated")
 
 
+@query(f"WITH {HITS}, b AS (SELECT *, sum(strlen(text)) OVER (ORDER BY host, path, line_number ROWS UNBOUNDED PRECEDING) AS s FROM h) SELECT host, path, line_number, (SELECT max(s) FROM b) > 30000 AS truncated FROM b WHERE s <= 30000")
+def byte_budget_one_key(spark, sf_dir):
+    """All hits are of one key, and none were capped before."""
+    hits = _hits(spark, sf_dir).select(*HIT_COLUMNS, F.lit("all").alias("job"))
+    return search.within_budget_spread(hits, F.octet_length("text"), 30_000, ["job"], ["host", "path", "line_number"]).select("host", "path", "line_number", "truncated")
+
+
 @query(f"WITH {CAPPED.format(k=3)}, w AS (SELECT c.host, c.path, c.line_number AS from_line, row_number() OVER p AS k, sum(strlen(l.text) + 1) OVER p AS s FROM c JOIN l ON l.host = c.host AND l.path = c.path AND l.line_number >= c.line_number WINDOW p AS (PARTITION BY c.host, c.path, c.line_number ORDER BY l.line_number ROWS UNBOUNDED PRECEDING)) SELECT host, path, from_line, count(*) FILTER (k <= 8 AND s <= 3000) AS n_lines, CAST(coalesce(max(s) FILTER (k <= 8 AND s <= 3000), 0) AS BIGINT) AS n_bytes, bool_or(NOT (k <= 8 AND s <= 3000)) AS truncated FROM w GROUP BY host, path, from_line")
 def preview_bound(spark, sf_dir):
     hits = search.cap_per_host(_hits(spark, sf_dir).select(*HIT_COLUMNS), 3)
@@ -584,6 +591,15 @@ def indexed_search_stale(spark, sf_dir):
     return index_store.search_files(now, index_store.snapshot(spark, at), "ering").select("host", "path")
 
 
+@query(ORACLE_SQL["search_text_verbose"].replace("AS context", "AS context_text"))
+def search_text_indexed(spark, sf_dir):
+    """A search by an index that is behind, with one root that isn't ready: hits and their contexts are those of a scan."""
+    files, at = _docs(spark, sf_dir), new_path(spark, "index")
+    stale = index_store.refresh(spark, at, _earlier(files), unready=("de",))
+    hits, _ = search.search_text(files, Search("eringh"), {"de", "en", "es", "fr"}, HOSTS, verbose=True, index=stale)
+    return hits.select(*HIT_COLUMNS, "column", F.array_join(F.transform("context", lambda x: x["text"]), "|").alias("context_text"))
+
+
 _GRAMS = FILES + ", g AS (SELECT DISTINCT host, path, substr(t, i, 3) AS gram FROM (SELECT host, path, doc_id, lower(text) AS t, unnest(range(1, length(text) - 1)) AS i FROM f))"
 
 

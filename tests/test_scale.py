@@ -220,3 +220,26 @@ def test_a_registrys_generation_never_falls(spark):
     merged = registry.merge(wire(("B", 9)), wire(("D", 4)))
     assert [(r["host"], r["generation"]) for r in merged.collect()] == [("D", 9)]
     assert [r["generation"] for r in registry.merge(wire(("B", 2)), wire(("D", 4))).collect()] == [4]
+
+
+@pytest.mark.parametrize("budget", [0, 30, 400, 10**6])
+def test_budgets_over_ranges(spark, budget):
+    r = random.Random(budget)
+    rows = [("hot" if k % 4 else f"k{k % 12}", k, r.randrange(6)) for k in r.sample(range(5000), 900)]
+    made = spark.createDataFrame(rows, "key string, k int, n int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, search.within_budget_spread(made, F.col("n"), budget, ["key"], ["k"]).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted(map(tuple, search.within_budget(made, F.col("n"), budget, ["key"], ["k"]).collect()))
+
+
+def test_a_search_by_an_index_that_is_behind(spark, tmp_path):
+    at = f"file://{tmp_path}/index"
+    old = many(spark, [("home", "a", 1, "needle\nno"), ("home", "b", 1, "hay"), ("opt", "c", 1, "needle")])
+    known = index_store.refresh(spark, at, old, unready=("opt",))
+    now = many(spark, [("home", "a", 1, "needle\nno"), ("home", "b", 2, "hay\nneedle"), ("opt", "c", 1, "needle"), ("home", "d", 1, "needle")])
+    hits, said = search.search_text(now, Search("needle"), verbose=True, index=known)
+    assert [(r["path"], r["line_number"]) for r in hits.orderBy("path").collect()] == [("/home/a", 1), ("/home/b", 2), ("/home/d", 1), ("/opt/c", 1)]
+    assert said.first()["n_hits"] == 4

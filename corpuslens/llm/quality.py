@@ -8,7 +8,7 @@ texts at a time, and its NEIGHBOURS nearest vote by similarity.
 
 Rows: null or empty text: no neighbour is nearer than another, the score is the sample's share of label 1. Null
 doc_id: scored, not held out. Repeated rows: each scored. Repeated doc_id in the sample: the smallest text counts, once. Very long texts:
-whole. Ties of neighbours: any of them. Empty labels: every score is 0.5. Empty table: no rows. Other columns are ignored.
+whole. Ties of neighbours (similarities equal to nine digits): the smaller doc_id first. Empty labels: every score is 0.5. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,13 +91,22 @@ class Neighbours:
     def latent(self, at: np.ndarray, c: np.ndarray) -> np.ndarray:
         return self._unit(at, c) @ self.basis[at] if len(at) else np.zeros(self.basis.shape[1], np.float32)
 
+    @staticmethod
+    def _nearest(near: np.ndarray, k: int) -> np.ndarray:
+        """Places of each row's k largest, of equal ones the first."""
+        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(near, top, 1).min(axis=1, keepdims=True)
+        for row in np.flatnonzero((near >= least).sum(axis=1) > k):
+            above, equal = np.flatnonzero(near[row] > least[row]), np.flatnonzero(near[row] == least[row])
+            top[row] = np.concatenate([above, equal[: k - len(above)]])
+        return top
+
     def vote(self, vectors: np.ndarray) -> np.ndarray:
         """Share of label 1 among the nearest neighbours, weighted by similarity."""
         if not len(self.labels):
             return np.full(len(vectors), 0.5)
-        near = self._normal(vectors) @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        near = (self._normal(vectors).astype(float) @ self.vectors.T.astype(float)).round(9)
+        top = self._nearest(near, min(NEIGHBOURS, near.shape[1]))
         weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(float) ** 2
         total = weight.sum(axis=1)
         return np.where(total > 0, (weight * self.labels[top]).sum(axis=1) / np.where(total > 0, total, 1), self.prior).clip(0, 1)
@@ -106,12 +115,12 @@ class Neighbours:
 def _count_rows(it):
     for batch in batches(it):
         found = [counts(x) for x in raw(batch["text"])]
-        yield pa.RecordBatch.from_arrays([batch["y"], pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.float32()))], ["y", "at", "c"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.float32()))], ["doc_id", "y", "at", "c"])
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int, remainder: int, bound: int = BOUND) -> Neighbours:
     sample = labelled_sample(docs, labels, "quality", fold, remainder, bound)
-    rows = stage(sample.mapInArrow(_count_rows, "y int, at array<int>, c array<float>"), "counts").toArrow()  # the bounded sample
+    rows = stage(sample.mapInArrow(_count_rows, "doc_id long, y int, at array<int>, c array<float>"), "counts").toArrow().sort_by("doc_id")  # the bounded sample
     pairs = [(a.values.to_numpy().astype(np.int64), c.values.to_numpy()) for a, c in zip(rows["at"], rows["c"], strict=True)]
     return Neighbours(pairs, rows["y"].to_numpy())
 

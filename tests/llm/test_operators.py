@@ -532,6 +532,20 @@ def test_machine_learns_pairs_that_no_sum_of_weights_can(spark):
     assert len(held) > 100 and np.mean([out[k]["predicted"] == rows[k][2] for k in held]) > 0.95
 
 
+def test_ties_of_neighbours_go_to_the_smaller_ids(spark):
+    """Forty texts alike, under ids dealt anyhow: the votes are those of the fifteen smallest ids."""
+    r = random.Random(5)
+    rows = [(d, "the same words again") for d in r.sample(range(10**6), 40)] + [(10**6 + k, f"quite another text{k}") for k in range(9)]
+    labels = [(d, int(k % 3 == 0), 0) for k, (d, _) in enumerate(rows)]
+    fitted = sorted((d, y) for d, y, _ in labels if zlib.crc32(str(d).encode()) % 4 != 2 and d < 10**6)[: quality.NEIGHBOURS]
+    wanted = sum(y for _, y in fitted) / len(fitted)
+    for parts in (1, 7):
+        r.shuffle(rows)
+        docs = frame(spark, rows).repartition(parts)
+        got = {x["doc_id"]: x["score"] for x in quality.score_quality(docs, frame(spark, labels, "doc_id long, quality int, toxic int")).collect()}
+        assert all(abs(got[d] - wanted) < 1e-9 for d, _ in rows if d < 10**6)
+
+
 def test_quality_is_a_plain_vote_of_the_nearest(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels, 4, 2)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import artifact_job
-from corpuslens.operators.ranges import running_sums
+from corpuslens.operators.ranges import chains, running_sums
 from corpuslens.operators.status import pending
 from corpuslens.options import LIMITS
 
@@ -140,10 +140,12 @@ def _accept(window_ms: int):
 def accepted(requests: DataFrame, window_ms: int = LIMITS.replay_window_ms) -> DataFrame:
     """request_id, at_ms of accepted requests: a repeat is refused for a window after the last one accepted; a refused one doesn't count.
 
-    Times come sorted by id; the one value kept is the last time accepted, so an id of any size takes no memory. Null ids and times are left out.
+    The first request after a pause of a window is always accepted, so an id's times fall into chains between pauses, which tasks take apart. In a chain the one value
+    kept is the last time accepted, so it takes no memory; a time that is asked for often counts once. Null ids and times are left out.
     """
-    rows = requests.where("request_id is not null and at_ms is not null").select(F.col("request_id").cast("string"), F.col("at_ms").cast("long"))
-    rows = rows.repartition("request_id").sortWithinPartitions("request_id", "at_ms")
+    rows = requests.where("request_id is not null and at_ms is not null").select(F.col("request_id").cast("string"), F.col("at_ms").cast("long")).distinct()
+    cut = chains(rows, "request_id", "at_ms", window_ms)
+    rows = cut.repartition("request_id", "_chain").sortWithinPartitions("request_id", "_chain", "at_ms").drop("_chain")
     return rows.mapInArrow(_accept(window_ms), "request_id string, at_ms long")
 
 

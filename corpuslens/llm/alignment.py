@@ -24,6 +24,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,6 +126,16 @@ def _encoded(batch: pa.RecordBatch, a_path: str, b_path: str) -> tuple[list[np.n
     return [np.frombuffer(b"".join(ids), "<u4") for ids in coded], [np.array([len(x) // 4 for x in ids], np.int64) for ids in coded]
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids byte by byte, compressed, as they go through a staged table and a shuffle."""
+    return zstandard.compress(ids.view(np.uint8).reshape(-1, ids.itemsize).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def _cut(a_path: str, b_path: str, steps: int):
     def run(it):
         here, made, row = TaskContext.get().partitionId() << 40, 0, 0
@@ -149,7 +160,7 @@ def _cut(a_path: str, b_path: str, steps: int):
                         {
                             "piece": here + made, "rows": list(range(here + row + first, here + row + last)), "ids": batch["doc_id"].slice(first, last - first).to_pylist(),
                             "a_counts": cut(done_a, i), "b_counts": cut(done_b, j), "begins": bool(done[first] >= at[k]), "ends": bool(done[last] <= at[k + 1]),
-                            "skew": int(start[1] - start[0]), "a": a[i[k] : i[k + 1] + 1].astype(kind).tobytes(), "b": b[j[k] : j[k + 1] + 1].astype(kind).tobytes(),
+                            "skew": int(start[1] - start[0]), "a": _packed(a[i[k] : i[k + 1] + 1].astype(kind)), "b": _packed(b[j[k] : j[k + 1] + 1].astype(kind)),
                         }
                     ],
                     _PIECE,
@@ -168,7 +179,7 @@ class Piece:
 
     def __init__(self, row: dict, sides: Sides):
         self.rows, self.ids, self.na, self.nb = (np.array(row[c], object if c == "ids" else np.int64) for c in ("rows", "ids", "a_counts", "b_counts"))
-        a, b = (np.frombuffer(row[c], sides.kind).astype(np.int64) for c in "ab")
+        a, b = (_unpacked(row[c], sides.kind).astype(np.int64) for c in "ab")
         n, m = int(self.na.sum()), int(self.nb.sum())
         self.sides, self.a, self.b = sides, a[:n], b[:m]
         self.a_ends, self.b_ends = np.cumsum(sides.widths[0][self.a]), np.cumsum(sides.widths[1][self.b]) + row["skew"]

@@ -11,6 +11,7 @@ from corpuslens.functions.text import artifact_job
 from corpuslens.operators.ranges import chains, running_sums
 from corpuslens.operators.status import pending
 from corpuslens.options import LIMITS
+from corpuslens.sources.shared import delete_path, path_exists
 
 HIT = ["host", "path", "line_number"]
 
@@ -160,6 +161,35 @@ def load_results(spark: SparkSession, path: str, job_id: str, jobs: DataFrame, n
     return spark.read.parquet(path).where(F.col("job_id") == job_id).join(F.broadcast(live.limit(1)), "job_id", "left_semi")
 
 
+def stored_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """job_id, size of the results stored by store_results; only names and sizes are read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.regexp_extract("path", "/job_id=([^/]*)/[^/]*$", 1)
+    # Partition names are escaped.
+    plain = F.url_decode(F.replace("folder", F.lit("+"), F.lit("%2B")))
+    return rows.where(name != "").groupBy(name.alias("folder")).agg(F.sum("length").alias("size")).select(plain.alias("job_id"), "folder", "size")
+
+
+def prune_results(spark: SparkSession, path: str, jobs: DataFrame, now_ms: int, ttl_ms: int = LIMITS.job_ttl_ms, most_jobs: int = LIMITS.max_jobs, most_bytes: int | None = None) -> list[str]:
+    """Deletes stored results: those of jobs past their time, then the oldest until at most `most_jobs` are left and they fit `most_bytes`; returns the jobs' ids.
+
+    jobs: job_id, created_ms; of jobs of one age the larger id stays. Results of jobs that aren't known are left alone and not counted. Folders are deleted one
+    by one, so a prune that was cut off is finished by the next.
+    """
+    if not path_exists(spark, path):
+        return []
+    known = jobs.groupBy(F.col("job_id").cast("string").alias("job_id")).agg(F.max("created_ms").alias("created_ms"))
+    there = stored_sizes(spark, path).join(known, "job_id").withColumn("_all", F.lit(1))
+    order = [F.col("created_ms").desc(), F.col("job_id").desc()]
+    left = newest(unexpired(there, now_ms, ttl_ms), most_jobs, ["_all"], order)
+    if most_bytes is not None:
+        left = newest_within(left, "size", most_bytes, ["_all"], order)
+    gone = there.join(left.select("job_id"), "job_id", "left_anti").orderBy("created_ms", "job_id").select("job_id", "folder").collect()  # a row a stored job
+    for row in gone:
+        delete_path(spark, f"{path}/job_id={row['folder']}")
+    return [row["job_id"] for row in gone]
+
+
 def artifacts(inventory: DataFrame) -> DataFrame:
     """job_id, path, size, modified_ms of the files of an inventory (rel_path, ...) whose names are those of stored results."""
     rows = inventory.withColumn("job_id", artifact_job(F.element_at(F.split("rel_path", "/"), -1)))

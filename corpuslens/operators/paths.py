@@ -12,8 +12,8 @@ from corpuslens.options import LIMITS, all_excludes
 
 
 def find_paths(files: DataFrame, pattern: str, excludes: tuple[str, ...] = ()) -> DataFrame:
-    """host, path, kind; only paths are read, never texts."""
-    return files.where(~excluded(F.col("rel_path"), all_excludes(excludes)) & path_matches(F.col("rel_path"), pattern)).select("host", "path", F.lit("file").alias("kind"))
+    """host, path, kind of files; only paths are read, never texts."""
+    return files.where((F.col("kind") == "file") & ~excluded(F.col("rel_path"), all_excludes(excludes)) & path_matches(F.col("rel_path"), pattern)).select("host", "path", F.lit("file").alias("kind"))
 
 
 def search_paths(files: DataFrame, pattern: str, hosts=("*",), roots=(), known_hosts: set[str] | None = None, known_roots: set[str] | None = None, limit: int | None = None, budget: int = LIMITS.response_bytes, excludes: tuple[str, ...] = ()) -> DataFrame:
@@ -55,19 +55,21 @@ def owned(files: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def _children(files: DataFrame, directory: str, excludes: tuple[str, ...]) -> DataFrame:
-    """host, name, path, kind, size, modified_ms, hidden of a directory's children; excluded ones are hidden."""
+    """host, name, path, kind, size, modified_ms, hidden of a directory's children; excluded ones are hidden. The directory itself, where files has a row of it, is a child without name."""
     base = directory.rstrip("/") + "/"
-    under = files.where(F.col("path").startswith(base)).withColumn("rest", F.expr(f"substring(path, {len(base) + 1})"))
+    itself = (F.col("path") == base.rstrip("/")) & (F.col("kind") == "directory")
+    under = files.where(F.col("path").startswith(base) | itself).withColumn("rest", F.expr(f"substring(path, {len(base) + 1})"))
     under = under.withColumn("name", F.substring_index("rest", "/", 1)).withColumn("is_file", ~F.col("rest").contains("/"))
-    one = under.groupBy("host", "name").agg(F.bool_and("is_file").alias("f"), F.max("size").alias("s"), F.max("modified_ms").alias("m"))
-    when_file = lambda c: F.when(F.col("f"), F.col(c))
+    one = under.groupBy("host", "name").agg(F.bool_and("is_file").alias("f"), F.max("kind").alias("k"), F.max("size").alias("s"), F.max("modified_ms").alias("m"))
+    one = one.withColumn("kind", F.when(F.col("f"), F.col("k")).otherwise("directory"))
+    when_file = lambda c: F.when(F.col("kind") == "file", F.col(c))
     hidden = excluded(F.concat(F.lit(base.lstrip("/")), F.col("name")), all_excludes(excludes))
-    return one.select("host", "name", F.concat(F.lit(base), "name").alias("path"), F.when(F.col("f"), "file").otherwise("directory").alias("kind"), when_file("s").alias("size"), when_file("m").alias("modified_ms"), hidden.alias("hidden"))
+    return one.select("host", "name", F.concat(F.lit(base), "name").alias("path"), "kind", when_file("s").alias("size"), when_file("m").alias("modified_ms"), hidden.alias("hidden"))
 
 
 def list_directory(files: DataFrame, directory: str, excludes: tuple[str, ...] = ()) -> DataFrame:
-    """host, name, path, kind, size, modified_ms of a directory's children; size and time for files only."""
-    return _children(files, directory, excludes).where("not hidden").drop("hidden")
+    """host, name, path, kind, size, modified_ms of a directory's children; size and time for files only. Kinds are those of files, whose rows may be whole trees (sources.tree)."""
+    return _children(files, directory, excludes).where("not hidden and name <> ''").drop("hidden")
 
 
 def browse(files: DataFrame, locations: DataFrame, host: str, directory: str, excludes: tuple[str, ...] = ()) -> DataFrame:
@@ -80,7 +82,7 @@ def browse(files: DataFrame, locations: DataFrame, host: str, directory: str, ex
     said = said.select(refused.alias("refused"), "is_root")
     rows = said.join(_children(files.where(F.col("host") == host), directory, excludes).drop("host"), F.col("refused").isNull(), "left")
     error = F.coalesce("refused", F.when(F.col("name").isNull() & ~F.col("is_root"), "not a directory"))
-    return rows.withColumn("error", error).where("error is not null or not hidden").select("name", "path", "kind", "size", "modified_ms", "error").orderBy("name")
+    return rows.withColumn("error", error).where("error is not null or (not hidden and name <> '')").select("name", "path", "kind", "size", "modified_ms", "error").orderBy("name")
 
 
 def read_lines(requests: DataFrame, files: DataFrame, max_bytes: int = LIMITS.max_file_bytes, excludes: tuple[str, ...] = (), locations: DataFrame | None = None, budget: int | None = None) -> DataFrame:

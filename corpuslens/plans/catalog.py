@@ -12,7 +12,7 @@ from corpuslens.functions.patterns import excluded, without_excluded
 from corpuslens.operators import backup, index, index_store, jobs, paths, registry, search, status
 from corpuslens.operators.search import Search
 from corpuslens.options import LIMITS, all_excludes
-from corpuslens.sources import corpora
+from corpuslens.sources import corpora, tree
 from corpuslens.sources.shared import new_path
 from corpuslens.streaming import jobs as streaming
 
@@ -763,6 +763,16 @@ def stored_results(spark, sf_dir):
     return out.select("job_id", "seq", "host", "path", "line_number")
 
 
+@query("WITH j AS (SELECT CAST(user_id % 100 AS VARCHAR) AS job_id, max(event_id) AS created_ms, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id % 100), k AS (SELECT j.*, row_number() OVER (ORDER BY created_ms DESC, job_id DESC) AS r FROM j WHERE (SELECT max(created_ms) FROM j) - created_ms < 100) SELECT job_id, n FROM k WHERE r <= 20")
+def pruned_results(spark, sf_dir):
+    """Results of a hundred jobs stored, pruned by age and to the newest 20, and read again."""
+    at, rows = new_path(spark, "results"), _table(spark, sf_dir, "events").where("user_id IS NOT NULL").select(F.expr("cast(user_id % 100 as string)").alias("job_id"), "event_id")
+    jobs.store_results(rows, at)
+    known = rows.groupBy("job_id").agg(F.max("event_id").alias("created_ms"))
+    jobs.prune_results(spark, at, known, known.agg(F.max("created_ms")).first()[0], 100, 20)
+    return spark.read.schema("event_id long, job_id string").parquet(at).groupBy("job_id").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_ARRIVALS}, m AS (SELECT max(arrival_ms) AS now FROM a) SELECT event_id FROM events, m WHERE now - epoch_us(ts) // 1000 < 86400000")
 def unexpired_jobs(spark, sf_dir):
     rows = _arrivals(spark, sf_dir).withColumn("created_ms", F.col("arrival_ms"))
@@ -894,6 +904,21 @@ def binary_scan(spark, sf_dir):
     return files.groupBy("host", "root").agg(F.sum("size").alias("n_bytes"), F.sum(newlines).cast("long").alias("n_newlines"))
 
 
+_FOLDERS = "p AS (SELECT lang AS root, 'source=' || source AS folder, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS n_bytes FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source)"
+
+
+@query(f"WITH {_FOLDERS} SELECT root, folder, 'file' AS kind, CAST(n_bytes AS VARCHAR) AS n_bytes FROM p UNION ALL SELECT root, folder, 'directory', NULL FROM p")
+def tree_kinds(spark, sf_dir):
+    """All documents written as text files, a folder for each source, and walked for kinds; folders of other names are excluded."""
+    at = new_path(spark, "tree")
+    docs = _table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL").select("lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("lang", "source").text(at)
+    names = [r["lang"] for r in docs.select("lang").distinct().collect()]
+    found = tree.scan_tree(spark, "local", {n: f"{at}/lang={n}" for n in names}, ("**/.*.crc",), budget=5)
+    folder = F.substring_index("rel_path", "/", 1)
+    return _as_text(found.groupBy("root", folder.alias("folder"), "kind").agg(F.sum("size").alias("n_bytes")), "n_bytes")
+
+
 @query("SELECT lang AS root, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents WHERE lang NOT IN ('es', 'fr') GROUP BY lang")
 def utf8_filter(spark, sf_dir):
     """Files of one root hold a byte that isn't UTF-8, those of another a NUL: neither is scanned."""

@@ -36,6 +36,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    """Only ever given paths of new_path."""
+    """Only ever given paths of new_path, and folders of a store that its own functions wrote."""
     files, at = _file_system(spark, path)
     files.delete(at, True)

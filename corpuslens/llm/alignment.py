@@ -58,12 +58,24 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.model.encode(text)).tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Encodes words that the cache doesn't hold, many at a time."""
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > self.words.limit:
+            self.words.clear()
+            new = words
+        for at in range(0, len(new), 1 << 14):
+            part = new[at : at + (1 << 14)]
+            self.words.update(zip(part, (array("I", ids).tobytes() for ids in self.model.encode(part, num_threads=1)), strict=True))
+
     def texts(self, texts: pa.Array) -> list[bytes]:
         texts = texts.fill_null("")
         odd = pc.match_substring_regex(texts, "  |▁|^ | $|^$") if self.apart else pa.array(np.ones(len(texts), bool))
         lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
         ends, coded = np.asarray(lists.offsets).astype(np.int64), lists.flatten().dictionary_encode()
-        ids = pa.array(map(self.words.__getitem__, coded.dictionary.to_pylist()), pa.large_binary())
+        words = coded.dictionary.to_pylist()
+        self.learn(words)
+        ids = pa.array(map(self.words.__getitem__, words), pa.large_binary())
         plain = iter(join_rows(ids, coded.indices, ends - ends[0]).to_pylist())
         return [self.whole(t.as_py()) if o else next(plain) for t, o in zip(texts, odd.to_pylist(), strict=True)]
 

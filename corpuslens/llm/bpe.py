@@ -17,9 +17,11 @@ import heapq
 import json
 import unicodedata
 from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +75,7 @@ class RankArrays(Encoder):
         for (a, b), k in self.rank.items():
             if len(a) == len(b) == 1:
                 self.first[a[0] << 8 | b[0]] = k
+        self.first_row = np.array(self.first, np.int64)
         self.byte = np.array([self.id[bytes([b])] for b in range(256)], np.int64)
         known_pairs = sorted((self.id[a] << 32 | self.id[b], k, self.id[a + b]) for (a, b), k in self.rank.items())
         self.pair, self.pair_rank, made = np.array([*known_pairs, (1 << 62, NEVER, 0)], np.int64).T.copy()
@@ -96,10 +99,11 @@ class RankArrays(Encoder):
     def _scan_rows(self, words: list[bytes], width: int) -> list[bytes]:
         """ids of words of at most `width` bytes, as little-endian bytes; each word is a row."""
         n, size = len(words), np.array([len(w) for w in words])
-        token = self.byte[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)]  # id of the part that starts at a byte
+        data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        token = self.byte[data]  # id of the part that starts at a byte
         bounds = np.minimum(np.arange(width + 1), size[:, None])
         columns = np.arange(width + 1)
-        ranks = np.where(columns[1:-1] < size[:, None], self._look(token[:, :-1], token[:, 1:]), NEVER)
+        ranks = np.where(columns[1:-1] < size[:, None], self.first_row[data[:, :-1].astype(np.uint16) << 8 | data[:, 1:]], NEVER)
         live, count = np.arange(n), size.copy()
         while len(live):
             k = ranks[live].argmin(axis=1)
@@ -124,13 +128,16 @@ class RankArrays(Encoder):
         if len(self.words) + len(new) > self.words.limit:
             self.words.clear()
             new = list(words)
-        coded, low = [(w, w.encode()) for w in new], 0
-        for width in WIDTHS:
-            group = [(w, data) for w, data in coded if low < len(data) <= width]
-            for at in range(0, len(group), 1 << 15):
-                part = group[at : at + (1 << 15)]
-                self.words.update(zip((w for w, _ in part), self._scan_rows([data for _, data in part], width), strict=True))
-            low = width
+        groups = [([], []) for _ in WIDTHS]
+        for w in new:
+            data = w.encode()
+            if 0 < len(data) <= WIDTHS[-1]:
+                names, bytes_ = groups[bisect_left(WIDTHS, len(data))]
+                names.append(w)
+                bytes_.append(data)
+        for width, (names, bytes_) in zip(WIDTHS, groups, strict=True):
+            for at in range(0, len(names), 1 << 15):
+                self.words.update(zip(names[at : at + (1 << 15)], self._scan_rows(bytes_[at : at + (1 << 15)], width), strict=True))
 
     def _scan(self, word: bytes) -> list[int]:
         """Boundaries of the word's parts, after all merges."""
@@ -180,7 +187,7 @@ class RankArrays(Encoder):
         return bounds
 
     def _split(self, text: str) -> list[str]:
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+        if not text.isascii() and not text.isprintable() and any(unicodedata.category(c) == "Cn" for c in set(text)):
             # Letters that came into Unicode after this Python: only the tokenizer's own tables tell which are letters for it.
             return _pre_tokenizer(self.path, text)
         return PATTERN.findall(text)
@@ -196,9 +203,14 @@ class RankArrays(Encoder):
         return b"".join(self.special[x] if k % 2 else self._text(x) for k, x in enumerate(parts))
 
     def _pieces(self, pieces: pa.Array) -> pa.Array:
-        split = [self._split(t) for t in pieces.to_pylist()]
-        self.learn({w for words in split for w in words})
-        return pa.array((b"".join(map(self.words.__getitem__, words)) for words in split), pa.large_binary())
+        # Most pieces are one word of plain letters or digits, which the pattern leaves whole.
+        whole = pc.match_substring_regex(pieces, "^ ?(?:[A-Za-z]+|[0-9]+)$")
+        single, split = pieces.filter(whole).to_pylist(), [self._split(t) for t in pieces.filter(pc.invert(whole)).to_pylist()]
+        self.learn({w for words in split for w in words}.union(single))
+        get = self.words.__getitem__
+        ids = pa.concat_arrays([pa.array(map(get, single), pa.large_binary()), pa.array((b"".join(map(get, words)) for words in split), pa.large_binary())])
+        mask = np.asarray(whole.cast(pa.uint8())).astype(bool)
+        return ids.take(pa.array(np.where(mask, np.cumsum(mask) - 1, mask.sum() + np.cumsum(~mask) - 1)))
 
 
 @functools.cache

@@ -35,7 +35,8 @@ def refresh_index(stream: DataFrame, index: str, checkpoint: str, once: bool = F
 
     Under `index`: postings, the files each batch indexed or took away, and the log of its roots. A file with an error is not indexed (it keeps what
     there was) and leaves its root degraded; a removed one, and one whose new text has no grams, has no postings any more. A batch overwrites its own
-    folders, so a repeated one changes nothing; a reader takes each file's newest generation (current_postings).
+    folders, so a repeated one changes nothing; a reader takes each file's newest generation (current_postings). The log tells of each batch by itself,
+    root_states of all that came so far.
     """
     for name, kind in (("error", "string"), ("removed", "boolean")):
         if name not in stream.columns:
@@ -49,6 +50,10 @@ def refresh_index(stream: DataFrame, index: str, checkpoint: str, once: bool = F
         save = lambda df, name: df.write.mode("overwrite").parquet(f"{index}/{name}/generation={generation}")
         save(build_postings(newest.where("not removed")), "postings")
         save(newest.select("host", "path", "removed"), "files")
+        seen = rows.groupBy("host", "root", "path").agg(
+            F.max_by("removed", F.when(F.col("error").isNull(), F.struct("modified_ms"))).alias("removed"), F.max_by("error", F.struct("modified_ms", F.col("error").isNotNull())).alias("error")
+        )
+        save(seen, "states")
         log = rows.groupBy("root").agg(F.max("error").alias("error"), F.count_if(F.col("error").isNull() & ~F.col("removed")).alias("indexed_files"), F.max("modified_ms").alias("at_ms"))
         save(log.select("root", F.col("error").isNull().alias("ok"), "error", "indexed_files", "at_ms"), "log")
         rows.unpersist()
@@ -64,20 +69,40 @@ def current_postings(spark: SparkSession, index: str) -> DataFrame:
     return rows.join(newest.select("host", "path", F.col("f.generation").alias("generation")), ["host", "path", "generation"]).select("gram", "host", "path")
 
 
+STATES = "host string, root string, path string, removed boolean, error string, generation int"
+
+
+def root_states(spark: SparkSession, index: str) -> DataFrame:
+    """root, state, generation, indexed_files, last_error of all batches together, however the files came.
+
+    A file counts where it was last read without an error and not removed; a root is degraded while the newest row of any of its files is an error.
+    """
+    rows = spark.read.schema(STATES).parquet(f"{index}/states")
+    files = rows.groupBy("host", "root", "path").agg(
+        F.max_by("removed", F.when(F.col("removed").isNotNull(), F.col("generation"))).alias("removed"), F.max_by("error", "generation").alias("error"), F.max("generation").alias("generation")
+    )
+    out = files.groupBy("root").agg(F.max("error").alias("last_error"), F.max("generation").alias("generation"), F.count_if(~F.col("removed")).alias("indexed_files"))
+    return out.select("root", F.when(F.col("last_error").isNull(), "ready").otherwise("degraded").alias("state"), "generation", "indexed_files", "last_error")
+
+
 def compact_index(spark: SparkSession, index: str, target: str) -> None:
     """The current postings as one table sorted by gram, to be read by index.load_postings."""
     write_postings(current_postings(spark, index), target)
 
 
-def progressive_search(stream: DataFrame, search: Search, limit: int, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def progressive_search(stream: DataFrame, search: Search, limit: int, out: str, checkpoint: str, once: bool = False, ordered: bool = False) -> StreamingQuery:
     """Hits as files arrive: seq goes on from those there are, earlier hits stay as they are, the first `limit` are final.
 
     The number of earlier hits is counted from other batches' folders, so a batch that runs again writes the same rows.
+    With `ordered`, a batch writes the `limit` smallest of its own hits; first_hits ranks those of all batches, so the result doesn't depend on how files come.
     """
 
     def batch(files: DataFrame, batch_id: int) -> None:
         spark = files.sparkSession
         hits = find_hits(files, search).select(*HIT, "text").dropDuplicates(HIT)
+        if ordered:
+            hits.orderBy(*HIT).limit(limit).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            return
         taken = 0
         if path_exists(spark, out):
             before = spark.read.schema("seq int, host string, path string, line_number int, text string, batch int").parquet(out).where(F.col("batch") != batch_id)

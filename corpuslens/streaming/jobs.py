@@ -117,6 +117,13 @@ def progressive_search(stream: DataFrame, search: Search, limit: int, out: str,
     return _start(stream, batch, checkpoint, once)
 
 
+def first_hits(spark: SparkSession, out: str, limit: int) -> DataFrame:
+    """seq, host, path, line_number, text: the `limit` smallest hits of an ordered progressive search so far; a later batch may move them."""
+    rows = spark.read.schema("host string, path string, line_number int, text string, batch int").parquet(out)
+    first = rows.groupBy(*HIT).agg(F.max_by("text", "batch").alias("text")).orderBy(*HIT).limit(limit)  # at most the limit, so one task may number them
+    return first.selectExpr(f"cast(row_number() over (order by {', '.join(HIT)}) as int) seq", *HIT, "text")
+
+
 def watch_files(spark: SparkSession, files: Callable[[], DataFrame], at: str, checkpoint: str, interval: str = "30 seconds", most_runs: int = 8) -> StreamingQuery:
     """Keeps the index at `at` (operators.index_store) up to date: at every interval the files there are, as `files` lists them, are compared with those that the index knows,
     and what was added, changed or removed becomes a run. Runs are merged when there are more than `most_runs`; readers of the generation before aren't disturbed."""

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.sources.shared import new_path
+
 
 class PatternError(ValueError):
     """A pattern that can't be used."""
@@ -124,36 +126,62 @@ def check_regex(spark: SparkSession, pattern: str) -> None:
 # Patterns as data: thousands of globs meet paths by equal keys.
 
 _PLAIN = r"[^*?\[{/\\\\]+"
-KEYS = "glob string, kind string, key string, regex string"
+KEYS = "glob string, one int, kind string, key string, regex string"
+
+
+def _class_with_slash(glob: str) -> bool:
+    k = 0
+    while k < len(glob):
+        if glob[k] == "[":
+            end = _classes(glob, k)[1]
+            if "/" in glob[k:end]:
+                return True
+            k = end
+        else:
+            k += 2 if glob[k] == "\\" else 1
+    return False
 
 
-def glob_keys(glob: str) -> list[tuple[str, str, str | None]]:
-    """(kind, key, regex) of an exclude glob: what each path that it matches has among path_keys; the regex, where there is one, decides."""
+def _literal_keys(glob: str) -> list[tuple[str, str]]:
+    """(kind, key) of all plain text in a glob whose place in a path is known: whole parts, and how other parts begin and end."""
+    if _class_with_slash(glob):
+        return []
     out = []
+    for part in glob.split("/"):
+        if re.fullmatch(_PLAIN, part):
+            out.append(("part", part))
+            continue
+        begin, end = re.match(r"[^*?\[{\\]+", part), re.search(r"[^*?\[\]{\\]+$", part)
+        out += [(kind, m[0]) for kind, m in (("begin", begin), ("end", end)) if m]
+    return out
+
+
+def glob_keys(glob: str) -> list[tuple[int, str, str, str | None]]:
+    """(one, kind, key, regex) of an exclude glob: its alternatives are numbered, and each path that one matches has every key of it among path_keys; the regex, where there is one, decides."""
+    out, n = [], 0
     for g in (glob, *([glob[:-3]] if glob.endswith("/**") else [])):
         for one in _alternatives(g):
             simple = [("name", rf"\*\*/({_PLAIN})"), ("ending", rf"\*\*/\*(\.{_PLAIN})"), ("folder", rf"\*\*/({_PLAIN})/\*\*"), ("top", rf"({_PLAIN})/\*\*")]
-            found = [(kind, m[1], None) for kind, pattern in simple if (m := re.fullmatch(pattern, one))]
-            if not found:
-                plain = [x for x in one.split("/") if re.fullmatch(_PLAIN, x)]
-                found = [("part", max(plain, key=len), path_glob(one))] if plain else [("any", "", path_glob(one))]
-            out += found
+            found = [(n, kind, m[1], None) for kind, pattern in simple if (m := re.fullmatch(pattern, one))]
+            out += found or [(n, kind, key, path_glob(one)) for kind, key in _literal_keys(one) or [("any", "")]]
+            n += 1
     return out
 
 
 def keyed_globs(globs: DataFrame) -> DataFrame:
-    """glob, kind, key, regex of a table of globs (glob); a glob that can't be used is an error."""
+    """glob, one, kind, key, regex of a table of globs (glob); a glob that can't be used is an error."""
+    schema = pa.schema([(c, pa.int32() if c == "one" else pa.string()) for c in ("glob", "one", "kind", "key", "regex")])
 
     def run(it):
         for batch in it:
-            rows = [{"glob": g, "kind": kind, "key": key, "regex": regex} for g in batch["glob"].to_pylist() if g for kind, key, regex in glob_keys(g)]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.string()) for c in ("glob", "kind", "key", "regex")]))
+            rows = [{"glob": g, "one": one, "kind": kind, "key": key, "regex": regex} for g in batch["glob"].to_pylist() if g for one, kind, key, regex in glob_keys(g)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return globs.select("glob").distinct().mapInArrow(run, KEYS)
 
 
-def path_keys(path: Column) -> Column:
-    """(kind, key) of all that a keyed glob may meet a path by."""
+def path_keys(path: Column, begins: list[int] = (), ends: list[int] = ()) -> Column:
+    """(kind, key) of all that a keyed glob may meet a path by; beginnings and ends of parts are those of the given lengths."""
     parts = F.split(path, "/")
     name = F.element_at(parts, -1)
     dots = F.split(name, r"\.")
@@ -161,6 +189,7 @@ def path_keys(path: Column) -> Column:
     endings = F.transform(F.sequence(F.lit(2), F.size(dots)), lambda k: pair("ending", F.concat(F.lit("."), F.array_join(F.slice(dots, k, F.size(dots)), "."))))
     none = F.slice(F.array(pair("name", name)), 2, 1)
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    cut = lambda kind, side, n: F.transform(F.filter(parts, lambda x: F.length(x) >= n), lambda x: pair(kind, side(x, F.lit(n))))
     return F.array_distinct(
         F.concat(
             F.array(pair("name", name)),
@@ -168,21 +197,36 @@ def path_keys(path: Column) -> Column:
             F.transform(folders, lambda x: pair("folder", x)),
             F.when(F.size(parts) > 1, F.array(pair("top", F.element_at(parts, 1)))).otherwise(none),
             F.transform(parts, lambda x: pair("part", x)),
+            *(cut("begin", F.left, n) for n in begins),
+            *(cut("end", F.right, n) for n in ends),
         )
     )
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    at = new_path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def without_excluded(files: DataFrame, globs: DataFrame) -> DataFrame:
     """Files (rel_path, ...) that no glob of a table (glob) excludes, as `excluded` would have it.
 
-    Paths and globs meet by equal names, endings, folders or parts; only globs with stars elsewhere are checked by their regex, on the paths that they meet.
-    Globs without any plain part, such as `*foo*`, are one regex for all paths: there should be few.
+    Paths and globs meet by equal names, endings, folders, parts, or beginnings and ends of parts: each glob by its rarest, counted on the paths. Only globs with stars elsewhere are
+    checked by their regex, on the paths that they meet. Globs without any plain text in a known place, such as `*foo*`, are one regex for all paths: there should be few.
     """
-    keyed = keyed_globs(globs)
+    keyed = _stored(keyed_globs(globs), "globs")
     path = F.replace("rel_path", F.lit("\\"), F.lit("/"))
     loose = [r["regex"] for r in keyed.where("kind = 'any'").select("regex").distinct().orderBy("regex").collect()]
+    lengths = keyed.where("kind in ('begin', 'end')").select("kind", F.length("key").alias("n")).distinct().orderBy("n").collect()  # a name is 255 letters at most
+    begins, ends = ([r["n"] for r in lengths if r["kind"] == kind] for kind in ("begin", "end"))
     paths = files.select("rel_path").distinct()
-    met = paths.select("rel_path", path.alias("_path"), F.explode(path_keys(path)).alias("k")).select("rel_path", "_path", "k.kind", "k.key").join(keyed.where("kind <> 'any'"), ["kind", "key"])
-    bad = met.where("regex IS NULL OR rlike(_path, regex)").select("rel_path").distinct()
+    seen = paths.select("rel_path", path.alias("_path"), F.explode(path_keys(path, begins, ends)).alias("k")).select("rel_path", "_path", "k.kind", "k.key")
+    seen = _stored(seen.join(keyed.select("kind", "key").distinct(), ["kind", "key"], "left_semi"), "seen")
+    counts = seen.groupBy("kind", "key").agg(F.count("*").alias("n"))
+    # A glob with a key that no path has matches nothing.
+    counted = keyed.where("kind <> 'any'").join(counts, ["kind", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("glob", "one").agg(F.min(F.struct("n", "kind", "key")).alias("k"), F.first("regex").alias("regex")).where("k.n > 0").select("k.kind", "k.key", "regex").distinct()
+    bad = seen.join(rarest, ["kind", "key"]).where("regex IS NULL OR rlike(_path, regex)").select("rel_path").distinct()
     left = files.join(bad, "rel_path", "left_anti").select(*files.columns)
     return left.where(~path.rlike("|".join(f"(?:{x})" for x in loose))) if loose else left

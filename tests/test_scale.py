@@ -195,6 +195,18 @@ def test_globs_as_data(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, corpus.where(~patterns.excluded(F.col("rel_path"), every)).collect()))
 
 
+def test_globs_that_share_a_part_meet_few_paths(spark):
+    """Globs of a pattern each, all with the same plain part, are met by how another part begins; classes may hold a slash."""
+    assert ("begin", "f12.") in [k[1:3] for k in patterns.glob_keys("lib*/gen/f12.[ch]")] and ("end", "b3") in [k[1:3] for k in patterns.glob_keys("l?b3/gen/*.c")]
+    n = 4000
+    corpus = spark.range(n).selectExpr("'lib' || id % 7 || '/gen/f' || id || '.c' rel_path").unionByName(spark.createDataFrame([("a/c/x",), ("l/b3/gen/y.c",)], "rel_path string"))
+    globs = spark.range(n).where("id % 2 = 0").selectExpr("'lib*/gen/f' || id || '.[ch]' glob").unionByName(spark.createDataFrame([("a[b/]c/x",), ("l?b3/gen/y*.c",)], "glob string"))
+    left = patterns.without_excluded(corpus, globs)
+    assert {r["rel_path"] for r in left.collect()} == {f"lib{k % 7}/gen/f{k}.c" for k in range(1, n, 2)}
+    counts = patterns.keyed_globs(globs).groupBy("kind", "key").count().where("kind = 'begin' and key like 'f%'").agg(F.max("count")).first()[0]
+    assert counts == 1
+
+
 def test_lines_of_split_files(spark, tmp_path):
     r = random.Random(6)
     root = tmp_path / "root"

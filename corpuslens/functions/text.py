@@ -54,7 +54,7 @@ def match_column(text: Column, query: str, mode: str) -> Column:
 
 def grams(text: Column) -> Column:
     """Distinct three-letter pieces of the text, folded as matches are: one pass of a look-ahead, linear in its length."""
-    return F.array_distinct(F.regexp_extract_all(fold(text), F.lit("(?s)(?=(...))"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(fold(text), F.lit("(?s)(?=(...))."), F.lit(1)))
 
 
 def loc(start: Column, end: Column) -> Column:

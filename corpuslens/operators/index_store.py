@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import binary, matches
-from corpuslens.operators.index import POSTINGS, build_postings, candidates, write_postings
-from corpuslens.sources.shared import delete_path, path_exists
+from corpuslens.operators.index import POSTED, candidates, number_files, spread, without_files, write_posted, write_sorted
+from corpuslens.sources.shared import delete_path, new_path, path_exists
 
 STATE = "host string, path string, root string, size long, modified_ms long, removed boolean"
+NUMBERED = f"{STATE}, segment long, n int"
 MANIFEST = "run string, position int, ready array<string>, manifest int"
 KEY = ["host", "path"]
 
@@ -43,22 +44,31 @@ class Snapshot:
 
     def newest(self) -> DataFrame:
         """Each file's newest state, with the run's position."""
-        rows = self._tables("files", STATE)
+        rows = self._tables("files", NUMBERED)
         if len(self.runs) < 2:
             return rows
-        last = rows.groupBy(*KEY).agg(F.max_by(F.struct("root", "size", "modified_ms", "removed", "position"), "position").alias("s"))
+        last = rows.groupBy(*KEY).agg(F.max_by(F.struct("root", "size", "modified_ms", "removed", "segment", "n", "position"), "position").alias("s"))
         return last.select(*KEY, "s.*")
 
     def files(self) -> DataFrame:
         """host, path, root, size, modified_ms of the files that are indexed."""
-        return self.newest().where("NOT removed").drop("removed", "position")
+        return self.newest().where("NOT removed").drop("removed", "position", "segment", "n")
 
     def postings(self) -> DataFrame:
         """gram, host, path of the newest run of each file."""
-        rows = self._tables("postings", POSTINGS)
+        return spread(self._tables("postings", POSTED), self.newest().where("NOT removed"))
+
+    def posted(self) -> DataFrame:
+        """The stored rows (gram, segment, files) without what newer runs have replaced or removed."""
+        rows = self._tables("postings", POSTED).drop("position")
         if len(self.runs) < 2:
-            return rows.drop("position")
-        return rows.join(self.newest().where("NOT removed").select(*KEY, "position"), [*KEY, "position"], "left_semi").select("gram", *KEY)
+            return rows
+        live = self.newest().where("NOT removed").select("segment", "n")
+        return without_files(rows, self._tables("files", NUMBERED).where("NOT removed").select("segment", "n").join(live, ["segment", "n"], "left_anti"))
+
+    def gram_counts(self) -> DataFrame:
+        """gram, n_files."""
+        return self.posted().groupBy("gram").agg(F.sum(F.size("files")).alias("n_files"))
 
 
 def _manifests(spark: SparkSession, at: str) -> list[int]:
@@ -106,15 +116,18 @@ def refresh(spark: SparkSession, at: str, files: DataFrame, unready: tuple[str,
     before = last.files().where(~F.col("root").isin(*unready)) if unready else last.files()
     run = uuid.uuid4().hex
     there = f"{at}/runs/{run}"
-    changes(before, now.select("host", "root", "path", "size", "modified_ms")).write.parquet(f"{there}/files")
-    found = spark.read.schema(STATE).parquet(f"{there}/files")
+    staged = new_path(spark, "changes")
+    changes(before, now.select("host", "root", "path", "size", "modified_ms")).write.parquet(staged)
+    found = spark.read.schema(STATE).parquet(staged)
     roots = tuple(sorted(r["root"] for r in now.select("root").distinct().collect() if r["root"] is not None))  # configured roots, few
-    if found.isEmpty():
-        delete_path(spark, there)
+    if not (n_files := found.count()):
+        delete_path(spark, staged)
         return last if last.generation and roots == last.ready else _publish(spark, at, last.generation + 1, last.runs, roots)
-    changed = found.where("NOT removed").select(*KEY, "root")
-    texts = now.where(~binary(F.col("text"))).join(changed, [*KEY, "root"], "left_semi").dropDuplicates(KEY)
-    write_postings(build_postings(texts), f"{there}/postings")
+    # Segments of a generation have numbers of their own, so runs can be merged as they are.
+    number_files(found, n_files, (last.generation + 1) << 32).write.parquet(f"{there}/files")
+    delete_path(spark, staged)
+    changed = spark.read.schema(NUMBERED).parquet(f"{there}/files").where("NOT removed").select(*KEY, "root", "segment", "n")
+    write_posted(now.where(~binary(F.col("text"))).join(changed, [*KEY, "root"]), f"{there}/postings")
     return _publish(spark, at, last.generation + 1, (*last.runs, run), roots)
 
 
@@ -127,7 +140,7 @@ def merge_runs(spark: SparkSession, at: str, most: int = 1) -> Snapshot:
     run = uuid.uuid4().hex
     state = merged.newest().drop("position")
     (state if kept else state.where("NOT removed")).write.parquet(f"{at}/runs/{run}/files")
-    write_postings(merged.postings(), f"{at}/runs/{run}/postings")
+    write_sorted(merged.posted(), f"{at}/runs/{run}/postings")
     return _publish(spark, at, last.generation + 1, (*kept, run), last.ready)
 
 

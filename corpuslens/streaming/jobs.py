@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpuslens.operators import index_store
-from corpuslens.operators.index import build_postings, write_postings
+from corpuslens.operators.index import NAMES, POSTED, number_files, spread, without_files, write_posted, write_sorted
 from corpuslens.operators.jobs import HIT
 from corpuslens.operators.registry import failed_refresh, failed_rules
 from corpuslens.operators.search import Search, find_hits
@@ -27,7 +27,7 @@ def _start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
 
 
-INDEXED = "host string, path string, removed boolean, generation int"
+INDEXED = "host string, path string, removed boolean, segment long, n int, generation int"
 
 
 def refresh_index(stream: DataFrame, index: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -48,8 +48,9 @@ def refresh_index(stream: DataFrame, index: str, checkpoint: str, once: bool = F
         # Of a file that comes twice in a batch the newest row counts.
         newest = rows.where("error is null").groupBy("host", "path").agg(F.max_by(F.struct("removed", "text"), "modified_ms").alias("f")).select("host", "path", "f.*")
         save = lambda df, name: df.write.mode("overwrite").parquet(f"{index}/{name}/generation={generation}")
-        save(build_postings(newest.where("not removed")), "postings")
-        save(newest.select("host", "path", "removed"), "files")
+        save(number_files(newest.select("host", "path", "removed"), newest.count(), generation << 32), "files")
+        names = rows.sparkSession.read.schema(INDEXED).parquet(f"{index}/files/generation={generation}").where("not removed").select("host", "path", "segment", "n")
+        write_posted(newest.select("host", "path", "text").join(names, ["host", "path"]), f"{index}/postings/generation={generation}")
         seen = rows.groupBy("host", "root", "path").agg(
             F.max_by("removed", F.when(F.col("error").isNull(), F.struct("modified_ms"))).alias("removed"), F.max_by("error", F.struct("modified_ms", F.col("error").isNotNull())).alias("error")
         )
@@ -61,12 +62,19 @@ def refresh_index(stream: DataFrame, index: str, checkpoint: str, once: bool = F
     return _start(stream, batch, checkpoint, once)
 
 
+def _current(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All stored posting rows, all files that have any, and the newest generation of the files that weren't removed (both NAMES)."""
+    files = spark.read.schema(INDEXED).parquet(f"{index}/files")
+    newest = files.groupBy("host", "path").agg(F.max_by(F.struct("removed", "segment", "n"), "generation").alias("f")).where("not f.removed")
+    rows = spark.read.schema(POSTED).parquet(f"{index}/postings")
+    names = [c.split()[0] for c in NAMES.split(", ")]
+    return rows, files.where("not removed").select(*names), newest.select("host", "path", "f.segment", "f.n")
+
+
 def current_postings(spark: SparkSession, index: str) -> DataFrame:
     """gram, host, path of each file's newest generation."""
-    files = spark.read.schema(INDEXED).parquet(f"{index}/files")
-    newest = files.groupBy("host", "path").agg(F.max_by(F.struct("generation", "removed"), "generation").alias("f")).where("not f.removed")
-    rows = spark.read.schema("gram string, host string, path string, generation int").parquet(f"{index}/postings")
-    return rows.join(newest.select("host", "path", F.col("f.generation").alias("generation")), ["host", "path", "generation"]).select("gram", "host", "path")
+    rows, _, newest = _current(spark, index)
+    return spread(rows, newest)
 
 
 STATES = "host string, root string, path string, removed boolean, error string, generation int"
@@ -87,7 +95,9 @@ def root_states(spark: SparkSession, index: str) -> DataFrame:
 
 def compact_index(spark: SparkSession, index: str, target: str) -> None:
     """The current postings as one table sorted by gram, to be read by index.load_postings."""
-    write_postings(current_postings(spark, index), target)
+    rows, files, newest = _current(spark, index)
+    newest.write.mode("overwrite").parquet(f"{target}/files")
+    write_sorted(without_files(rows, files.join(newest, ["segment", "n"], "left_anti")), f"{target}/postings")
 
 
 def progressive_search(stream: DataFrame, search: Search, limit: int, out: str, checkpoint: str, once: bool = False, ordered: bool = False) -> StreamingQuery:

@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,23 @@ def test_refreshes_and_a_merge_with_a_reader_open(spark, tmp_path):
     assert index_store.snapshot(spark, f"{at}/none").postings().count() == 0
 
 
+def test_stored_postings_name_no_file(spark, tmp_path, monkeypatch):
+    """A stored index has a row a gram and segment, whatever files have it; letters outside the first plane are letters, and long texts are taken in pieces."""
+    at, r = f"file://{tmp_path}/index", random.Random(3)
+    texts = ["", "ab", "abcabc", "\U0001f600\U0001f601xy\U0001f600", "\u03a3\u03c2\u0130\u00c9\u6c49", *("".join(r.choice("abcAB \n\U0001f600") for _ in range(200)) for _ in range(60))]
+    rows = many(spark, [("home", f"f{k}", 1, t) for k, t in enumerate(texts)])
+    folded = [t.translate(str.maketrans("\u03a3\u03c2\u0130", "\u03c3\u03c3i")).lower() for t in texts]
+    expected = sorted((t[k : k + 3], "a", f"/home/f{n}") for n, t in enumerate(folded) for k in {t[k : k + 3]: k for k in range(len(t) - 2)}.values())
+    assert sorted(map(tuple, index.build_postings(rows).collect())) == expected
+    index.write_index(rows, at)
+    assert sorted(map(tuple, index.load_postings(spark, at).collect())) == expected
+    stored = spark.read.parquet(f"{at}/postings")
+    assert stored.columns == ["gram", "segment", "files"] and stored.count() == stored.select("gram", "segment").distinct().count() < len(expected) / 4
+    batch = pa.RecordBatch.from_pylist([{"segment": 1, "n": k, "text": t} for k, t in enumerate(folded)], pa.schema([("segment", pa.int64()), ("n", pa.int32()), ("text", pa.string())]))
+    pieces = [(x["gram"], n) for out in index.posted(50)(iter([batch])) for x in out.to_pylist() for n in x["files"]]
+    assert sorted((g, "a", f"/home/f{n}") for g, n in pieces) == expected
+
+
 def test_a_watched_folder_is_indexed(spark, tmp_path):
     root, at = tmp_path / "root", f"file://{tmp_path}/index"
     root.mkdir()

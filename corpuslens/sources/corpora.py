@@ -59,8 +59,8 @@ def scan_lines(spark: SparkSession, host: str, roots: dict[str, str], excludes:
     splits = stored.groupBy(*file, "start").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.bool_or("bad").alias("bad"))
     earlier = Window.partitionBy(*file).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("root", "path", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.bool_or("bad").over(Window.partitionBy(*file)).alias("_bad"))
-    # Within a split ids go on by one: a task reads it from end to end.
-    rows = stored.drop("bad").join(splits.where("NOT _bad"), [*file, "start"])
+    # Within a split ids go on by one: a task reads it from end to end. Splits are a row each, so that lines stay where they are.
+    rows = stored.drop("bad").join(F.broadcast(splits.where("NOT _bad")), [*file, "start"])
     return rows.select(F.lit(host).alias("host"), "root", "path", (F.col("before") + F.col("k") - F.col("first") + 1).cast("int").alias("line_number"), strip_cr(F.col("value")).alias("text"))
 
 

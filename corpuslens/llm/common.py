@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,15 @@ from corpuslens.sources.shared import delete_path, new_path
 CACHE = 600_000
 
 
+def release() -> None:
+    """Gives memory that this process has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def stage(df: DataFrame, name: str, block: int = 128 << 20) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends there and no executor's loss undoes it. Rows of many bytes take a small block, as a reader holds one."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpuslens.llm.common import Words, batches, free_name, raw, split_words, stage
+from corpuslens.llm.common import Words, batches, free_name, raw, release, split_words, stage
 from corpuslens.llm.labelled import held_out, labelled_sample
 
 HASH_BITS = 20
@@ -137,7 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: int, remainder: int, bound:
     machine = Machine(known["term"].to_numpy(), known["value"].to_numpy())
     sample = rows.toArrow()  # the bounded sample, as numbers
     terms = sample["terms"].combine_chunks()
-    return machine.fit(machine.places(terms.flatten().to_numpy()), np.cumsum(np.asarray(terms.value_lengths()), dtype=np.int64), sample["y"].to_numpy().astype(float))
+    machine = machine.fit(machine.places(terms.flatten().to_numpy()), np.cumsum(np.asarray(terms.value_lengths()), dtype=np.int64), sample["y"].to_numpy().astype(float))
+    del known, sample, terms
+    release()
+    return machine
 
 
 def _score(shared: Broadcast, name: str):

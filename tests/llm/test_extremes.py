@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import psutil
 import pytest
 
 from corpuslens.llm import embedding_dedup, lm_scoring, packing, simhash_dedup
+from corpuslens.llm.common import release
 from tests.llm.test_operators import TOKENIZER, brute_vectors, check_packed, components, frame, same_rows
 
 
@@ -51,3 +53,17 @@ def test_near_copies_of_long_texts_and_large_groups(spark):
     near = [(d, {tuple(t.split()[k : k + 5]) for k in range(76)}) for d, t in rows if 100 <= d < 1000]
     part = components([d for d, _ in near], [(d, e) for d, x in near for e, y in near if d < e and len(x & y) >= 0.8 * len(x | y)])
     assert {d: got[d] for d, _ in near} == part and len(set(part.values())) < 20
+
+
+def test_freed_memory_goes_back():
+    """What a driver or a worker used for one step isn't held on to in the next ones."""
+    me = psutil.Process()
+    pins, held = [], []
+    for _ in range(300_000):
+        held.append(np.empty(60))
+        if len(held) % 1000 == 0:
+            pins.append(np.empty(60))  # what is left after it keeps the heap from shrinking by itself
+    used = me.memory_info().rss
+    held.clear()
+    release()
+    assert used - me.memory_info().rss > 100_000_000 and pins

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm import bpe
-from corpuslens.llm.common import Words, batches, stage, unstage
+from corpuslens.llm.common import Words, batches, release, stage, unstage
 from corpuslens.llm.packing import join_rows
 
 #: Steps of the merge path in a piece; bytes of text whose paths are cut together.
@@ -179,9 +179,10 @@ def _cut(a_path: str, b_path: str, steps: int):
                 )
                 made += 1
             row += batch.num_rows
-            pa.default_memory_pool().release_unused()
+            release()
         _byte_encoder(a_path).words.clear()
         _piece_encoder(b_path).words.clear()
+        release()  # this worker goes on with other stages
 
     return run
 
@@ -291,6 +292,8 @@ def _parts(a_path: str, b_path: str):
                     high = x
                 one["body"] = text(low, high)[:-1]
             out.append(one)
+        del p, row, pairs, n, best, order, at, data, offsets
+        release()
         return pa.Table.from_pylist(out, _PART)
 
     return run

@@ -52,7 +52,11 @@ def fingerprint(text: bytes, words: int) -> int:
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[: -words] + 1])
     digest, seed = xxhash.xxh64_intdigest, SEED
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 255):  # sums of bytes that can't overflow
         ones += np.add.reduce(np.unpackbits(h[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
@@ -175,8 +179,8 @@ def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
 
 
-def link_fingerprints(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(node, component) of the distinct fingerprints `fp` that have a link at `bits` <= MOST_BITS differing bits."""
+def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b), stored, of distinct fingerprints `fp` at `bits` <= MOST_BITS differing bits: spanning forests of all such links."""
     if bits > MOST_BITS:
         raise ValueError(f"the segments' keys are complete up to {MOST_BITS} bits")
     keyed = stage(fps.select("fp").mapInArrow(_emit, "key int, fp long"), "keys")
@@ -187,8 +191,16 @@ def link_fingerprints(fps: DataFrame, bits: int = BITS) -> DataFrame:
     blocks = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
     blocks = blocks.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).bitwiseOR(F.lit(-(1 << 63))).alias("run"), "fp")
     runs = plain.unionByName(blocks).repartition("run").sortWithinPartitions("run")
-    out = connected_components(runs.mapInArrow(_runs(bits), "a long, b long"))
+    links = stage(runs.mapInArrow(_runs(bits), "a long, b long"), "links")
     unstage(keyed, long)
+    return links
+
+
+def link_fingerprints(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(node, component) of the distinct fingerprints `fp` that have a link at `bits` <= MOST_BITS differing bits."""
+    links = fingerprint_links(fps, bits)
+    out = connected_components(links)
+    unstage(links)
     return out
 
 
@@ -205,9 +217,10 @@ def simhash_groups(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFra
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Groups by similarity: minwise bands find candidates, shingles decide.
+# Groups by similarity: fingerprints, then minwise bands find candidates, shingles decide.
 #
-# At a similarity of 0.8 fingerprints differ in about 10 of 64 bits, where no few codewords meet for sure; bands of minwise hashes do.
+# At a similarity of 0.8 fingerprints differ in about 10 of 64 bits, where no few codewords meet for sure; bands of minwise hashes do. So fingerprints' keys
+# link the nearest copies, and the bands what is left between the groups.
 
 #: Minwise hashes of a text, in rows of BAND for a key; of each hash four bits are kept to compare texts by.
 HASHES, BAND = 128, 5
@@ -257,14 +270,18 @@ def reach(similarity: float) -> int:
 def _minwise_scan(words: int):
     def run(it):
         for batch in batches(it):
-            keys, sketches, sets = [], [], []
+            keys, sketches, sets, fps = [], [], [], []
             for text in raw(batch["text"]):
                 hashes = shingle_hashes(text, words)
                 k, sketch = minwise(hashes)
                 keys.append(k)
                 sketches.append(sketch)
                 sets.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(sets, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "shingles", "sketch", "keys"])
+                fps.append(majority(hashes))
+            fps = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["text_key"], pa.array(sets, pa.binary()), fps, pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "shingles", "fp", "sketch", "keys"]
+            )
 
     return run
 
@@ -299,17 +316,18 @@ def spanning(sketches: np.ndarray, limit: int, classes: np.ndarray, failed: list
 
 
 def _forests(limit: int):
-    """(node, the one before it) of runs' spanning forests; rows come run by run, by node, so that runs of the same texts have the same forest."""
+    """(run, node, the one before it) of runs' spanning forests; rows come run by run, by node, so that runs of the same texts have the same forest."""
 
     def short(rows: dict) -> pa.RecordBatch:
         first = np.concatenate([[0], np.flatnonzero(np.diff(rows["run"])) + 1, [len(rows["run"])]])
-        node, near = [], []
+        run, node, near = [], [], []
         for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             part = {c: x[low:high] for c, x in rows.items()}
             for i, j in spanning(part["sketch"], limit, part["class"], part["failed"], part["node"]):
+                run.append(part["run"][0])
                 near.append(part["node"][i])
                 node.append(part["node"][j])
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node, near)], ["node", "o"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (run, node, near)], ["run", "node", "o"])
 
     def run(it):
         held = None
@@ -356,53 +374,75 @@ def _runs_of(nodes: DataFrame) -> DataFrame:
     return out
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b), stored, of nodes (node, fp) whose fingerprints are linked: the first node of each, and the first with each of its equals."""
+    firsts = stage(nodes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    links = fingerprint_links(firsts, MOST_BITS)
+    near = links.distinct().join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    equal = nodes.select("fp", F.col("node").alias("y")).join(firsts.withColumnRenamed("first", "x"), "fp").where("x <> y")
+    out = stage(near.select("x", "y").unionByName(equal.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "pairs")
+    unstage(firsts, links)
+    return out
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b), stored, whose texts' shingles are as similar."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return stage(both.select("a", "b", "ta", "tb").mapInArrow(_verified(words, similarity), "a long, b long"), "good")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), component_id of every row of docs (doc_id, text): groups linked by a Jaccard similarity of shingles.
 
-    Texts that share a band of minwise hashes are a run; pairs of 0.8 do in 9,999 of 10,000 cases. Rounds follow: in each run a minimum spanning forest of the
-    classes so far, by differing hashes, gives candidates, each verified exactly on the shingles of both texts, so no link below the threshold counts. Pairs that
-    fail are left out of later rounds, which go on as long as they find links. Equal sets of shingles are one node; texts without words are one,
+    Fingerprints of the distinct shingles meet by their Golay keys; pairs within MOST_BITS are verified exactly on the shingles of both texts and make the first
+    classes. Then texts that share a band of minwise hashes are a run; pairs of 0.8 do in 9,999 of 10,000 cases. Rounds follow: in each run a minimum spanning forest of the
+    classes so far, by differing hashes, gives candidates, each verified as before, so no link below the threshold counts. Pairs that
+    fail are left out of later rounds, which go on as long as they find links. A run that has become one class, or has no candidates left, never gets new ones: later rounds don't read
+    it. Equal sets of shingles are one node; texts without words are one,
     too. A text that only null ids have is linked with none but its equals. Other rows as with simhash_groups.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    prints = stage(rows.mapInArrow(_minwise_scan(words), "doc_id long, text_key long, shingles binary, sketch binary, keys array<long>"), "prints")
-    nodes = prints.groupBy("shingles").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("one"))
+    prints = stage(rows.mapInArrow(_minwise_scan(words), "doc_id long, text_key long, shingles binary, fp long, sketch binary, keys array<long>"), "prints")
+    nodes = prints.groupBy("shingles").agg(
+        F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("one")
+    )
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers stay as they are stored
-    members = _runs_of(nodes.where("one IS NOT NULL"))
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "one.doc_id", "one.text_key")
-    texts = stage(wanted.join(rows, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    limit, links, failed, classes = reach(similarity), [], [], None
+    named = nodes.where("one IS NOT NULL")
+    pairs = _fingerprint_pairs(named)
+    runs = _runs_of(named)
+    asked = runs.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = nodes.join(asked, "node", "left_semi").select("node", "sketch", "one.doc_id", "one.text_key")
+    texts = stage(wanted.join(rows, ["doc_id", "text_key"]).select("node", "sketch", "text").dropDuplicates(["node"]), "texts")
+    good = _alike(pairs, texts, words, similarity)
+    classes = stage(connected_components(good), "classes")
+    unstage(pairs, good)
+    limit, failed = reach(similarity), []
     while True:
-        state = members.join(nodes.select("node", "sketch"), "node")
-        if classes is None:
-            state = state.withColumn("class", F.col("node")).withColumn("failed", F.lit(None).cast("array<long>"))
-        else:
-            known = state.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-            several = known.groupBy("run").agg((F.min("class") < F.max("class")).alias("several")).where("several").select("run")
+        known = stage(runs.join(classes, "node", "left").select("run", "node", F.coalesce("component", "node").alias("class")), "known")
+        several = known.groupBy("run").agg((F.min("class") < F.max("class")).alias("several")).where("several").select("run")
+        state = known.join(several, "run", "left_semi")
+        if failed:
             tried = functools.reduce(DataFrame.unionByName, failed).groupBy("node").agg(F.collect_list("o").alias("failed"))  # one for each run and round at most
-            state = known.join(several, "run", "left_semi").join(tried, "node", "left")
-        state = state.select("run", "node", "class", "sketch", F.coalesce("failed", F.array().cast("array<long>")).alias("failed"))
-        edges = state.repartition("run").sortWithinPartitions("run", "node").mapInArrow(_forests(limit), "node long, o long").distinct()
-        edges = stage(edges.select("node", "o", F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")), "edges")
-        if edges.isEmpty():
-            unstage(edges)
-            break
-        pairs = edges.select("a", "b").distinct()
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        good = stage(both.select("a", "b", "ta", "tb").mapInArrow(_verified(words, similarity), "a long, b long"), "good")
-        if good.isEmpty():
-            unstage(edges, good)
+            state = state.join(tried, "node", "left")
+        else:
+            state = state.withColumn("failed", F.lit(None).cast("array<long>"))
+        state = state.join(texts.select("node", "sketch"), "node").select("run", "node", "class", "sketch", F.coalesce("failed", F.array().cast("array<long>")).alias("failed"))
+        found = stage(state.repartition("run").sortWithinPartitions("run", "node").mapInArrow(_forests(limit), "run long, node long, o long"), "found")
+        edges = stage(found.select("node", "o", F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct(), "edges")
+        good = _alike(edges.select("a", "b").distinct(), texts, words, similarity)
+        over = good.isEmpty()
+        if not over:
+            failed.append(stage(edges.join(good, ["a", "b"], "left_anti").select("node", "o"), "failed"))
+            more = stage(known.join(found.select("run").distinct(), "run", "left_semi").select("run", "node"), "members")
+            merged = stage(connected_components(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(good)), "classes")
+            unstage(runs, classes)
+            runs, classes = more, merged
+        unstage(known, found, edges, good)
+        if over:
             break
-        links.append(good)
-        failed.append(stage(edges.join(good, ["a", "b"], "left_anti").select("node", "o"), "failed"))
-        unstage(edges)
-        if classes is not None:
-            unstage(classes)
-        classes = stage(connected_components(functools.reduce(DataFrame.unionByName, links)), "classes")
-    labels = nodes.select("node", "shingles", "first_id")
-    labels = labels.withColumn("root", F.col("node")) if classes is None else labels.join(classes, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    labels = nodes.select("node", "shingles", "first_id").join(classes, "node", "left").withColumn("root", F.coalesce("component", "node"))
     labels = stage(labels.select("shingles", "first_id", "root"), "labels")
     roots = stage(labels.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
     known = stage(labels.join(roots, "root").select("shingles", "component_id"), "known")
-    unstage(nodes, members, texts, labels, roots, *links, *failed, *([classes] if classes is not None else []))
+    unstage(nodes, runs, texts, labels, roots, classes, *failed)
     return prints.join(known, "shingles").select("doc_id", "text_key", "component_id")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import psutil
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.llm import embedding_dedup, lm_scoring, packing, simhash_dedup
 from corpuslens.llm.common import release
@@ -67,3 +68,44 @@ def test_freed_memory_goes_back():
     held.clear()
     release()
     assert used - me.memory_info().rss > 100_000_000 and pins
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Without bands the nearest copies are still found; texts whose fingerprints are near are no copies below the threshold."""
+    real = simhash_dedup._runs_of
+    monkeypatch.setattr(simhash_dedup, "_runs_of", lambda nodes: real(nodes.limit(0)))
+    base = [f"b{k}" for k in range(1000)]
+    rows = [(7, " ".join(base)), (8, " ".join([*base, "end"])), (9, "start " + " ".join(base))]
+    rows += [(20, "x y z"), (21, "x y z v w u"), (22, "other words of a text"), (23, ""), (24, None)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash_dedup.similar_groups(frame(spark, rows)).collect()}
+    assert got == {7: 7, 8: 7, 9: 7, 20: 20, 21: 21, 22: 22, 23: 23, 24: 23}
+    every = lambda nodes: simhash_dedup.stage(nodes.select(F.col("node").alias("a")).join(nodes.select(F.col("node").alias("b")), F.col("a") < F.col("b")), "pairs")
+    monkeypatch.setattr(simhash_dedup, "_fingerprint_pairs", every)
+    got = {x["doc_id"]: x["component_id"] for x in simhash_dedup.similar_groups(frame(spark, rows)).collect()}
+    assert got == {7: 7, 8: 7, 9: 7, 20: 20, 21: 21, 22: 22, 23: 23, 24: 23}
+
+
+def test_rounds_read_only_runs_that_may_change(spark, monkeypatch):
+    """Runs that are one class, or without candidates, are left out of later rounds."""
+    r, sizes, plain = random.Random(6), [], simhash_dedup.stage
+
+    def counted(df, name, *more):
+        out = plain(df, name, *more)
+        if name == "known" and "run" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "stage", counted)
+    rows, n = [], 0
+    for _ in range(60):  # groups of three texts that differ in a few of 200 words, so that they share bands; some links hold, some don't
+        base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        for _ in range(3):
+            words = list(base)
+            for _ in range(r.randrange(1, 8)):
+                words[r.randrange(200)] = f"n{r.randrange(10**6)}"
+            rows.append((n := n + 1, " ".join(words)))
+    got = {x["doc_id"]: x["component_id"] for x in simhash_dedup.similar_groups(frame(spark, rows)).collect()}
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(196)} for d, t in rows}
+    links = [(d, e) for d in sets for e in range(d + 1, d + 3) if e in sets and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])]
+    assert got == components(list(sets), links)
+    assert len(sizes) > 1 and sizes[-1] < 0.9 * sizes[0], sizes

@@ -229,32 +229,54 @@ _QUERY_KEYS = {
 _LINE_KEYS = {"word": lambda t: F.array_distinct(_words(t)), "three": lambda t: _pieces(t, 3), "two": lambda t: _pieces(t, 2), "one": lambda t: _pieces(t, 1)}
 
 
+def _meet(texts: DataFrame, rows: DataFrame, few) -> DataFrame:
+    """query and the columns of every row (text) that holds it. A query stands for itself by its rarest three letters, counted on the rows, or as a whole where it is shorter."""
+    length = F.length("query")
+    out = None
+    for name, some in (("three", length > 2), ("two", length == 2), ("one", length == 1)):
+        keyed = texts.where(some).select("query", F.explode(_QUERY_KEYS[name](F.col("query"))).alias("key"))
+        if name == "three":
+            counts = rows.select(F.explode(_LINE_KEYS[name](F.col("text"))).alias("key")).join(few(keyed.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+            # A query with a key that no row has matches nothing.
+            keyed = keyed.join(counts, "key", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rarest")).where("rarest.n > 0").select("query", "rarest.key")
+        met = rows.withColumn("key", F.explode(_LINE_KEYS[name](F.col("text")))).join(few(keyed), "key").where(F.contains("text", "query")).drop("key")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    at = new_path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def multi_search(queries: DataFrame, lines: DataFrame, letters: int = 8_000_000) -> DataFrame:
     """query_id, host, path, line_number, text of every line that holds a literal query (query_id, query); blank queries, and such with a newline, match nothing.
 
-    A query stands for itself by its rarest key: a word inside it, or three letters of it where it has no such word, or the query where it is shorter. How rare keys are is
-    counted on the lines, which then meet the queries by an equal key and are verified. Queries are only broadcast while they have at most `letters` letters.
+    The lines' words are counted once. A query stands for itself by its rarest word inside it; where it has none, by all words that hold its rarest part, which are looked
+    for among the distinct words and not on the lines. Lines meet the queries by an equal word and are verified. Queries are only broadcast while they have at most `letters` letters.
     """
     wanted = queries.where("trim(query) <> '' and not contains(query, '\n')").select("query_id", "query").distinct()
     texts = wanted.select("query").distinct()
-    words = F.size(_QUERY_KEYS["word"](F.col("query")))
-    kind = F.when(words > 0, "word").when(F.length("query") > 2, "three").when(F.length("query") == 2, "two").otherwise("one")
-    sizes = {r["kind"]: r["letters"] for r in texts.groupBy(kind.alias("kind")).agg(F.sum(F.length("query")).alias("letters")).collect()}  # four rows at most
     lines = lines.select("host", "path", "line_number", "text")
-    few = (lambda df: F.broadcast(df)) if sum(sizes.values()) <= letters else (lambda df: df)
-    out = None
-    for name in sizes:
-        keyed = texts.where(kind == name).select("query", F.explode(_QUERY_KEYS[name](F.col("query"))).alias("key"))
-        if name in ("word", "three"):
-            here = lines.select(F.explode(_LINE_KEYS[name](F.col("text"))).alias("key"))
-            counts = here.join(few(keyed.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-            # A query with a key that no line has matches nothing.
-            keyed = keyed.join(counts, "key", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rarest")).where("rarest.n > 0").select("query", "rarest.key")
-        met = lines.withColumn("key", F.explode(_LINE_KEYS[name](F.col("text")))).join(few(keyed), "key").where(F.contains("text", "query")).drop("key")
-        out = met if out is None else out.unionByName(met)
-    if out is None:
-        out = lines.withColumn("query", F.lit("")).limit(0)
-    return out.join(few(wanted), "query").select("query_id", *lines.columns)
+    size = texts.agg(F.sum(F.length("query"))).first()[0]
+    if size is None:
+        return lines.withColumn("query", F.lit("")).limit(0).join(wanted, "query").select("query_id", *lines.columns)
+    few = (lambda df: F.broadcast(df)) if size <= letters else (lambda df: df)
+    words = _stored(lines.select(F.explode(_LINE_KEYS["word"](F.col("text"))).alias("text")).groupBy("text").agg(F.count("*").alias("n")), "words")
+    inside = _QUERY_KEYS["word"](F.col("query"))
+    rarest = lambda rows, c: rows.groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), c)).alias("rarest")).where("rarest.n > 0").select("query", f"rarest.{c}")
+    whole = rarest(texts.select("query", F.explode(inside).alias("key")).join(words.withColumnRenamed("text", "key"), "key", "left"), "key")
+    parts = texts.where(F.size(inside) == 0).select("query", F.explode(F.array_distinct(_words(F.col("query")))).alias("part"))
+    held = _stored(_meet(parts.select(F.col("part").alias("query")).distinct(), words, few).withColumnsRenamed({"query": "part", "text": "key"}), "held")
+    best = rarest(parts.join(held.groupBy("part").agg(F.sum("n").alias("n")), "part", "left"), "part")
+    keyed = _stored(whole.withColumn("part", F.lit(None).cast("string")).unionByName(best.join(held.select("part", "key"), "part").select("query", "key", "part")), "keyed")
+    size = keyed.agg(F.sum(F.length("query") + F.length("key"))).first()[0] or 0
+    met = lines.withColumn("key", F.explode(_LINE_KEYS["word"](F.col("text")))).join(F.broadcast(keyed) if size <= letters else keyed, "key").where(F.contains("text", "query"))
+    # Of a line's words that hold a part, the first one counts.
+    first = F.filter(_words(F.col("text")), lambda x: F.contains(x, F.col("part")))[0]
+    met = met.where(F.col("part").isNull() | (F.col("key") == first)).drop("key", "part")
+    return met.join(few(wanted), "query").select("query_id", *lines.columns)
 
 
 def request_error(search: Search, spark) -> str | None:

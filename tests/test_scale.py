@@ -156,6 +156,17 @@ def test_many_queries_equal_plain_search(spark):
     assert "Python" not in out._jdf.queryExecution().toString() and "InArrow" not in out._jdf.queryExecution().toString()
 
 
+def test_queries_without_inner_words_meet_by_words(spark):
+    """No line is cut into pieces for them; repeated rows come back as often, a line with several words that hold a part once."""
+    lines = corpora.lines(files(spark, [("x", "nothing bothers\nthe thing things thin"), ("y", "a  thing")]))
+    lines = lines.unionByName(lines)
+    asked = [(1, "thing"), (2, "ing bo"), (3, "th"), (4, " t"), (5, "g t"), (6, "  "), (7, "zz"), (8, "h")]
+    expected = sorted((k, x["path"], x["line_number"]) for k, q in asked if q.strip(" ") for x in lines.collect() if q in x["text"])
+    out = search.multi_search(spark.createDataFrame(asked, "query_id long, query string"), lines)
+    assert sorted((x["query_id"], x["path"], x["line_number"]) for x in out.collect()) == expected
+    assert "regexp_extract_all" not in out._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("c", [0, 1, 3])
 def test_contexts_by_bands(spark, c):
     r = random.Random(c)

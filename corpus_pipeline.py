@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import decontamination, line_dedup, packing, simhash_dedup, toxicity
-from corpuslens.llm.common import stage
+from corpuslens.llm.common import free_name, perhaps_known, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     groups = simhash_dedup.similar_groups(docs.where(F.col("doc_id").isNotNull()), words=5, similarity=0.8)
     copies = stage(groups.where("doc_id <> component_id").select("doc_id", "text_key").distinct(), "copies")
-    return docs.join(copies, (docs["doc_id"] == copies["doc_id"]) & (key == copies["text_key"]), "left_anti").select(*docs.columns)
+    # Rows that surely are none of the copies aren't shuffled.
+    flag = free_name(docs.columns, "perhaps")
+    rows = perhaps_known(docs, F.xxhash64(F.col("doc_id").cast("long"), key), copies, F.xxhash64("doc_id", "text_key"), flag)
+    kept = rows.where(flag).join(copies, (rows["doc_id"] == copies["doc_id"]) & (key == copies["text_key"]), "left_anti")
+    return rows.where(~F.col(flag)).unionByName(kept).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.sources.shared import delete_path, new_path
@@ -50,6 +50,24 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+#: Bits of the map of perhaps_known, and of a row of it (bitmap_construct_agg's size).
+SPOTS, CELL = 1 << 24, 1 << 15
+
+
+def perhaps_known(df: DataFrame, key: Column, known: DataFrame, own: Column, flag: str) -> DataFrame:
+    """df with a boolean `flag`: false only where `key` (a 64-bit hash) is none of `own` in `known`, and for nearly all those rows while known has fewer keys than SPOTS.
+
+    Keys set bits of one map, which is broadcast and is 2 MB at most, however many they are. Rows told apart by it need not be shuffled with their texts for a join.
+    """
+    cell, bits = free_name([*df.columns, flag], "cell"), free_name([*df.columns, flag], "bits")
+    spots = known.select(F.pmod(own, F.lit(SPOTS)).alias("spot")).select(F.expr(f"spot div {CELL}").alias(cell), F.expr(f"spot % {CELL}").alias("bit"))
+    cells = spots.repartition(cell).groupBy(cell).agg(F.bitmap_construct_agg("bit").alias(bits))
+    spot = F.pmod(key, F.lit(SPOTS))
+    out = df.withColumn(cell, F.floor(spot / CELL).cast("long")).withColumn(flag, spot % CELL).join(F.broadcast(cells), cell, "left")
+    byte = F.conv(F.hex(F.substring(bits, F.floor(F.col(flag) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return out.withColumn(flag, F.coalesce(F.getbit(byte, (F.col(flag) % 8).cast("int")) == 1, F.lit(False))).select(*df.columns, flag)
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; a null is an empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

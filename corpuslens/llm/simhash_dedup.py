@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import Rolling, batches, connected_components, mix, raw, stage, unstage, word_hashes
+from corpuslens.llm.common import Rolling, batches, connected_components, mix, perhaps_known, raw, stage, unstage, word_hashes
 
 SEED = 42
 BITS = 4
@@ -386,7 +386,9 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b), stored, whose texts' shingles are as similar."""
+    """The pairs (a, b), stored, whose texts' shingles are as similar; few other texts are shuffled."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    texts = perhaps_known(texts.select("node", "text"), F.xxhash64("node"), asked, F.xxhash64("node"), "asked").where("asked")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return stage(both.select("a", "b", "ta", "tb").mapInArrow(_verified(words, similarity), "a long, b long"), "good")
 
@@ -407,15 +409,19 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("one")
     )
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers stay as they are stored
+    sets = stage(prints.select("doc_id", "text_key", "shingles"), "sets")
+    unstage(prints)
     named = nodes.where("one IS NOT NULL")
     pairs = _fingerprint_pairs(named)
     runs = _runs_of(named)
     asked = runs.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    wanted = nodes.join(asked, "node", "left_semi").select("node", "sketch", "one.doc_id", "one.text_key")
-    texts = stage(wanted.join(rows, ["doc_id", "text_key"]).select("node", "sketch", "text").dropDuplicates(["node"]), "texts")
+    wanted = stage(nodes.join(asked, "node", "left_semi").select("node", "sketch", "one.doc_id", "one.text_key"), "wanted")
+    key = F.xxhash64("doc_id", "text_key")
+    held = wanted.join(perhaps_known(rows, key, wanted, key, "wanted").where("wanted"), ["doc_id", "text_key"])
+    texts = stage(held.dropDuplicates(["doc_id", "text_key", "node"]).select("node", "sketch", "text"), "texts")
     good = _alike(pairs, texts, words, similarity)
     classes = stage(connected_components(good), "classes")
-    unstage(pairs, good)
+    unstage(wanted, pairs, good)
     limit, failed = reach(similarity), []
     while True:
         known = stage(runs.join(classes, "node", "left").select("run", "node", F.coalesce("component", "node").alias("class")), "known")
@@ -445,4 +451,4 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     roots = stage(labels.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
     known = stage(labels.join(roots, "root").select("shingles", "component_id"), "known")
     unstage(nodes, runs, texts, labels, roots, classes, *failed)
-    return prints.join(known, "shingles").select("doc_id", "text_key", "component_id")
+    return sets.join(known, "shingles").select("doc_id", "text_key", "component_id")

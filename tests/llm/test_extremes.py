@@ -7,8 +7,9 @@ import psutil
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.llm import embedding_dedup, lm_scoring, packing, simhash_dedup
-from corpuslens.llm.common import release
+import corpus_pipeline
+from corpuslens.llm import common, embedding_dedup, lm_scoring, packing, simhash_dedup
+from corpuslens.llm.common import release, stage
 from tests.llm.test_operators import TOKENIZER, brute_vectors, check_packed, components, frame, same_rows
 
 
@@ -109,3 +110,38 @@ def test_rounds_read_only_runs_that_may_change(spark, monkeypatch):
     links = [(d, e) for d in sets for e in range(d + 1, d + 3) if e in sets and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])]
     assert got == components(list(sets), links)
     assert len(sizes) > 1 and sizes[-1] < 0.9 * sizes[0], sizes
+
+
+def shuffled(spark):
+    """Bytes that this session's executors have written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_near_dedup_shuffles_no_texts_without_candidates(spark):
+    r = random.Random(23)
+    texts = [" ".join(f"{r.getrandbits(48):x}" for _ in range(1500)) for _ in range(300)]
+    rows = [(k, t, "clash", 1) for k, t in enumerate([*texts, texts[7] + " end", texts[9]])]
+    docs = stage(frame(spark, rows, "doc_id int, text string, perhaps string, cell int"), "docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as on tables that are large
+    try:
+        before = shuffled(spark)
+        left = corpus_pipeline.drop_near_copies(spark, docs, None)
+        assert left.columns == docs.columns
+        assert sorted(x["doc_id"] for x in left.collect()) == [*range(300)]
+        assert shuffled(spark) - before < 0.3 * sum(map(len, texts))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("spots", [1 << 15, 1 << 24])
+def test_rows_perhaps_known(spark, monkeypatch, spots):
+    monkeypatch.setattr(common, "SPOTS", spots)
+    df = spark.range(60_000).selectExpr("id", "'x' as cell", "if(id % 5 = 0, null, id) as bits")
+    known = spark.range(0, 60_000, 3).withColumn("spot", F.lit(1))
+    got = common.perhaps_known(df, F.xxhash64("id"), known, F.xxhash64("id"), "flag")
+    assert got.columns == ["id", "cell", "bits", "flag"]
+    told = {x["known"]: (x["n"], x["yes"]) for x in got.groupBy((F.col("id") % 3 == 0).alias("known")).agg(F.count("*").alias("n"), F.count_if("flag").alias("yes")).collect()}
+    assert told[True] == (20_000, 20_000) and told[False][0] == 40_000
+    assert told[False][1] < 200 if spots > 1 << 15 else told[False][1] > 10_000
+    assert common.perhaps_known(df, F.xxhash64("id"), known.where("id < 0"), F.xxhash64("id"), "flag").where("flag").isEmpty()
